@@ -51,7 +51,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     d = d.withColumn("lines", F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)))
     # each window of three words as (hash, position) in one sorted array: equal windows are neighbours
     window = lambda i: F.struct(F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)).alias("h"), i.alias("i"))
-    d = d.withColumn("wins", F.when(F.col("n_words") >= 4, F.array_sort(F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), window))))
+    d = d.withColumn("wins", F.when(F.col("n_words") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), window))))
     same = lambda x, i: (x["h"] == F.get("wins", i - 1)["h"]) | (x["h"] == F.get("wins", i + 1)["h"])
     again = F.transform(F.filter("wins", same), lambda x: x["i"])
     covered = F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2))))
