@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, function, name of its SQL or None)
 _QUERIES = {
+    "op3_bpe": ("bpe", "op3_bpe", None),
     "op10_fingerprint": ("fingerprint", "op10_fingerprint", None),
     "op8_quality": ("quality", "op8_quality", None),
     "op9_mixing": ("mixing", "op9_mixing", "OP9_SQL"),
