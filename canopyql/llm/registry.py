@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, function, name of its SQL or None)
 _QUERIES = {
+    "op1_lm_score": ("ppm", "op1_lm_score", None),
     "op5_near_dedup": ("dedup", "op5_near_dedup", None),
     "op3_bpe": ("bpe", "op3_bpe", None),
     "op10_fingerprint": ("fingerprint", "op10_fingerprint", None),
