@@ -41,27 +41,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context and symbol packed in 8 (ORDER + 1) bits, text, lower-case bytes and their offsets) of each symbol."""
+def symbols_of(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Each symbol (bytes of the lower-case text, then its end) packed with the order bytes before it, in
+    8 (order + 1) bits; the text that it belongs to; the lower-case bytes and their offsets."""
     data, offsets = flat(texts)
     data = LOWER[data]
     n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    padded = np.full(len(data) + n * (ORDER + 1), START, dtype=np.uint8)
-    padded[np.arange(len(data)) + (text + 1) * ORDER + text] = data
-    stops = offsets[1:] + np.arange(1, n + 1) * ORDER + np.arange(n)
-    padded[stops] = STOP
-    # every symbol but the padding, with the ORDER bytes before it
-    real = np.ones(len(padded), dtype=bool)
-    begins = offsets[:-1] + np.arange(n) * (ORDER + 1)
-    for j in range(ORDER):
-        real[begins + j] = False
-    at = np.flatnonzero(real)
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(n), sizes)
+    padded = np.full(len(data) + n * (order + 1), START, dtype=np.uint8)
+    padded[np.arange(len(data)) + (text + 1) * order + text] = data
+    padded[offsets[1:] + np.arange(1, n + 1) * order + np.arange(n)] = STOP
+    owner = np.repeat(np.arange(n), sizes + 1)
+    at = np.arange(len(data) + n) + (owner + 1) * order
     packed = np.zeros(len(padded), dtype=U)
     wide = padded.astype(U)
-    for j in range(ORDER + 1):
-        packed[ORDER:] |= wide[j : len(padded) - ORDER + j] << U(8 * (ORDER - j))
-    return packed[at], np.repeat(np.arange(n), np.diff(offsets) + 1), (data, offsets)
+    for j in range(order + 1):
+        packed[order:] |= wide[j : len(padded) - order + j] << U(8 * (order - j))
+    return packed[at], owner, (data, offsets)
 
 
 def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +102,7 @@ def _distinct(block: pa.Table) -> tuple[np.ndarray, ...]:
     counts: list[list] = [[], []]
     texts, train = block.column("text").combine_chunks(), ~block.column("held_out").to_numpy()
     for at, size in pieces(texts):
-        symbols, text, (data, offsets) = _symbols(texts.slice(at, size))
+        symbols, text, (data, offsets) = symbols_of(texts.slice(at, size))
         learn = train[at : at + size]
         for i, (k, t) in enumerate(((symbols, text), _tokens(data, offsets))):
             seen = learn[t]
@@ -258,7 +255,7 @@ def _score(buckets: int):
         parts = []
         by_symbol, by_token = slots(symbols), slots(tokens)
         for at, size in pieces(texts):
-            k, text, (data, offsets) = _symbols(texts.slice(at, size))
+            k, text, (data, offsets) = symbols_of(texts.slice(at, size))
             score = np.bincount(text, weights=logp[find(symbols, k, by_symbol)], minlength=size)
             h, owner = _tokens(data, offsets)
             which = find(tokens, h, by_token)
@@ -283,7 +280,7 @@ def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, learn = batch.column("text"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for at, size in pieces(texts):
             part = texts.slice(at, size)
-            symbols, text, (data, _) = _symbols(part)
+            symbols, text, (data, _) = symbols_of(part)
             n_bytes += len(data)
             counts += np.bincount((symbols[learn[at : at + size][text]] & U(0xFFFF)).astype(np.int64), minlength=1 << 16)
     pair = np.flatnonzero(counts)
