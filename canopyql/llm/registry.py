@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, function, name of its SQL or None)
 _QUERIES = {
+    "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op2_toxicity": ("toxicity", "op2_toxicity", None),
     "op1_lm_score": ("ppm", "op1_lm_score", None),
     "op5_near_dedup": ("dedup", "op5_near_dedup", None),
