@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, function, name of its SQL or None)
 _QUERIES = {
+    "op6_html_text": ("extraction", "op6_html_text", None),
     "op7_licenses": ("licenses", "op7_licenses", "OP7_SQL"),
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op2_toxicity": ("toxicity", "op2_toxicity", None),
