@@ -13,7 +13,8 @@ signatures inside the band, and emit pairs that may be similar. So groups of cop
 pairs in proportion to their size, and no pair of different components is passed over.
 
 Defined results: a null text is the empty text; texts without words are alike only if equal; rows that
-share an id are one document, judged by one of its texts, and share a class; a null id takes part as the
+share an id are one document, alike to whatever one of its texts is alike to, and share a class (unless
+equal texts of other ids put them into several); a null id takes part as the
 least id; an empty table gives an empty result; ``deduplicate`` carries all other columns.
 """
 
@@ -37,6 +38,8 @@ BANDS = K // ROWS
 #: similarity 0.8 fewer than 77 of 128 agree with probability 1e-8, and 126 or more with 1e-9.
 MAYBE, SURELY = 77, 126
 LEAST_ID = -(1 << 62)
+#: Rows (a digest or id each) up to which a table is broadcast; longer ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 _Q = U(0xFF51AFD7ED558CCD)
 
 
@@ -131,51 +134,95 @@ def _binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the texts' sets of windows, sorted within each text."""
+    h, text = shingles(*flat(texts))
+    if not len(h):
+        return h, text
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], text[new]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures; texts without words have none."""
     for batch in batches:
         texts = batch.column("text")
         for at, size in pieces(texts):
-            data, offsets = flat(texts.slice(at, size))
-            h, text = shingles(data, offsets)
-            # the sets: sorted and distinct within each text
-            order = np.lexsort((h, text)) if len(h) else np.zeros(0, np.int64)
-            h, text = h[order], text[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            h, text = h[new], text[new]
+            h, text = _sets(texts.slice(at, size))
             signatures = dart_signatures(h, text, np.ones(len(h)), size)
+            some = np.bincount(text, minlength=size) > 0
+            part = batch.slice(at, size)
+            filled = pa.compute.if_else(pa.array(some), _binaries(signatures), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("same"), filled], names=["node", "same", "signature"])
+
+
+_SKETCH = "node long, same binary, signature binary"
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        for at, size in pieces(texts):
+            h, text = _sets(texts.slice(at, size))
             ends = np.searchsorted(text, np.arange(size + 1))
-            low = (h >> U(32)).astype(np.uint32)
-            sets = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(low)])
-            keys = band_keys(signatures).reshape(-1)
-            # texts without words meet nobody
-            some = np.diff(ends) > 0
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[np.repeat(some, BANDS)]))
+            sets = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(h)])
             part = batch.slice(at, size)
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("same"), _binaries(signatures), sets, bands], names=["node", "same", "signature", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("same"), sets], names=["node", "same", "shingles"])
+
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, K)
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band_keys(s).reshape(-1))], names=["node", "band"])
 
-_SKETCH = "node long, same binary, signature binary, shingles binary, bands array<long>"
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be similar, with the number of coordinates in which they agree."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(f"signature_{x}").to_pylist()), np.uint32).reshape(-1, K) for x in "ab")
+            agree = (a == b).sum(axis=1)
+            keep = pa.array(agree >= MAYBE)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(agree).filter(keep)], names=["a", "b", "agree"])
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sets have a Jaccard similarity of SIMILARITY or more."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets have a Jaccard similarity of SIMILARITY or more."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(f"signature_{x}").to_pylist()), np.uint32).reshape(-1, K) for x in "ab")
-        agree = (a == b).sum(axis=1)
-        good = agree >= SURELY
-        for i in np.flatnonzero(~good & (agree >= MAYBE)):
-            x, y = (np.unique(np.frombuffer(batch.column(f"shingles_{s}")[i].as_py(), np.uint32)) for s in "ab")
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for i, (x, y) in enumerate(zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             common = len(np.intersect1d(x, y, assume_unique=True))
             good[i] = common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
+def _beside(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """rows joined with a table made before, which is broadcast only if it is short."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold. nodes: (node, signature); rows: (node, same, text)."""
 
+    def both(of: DataFrame, values: DataFrame, column: str) -> DataFrame:
+        for x in "ab":
+            of = of.join(values.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")), x)
+        return of
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}"), F.col("shingles").alias(f"shingles_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_check, "a long, b long")
+    near = stage(both(pairs, nodes, "signature").mapInArrow(_agreeing, "a long, b long, agree long"), "near")
+    surely, maybe = near.where(F.col("agree") >= SURELY).select("a", "b"), near.where(F.col("agree") < SURELY).select("a", "b")
+    wanted = stage(maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct(), "wanted")
+    sets = _beside(rows, wanted, "node", "left_semi").mapInArrow(_shingle_sets, "node long, same binary, shingles binary")
+    # repeated rows are one; an id with several texts keeps each
+    sets = sets.repartition("node").dropDuplicates(["node", "same"])
+    return surely.union(both(maybe, sets, "shingles").mapInArrow(_counted, "a long, b long")).distinct()
 
 
 def _within_band(batch: pa.Table) -> pa.Table:
@@ -196,26 +243,29 @@ def classes(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("node"), F.unhex(F.md5(text)).alias("same"), text.alias("text"))
     sketches = stage(rows.mapInArrow(_sketch, _SKETCH), "sketches")
-    # one node for equal texts; an id with several texts stands for the least of their digests
-    first = sketches.groupBy("same").agg(F.min("node").alias("node"))
-    chosen = first.groupBy("node").agg(F.min("same").alias("same"))
-    nodes = sketches.select("node", "same", "signature", "shingles", "bands").join(chosen, ["node", "same"]).dropDuplicates(["node"])
-    member = stage(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    sets = sketches.select("node", "same", "signature", "shingles").join(chosen, ["node", "same"], "left_semi").dropDuplicates(["node"])
-    hubs = member.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = member.join(hubs, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = stage(_verified(pairs, sets), "links")
+    # equal texts are one node, the least id; only texts met twice are in the table
+    copies = sketches.groupBy("same").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
+    copies = stage(copies, "copies")
+    firsts = _beside(sketches, copies, "same", "left").where("signature IS NOT NULL AND (first IS NULL OR first = node)")
+    # only rows of copies can repeat a node
+    nodes = firsts.where("first IS NULL").select("node", "signature").union(firsts.where("first IS NOT NULL").select("node", "signature").distinct())
+    member = nodes.mapInArrow(_bands, "node long, band long")
+    hubs = member.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
+    shared = stage(member.join(hubs, "band"), "bands")
+    pairs = stage(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = stage(_verified(pairs, nodes, rows), "links")
     labels = components(links)
-    # bands that hold several components
-    known = member.join(hubs.select("band"), "band", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    open_rows = known.join(mixed, "band", "left_semi").join(sets.select("node", "signature"), "node")
-    more = open_rows.groupBy("band").applyInArrow(_within_band, "a long, b long").distinct()
-    rest = stage(_verified(more.join(pairs, ["a", "b"], "left_anti"), sets), "links")
+    # bands that still hold several components
+    known = shared.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    mixed = stage(known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "mixed")
+    open_rows = stage(_beside(known, mixed, "band", "left_semi").distinct(), "open")
+    signed = _beside(nodes, stage(open_rows.select("node").distinct(), "wanted"), "node", "left_semi")
+    more = open_rows.join(signed, "node").groupBy("band").applyInArrow(_within_band, "a long, b long").distinct()
+    rest = stage(_verified(stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), nodes, rows), "links")
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
-    of_text = first.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("class_id"))
-    out = sketches.select(F.col("node").alias("doc_id"), "same").join(of_text, "same")
+    out = _beside(sketches.select("node", "same"), copies, "same", "left").select("node", F.coalesce("first", "node").alias("of"))
+    out = _beside(out, labels.withColumnRenamed("node", "of"), "of", "left").select(F.col("node").alias("doc_id"), F.coalesce("label", "of").alias("class_id"))
     null_back = lambda c: F.when(F.col(c) != LEAST_ID, F.col(c)).alias(c)
     return out.select(null_back("doc_id"), null_back("class_id"))
 
