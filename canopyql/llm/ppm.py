@@ -33,7 +33,9 @@ from canopyql.session import table
 ORDER = 6
 START, STOP = 0xFE, 0xFF
 #: Bytes of text in a block; as many blocks as the texts need.
-BLOCK = 40 << 20
+BLOCK = 24 << 20
+#: Bytes of text worked on at a time, and pieces whose counts are merged at a time: they bound a worker's memory.
+PIECE, MERGED = 1 << 20, 4
 END_WORD = U(0)
 
 
@@ -48,11 +50,11 @@ def symbols_of(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndar
     data = LOWER[data]
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    text = np.repeat(np.arange(n), sizes)
+    text = np.repeat(np.arange(n, dtype=np.int32), sizes)
     padded = np.full(len(data) + n * (order + 1), START, dtype=np.uint8)
     padded[np.arange(len(data)) + (text + 1) * order + text] = data
     padded[offsets[1:] + np.arange(1, n + 1) * order + np.arange(n)] = STOP
-    owner = np.repeat(np.arange(n), sizes + 1)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
     at = np.arange(len(data) + n) + (owner + 1) * order
     packed = np.zeros(len(padded), dtype=U)
     wide = padded.astype(U)
@@ -101,7 +103,7 @@ def _distinct(block: pa.Table) -> tuple[np.ndarray, ...]:
     keys: list[list] = [[], []]
     counts: list[list] = [[], []]
     texts, train = block.column("text").combine_chunks(), ~block.column("held_out").to_numpy()
-    for at, size in pieces(texts):
+    for at, size in pieces(texts, PIECE):
         symbols, text, (data, offsets) = symbols_of(texts.slice(at, size))
         learn = train[at : at + size]
         for i, (k, t) in enumerate(((symbols, text), _tokens(data, offsets))):
@@ -109,8 +111,8 @@ def _distinct(block: pa.Table) -> tuple[np.ndarray, ...]:
             for part, weight in ((k[seen], 1), (k[~seen], 0)):
                 d, c = _counts(part)
                 keys[i].append(d)
-                counts[i].append(c * weight)
-            if len(keys[i]) >= 16:
+                counts[i].append((c * weight).astype(np.int32))
+            if len(keys[i]) > MERGED:
                 d, c = _summed(keys[i], counts[i])
                 keys[i], counts[i] = [d], [c]
     for i in range(2):
@@ -254,7 +256,7 @@ def _score(buckets: int):
         texts = block.column("text").combine_chunks()
         parts = []
         by_symbol, by_token = slots(symbols), slots(tokens)
-        for at, size in pieces(texts):
+        for at, size in pieces(texts, PIECE):
             k, text, (data, offsets) = symbols_of(texts.slice(at, size))
             score = np.bincount(text, weights=logp[find(symbols, k, by_symbol)], minlength=size)
             h, owner = _tokens(data, offsets)
@@ -278,7 +280,7 @@ def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, n_bytes = np.zeros(1 << 16, dtype=np.int64), 0
     for batch in batches:
         texts, learn = batch.column("text"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        for at, size in pieces(texts):
+        for at, size in pieces(texts, PIECE):
             part = texts.slice(at, size)
             symbols, text, (data, _) = symbols_of(part)
             n_bytes += len(data)
