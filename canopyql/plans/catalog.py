@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import strip_noise, token_estimate
-from canopyql.operators import governance, graph, resolve, score
+from canopyql.operators import census, governance, graph, resolve, score
 from canopyql.plans import virtual as v
 from canopyql.session import stage, table
 
@@ -140,18 +140,44 @@ def imports_of(spark, d):
     return i.join(defs, "name").select("name", "hosts", "defs")
 
 
+_REGISTRY = {"article": ("extracted", ""), "h1": ("extracted", ""), "p": ("covered", ""), "b": ("covered", ""), "nav": ("skipped", "menus"), "footer": ("skipped", ""), "script": ("skipped", "code"), "main": ("planned", "rare"), "x1": ("odd", "")}
+_DECLARED = {"article": "class", "h1": "sec", "h2": "sec", "li": "item"}
+_CENSUS = rf""", c AS (SELECT 'html' AS lang, tag AS node, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag),
+  r(node, status, reason) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _REGISTRY.items())}), decl(node, kind) AS (VALUES {", ".join(f"('{k}', '{a}')" for k, a in _DECLARED.items())}),
+  cl AS (SELECT 'html' AS lang, coalesce(c.node, r.node) AS node, coalesce(c.n, 0) AS n, CASE WHEN c.node IS NULL THEN 'stale' WHEN r.status IS NOT NULL THEN r.status WHEN c.node LIKE 'h%' OR c.node LIKE '%l' THEN 'unclassified' END AS status FROM c FULL JOIN r USING (node))"""
+
+
+def _census(spark, d) -> DataFrame:
+    found = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("node"))
+    counts = found.groupBy(F.lit("html").alias("lang"), "node").agg(F.count(F.lit(1)).alias("n"))
+    return census.classify(counts, _registry(spark), F.col("node").startswith("h") | F.col("node").endswith("l"))
+
+
+def _registry(spark) -> DataFrame:
+    return spark.createDataFrame([("html", k, *v_) for k, v_ in _REGISTRY.items()], "lang string, node string, status string, reason string")
+
+
+@query("census_classify", _CENSUS + " SELECT lang, node, n, status FROM cl")
+def census_classify(spark, d):
+    return _census(spark, d)
+
+
+@query("census_audit", _CENSUS + " SELECT lang, status, count(*) AS types, CAST(sum(n) AS BIGINT) AS nodes FROM cl WHERE status IS NOT NULL GROUP BY lang, status")
+def census_audit(spark, d):
+    return census.audit(_census(spark, d))
+
+
 @query(
-    "census_classify",
-    r""", c AS (SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag),
-    r(tag, status) AS (VALUES ('article', 'extracted'), ('h1', 'extracted'), ('p', 'covered'), ('b', 'covered'), ('nav', 'skipped'), ('footer', 'skipped'), ('script', 'skipped'), ('main', 'planned'))
-    SELECT coalesce(c.tag, r.tag) AS tag, coalesce(c.n, 0) AS n, CASE WHEN c.tag IS NULL THEN 'stale' WHEN r.status IS NOT NULL THEN r.status WHEN c.tag LIKE 'h%' OR c.tag LIKE '%l' THEN 'unclassified' END AS status FROM c FULL JOIN r USING (tag)""",
+    "census_self_check",
+    _CENSUS
+    + """ SELECT 'html' AS lang, node, 'declared, not registered as extracted' AS problem FROM decl WHERE node NOT IN (SELECT node FROM r WHERE status = 'extracted')
+    UNION ALL SELECT 'html', node, 'registered as extracted, not declared' FROM r WHERE status = 'extracted' AND node NOT IN (SELECT node FROM decl)
+    UNION ALL SELECT 'html', node, 'unknown kind' FROM decl WHERE kind NOT IN ('class', 'sec') UNION ALL SELECT 'html', node, 'unknown status' FROM r WHERE status = 'odd'
+    UNION ALL SELECT 'html', node, 'no reason given' FROM r WHERE status IN ('planned', 'skipped') AND reason = ''""",
 )
-def census_classify(spark, d):
-    c = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    known = {"article": "extracted", "h1": "extracted", "p": "covered", "b": "covered", "nav": "skipped", "footer": "skipped", "script": "skipped", "main": "planned"}
-    r = spark.createDataFrame(list(known.items()), "tag string, known string")
-    status = F.when(F.col("n").isNull(), "stale").when(F.col("known").isNotNull(), F.col("known")).when(F.col("tag").startswith("h") | F.col("tag").endswith("l"), "unclassified")
-    return c.join(r, "tag", "full").select("tag", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+def census_self_check(spark, d):
+    declared = spark.createDataFrame([("html", k, kind) for k, kind in _DECLARED.items()], "lang string, node string, kind string")
+    return census.self_check(declared, _registry(spark))
 
 
 # --- resolution -----------------------------------------------------------------------------------------
