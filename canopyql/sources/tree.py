@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from canopyql.functions import paths
 
 
+def relative_to(root: str) -> Column:
+    """The column path below root."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    plain = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(plain, F.lit(len(base) + 2), F.char_length("path"))
+
+
 def read_tree(spark: SparkSession, root: str, extra_skips: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
     """(path, lang, bytes, text) of the indexed files below root, by Spark's own file reader.
 
@@ -20,9 +27,7 @@ def read_tree(spark: SparkSession, root: str, extra_skips: list[str] | None = No
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    plain = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
-    relative = F.substring(plain, F.lit(len(base.split("://")[-1].removeprefix("file:")) + 2), F.char_length("path"))
-    x = raw.where(F.col("length") <= paths.MAX_BYTES).select(relative.alias("path"), F.col("length").alias("bytes"), "content")
+    x = raw.where(F.col("length") <= paths.MAX_BYTES).select(relative_to(root).alias("path"), F.col("length").alias("bytes"), "content")
     x = x.withColumn("lang", paths.language(F.col("path"))).where(F.col("lang").isNotNull() & ~paths.skipped(F.col("path"), extra_skips))
     if listed is not None:
         x = x.join(listed.select("path").distinct(), "path", "left_semi")

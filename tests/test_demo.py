@@ -171,3 +171,36 @@ def test_notes_round_trip(spark, tmp_path):
         f.write("{not json\n")
     notes = side.read_notes(spark, path)
     assert notes.where("note IS NOT NULL").count() == 2
+
+
+def test_arriving_files_are_streamed(spark, tmp_path):
+    from canopyql.streaming import incremental
+
+    (tmp_path / "in" / "src").mkdir(parents=True)
+    (tmp_path / "in" / "src" / "a.py").write_text("def alpha():\n    return 1\n")
+    (tmp_path / "in" / "src" / "b.bin").write_text("x")
+    seen = []
+    stream = incremental.stream_tree(spark, str(tmp_path / "in"))
+    incremental.reindex(stream, str(tmp_path / "state"), lambda df, _: seen.extend(r["lang"] for r in df.collect())).awaitTermination(120)
+    assert seen == ["py"]
+
+
+def test_git_listing(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    (tmp_path / "a.py").write_text("x = 1\n")
+    run("init", "-q", "-b", "main")
+    run("add", ".")
+    run("commit", "-qm", "first")
+    (tmp_path / "b.py").write_text("y = 2\n")
+    run("checkout", "-qb", "work")
+    (tmp_path / "a.py").write_text("x = 3\n")
+    run("commit", "-qam", "second")
+    spark.dataSource.register(tree.GitListing)
+    assert sorted(r["path"] for r in spark.read.format("git_listing").option("root", str(tmp_path)).load().collect()) == ["a.py", "b.py"]
+    assert sorted(r["path"] for r in tree.git_files(spark, str(tmp_path)).collect()) == ["a.py", "b.py"]
+    assert {r["path"]: r["churn"] for r in tree.churn(spark, str(tmp_path)).collect()} == {"a.py": 2}
+    assert [r["path"] for r in tree.changed_files(spark, str(tmp_path), "main", ["./c.py"]).collect()] == ["a.py", "c.py"]
+    gone = tree.missing_files(spark.createDataFrame([("a.py",), ("zz.py",)], "path string"), tree.read_tree(spark, str(tmp_path)))
+    assert [r["path"] for r in gone.collect()] == ["zz.py"]
