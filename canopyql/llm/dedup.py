@@ -8,9 +8,9 @@ similarity. 32 bands of 4 coordinates make texts of similarity 0.8 meet with pro
 
 Equal texts are one node from the start. In every band each node is paired with the band's least node
 only; links that hold (similarity of the sets, counted exactly unless the signatures already decide)
-form components. Bands that still hold several components then compare all their nodes through their
-signatures inside the band, and emit pairs that may be similar. So groups of copies of any size make
-pairs in proportion to their size, and no pair of different components is passed over.
+form components. Bands that still hold several components then compare the nodes of different components
+inside the band, block by block, and emit links that join components. So groups of copies of any size
+make pairs in proportion to their size, and no pair of different components is passed over.
 
 Defined results: a null text is the empty text; texts without words are alike only if equal; rows that
 share an id are one document, alike to whatever one of its texts is alike to, and share a class (unless
@@ -40,6 +40,8 @@ MAYBE, SURELY = 77, 126
 LEAST_ID = -(1 << 62)
 #: Rows (a digest or id each) up to which a table is broadcast; longer ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: Nodes of a band that are compared in one group; larger bands take a group for each pair of blocks.
+BLOCK = 2000
 _Q = U(0xFF51AFD7ED558CCD)
 
 
@@ -181,6 +183,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band_keys(s).reshape(-1))], names=["node", "band"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (distinct numbers) have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) - 1e-9:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that may be similar, with the number of coordinates in which they agree."""
     for batch in batches:
@@ -196,9 +206,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = np.zeros(batch.num_rows, dtype=bool)
         for i, (x, y) in enumerate(zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good[i] = common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
+            good[i] = _similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U))
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -225,17 +233,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return surely.union(both(maybe, sets, "shingles").mapInArrow(_counted, "a long, b long")).distinct()
 
 
-def _within_band(batch: pa.Table) -> pa.Table:
-    """Pairs of a band that belong to different components and agree in MAYBE coordinates or more."""
-    node, label = batch.column("node").to_numpy(), batch.column("label").to_numpy()
-    s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, K)
+def _within_band(group: pa.Table) -> pa.Table:
+    """Links between different components among the nodes of a band (or of two blocks of it).
+
+    A link found joins its components at once, so a group yields fewer links than it has nodes.
+    """
+    node, label = group.column("node").to_numpy(), group.column("label").to_numpy().copy()
+    s = (np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, K) & 0xFFFF).astype(np.uint16)
+    sets = [np.frombuffer(x, U) for x in group.column("shingles").to_pylist()]
     a, b = [], []
     for i in range(len(node) - 1):
-        near = np.flatnonzero(((s[i + 1 :] == s[i]).sum(axis=1) >= MAYBE) & (label[i + 1 :] != label[i])) + i + 1
-        a.append(np.minimum(node[i], node[near]))
-        b.append(np.maximum(node[i], node[near]))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"a": join(a).astype(np.int64), "b": join(b).astype(np.int64)})
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for j in other[(s[other] == s[i]).sum(axis=1) >= MAYBE]:
+            if label[j] != label[i] and _similar(sets[i], sets[j]):
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                label[label == label[j]] = label[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _between(known: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between the components that meet in a band: known is (band, node, label)."""
+    spread = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_distinct("node").alias("n")).where("low <> high")
+    mixed = stage(spread.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    open_rows = stage(_beside(known.distinct(), mixed, "band", "inner"), "open")
+    wanted = stage(open_rows.select("node").distinct(), "wanted")
+    sets = _beside(rows, wanted, "node", "left_semi").mapInArrow(_shingle_sets, "node long, same binary, shingles binary")
+    sets = sets.repartition("node").dropDuplicates(["node", "same"]).drop("same")
+    full = open_rows.join(_beside(nodes, wanted, "node", "left_semi"), "node").join(sets, "node")
+    # a large band is compared block by block, every pair of blocks in a group of its own
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    full = full.withColumn("own", own).withColumn("other", other)
+    full = full.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("own", "other", "blocks")
+    return full.groupBy("band", "first", "second").applyInArrow(_within_band, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -257,11 +287,7 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(links)
     # bands that still hold several components
     known = shared.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = stage(known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "mixed")
-    open_rows = stage(_beside(known, mixed, "band", "left_semi").distinct(), "open")
-    signed = _beside(nodes, stage(open_rows.select("node").distinct(), "wanted"), "node", "left_semi")
-    more = open_rows.join(signed, "node").groupBy("band").applyInArrow(_within_band, "a long, b long").distinct()
-    rest = stage(_verified(stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), nodes, rows), "links")
+    rest = stage(_between(known, nodes, rows), "links")
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     out = _beside(sketches.select("node", "same"), copies, "same", "left").select("node", F.coalesce("first", "node").alias("of"))
