@@ -35,9 +35,9 @@ def candidates(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | None =
     s = symbols.select(F.col("sym_id").alias("src"), F.col("p").alias("s_p"), (F.col("t") == "sec").alias("s_sec"), paths.family(F.col("p")).alias("s_family"))
     wanted = refs.withColumn("name", F.col("tk")).withColumn("via_alias", F.lit(False))
     if aliases is not None:
-        names = symbols.select(F.col("n").alias("tk")).distinct()
-        unknown = refs.join(names, "tk", "left_anti").join(s, "src")
-        renamed = unknown.join(aliases, (F.col("s_p") == F.col("path")) & (F.col("tk") == F.col("local")))
+        # the test for "no definition" is made on the aliases, which are few, not on the references
+        free = aliases.join(symbols.select(F.col("n").alias("local")), "local", "left_anti")
+        renamed = refs.join(free, F.col("tk") == F.col("local")).join(s, "src").where(F.col("s_p") == F.col("path"))
         wanted = wanted.unionByName(renamed.select("src", "tk", "pos", F.col("original").alias("name"), F.lit(True).alias("via_alias")))
     d = symbols.where(~F.col("t").isin(*MEMBERS, "impl") & ~paths.is_vendor(F.col("p")))
     d = d.select(F.col("sym_id").alias("dst"), F.col("n").alias("name"), F.col("p").alias("d_p"), F.col("t").alias("d_t"), F.col("q").alias("d_q"), F.col("exp").alias("d_exp"), F.col("local").alias("d_local"), paths.family(F.col("p")).alias("d_family"))

@@ -40,7 +40,8 @@ def hub_scores(symbols: DataFrame, calls: DataFrame, config: HubConfig = HubConf
     s = symbols.select(F.col("sym_id").alias("src"), F.col("p").alias("s_p"))
     d = symbols.select(F.col("sym_id").alias("dst"), F.col("p").alias("d_p"))
     weight = F.when(F.col("s_p") == F.col("d_p"), 0.7).otherwise(1.0) * F.when(paths.is_test(F.col("s_p")), config.test_damp).otherwise(1.0)
-    incoming = calls.select("src", "dst").join(s, "src").join(d, "dst").groupBy("dst").agg(F.sum(weight).alias("win"), F.count(F.lit(1)).alias("callers"), F.count_distinct("s_p").alias("caller_files"))
+    # whole millionths: the sum does not depend on its order
+    incoming = calls.select("src", "dst").join(s, "src").join(d, "dst").groupBy("dst").agg((F.sum(F.round(weight * 1e6).cast("long")) / F.lit(1e6)).alias("win"), F.count(F.lit(1)).alias("callers"), F.count_distinct("s_p").alias("caller_files"))
     able = symbols.where(~F.col("t").isin("sec", "doc") & ~F.coalesce("local", F.lit(False)) & ~paths.is_vendor(F.col("p")))
     x = able.join(incoming, F.col("sym_id") == F.col("dst")).join(same_name, "n")
     generic = F.col("n").isin(GENERIC)

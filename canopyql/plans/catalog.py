@@ -398,17 +398,14 @@ def _hubs(spark, d) -> DataFrame:
     return score.hub_scores(s.drop("body", "sig"), v.calls(s))
 
 
-@query("hub_factors", "SELECT sym_id, round(win, 6) AS win, callers, caller_files, amb, round(norm, 6) AS norm, k, pw, nw, sw, bw FROM hub")
+@query("hub_factors", "SELECT sym_id, win, callers, caller_files, amb, norm, k, pw, nw, sw, bw FROM hub")
 def hub_factors(spark, d):
-    return _hubs(spark, d).select("sym_id", F.round("win", 6).alias("win"), "callers", "caller_files", "amb", F.round("norm", 6).alias("norm"), "k", "pw", "nw", "sw", "bw")
+    return _hubs(spark, d).select("sym_id", "win", "callers", "caller_files", "amb", "norm", "k", "pw", "nw", "sw", "bw")
 
 
-@query("hub_top", "SELECT sym_id, n, p, round(score, 6) AS score FROM hub ORDER BY hub.score DESC, n, sym_id LIMIT 25")
+@query("hub_top", "SELECT sym_id, n, p, score FROM hub ORDER BY score DESC, n, sym_id LIMIT 25")
 def hub_top(spark, d):
-    return score.hub_ranking(_hubs(spark, d).withColumn("score", F.round("score", 9))).select("sym_id", "n", "p", F.round("score", 6).alias("score"))
-
-
-_SQL["hub_top"] = _SQL["hub_top"].replace("ORDER BY hub.score", "ORDER BY round(hub.score, 9)")
+    return score.hub_ranking(_hubs(spark, d)).select("sym_id", "n", "p", "score")
 
 
 @query("hub_norm", "SELECT sym_id, round(hub_norm, 6) AS hub_norm FROM norms")
@@ -416,9 +413,9 @@ def hub_norm(spark, d):
     return score.hub_norm(stage(_hubs(spark, d), "hubs")).select("sym_id", F.round("hub_norm", 6).alias("hub_norm"))
 
 
-@query("hub_collapse", ", x AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY round(score, 9) DESC, sym_id) AS rn FROM hub) SELECT n, sym_id, amb, round(score, 6) AS score FROM x WHERE rn = 1")
+@query("hub_collapse", ", x AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, sym_id) AS rn FROM hub) SELECT n, sym_id, amb, score FROM x WHERE rn = 1")
 def hub_collapse(spark, d):
-    return score.collapse(_hubs(spark, d).withColumn("score", F.round("score", 9))).select("n", "sym_id", "amb", F.round("score", 6).alias("score"))
+    return score.collapse(_hubs(spark, d)).select("n", "sym_id", "amb", "score")
 
 
 _LENS = "tion the ts"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from canopyql.functions import paths
 from canopyql.functions.text import branches
 from canopyql.operators import resolve
-from canopyql.session import table
+from canopyql.session import stage, table
 
 KINDS = ("fn", "method", "struct", "var", "impl", "field", "fn", "class", "const", "enum", "trait", "mod")
 
@@ -42,8 +42,13 @@ def aliases(syms: DataFrame) -> DataFrame:
     return x.groupBy("path", "local").agg(F.min("original").alias("original"))
 
 
+def narrow(syms: DataFrame) -> DataFrame:
+    """Symbols without their texts, written once: resolution reads them several times."""
+    return stage(syms.drop("body", "sig"), "symbols")
+
+
 def decided(syms: DataFrame) -> DataFrame:
-    return resolve.resolve(syms, resolve.references(syms, F.col("body")), aliases(syms))
+    return resolve.resolve(narrow(syms), resolve.references(syms, F.col("body")), aliases(syms))
 
 
 def calls(syms: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def calls(syms: DataFrame) -> DataFrame:
 
 def type_links(syms: DataFrame) -> DataFrame:
     refs = resolve.references(syms, F.col("body"))
-    return resolve.type_edges(syms, refs.where(F.col("tk").rlike("^[A-Z]")))
+    return resolve.type_edges(narrow(syms), refs.where(F.col("tk").rlike("^[A-Z]")))
 
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +165,7 @@ hub AS (
       (CASE WHEN s.test THEN 0.5 ELSE 1.0 END)::DOUBLE AS pw, (CASE WHEN s.n IN (GENERIC_LIST) THEN 0.15 ELSE 1.0 END)::DOUBLE AS nw,
       (CASE WHEN s.el - s.l + 1 < 3 THEN 0.7 ELSE 1.0 END)::DOUBLE AS sw, (CASE WHEN i.caller_files >= 3 THEN 1.15 WHEN i.caller_files = 2 THEN 1.0 ELSE 0.85 END)::DOUBLE AS bw
     FROM syms s JOIN (
-      SELECT e.dst, sum((CASE WHEN a.p = b.p THEN 0.7 ELSE 1.0 END)::DOUBLE * (CASE WHEN a.test THEN 0.5 ELSE 1.0 END)::DOUBLE) AS win, count(*) AS callers, count(DISTINCT a.p) AS caller_files
+      SELECT e.dst, CAST(sum((CASE WHEN a.p = b.p THEN 700000 ELSE 1000000 END) // (CASE WHEN a.test THEN 2 ELSE 1 END)) AS BIGINT)::DOUBLE / 1000000::DOUBLE AS win, count(*) AS callers, count(DISTINCT a.p) AS caller_files
       FROM calls e JOIN syms a ON a.sym_id = e.src JOIN syms b ON b.sym_id = e.dst GROUP BY e.dst) i ON i.dst = s.sym_id
     JOIN (SELECT n, count(*) AS amb FROM syms GROUP BY n) a ON a.n = s.n
     WHERE s.t NOT IN ('sec', 'doc') AND NOT coalesce(s.local, FALSE) AND NOT s.vendor)
