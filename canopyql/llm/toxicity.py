@@ -33,8 +33,9 @@ N = 8
 SHARED = 2
 #: Windows from CUT bytes on are kept if they occur twice or more in the labelled sample.
 CUT = 6
-MOST_DOCS, MOST_CHARS = 2500, 20_000
-PIECE = 4 << 20
+MOST_DOCS, MOST_CHARS = 1200, 20_000
+#: Bytes of text worked on at a time, in workers and while the driver trains.
+PIECE, TRAIN_PIECE = 4 << 20, 256 << 10
 #: Log ratios of a word from which it counts as a sign, one feature each.
 CLEAR = (1.0, 2.0, 3.0, 4.5)
 
@@ -72,7 +73,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     by_class = []
     for c in (0, 1):
         chosen = pa.array([t for t, y in zip(texts, toxic, strict=True) if y == c], pa.string())
-        found = [symbols_of(chosen.slice(at, size), N - 1)[0] for at, size in pieces(chosen)]
+        found = [symbols_of(chosen.slice(at, size), N - 1)[0] for at, size in pieces(chosen, TRAIN_PIECE)]
         by_class.append(_counted(np.concatenate(found) if found else np.zeros(0, U)))
     shorter: list = [None, None]
     for n in range(N, SHARED, -1):
@@ -178,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= MOST_CHARS)
     at = F.xxhash64("id", F.lit(17))
     ids = [known.where(F.col("toxic") == c).select("id", "toxic", at.alias("at")).distinct().orderBy("at", "id").limit(MOST_DOCS) for c in (0, 1)]
-    rows = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select("at", "id", "toxic", "text").collect()
-    rows = sorted(rows)[: 3 * MOST_DOCS]
+    # one text an id, so that repeated rows don't add to what the driver takes
+    rows = sorted(texts.join(F.broadcast(ids[0].union(ids[1])), "id").groupBy("at", "id", "toxic").agg(F.min("text").alias("text")).collect())
     y = np.array([r["toxic"] for r in rows], dtype=int)
     if len(set(y)) < 2:
         return {"constant": float(share)}
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     fitted = fit([r["text"] for r, k in zip(rows, counted, strict=True) if k], y[counted])
     model = indexed(fitted)
     probe = pa.array([r["text"] for r, k in zip(rows, third, strict=True) if k], pa.string())
-    x = _squash(np.concatenate([features(model, probe.slice(a, n)) for a, n in pieces(probe)]))
+    x = _squash(np.concatenate([features(model, probe.slice(a, n)) for a, n in pieces(probe, TRAIN_PIECE)]))
     rate = y[third].mean()
     weight = np.where(y[third] == 1, share / rate, (1 - share) / (1 - rate))
     return {"model": fitted, "calibration": _logistic(x, y[third], weight * len(x) / weight.sum())}
