@@ -1,14 +1,22 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame expressions alone.
 
 The terms of a text are its windows of five words (the whole text where it has fewer), weighted by
-their counts. A term's hash puts it into one of BINS bins and seeds its gamma variates r, c ~ Gamma(2, 1)
-and its uniform b. With weight S:
+their counts. Every position of a signature is drawn from all terms: for a term and a position there are
+gamma variates r, c ~ Gamma(2, 1) and a uniform b, and with weight S
 
     t = floor(ln S / r + b),   ln y = r (t - b),   ln a = ln c - ln y - r
 
-and the bin's sample is (term, t) of the least a. Two texts agree in a bin with the generalised Jaccard
-similarity of what they have there; ``likeness`` is the share of agreeing bins among those that are not
-empty in both. One evaluation a term thereby serves the whole signature, however many bins it has.
+and the position's sample is (term, t) of the least a. Two texts agree in a position with their
+generalised Jaccard similarity; ``likeness`` is the share of agreeing positions.
+
+The variates are made such that only the small a are looked at, with the same result. Let x be the a of
+weight 1, and E, w standard exponential like x: then c = x + E, r = ln(c / x) + w and b = w / r are two
+gamma variates and a uniform one, all independent, and a = x exp(-r t). The 128 x of a term are the
+quantiles of one number from each of 128 equal parts of (0, 1), dealt over the positions by the term's
+hash, so that in every position x is exponential. A part below the limit m stands for every term of count 1
+with a < T = -ln(1 - m / 128); of a term with more, a >= x exp(-w) / S tells which parts may be below T. A
+position that has a sample below T has the least; where one has none, the text is drawn with a higher limit
+and, at last, with all parts.
 
 Defined results: a null text is the empty text; two texts without a word have likeness 1, one such text
 and another 0; equal texts have equal fingerprints; of rows that share an id, the order is that of their
@@ -25,8 +33,10 @@ from canopyql.session import table
 SPACE = r"[\x20\x09-\x0D]+"
 WIDTH = 5
 BINS = 128
-#: A sample is packed as bin (7 bits), ln a in steps of 2**-33 (40 bits), hash of (term, t) (16 bits).
-SCALE, LOW = float(1 << 33), 64.0
+#: A sample is packed as position (7 bits), 1 - exp(-a) in steps of 2**-40, hash of (term, t) (16 bits).
+STEP = 2.0**-40
+#: Expected samples below the first limit in each position; of texts with more terms, a share of 128 exp(-8) is drawn again.
+ENOUGH = 8
 EMPTY = "----"
 #: Documents in one stretch of the order by id; stretches are sorted side by side.
 STRETCH = 20_000
@@ -41,33 +51,53 @@ def _half(h: Column, upper: bool) -> Column:
     return (bits + F.lit(0.5)) * F.lit(2.0**-32)
 
 
-def _gamma2(h: Column, seed: int) -> Column:
-    """A Gamma(2, 1) number, the sum of two exponential ones, from a term's hash."""
-    own = F.xxhash64(h, F.lit(seed))
-    return -F.log(_half(own, True) * _half(own, False))
+def _pack(h: Column, part: Column, at: Column, tag: Column) -> Column:
+    """The packed sample of a term in the position that its hash gives to this part."""
+    position = h.bitwiseXOR(part).bitwiseAND(F.lit(BINS - 1))
+    return F.shiftleft(position, 56).bitwiseOR(F.shiftleft(at, 16)).bitwiseOR(tag.bitwiseAND(F.lit(0xFFFF)))
 
 
-def _pack(h: Column, ln_a: Column, tag: Column) -> Column:
-    at = F.greatest(F.least(F.floor((ln_a + LOW) * SCALE), F.lit((1 << 40) - 2)), F.lit(0))
-    return F.shiftleft(h.bitwiseAND(F.lit(BINS - 1)), 56).bitwiseOR(F.shiftleft(at, 16)).bitwiseOR(tag)
+def _first(part: Column, x: Column) -> Column:
+    """1 - exp(-a) of weight 1, in steps: a number in the part, from the hash of term and part."""
+    return F.shiftleft(part, 33).bitwiseOR(F.shiftrightunsigned(x, 31))
 
 
-def _single(h: Column) -> Column:
+def _single(h: Column, part: Column) -> Column:
     """The packed sample of a term with count 1: ln S = 0, hence t = 0."""
-    ln_a = F.log(_gamma2(h, 3)) + _gamma2(h, 1) * (_half(h, True) - 1)
-    return _pack(h, ln_a, F.shiftrightunsigned(h, 48))
+    x = F.xxhash64(h, part)
+    return _pack(h, part, _first(part, x), x)
+
+
+def _other(h: Column, part: Column) -> Column:
+    """The hash whose halves are exp(-w) and exp(-E)."""
+    return F.xxhash64(h, part, F.lit(1))
+
+
+def _counted(x: Column, m: Column) -> Column:
+    """The packed samples below the limit of a term x, a struct (h, n): hash and count."""
+    h, ln_s = x["h"], F.log(x["n"].cast("double"))
+    most = F.when(m < BINS, -F.log1p(-m / BINS) * BINS * x["n"]).otherwise(F.lit(float("inf")))
+    parts = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda j: j * _half(_other(h, j), True) <= most)
+    one = lambda j: -F.log1p(-(_first(j, F.xxhash64(h, j)) + F.lit(0.5)) * F.lit(STEP))
+    made = F.transform(parts, lambda j: F.struct(j.alias("j"), one(j).alias("x"), (-F.log(_half(_other(h, j), False))).alias("e"), (-F.log(_half(_other(h, j), True))).alias("w")))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["x"].alias("x"), v["w"].alias("w"), (F.log1p(v["e"] / v["x"]) + v["w"]).alias("r")))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["x"].alias("x"), v["r"].alias("r"), F.floor((ln_s + v["w"]) / v["r"]).alias("t")))
+    at = lambda v: F.least(F.floor(-F.expm1(-v["x"] * F.exp(-v["r"] * v["t"])) / F.lit(STEP)), F.lit((1 << 40) - 1))
+    tag = lambda v: F.when(v["t"] == 0, F.xxhash64(h, v["j"])).otherwise(F.xxhash64(h, v["j"], v["t"], F.lit(2)))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), at(v).alias("at"), tag(v).alias("tag")))
+    made = F.filter(made, lambda v: v["at"] < F.shiftleft(m, 33))
+    return F.transform(made, lambda v: _pack(h, v["j"], v["at"], v["tag"]))
 
 
-def _counted(x: Column) -> Column:
-    """The packed sample of a term x, a struct (h, n, r): hash, count and first gamma variate."""
-    t = F.floor(F.log(x["n"].cast("double")) / x["r"] + _half(x["h"], True))
-    ln_a = F.log(_gamma2(x["h"], 3)) - x["r"] * (t - _half(x["h"], True) + 1)
-    tag = F.when(t == 0, F.shiftrightunsigned(x["h"], 48)).otherwise(F.xxhash64(x["h"], t).bitwiseAND(F.lit(0xFFFF)))
-    return _pack(x["h"], ln_a, tag)
+def _drawn(m: Column) -> Column:
+    """The packed samples below the limit m, sorted."""
+    single = F.flatten(F.transform("_u", lambda h: F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda j: _single(h, j))))
+    both = F.when(F.size("_c") > 0, F.concat(single, F.flatten(F.transform("_c", lambda x: _counted(x, m))))).otherwise(single)
+    return F.sort_array(both)
 
 
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the array column out: for each bin the 16-bit sample, or -1 where the bin is empty."""
+    """Adds the array column out: for each position the 16-bit sample, or -1 where the text has no word."""
     n, none = F.size("_w"), F.array().cast("array<bigint>")
     df = df.withColumn("_w", F.filter(F.split(F.col(text), SPACE), lambda x: x != ""))
     window = lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, WIDTH)])
@@ -79,16 +109,17 @@ def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_h", F.when(F.col("_d"), F.col("_h")).otherwise(F.sort_array("_h")))
     starts = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: (i == 0) | (F.get("_h", i) != F.get("_h", i - 1)))
     df = df.withColumn("_s", F.when(~F.col("_d"), starts))
-    term = lambda i, k: F.struct(F.get("_h", i).alias("h"), (F.coalesce(F.get("_s", k + 1), F.size("_h")) - i).alias("n"), _gamma2(F.get("_h", i), 1).alias("r"))
-    packed = F.when(F.col("_d"), F.transform("_h", _single)).otherwise(F.transform(F.transform("_s", term), _counted))
-    # each bin also gets a last entry of its own, so that the first entries are as many as the bins
-    fill = F.array(*[F.lit((b << 56) | (((1 << 40) - 1) << 16)) for b in range(BINS)])
-    df = df.withColumn("_p", F.sort_array(F.concat(packed, fill))).drop("_h", "_s", "_d")
-    firsts = F.filter("_p", lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get("_p", i - 1), 56)))
-    df = df.withColumn("_p", firsts)
-    last = (1 << 40) - 1
-    sample = lambda x: F.when(F.shiftright(x, 16).bitwiseAND(F.lit(last)) == last, F.lit(-1)).otherwise(x.bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    return df.withColumn(out, F.transform("_p", sample)).drop("_p")
+    term = lambda i, k: F.struct(F.get("_h", i).alias("h"), (F.coalesce(F.get("_s", k + 1), F.size("_h")) - i).alias("n"))
+    df = df.withColumn("_s", F.transform("_s", term)).withColumn("_n", F.size("_h").cast("long"))
+    df = df.withColumn("_u", F.when(F.col("_d"), F.col("_h")).otherwise(F.transform(F.filter("_s", lambda x: x["n"] == 1), lambda x: x["h"])))
+    df = df.withColumn("_c", F.filter("_s", lambda x: x["n"] > 1)).drop("_h", "_s", "_d")
+    limit = lambda k: F.least(F.ceil(F.lit(float(k * BINS)) / F.greatest("_n", F.lit(1))), F.lit(BINS)).cast("long")
+    firsts = F.filter("_q", lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get("_q", i - 1), 56)))
+    df = df.withColumn("_q", F.when(F.col("_n") > 0, _drawn(limit(ENOUGH)))).withColumn("_p", firsts)
+    for m in (limit(3 * ENOUGH), F.lit(BINS).cast("long")):
+        df = df.withColumn("_q", F.when(F.size("_p") < BINS, _drawn(m))).withColumn("_p", F.coalesce(firsts, "_p"))
+    sample = F.transform("_p", lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    return df.withColumn(out, F.coalesce(sample, F.array_repeat(F.lit(-1), BINS))).drop("_u", "_c", "_n", "_p", "_q")
 
 
 def as_string(signature: Column) -> Column:

@@ -314,6 +314,31 @@ def test_signature_rate_is_generalised_jaccard(spark):
     assert max(map(abs, off)) < 0.16 and abs(float(np.mean(off))) < 0.06
 
 
+def test_signature_of_unequal_weights(spark):
+    texts = []
+    for k in range(1, 7):
+        line = " ".join(f"s{k}_{i}" for i in range(6)) + " "
+        texts += [(2 * k + v, line * 60 * k + " ".join(f"u{k}_{v}_{i}" for i in range(300)) + " " + line * (20 * v)) for v in range(2)]
+    got = {r["k"]: r for r in fingerprint.signature(spark.createDataFrame(texts, "k int, text string"), "text", "s").collect()}
+    off = []
+    for k in range(2, 14, 2):
+        a, b = (collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (got[k + v]["text"].split() for v in range(2)))
+        agree = np.mean([x == y for x, y in zip(got[k]["s"], got[k + 1]["s"], strict=True)])
+        off.append(agree - sum((a & b).values()) / sum((a | b).values()))
+    assert max(map(abs, off)) < 0.16 and abs(float(np.mean(off))) < 0.06
+
+
+def test_signature_with_limit_is_that_of_all_draws(spark, monkeypatch):
+    line = " ".join(f"s{i}" for i in range(6)) + " "
+    rows = [(n * 10 + c, line * c + " ".join(f"u{n}_{i}" for i in range(n))) for n in (1, 3, 7, 30, 300, 2000) for c in (0, 2, 9, 80)]
+    d = spark.createDataFrame(rows, "k int, text string")
+    got = {r["k"]: r["s"] for r in fingerprint.signature(d, "text", "s").collect()}
+    monkeypatch.setattr(fingerprint, "ENOUGH", 1_000_000)
+    assert got == {r["k"]: r["s"] for r in fingerprint.signature(d, "text", "s").collect()}
+    monkeypatch.setattr(fingerprint, "ENOUGH", 1)
+    assert got == {r["k"]: r["s"] for r in fingerprint.signature(d, "text", "s").collect()}
+
+
 # --- shared ----------------------------------------------------------------------------------------------
 
 
