@@ -2,8 +2,8 @@
 
 Every text is described by a few statistics. Two fixed rules come first (too few words, mostly repeated
 words). The rest is judged by language and source: a minimum-covariance-determinant estimate of centre
-and spread, reached by concentration steps that keep the closest part of the group, and a squared
-Mahalanobis distance beyond a chi-square quantile rejects.
+and spread, reached by concentration steps that keep the closest half of the group and a last one that keeps
+all that is near by their estimate, and a squared Mahalanobis distance beyond a chi-square quantile rejects.
 
 All sums behind the estimates are sums of integers (statistics in units of 1/4096), so that they do not
 depend on the order of addition, and groups of any size are aggregated before they are shuffled.
@@ -30,9 +30,11 @@ UNIT = 4096
 #: Statistics that the estimate sees, and the least standard deviation granted to each.
 STATS = {"word_length": 0.12, "symbols": 0.05, "lines": 0.10, "repeats": 0.10, "capitals": 0.06}
 #: Part of a group that a concentration step keeps.
-HALF = 0.75
+HALF = 0.5
 #: What the spread of that part is multiplied with to estimate that of all (five statistics).
-CONSISTENCY, CUT = 1.41, 30.0
+CONSISTENCY, CUT = 1.91, 30.0
+#: The last step keeps all rows within this squared distance (0.975 of good rows), and has a factor of its own.
+NEAR, NEAR_CONSISTENCY = 12.83, 1.06
 STEPS = 3
 MIN_GROUP = 40
 #: Groups up to which their estimates are broadcast; more are joined by a salted shuffle.
@@ -96,9 +98,9 @@ def _join(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop(*[f"_{k}" for k in keys])
 
 
-def _estimate(kept: DataFrame) -> DataFrame:
+def _estimate(kept: DataFrame, spread: float | None = None) -> DataFrame:
     """One row a group: n, centre (array) and the lower triangle of the Cholesky factor (array)."""
-    names = list(STATS)
+    names, spread = list(STATS), CONSISTENCY if spread is None else spread
     big = lambda c: c.cast("decimal(20,0)")
     sums = [F.sum(big(F.col(f"s_{a}"))).alias(f"t_{a}") for a in names]
     sums += [F.sum(big(F.col(f"s_{a}") * F.col(f"s_{b}"))).alias(f"t_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
@@ -109,7 +111,7 @@ def _estimate(kept: DataFrame) -> DataFrame:
     # Cholesky, row by row; the least spread of each statistic keeps the matrix regular
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
-            cov = F.greatest(F.col(f"t_{a}_{b}").cast("double") / n / UNIT**2 - F.col(f"m_{a}") * F.col(f"m_{b}"), F.lit(0.0) if a == b else F.lit(-1e300)) * CONSISTENCY
+            cov = F.greatest(F.col(f"t_{a}_{b}").cast("double") / n / UNIT**2 - F.col(f"m_{a}") * F.col(f"m_{b}"), F.lit(0.0) if a == b else F.lit(-1e300)) * spread
             cov = cov + (STATS[a] ** 2 if a == b else 0.0)
             rest = reduce(lambda x, k: x - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), names[:j], cov)  # noqa: B023
             t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
@@ -153,6 +155,8 @@ def estimates(stats: DataFrame) -> DataFrame:
     sizes = now.select(*GROUP, F.col("n").alias("size"))
     for _ in range(STEPS):
         now = stage(_estimate(_closest(_with_distance(_join(rows, now, GROUP)))), "step")
+    near = _with_distance(_join(rows, now, GROUP)).where(F.col("d2") <= NEAR).drop("centre", "factor", "n", "d2")
+    now = stage(_estimate(near, NEAR_CONSISTENCY), "step")
     made = _join(now.drop("n"), sizes, GROUP).where(F.col("size") >= MIN_GROUP)
     pick = lambda k: made.where(F.col("level") == k).select(F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("centre", "factor").alias(f"e{k}"))
     groups = sizes.where("level = 0").select("g_lang", "g_source")

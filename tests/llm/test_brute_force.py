@@ -282,6 +282,18 @@ def test_mahalanobis_is_the_distance(spark):
     assert np.allclose(got, want, rtol=1e-6)
 
 
+@pytest.mark.parametrize("share", [0.28, 0.36, 0.45])
+def test_copies_of_junk_do_not_pass(spark, share):
+    r = np.random.default_rng(5)
+    words = ["".join(r.choice(list("abcdefghij"), r.integers(2, 9))) for _ in range(400)]
+    good = [" ".join(str(w).title() if k % 12 == 0 else str(w) for k, w in enumerate(r.choice(words, n))) for n in r.integers(80, 200, 400)]
+    junk = " ".join(f"#{w.upper()}$%|<" for w in words[:120])
+    rows = [(0, t) for t in good] + [(1, junk)] * int(400 * share / (1 - share))
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in rows], "junk int, text string, lang string, source string")
+    kept = collections.Counter(x["junk"] for x in quality.quality_filter(docs).collect())
+    assert kept[1] == 0 and kept[0] > 380
+
+
 # --- 10 --------------------------------------------------------------------------------------------------
 
 
