@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,44 @@ _GNU = (("GPL", "General Public License"), ("LGPL", "Lesser General Public Licen
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 
 
+#: Full texts as published, a file a license.
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def _forms(text: str) -> list[str]:
+    """The text with its own line breaks, and with each paragraph on one line."""
+    return [text, "\n\n".join(" ".join(x.split()) for x in re.split(r"\n[^\S\n]*\n", text))]
+
+
+def _published() -> list[tuple[str, str]]:
+    """(license, text): the full texts in TEXTS, with and without the part on how to apply them, and their standard headers."""
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+    bsd = texts.pop("BSD-3-Clause")
+    out = list(texts.items())
+    for name, text in texts.items():
+        if (end := re.search(r"END OF TERMS AND CONDITIONS", text)) is not None:
+            out.append((name, text[: end.start()]))
+            out.append((name, text[: end.end()]))
+    out.append(("Apache-2.0", texts["Apache-2.0"][texts["Apache-2.0"].rindex("   Licensed under the Apache") :]))
+    mpl = texts["MPL-2.0"]
+    out.append(("MPL-2.0", mpl[mpl.index("  This Source Code Form is subject to") : mpl.index("If it is not possible or desirable")]))
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1"):
+        header = re.search(r"This (program|library) is free software(?s:.*?)(?=\nAlso add information)", texts[name])[0]
+        out.append((name, header))
+        if name == "GPL-3.0":
+            out += [(f"{k}-3.0", header.replace("GNU General", f"GNU {v}")) for k, v in (("LGPL", "Lesser General"), ("AGPL", "Affero General"))]
+    generic = bsd.replace("the University nor", "the copyright holder nor").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    for three in (bsd, generic):
+        two = re.sub(r"3\. Neither(?s:.*?)permission\.\n", "", three)
+        for name, text in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
+            for t in (text, text.replace("All rights reserved.\n", "")):
+                for u in (t, re.sub(r"(?m)^[123]\. ", "* ", t)):
+                    out += [(name, title + u) for title in ("", f"BSD {name[4]}-Clause License\n\n", f"The BSD {name[4]}-Clause License\n\n")]
+    return [(name, form) for name, text in out for form in _forms(text)]
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(license, text): full texts of short licenses, and the usual one-line notices."""
+    """(license, text): full texts, standard headers, and the usual one-line notices."""
     full = [
         ("MIT", _MIT + _WARRANTY),
         ("MIT", "MIT License " + _MIT + _WARRANTY),
@@ -88,7 +125,7 @@ def known_texts() -> list[tuple[str, str]]:
             plain[f"CC-{c}-{v}"] = f"CC {c} {v}"
     plain["CC0-1.0"] = "CC0 1.0"
     notices = [(k, t.format(n)) for k, n in plain.items() for t in ("Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "This program is licensed under the {}.", "Distributed under the {}.", "SPDX-License-Identifier: " + k)]
-    return [*full, *notices, ("LicenseRef-all-rights-reserved", "All rights reserved.")]
+    return [*full, *_published(), *notices, ("LicenseRef-all-rights-reserved", "All rights reserved.")]
 
 
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
@@ -98,9 +135,10 @@ _JUNK = r"[^\p{L}\p{N}\n]+"
 def canonical_text(text: str) -> str:
     """The canonical form of a known text, in plain Python."""
     t = re.sub(r"(?m)^[^\w\n]*(copyright|\(c\)|©)[^\n]*$", "", text.lower())
-    t = re.sub(r"(?:[^\w]|_)+", " ", t)
+    t = re.sub(r"(?:[^\w\n]|_)+", " ", t)
     for a, b in SPELLINGS:
         t = t.replace(a, b)
+    t = t.replace("\n", " ")
     return re.sub(" +", " ", t).strip()
 
 

@@ -88,3 +88,28 @@ def test_equal_rows_get_equal_answers(docs):
 def test_dates_are_carried(spark):
     d = spark.createDataFrame([(1, "a b", "en", "s", datetime.date(2020, 1, 1))], "doc_id long, text string, lang string, source string, day date")
     assert bpe.encode_decode(d).first()["day"] == datetime.date(2020, 1, 1)
+
+
+COMMON = "/usr/share/common-licenses"
+WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+
+
+def test_whole_license_texts(spark):
+    rows, want = [], []
+    for file, name in WHOLE.items():
+        with open(f"{COMMON}/{file}", encoding="utf-8") as f:
+            t = f.read()
+        rows += [t, "\n".join(" " * 4 + x for x in t.split("\n")), t + "One more word."]
+        want += [name, name, None]
+        if file == "BSD":
+            two = t[: t.index("3. Neither")] + t[t.index("\nTHIS SOFTWARE") :]
+            rows += [two.replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR"), "Copyright 2020 X. All rights reserved.\n" + t.split("\n", 2)[2]]
+            want += ["BSD-2-Clause", "BSD-3-Clause"]
+        if file == "Apache-2.0":
+            rows += [t[: t.index("   APPENDIX")], t[t.rindex("   Copyright [yyyy]") :]]
+            want += [name, name]
+        if file == "GPL-3":
+            rows.append(t[t.index("    This program is free") : t.index("Also add")])
+            want.append(name)
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [r["license_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
