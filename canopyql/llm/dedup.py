@@ -35,7 +35,7 @@ WIDTH, SIMILARITY = 5, 0.8
 K, ROWS = 128, 4
 BANDS = K // ROWS
 #: Agreeing coordinates from which a pair is counted exactly, and from which it is taken as similar: at
-#: similarity 0.8 fewer than 77 of 128 agree with probability 1e-8, and 126 or more with 1e-9.
+#: similarity 0.8 fewer than 77 of 128 agree with probability 7.6e-8, and 126 or more with 1e-9.
 MAYBE, SURELY = 77, 126
 LEAST_ID = -(1 << 62)
 #: Rows (a digest or id each) up to which a table is broadcast; longer ones are joined by shuffling.
