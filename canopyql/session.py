@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine's own only where the setting is absent."""
+    """The folder in spark.checkpoint.dir; one of this machine's own only where the setting is absent and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="canopyql-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -44,9 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths handed out by ``scratch`` and not yet released, by application.
+_SCRATCH: dict[str, set[str]] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def held(spark: SparkSession) -> set[str]:
+    """The scratch paths of this application that are still there."""
+    return set(_SCRATCH.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes scratch paths that nothing reads any more."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = java(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _SCRATCH.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:
