@@ -1,24 +1,30 @@
 """Quality rules with robust multivariate outliers, in DataFrame expressions alone.
 
 Every text is described by a few statistics. Two fixed rules come first (too few words, mostly repeated
-words). The rest is judged by language and source: a minimum-covariance-determinant estimate of centre
-and spread, reached by concentration steps that keep the closest half of the group and a last one that keeps
-all that is near by their estimate, and a squared Mahalanobis distance beyond a chi-square quantile rejects.
-
-All sums behind the estimates are sums of integers (statistics in units of 1/4096), so that they do not
-depend on the order of addition, and groups of any size are aggregated before they are shuffled.
-
-Defined results: a null text has no words; null languages and sources form groups of their own; a group
-with fewer than ``min_group`` rows is judged by the estimate of its language, and that of all rows where
-the language is small too; with no estimate at all a row is kept; repeated rows get equal verdicts; an
-empty table gives an empty result; other columns are carried untouched by ``quality_filter``.
+words). The rest is judged by language and source, by a minimum-covariance-determinant estimate of centre
+and spread: several starts (medians and quartiles; all rows drawn onto a sphere around the medians; small
+parts of the rows, picked by hash) take two concentration steps each, each keeping the half of the group that
+is nearest by the estimate before; the start of the least determinant goes on until its half, or its
+determinant, changes no more. A last step keeps all that is near by that estimate. A squared Mahalanobis
+distance beyond a chi-square quantile rejects.
+
+A group's estimate is drawn towards that of its language as if ``PRIOR`` rows of the language's kind lay in
+the group, and the language's towards that of all rows likewise, so that groups of any size are judged alike.
+
+All sums behind the estimates are sums of integers (statistics in units of 1/1024, cut off at 8), so that they
+do not depend on the order of addition, and groups of any size are aggregated before they are shuffled.
+
+Defined results: a null text has no words; null languages and sources form groups of their own; with no
+estimate at all a row is kept; repeated rows get equal verdicts; an empty table gives an empty result; other
+columns are carried untouched by ``quality_filter``.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.session import stage, table
@@ -26,22 +32,42 @@ from canopyql.session import stage, table
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
-UNIT = 4096
+UNIT, MOST = 1024, 8
 #: Statistics that the estimate sees, and the least standard deviation granted to each.
 STATS = {"word_length": 0.12, "symbols": 0.05, "lines": 0.10, "repeats": 0.10, "capitals": 0.06}
-#: Part of a group that a concentration step keeps.
-HALF = 0.5
-#: What the spread of that part is multiplied with to estimate that of all (five statistics).
-CONSISTENCY, CUT = 1.91, 30.0
-#: The last step keeps all rows within this squared distance (0.975 of good rows), and has a factor of its own.
-NEAR, NEAR_CONSISTENCY = 12.83, 1.06
-STEPS = 3
-MIN_GROUP = 40
+#: Rows of its language's kind that a group's estimate is mixed with.
+PRIOR = 40
+#: Hashed starts, and rows in each of them.
+HASHED, ROWS_EACH = 3, 12
+#: Good rows that the last step keeps, and good rows that are not rejected.
+NEAR_LEVEL, LEVEL = 0.975, 0.99999
 #: Groups up to which their estimates are broadcast; more are joined by a salted shuffle.
 BROADCAST_GROUPS = 50_000
 SALTS = 16
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """The distribution function for an odd number of degrees."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+    for k in range(1, degrees, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erf(math.sqrt(x / 2)) - total
+
+
+def quantile(level: float, degrees: int = len(STATS)) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < level else (low, middle)
+    return low
+
+
+def consistency(level: float, degrees: int = len(STATS)) -> float:
+    """What the covariance of the nearest part (level) of normal rows is multiplied with to be that of all."""
+    return level / chi_square(quantile(level, degrees), degrees + 2)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
@@ -79,105 +105,160 @@ def _statistics() -> dict[str, Column]:
         "repeats": part("n_repeat_words", "n_words"),
         "capitals": part("n_capitals", "word_chars"),
     }
-    return {k: F.round(v * UNIT).cast("long") for k, v in raw.items()}
+    return {k: F.round(F.greatest(F.least(v, F.lit(float(MOST))), F.lit(-float(MOST))) * UNIT).cast("long") for k, v in raw.items()}
 
 
-GROUP = ["level", "g_lang", "g_source"]
+NAMES = list(STATS)
+PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+SUMS = [f"t_{a}" for a in NAMES] + [f"t_{a}_{b}" for a, b in PAIRS]
+GROUP = ["g_lang", "g_source"]
 
 
-def _join(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of their group (null-safe); small has one row a group and is made already."""
+def _join(rows: DataFrame, small: DataFrame, few: bool, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group (null-safe); few: small is short enough to be broadcast."""
+    keys = keys or GROUP
     named = small.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    if small.count() <= BROADCAST_GROUPS:
-        out = rows.join(F.broadcast(named), same, "left")
+    if few:
+        out = rows.join(F.broadcast(named), same, how)
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"s_{k}" for k in STATS]), F.lit(SALTS)).cast("int"))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"s_{k}" for k in NAMES]), F.lit(SALTS)).cast("int"))
         many = named.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = salted.join(many, same & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
+        out = salted.join(many, same & (F.col("_salt") == F.col("_salt2")), how).drop("_salt", "_salt2")
     return out.drop(*[f"_{k}" for k in keys])
 
 
-def _estimate(kept: DataFrame, spread: float | None = None) -> DataFrame:
-    """One row a group: n, centre (array) and the lower triangle of the Cholesky factor (array)."""
-    names, spread = list(STATS), CONSISTENCY if spread is None else spread
-    big = lambda c: c.cast("decimal(20,0)")
-    sums = [F.sum(big(F.col(f"s_{a}"))).alias(f"t_{a}") for a in names]
-    sums += [F.sum(big(F.col(f"s_{a}") * F.col(f"s_{b}"))).alias(f"t_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    t = kept.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *sums)
+def moments(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a group: n and the sums of the statistics and of their products."""
+    sums = [F.sum(f"s_{a}").alias(f"t_{a}") for a in NAMES] + [F.sum(F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"t_{a}_{b}") for a, b in PAIRS]
+    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def shaped(t: DataFrame, spread: float) -> DataFrame:
+    """From n and sums: centre, the lower triangle of the covariance's Cholesky factor, its log determinant, and a mark of the sums."""
+    keys = [c for c in t.columns if c not in ("n", *SUMS)]
     n = F.col("n").cast("double")
-    for a in names:
-        t = t.withColumn(f"m_{a}", F.col(f"t_{a}").cast("double") / n / UNIT)
-    # Cholesky, row by row; the least spread of each statistic keeps the matrix regular
-    for i, a in enumerate(names):
-        for j, b in enumerate(names[: i + 1]):
-            cov = F.greatest(F.col(f"t_{a}_{b}").cast("double") / n / UNIT**2 - F.col(f"m_{a}") * F.col(f"m_{b}"), F.lit(0.0) if a == b else F.lit(-1e300)) * spread
-            cov = cov + (STATS[a] ** 2 if a == b else 0.0)
-            rest = reduce(lambda x, k: x - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), names[:j], cov)  # noqa: B023
-            t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
-    centre = F.array(*[f"m_{a}" for a in names])
-    factor = F.array(*[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
-    return t.select(*GROUP, "n", centre.alias("centre"), factor.alias("factor"))
+    t = t.withColumns({f"m_{a}": F.col(f"t_{a}").cast("double") / n / UNIT for a in NAMES})
+    # row by row; the least spread of each statistic keeps the matrix regular
+    for i, a in enumerate(NAMES):
+        for j, b in enumerate(NAMES[: i + 1]):
+            cov = (F.col(f"t_{a}_{b}").cast("double") / n / UNIT**2 - F.col(f"m_{a}") * F.col(f"m_{b}")) * spread
+            if a == b:
+                cov = F.greatest(cov, F.lit(STATS[a] ** 2))
+            left = reduce(lambda x, k: x - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), NAMES[:j], cov)  # noqa: B023
+            t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(left, F.lit(1e-9))) if a == b else left / F.col(f"l_{b}_{b}"))
+    centre, factor = F.array(*[f"m_{a}" for a in NAMES]), F.array(*[f"l_{a}_{b}" for a, b in PAIRS])
+    log_det = reduce(lambda x, y: x + y, [F.log(f"l_{a}_{a}") for a in NAMES])
+    return t.select(*keys, "n", centre.alias("centre"), factor.alias("factor"), log_det.alias("log_det"), F.xxhash64("n", *SUMS).alias("mark"))
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the columns centre and factor of a row (null without)."""
-    names, at, total = list(STATS), 0, F.lit(0.0)
-    for i, a in enumerate(names):
+    at, total = 0, F.lit(0.0)
+    for i, a in enumerate(NAMES):
         z = F.col(f"s_{a}") / UNIT - F.get("centre", F.lit(i))
         for j in range(i):
             z = z - F.get("factor", F.lit(at + j)) * F.col(f"z_{j}")
         rows = rows.withColumn(f"z_{i}", z / F.get("factor", F.lit(at + i)))
         at, total = at + i + 1, total + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return rows.withColumn("d2", total).drop(*[f"z_{i}" for i in range(len(names))])
-
-
-def _closest(rows: DataFrame) -> DataFrame:
-    """The part HALF of each group with the least d2; distances are told apart in steps of 1/64 of ln(1 + d2)."""
-    binned = rows.withColumn("bin", F.floor(F.log1p("d2") * 64).cast("long")).drop("centre", "factor", "n")
-    limits = stage(binned.groupBy(*GROUP).agg(F.expr(f"percentile(bin, {HALF})").alias("limit")), "limits")
-    return _join(binned, limits, GROUP).where("bin <= limit").drop("limit", "bin", "d2")
+    return rows.withColumn("d2", total).drop(*[f"z_{i}" for i in range(len(NAMES))])
+
+
+def concentrated(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """One step for the groups and starts of now (size, centre, factor): the estimate of the nearest half of each.
+
+    Distances are told apart in steps of 1/64 of ln(1 + d2); the rows of the step that makes up half are all kept.
+    """
+    by = [*GROUP, "start"]
+    placed = _with_distance(_join(rows, now.select(*by, "size", "centre", "factor"), few)).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
+    placed = placed.drop("centre", "factor", "d2")
+    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    so_far = F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))
+    half = F.floor((F.col("size") + len(NAMES) + 1) / 2)
+    limits = counts.withColumn("reached", so_far >= F.least(half, F.col("size"))).groupBy(*by).agg(F.min(F.when(F.col("reached"), F.col("bin"))).alias("limit"))
+    kept = _join(placed, limits, few, by).where("bin <= limit")
+    made = shaped(moments(kept, by), consistency(0.5))
+    return _join_back(made, now)
+
+
+def _join_back(made: DataFrame, now: DataFrame) -> DataFrame:
+    """made with the size of its group, and the log determinant and mark of the step before."""
+    before = now.select(*[F.col(k).alias(f"_{k}") for k in [*GROUP, "start"]], "size", F.col("log_det").alias("before"), F.col("mark").alias("mark_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*GROUP, "start"]])
+    return made.join(before, same).drop(*[f"_{k}" for k in [*GROUP, "start"]])
+
+
+def starts(rows: DataFrame, quartiles: DataFrame, few: bool) -> DataFrame:
+    """(g_lang, g_source, start, size, centre, factor, log_det, mark) of all starts; quartiles has size and (25, 50, 75) of each statistic in eighths of units."""
+    middle = lambda a: F.get(f"q_{a}", F.lit(1)) * 8 / UNIT
+    scale = lambda a: F.greatest((F.get(f"q_{a}", F.lit(2)) - F.get(f"q_{a}", F.lit(0))) * 8 / UNIT / 1.349, F.lit(STATS[a]))
+    diagonal = F.array(*[scale(a) if a == b else F.lit(0.0) for a, b in PAIRS])
+    first = quartiles.select(*GROUP, F.lit(0).alias("start"), F.col("size").alias("n"), F.array(*[middle(a) for a in NAMES]).alias("centre"), diagonal.alias("factor"), F.lit(1e9).alias("log_det"), F.lit(0).cast("long").alias("mark"))
+    x = _join(rows, quartiles, few)
+    # all rows on a sphere around the medians: far rows weigh no more than near ones
+    z = {a: (F.col(f"s_{a}") / UNIT - middle(a)) / scale(a) for a in NAMES}
+    sphere = x.withColumns({f"z_{a}": v for a, v in z.items()})
+    length = F.sqrt(reduce(lambda p, q: p + q, [F.col(f"z_{a}") * F.col(f"z_{a}") for a in NAMES]) / len(NAMES))
+    sphere = sphere.withColumn("length", F.greatest(length, F.lit(1e-6)))
+    drawn = sphere.select(*GROUP, F.lit(1).alias("start"), *[F.round((middle(a) + scale(a) * F.col(f"z_{a}") / F.col("length")) * UNIT).cast("long").alias(f"s_{a}") for a in NAMES])
+    # equal rows are picked or passed over together
+    picked = F.filter(F.array(*[F.lit(k) for k in range(2, 2 + HASHED)]), lambda k: F.pmod(F.xxhash64(k, *[f"s_{a}" for a in NAMES]), F.ceil(F.col("size") / ROWS_EACH)) == 0)
+    parts = x.select(*GROUP, F.explode(picked).alias("start"), *[f"s_{a}" for a in NAMES])
+    made = shaped(moments(drawn.unionByName(parts), [*GROUP, "start"]), 1.0)
+    both = first.unionByName(made).drop("n")
+    return _join(both, quartiles.select(*GROUP, "size"), few) if few else both.join(quartiles.select(F.col("g_lang").alias("_l"), F.col("g_source").alias("_s"), "size"), F.col("g_lang").eqNullSafe(F.col("_l")) & F.col("g_source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+
+
+def half_estimates(rows: DataFrame, few: bool, quartiles: DataFrame) -> DataFrame:
+    """(g_lang, g_source, start, centre, factor, log_det) of the least determinant found for each group."""
+    by = [*GROUP, "start", "size", "centre", "factor", "log_det", "mark"]
+    now = stage(starts(rows, quartiles, few).select(*by), "starts")
+    for _ in range(2):
+        now = stage(concentrated(rows, now, few).select(*by), "step")
+    best = now.groupBy(*GROUP).agg(F.min_by(F.struct("start", "size", "centre", "factor", "log_det", "mark"), F.struct("log_det", "start")).alias("e"))
+    now, done = stage(best.select(*GROUP, "e.*"), "step"), []
+    while True:
+        made = stage(concentrated(rows, now, few), "step")
+        # a group is done when the same half comes out again, or one that is no narrower; every other one has narrowed
+        ended = (F.col("mark") == F.col("mark_before")) | (F.col("log_det") > F.col("before") - 1e-6)
+        done.append(made.where(ended).select(*by))
+        now = made.where(~ended).select(*by)
+        if now.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def estimates(stats: DataFrame) -> DataFrame:
     """(g_lang, g_source, centre, factor) for each language and source of a table (lang, source, s_...)."""
-    levels = F.array(
-        F.struct(F.lit(0).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-        F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-    )
-    rows = stats.withColumn("g", F.explode(levels)).select("g.*", *[f"s_{a}" for a in STATS])
-    # start: medians, and each statistic's own least spread
-    medians = [F.expr(f"percentile(floor(s_{a} / 64), 0.5)").alias(f"c_{a}") for a in STATS]
-    flat = F.array(*[F.lit(float(STATS[a]) if a == b else 0.0) for i, a in enumerate(STATS) for b in list(STATS)[: i + 1]])
-    now = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *medians)
-    now = stage(now.select(*GROUP, "n", F.array(*[F.col(f"c_{a}") * 64 / UNIT for a in STATS]).alias("centre"), flat.alias("factor")), "start")
-    sizes = now.select(*GROUP, F.col("n").alias("size"))
-    for _ in range(STEPS):
-        now = stage(_estimate(_closest(_with_distance(_join(rows, now, GROUP)))), "step")
-    near = _with_distance(_join(rows, now, GROUP)).where(F.col("d2") <= NEAR).drop("centre", "factor", "n", "d2")
-    now = stage(_estimate(near, NEAR_CONSISTENCY), "step")
-    made = _join(now.drop("n"), sizes, GROUP).where(F.col("size") >= MIN_GROUP)
-    pick = lambda k: made.where(F.col("level") == k).select(F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("centre", "factor").alias(f"e{k}"))
-    groups = sizes.where("level = 0").select("g_lang", "g_source")
-    out = groups.join(pick(0), F.col("g_lang").eqNullSafe(F.col("l0")) & F.col("g_source").eqNullSafe(F.col("s0")), "left")
-    out = out.join(pick(1), F.col("g_lang").eqNullSafe(F.col("l1")), "left")
-    whole = pick(2).agg(F.first("e2").alias("e2"))
-    out = out.crossJoin(F.broadcast(whole)).withColumn("e", F.coalesce("e0", "e1", "e2"))
-    return stage(out.select("g_lang", "g_source", "e.centre", "e.factor"), "estimates")
-
-
-def verdicts(docs: DataFrame) -> DataFrame:
-    """(row, n_words ... n_capitals, base_failed, distance, kept); row holds the columns of docs."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang"), F.col("source"), F.col("text"))
-    stats = stage(base_columns(packed).drop("text"), "quality")
-    stats = stats.withColumns({f"s_{k}": v for k, v in _statistics().items()})
-    groups = estimates(stats.where("n_words > 0").drop("row"))
+    rows = stats.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[f"s_{a}" for a in NAMES])
+    quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in NAMES]
+    quartiles = stage(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"), *quarters), "quartiles")
+    few = quartiles.count() * (2 + HASHED) <= BROADCAST_GROUPS
+    halves = half_estimates(rows, few, quartiles)
+    near = _with_distance(_join(rows, halves.select(*GROUP, "centre", "factor"), few)).where(F.col("d2") <= quantile(NEAR_LEVEL))
+    own = stage(moments(near, GROUP), "near")
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("n", *SUMS)]
+    every, of_lang = own.agg(*sums), own.groupBy("g_lang").agg(*sums)
+    mixed = lambda of, above: [(F.col(c) + PRIOR * F.col(f"{above}.{c}") / F.col(f"{above}.n")).alias(c) for c in ("n", *SUMS)]
+    packed = lambda df, name, *keys: df.select(*keys, F.struct("n", *SUMS).alias(name))
+    # one row of sums of all groups
+    langs = of_lang.crossJoin(F.broadcast(packed(every, "every")))
+    langs = langs.select(F.col("g_lang").alias("l_lang"), *mixed("lang", "every"))
+    groups = own.join(packed(langs, "above", "l_lang"), F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    return stage(shaped(groups.select(*GROUP, *mixed("own", "above")), consistency(NEAR_LEVEL)).select(*GROUP, "centre", "factor"), "estimates")
+
+
+def verdicts(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """(row, n_words ... n_capitals, base_failed, distance, kept); row holds the carried columns of docs (all)."""
+    carried = docs.columns if carried is None else carried
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("lang"), F.col("source"), F.col("text"))
+    stats = base_columns(packed).drop("text")
+    stats = stage(stats.withColumns({f"s_{k}": v for k, v in _statistics().items()}), "quality")
+    groups = estimates(stats.where("n_words > 0"))
     near = stats.withColumns({"g_lang": F.col("lang"), "g_source": F.col("source")})
-    out = _with_distance(_join(near, groups, ["g_lang", "g_source"]))
+    out = _with_distance(_join(near, groups, groups.count() <= BROADCAST_GROUPS, how="left"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("distance", F.col("d2"))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True)))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= quantile(LEVEL), F.lit(True)))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
@@ -186,5 +267,5 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    out = verdicts(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    out = verdicts(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), ["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
