@@ -7,20 +7,45 @@ from pyspark.sql import functions as F
 
 from canopyql.session import stage
 
+#: Links of a node from which it counts as a hub; hubs are few, as all links together bound their number.
+HUB = 10_000
+#: Rows (two numbers each) up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def _spread(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """rows joined with a table of one row a key, many of whose rows may meet one key; the table is broadcast if it is short."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on)
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the least node of its component.
 
     Each round takes the least label among neighbours and then follows labels once (label of the label),
-    until a round changes nothing; the tables of a round are written to the shared folder.
+    until a round changes nothing; the distance to the least label halves about every round. The tables of
+    a round are written to the shared folder. Links to a hub get its label from a short table of hubs, and
+    labels are followed through those alone that are not yet their own, so no key gathers a component.
     """
     both = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    hubs = stage(both.groupBy(F.col("b").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB).select("hub"), "hubs")
+    some = not hubs.isEmpty()
+    if some:
+        marked = stage(both.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs, F.col("b") == F.col("hub"), "left"), "links")
+        plain, hot = marked.where("hub IS NULL").select("a", "b"), marked.where("hub IS NOT NULL").select("a", "b")
+    else:
+        plain = both
     labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        now = stage(low.join(of, "label").select("node", "was", F.least("label", "above").alias("label")), "labels")
-        labels = now.select("node", "label")
-        if now.where("label <> was").isEmpty():
-            return labels
+        of = labels.withColumnRenamed("node", "b")
+        met = plain.join(of, "b").select("a", "label")
+        if some:
+            met = met.union(_spread(hot, stage(of.join(hubs, F.col("b") == F.col("hub")).select("b", "label"), "hubs"), "b").select("a", "label"))
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = stage(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
+        if low.where("label <> was").isEmpty():
+            return low.select("node", "label")
+        moved = low.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("above"))
+        used = stage(moved.join(low.select("label").distinct(), "label"), "moved")
+        short = used.count() <= BROADCAST_ROWS
+        labels = low.join(F.broadcast(used) if short else used, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+        labels = stage(labels, "labels")

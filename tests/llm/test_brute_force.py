@@ -174,12 +174,13 @@ def sets_of(texts):
     out = {}
     for i, t in texts.items():
         w = WORD.findall(t or "")
-        out[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        out[i] = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
     return out
 
 
-def brute_classes(texts):
+def brute_classes(texts, similarity=0.8):
     sets, up = sets_of(texts), {i: i for i in texts}
+    size = {i: s.total() for i, s in sets.items()}
 
     def root(x):
         while up[x] != x:
@@ -190,21 +191,60 @@ def brute_classes(texts):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            common = len(x & y) if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) else 0
-            if texts[a] == texts[b] or (common and common >= 0.8 * (len(x) + len(y) - common) - 1e-9):
+            common = 0
+            if min(size[a], size[b]) >= similarity * max(size[a], size[b]) and len(x.keys() & y.keys()):
+                common = (x & y).total()
+            if texts[a] == texts[b] or (common and common >= similarity * (size[a] + size[b] - common) - 1e-9):
                 p, q = root(a), root(b)
                 up[max(p, q)] = min(p, q)
     return {i: root(i) for i in ids}
 
 
-def test_dedup(spark, sf, texts):
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_dedup(spark, sf, texts, monkeypatch, similarity):
+    monkeypatch.setattr(dedup, "BLOCK", 20)
+    monkeypatch.setattr(dedup, "MANY", 30)
     base = [f"w{i * i % 997}" for i in range(400)]
     more = {1_000_000 + k: " ".join([*base[: 5 * k], *(f"k{k}x{j}" for j in range(3)), *base[5 * k + 3 :]]) for k in range(40)}
     more |= {2_000_000 + k: " ".join(base[:200] + [f"z{k}y{j}" for j in range(60 + k)]) for k in range(60)}
+    # alike as sets, but not by their counts
+    more |= {3_000_000 + k: " ".join(base[:30] * (1 + 3 * k)) for k in range(3)}
     every = texts | more
     d = spark.createDataFrame(list(every.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in dedup.classes(d).collect()}
-    assert got == brute_classes(every)
+    got = {r["doc_id"]: r["class_id"] for r in dedup.classes(d, similarity).collect()}
+    assert got == brute_classes(every, similarity)
+
+
+def test_bands_for_a_similarity():
+    assert (dedup.band_rows(0.8), dedup.least_agreeing(0.8)) == (4, 75)
+    assert (1 - 0.8**4) ** 32 < 5e-8 and dedup.band_rows(0.5) < 4
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["ab " * 50, "x", " \n ", "one two three four", " ".join(f"w{i % 37}" for i in range(500)), "q" * 300 + " a b c d e f " + "r" * 200 + " a b c d e f"]
+    want = [[x.tolist() for x in dedup._sets(pa.array([t]))] for t in texts]
+    monkeypatch.setattr(dedup, "LONG", 16)
+    assert [[x.tolist() for x in dedup._sets(pa.array([t]))] for t in texts] == want
+
+
+def test_deduplicate_keeps_one_row_a_class(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "p"), (5, b, "q"), (5, b, "q2"), (None, b, "r"), (None, "lone words of nobody", "s"), (None, "other words of nobody else", "t"), (7, a + " more", "u"), (9, "", "v"), (9, None, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, class_id string").withColumn("row", F.lit(1)).withColumn("label", F.lit(2)).withColumn("key", F.lit(3))
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in dedup.deduplicate(d).collect())
+    assert kept == [(0, "lone words of nobody"), (0, "other words of nobody else"), (5, a), (5, b), (9, "")]
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in dedup.classes(d).collect()) == [(0, 0), (0, 0), (0, 5), (5, 5), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9)]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from canopyql.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", 5)
+    links = [(0, i) for i in range(1, 20)] + [(i, i + 1) for i in range(100, 140)] + [(140, 19)] + [(200, 201)]
+    got = {r["node"]: r["label"] for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 200} and sum(v == 0 for v in got.values()) == 61
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
