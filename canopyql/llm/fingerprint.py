@@ -38,11 +38,9 @@ STEP = 2.0**-40
 #: Expected samples below the first limit in each position; of texts with more terms, a share of 128 exp(-8) is drawn again.
 ENOUGH = 8
 EMPTY = "----"
-#: Documents in one stretch of the order by id; stretches are sorted side by side.
-STRETCH = 20_000
-#: Stretches at most, whose first rows are broadcast; beyond it stretches grow, and sort on disk.
-MOST_STRETCHES = 1024
-LEAST_ID = -(1 << 62)
+#: Bytes of text in a partition of the order by id, partitions at most (larger ones are sorted on disk), stretches of ids in each.
+PART, MOST_PARTS, STRETCHES = 4 << 20, 65_536, 8
+LEAST_ID = -(1 << 63)
 
 
 def _half(h: Column, upper: bool) -> Column:
@@ -51,10 +49,9 @@ def _half(h: Column, upper: bool) -> Column:
     return (bits + F.lit(0.5)) * F.lit(2.0**-32)
 
 
-def _pack(h: Column, part: Column, at: Column, tag: Column) -> Column:
-    """The packed sample of a term in the position that its hash gives to this part."""
-    position = h.bitwiseXOR(part).bitwiseAND(F.lit(BINS - 1))
-    return F.shiftleft(position, 56).bitwiseOR(F.shiftleft(at, 16)).bitwiseOR(tag.bitwiseAND(F.lit(0xFFFF)))
+def _place(h: Column, part: Column) -> Column:
+    """The position that a term's hash gives to this part, where a packed sample has it."""
+    return F.shiftleft(h.bitwiseXOR(part).bitwiseAND(F.lit(BINS - 1)), 56)
 
 
 def _first(part: Column, x: Column) -> Column:
@@ -63,9 +60,8 @@ def _first(part: Column, x: Column) -> Column:
 
 
 def _single(h: Column, part: Column) -> Column:
-    """The packed sample of a term with count 1: ln S = 0, hence t = 0."""
-    x = F.xxhash64(h, part)
-    return _pack(h, part, _first(part, x), x)
+    """The packed sample of a term with count 1: ln S = 0, hence t = 0. Below the part, the hash's upper 49 bits: step, then tag."""
+    return _place(h, part).bitwiseOR(F.shiftleft(part, 49)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(h, part), 15))
 
 
 def _other(h: Column, part: Column) -> Column:
@@ -77,16 +73,19 @@ def _counted(x: Column, m: Column) -> Column:
     """The packed samples below the limit of a term x, a struct (h, n): hash and count."""
     h, ln_s = x["h"], F.log(x["n"].cast("double"))
     most = F.when(m < BINS, -F.log1p(-m / BINS) * BINS * x["n"]).otherwise(F.lit(float("inf")))
-    parts = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda j: j * _half(_other(h, j), True) <= most)
-    one = lambda j: -F.log1p(-(_first(j, F.xxhash64(h, j)) + F.lit(0.5)) * F.lit(STEP))
-    made = F.transform(parts, lambda j: F.struct(j.alias("j"), one(j).alias("x"), (-F.log(_half(_other(h, j), False))).alias("e"), (-F.log(_half(_other(h, j), True))).alias("w")))
-    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["x"].alias("x"), v["w"].alias("w"), (F.log1p(v["e"] / v["x"]) + v["w"]).alias("r")))
-    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["x"].alias("x"), v["r"].alias("r"), F.floor((ln_s + v["w"]) / v["r"]).alias("t")))
+    # part, its hash, and the two exponential variates
+    hashed = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda j: F.struct(j.alias("j"), _other(h, j).alias("o")))
+    may = F.filter(hashed, lambda v: v["j"] * _half(v["o"], True) <= most)
+    one = lambda k: -F.log1p(-(_first(k["j"], k["f"]) + F.lit(0.5)) * F.lit(STEP))
+    made = F.transform(may, lambda v: F.struct(v["j"].alias("j"), F.xxhash64(h, v["j"]).alias("f"), (-F.log(_half(v["o"], False))).alias("e"), (-F.log(_half(v["o"], True))).alias("w")))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["f"].alias("f"), v["e"].alias("e"), v["w"].alias("w"), one(v).alias("x")))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["f"].alias("f"), v["x"].alias("x"), v["w"].alias("w"), (F.log1p(v["e"] / v["x"]) + v["w"]).alias("r")))
+    made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), v["f"].alias("f"), v["x"].alias("x"), v["r"].alias("r"), F.floor((ln_s + v["w"]) / v["r"]).alias("t")))
     at = lambda v: F.least(F.floor(-F.expm1(-v["x"] * F.exp(-v["r"] * v["t"])) / F.lit(STEP)), F.lit((1 << 40) - 1))
-    tag = lambda v: F.when(v["t"] == 0, F.xxhash64(h, v["j"])).otherwise(F.xxhash64(h, v["j"], v["t"], F.lit(2)))
+    tag = lambda v: F.shiftrightunsigned(F.when(v["t"] == 0, v["f"]).otherwise(F.xxhash64(h, v["j"], v["t"], F.lit(2))), 15).bitwiseAND(F.lit(0xFFFF))
     made = F.transform(made, lambda v: F.struct(v["j"].alias("j"), at(v).alias("at"), tag(v).alias("tag")))
     made = F.filter(made, lambda v: v["at"] < F.shiftleft(m, 33))
-    return F.transform(made, lambda v: _pack(h, v["j"], v["at"], v["tag"]))
+    return F.transform(made, lambda v: _place(h, v["j"]).bitwiseOR(F.shiftleft(v["at"], 16)).bitwiseOR(v["tag"]))
 
 
 def _drawn(m: Column) -> Column:
@@ -99,10 +98,9 @@ def _drawn(m: Column) -> Column:
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the array column out: for each position the 16-bit sample, or -1 where the text has no word."""
     n, none = F.size("_w"), F.array().cast("array<bigint>")
-    df = df.withColumn("_w", F.filter(F.split(F.col(text), SPACE), lambda x: x != ""))
-    window = lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, WIDTH)])
-    windows = F.slice(F.transform("_w", window), F.lit(1), n - WIDTH + 1)
-    whole = F.array(F.xxhash64(F.array_join("_w", " ")))
+    df = df.withColumn("_w", F.transform(F.filter(F.split(F.col(text), SPACE), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    windows = F.transform(F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.xxhash64(F.slice("_w", i, F.lit(WIDTH))))
+    whole = F.array(F.xxhash64("_w"))
     df = df.withColumn("_h", F.when(n >= WIDTH, windows).when(n > 0, whole).otherwise(none)).drop("_w")
     df = df.withColumn("_d", F.size(F.array_distinct("_h")) == F.size("_h"))
     # with repeated windows: positions in sorted order where a run of equal hashes begins, then run lengths
@@ -135,36 +133,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total % 10_000) / F.floor(total / 10_000))
 
 
-def with_next(docs: DataFrame, enrich) -> DataFrame:
-    """enrich(docs) with next, a struct (text, signature) of the row that follows in descending order of id.
+def _below(ids: list[int], key: str, df: DataFrame, out: str) -> DataFrame:
+    """Adds out: how many of the sorted ids are less than the column key, by halving."""
+    df = df.withColumn(out, F.lit(0))
+    listed = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
+    for step in reversed(range(len(ids).bit_length())):
+        ahead = F.col(out) + F.lit(1 << step)
+        df = df.withColumn(out, F.when((ahead <= len(ids)) & (F.get(listed, F.least(ahead, F.lit(len(ids))) - 1) < F.col(key)), ahead).otherwise(F.col(out)))
+    return df
 
-    After the last row comes the first. Ids are cut into stretches by their quantiles; each stretch is
-    sorted on its own, and its last row looks at the first row of the stretch below, one a stretch.
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with signature, and next, a struct (text, signature) of the row that follows in descending order of id.
+
+    After the last row comes the first. Ids are cut into stretches at ids picked by hash, about 20 for a
+    stretch, of which every 20th is a cut; the ids up to a cut make a stretch, so the row that follows a
+    stretch is the cut below it: rows of that id go to both stretches, rows of the greatest id to the
+    lowest one as well. Each text is shuffled once.
     """
-    n = docs.count()
-    parts = min(max(1, n // STRETCH), MOST_STRETCHES)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    at = F.lit(0)
-    if cuts:
-        at = F.coalesce(F.aggregate(F.array(*[F.lit(int(c)) for c in cuts]), F.lit(0), lambda s, e: s + (e < F.col("doc_id")).cast("int")), F.lit(0))
-    placed = docs.withColumn("_at", at)
-    after = F.lead(F.struct("text", "signature")).over(Window.partitionBy("_at").orderBy(F.col("doc_id").desc_nulls_last(), "text"))
-    rows = enrich(placed).withColumn("_next", after)
-    # the first rows of the stretches: their ids by an aggregate of ids alone, then their texts
-    ids = placed.groupBy("_at").agg(F.max(F.coalesce("doc_id", F.lit(LEAST_ID))).alias("_top"))
-    ids = ids.select(F.col("_at").alias("_of"), "_top")
-    heads = placed.join(F.broadcast(ids), (F.col("_at") == F.col("_of")) & (F.coalesce("doc_id", F.lit(LEAST_ID)) == F.col("_top")))
-    heads = enrich(heads.groupBy("_of").agg(F.min("text").alias("text"))).withColumn("_head", F.struct("text", "signature"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col("_of").desc())
-    first = F.first("_head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_of", F.coalesce(F.lead("_head").over(down), first).alias("_below"))
-    out = rows.join(F.broadcast(heads), F.col("_at") == F.col("_of"))
-    return out.withColumn("next", F.coalesce("_next", "_below")).drop("_at", "_of", "_next", "_below")
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("_key"))
+    rows, size, top = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.max("_key")).first()
+    parts = int(min(max(1, (size or 0) // PART), MOST_PARTS))
+    every = max(1, rows // (20 * STRETCHES * parts))
+    picked = docs.where(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).select("_key").distinct().collect() if parts > 1 else []
+    cuts = sorted(r[0] for r in picked)[19::20]
+    placed = _below(cuts, "_key", docs, "_at")
+    listed = F.split(F.lit(",".join(map(str, cuts)) or "0"), ",").cast("array<bigint>")
+    place = lambda at, real, again: F.struct(at.alias("at"), F.lit(real).alias("real"), F.lit(again).alias("again"))
+    is_cut = (F.col("_at") < len(cuts)) & (F.get(listed, F.least(F.col("_at"), F.lit(max(0, len(cuts) - 1)))) == F.col("_key"))
+    places = F.array(place(F.col("_at"), True, False), F.when(is_cut, place(F.col("_at") + 1, False, False)), F.when(F.col("_key") == top, place(F.lit(0), False, True)))
+    spread = placed.withColumn("_p", F.explode(F.array_compact(places))).select("doc_id", "text", "_key", F.col("_p.at").alias("_at"), F.col("_p.real").alias("_real"), F.col("_p.again").alias("_again"))
+    order = Window.partitionBy("_at").orderBy("_again", F.col("_key").desc(), "text")
+    out = signature(spread.repartition(parts, "_at"), "text", "signature")
+    out = out.withColumn("next", F.lead(F.struct("text", "signature")).over(order)).where("_real")
+    return out.drop("_key", "_at", "_real", "_again")
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(d, lambda x: signature(x, "text", "signature")).withColumn("n_chars", F.char_length("text").cast("long"))
+    d = with_next(d).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), 1, half))
     d = d.withColumn("edited", edited).withColumn("next_signature", F.col("next.signature")).drop("next", "text")

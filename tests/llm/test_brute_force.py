@@ -354,6 +354,47 @@ def test_fingerprints(spark, sf, texts):
             assert got[i]["near_next"] < 0.2 or t == nxt or len(set(a) & {tuple(nxt.split()[j : j + 5]) for j in range(len(nxt.split()))}) > 0.05 * len(a)
 
 
+def test_neighbours_in_every_cut(spark, monkeypatch):
+    """Ties, nulls and repeated rows, with stretches of very few ids each."""
+    monkeypatch.setattr(fingerprint, "PART", 20)
+    rows = [(i * 7 % 101, f"text {i}") for i in range(101)] + [(None, "n1"), (None, "n0"), (50, "again"), (50, "again"), (100, "z"), (0, "a"), (-5, "")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = collections.Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert collections.Counter((r["doc_id"], r["text"], r["next"]["text"]) for r in got.collect()) == want
+
+
+def test_samples_against_plain_python(spark):
+    """Every (position, term, t) of the least a, from the variates as the module's text defines them."""
+    line = " ".join(f"s{i}" for i in range(6)) + " "
+    rows = [(c, line * c + " ".join(f"u{i}" for i in range(40)) + " " + "v w x y z " * (c // 2)) for c in (1, 2, 5, 30)]
+    d = spark.createDataFrame(rows, "k int, text string")
+    words = F.transform(F.split(F.trim("text"), " "), lambda x: F.xxhash64(x))
+    terms = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, F.lit(5))))
+    hashes = d.withColumn("w", words).withColumn("t", terms).select("k", F.explode("t").alias("h")).groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+    draws = hashes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))))
+    draws = draws.select("k", "h", "n", "j", F.xxhash64("h", "j").alias("f"), F.xxhash64("h", "j", F.lit(1)).alias("o"))
+    least = {}
+    for r in draws.collect():
+        f, o = r["f"] % 2**64, r["o"] % 2**64
+        half = lambda x: (x + 0.5) * 2.0**-32
+        x = -math.log1p(-((r["j"] << 33 | f >> 31) + 0.5) * 2.0**-40)
+        w, e = -math.log(half(o >> 32)), -math.log(half(o & 0xFFFFFFFF))
+        c, rr = x + e, math.log((x + e) / x) + w
+        b, s = w / rr, r["n"]
+        t = math.floor(math.log(s) / rr + b)
+        ln_y = rr * (t - b)
+        a = math.exp(math.log(c) - ln_y - rr)
+        position = (r["h"] ^ r["j"]) & 127
+        key = (r["k"], position)
+        least[key] = min(least.get(key, (9e9,)), (a, r["h"], t, f))
+    got = {r["k"]: r["s"] for r in fingerprint.signature(d, "text", "s").collect()}
+    later = spark.createDataFrame([(k, p, h, (h ^ p) & 127, t) for (k, p), (_, h, t, _) in least.items()], "k int, p int, h long, j long, t long")
+    tags = {(r["k"], r["p"]): r["x"] % 2**64 >> 15 & 0xFFFF for r in later.select("k", "p", F.xxhash64("h", "j", "t", F.lit(2)).alias("x")).collect()}
+    for (k, p), (_, _, t, f) in least.items():
+        assert got[k][p] == (f >> 15 & 0xFFFF if t == 0 else tags[k, p])
+
+
 def test_signature_rate_is_generalised_jaccard(spark):
     base = [f"t{i}" for i in range(900)]
     rows = [(k, " ".join(base[: 900 - 100 * k] + [f"n{k}_{i}" for i in range(100 * k)])) for k in range(8)]

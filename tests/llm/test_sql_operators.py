@@ -51,7 +51,7 @@ OPERATORS = {
     "quality_filter": lambda d: quality.quality_filter(d),
     "mixing": lambda d: mixing.rates(d),
     "mix": lambda d: mixing.mix(d),
-    "fingerprint": lambda d: fingerprint.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), lambda x: fingerprint.signature(x, "text", "signature")),
+    "fingerprint": lambda d: fingerprint.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))),
     "toxicity": lambda d: toxicity.scored(d, toxicity.train(d, d.sparkSession.createDataFrame([(1, 1, 1), (2, 1, 0), (None, None, None)], LABELS))),
     "toxicity_filter": lambda d: toxicity.toxicity_filter(d, {"constant": 0.0}),
     "warc": lambda d: warc.read_archives(d.sparkSession, warc.write_archives(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.col("lang").alias("url"), "row"))),
