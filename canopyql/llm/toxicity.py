@@ -3,13 +3,14 @@
 Two models of the bytes of lower-case texts, one of toxic and one of ordinary documents, each interpolated
 from eight-byte windows down to three-byte windows by Kneser-Ney continuation counts. Below that both back
 off to the same counts, pooled over the classes, so that rare expressions are told apart only by what a
-class has shown. The logarithm of their ratio, symbol by symbol, is compared per text: its mean over the
-text (both log-likelihoods divided by the length), its mean over the most toxic word and that word's
-sum. A logistic function fitted on labelled documents that the counts have not seen makes these a score.
+class has shown. The two log-likelihoods are compared, divided by the length, for the whole text and for its
+most toxic word; beside these stands that word's undivided difference. A logistic function of the three,
+fitted on labelled documents that the counts have not seen, makes them a score. (The whole text alone does
+not do: a toxic word among hundreds of others hardly moves its mean; figures are in the README.)
 
-Models are fitted on a bounded sample of labelled rows: at most ``MOST_DOCS`` documents a class of at most
-``MOST_CHARS`` characters, those with the least hash of their id. Everything fitted from it is therefore
-bounded and broadcast; every whole document is scored.
+Models are fitted, in one task on an executor, on a bounded sample of labelled rows: of each class the
+documents with the least hash of their id, at most ``MOST_DOCS`` of them and at most ``MOST_CHARS`` characters
+together. Everything fitted from it is therefore bounded and broadcast; every whole document is scored.
 
 Defined results: a null text is the empty text; without toxic or without ordinary labelled rows every
 score is the share of toxic labels (0 if there are none); repeated rows score alike; a null id hashes as an
@@ -18,11 +19,13 @@ empty string; an empty table gives an empty result; other columns are carried by
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.llm.flat import U, find, pieces, slots, words
@@ -33,11 +36,9 @@ N = 8
 SHARED = 2
 #: Windows from CUT bytes on are kept if they occur twice or more in the labelled sample.
 CUT = 6
-MOST_DOCS, MOST_CHARS = 1200, 20_000
-#: Bytes of text worked on at a time, in workers and while the driver trains.
+MOST_DOCS, MOST_CHARS = 2000, 12_000_000
+#: Bytes of text worked on at a time, in scoring and in training.
 PIECE, TRAIN_PIECE = 4 << 20, 256 << 10
-#: Log ratios of a word from which it counts as a sign, one feature each.
-CLEAR = (1.0, 2.0, 3.0, 4.5)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,8 +116,8 @@ def indexed(model: dict) -> dict:
     return model | {"orders": [(n, w, share, c, weight, slots(w), slots(c)) for n, w, share, c, weight in model["orders"] if len(w)]}
 
 
-def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
-    """ln P(toxic) - ln P(ordinary) of the last byte of each window, given the bytes before it."""
+def probabilities(model: dict, keys: np.ndarray) -> np.ndarray:
+    """P(ordinary) and P(toxic) of the last byte of each window, given the bytes before it."""
     base = model["pair"][((keys >> U(8)) & U(255)).astype(int), (keys & U(255)).astype(int)]
     p = np.stack([base, base])
     for n, windows, share, contexts, weight, by_window, by_context in reversed(model["orders"]):
@@ -127,19 +128,23 @@ def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
         w = find(windows, low[at], by_window)
         at, w = at[w >= 0], w[w >= 0]
         p[:, at] += share[:, w]
+    return p
+
+
+def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
+    """ln P(toxic) - ln P(ordinary) of the last byte of each window."""
+    p = probabilities(model, keys)
     return np.log(p[1]) - np.log(p[0])
 
 
 def features(model: dict, texts: pa.Array) -> np.ndarray:
-    """For each text: mean and scaled log ratio, the most toxic word's mean and sum, and sums of clear words."""
+    """For each text the log ratio a symbol, the most toxic word's log ratio a symbol, and ln(1 + x) of the largest log ratio x of a word."""
     keys, owner, (data, offsets) = symbols_of(texts, N - 1)
     n = len(offsets) - 1
     distinct, _ = _counted(keys)
     value = log_ratio(model, distinct)[find(distinct, keys, slots(distinct))]
-    size = np.maximum(np.bincount(owner, minlength=n), 1)
-    out = np.zeros((n, 4 + len(CLEAR)))
-    out[:, 0] = np.bincount(owner, weights=value, minlength=n) / size
-    out[:, 1] = out[:, 0] * np.sqrt(size)
+    out = np.zeros((n, 3))
+    out[:, 0] = np.bincount(owner, weights=value, minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
     start, end, text = words(data, offsets)
     if len(start):
         sums = np.concatenate([[0.0], np.cumsum(value)])
@@ -147,19 +152,11 @@ def features(model: dict, texts: pa.Array) -> np.ndarray:
         word = sums[end + text + 1] - sums[start + text]
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         has = text[first]
-        out[has, 2] = np.maximum.reduceat(word / (end - start + 1), first)
-        out[has, 3] = np.maximum.reduceat(word, first)
-        for j, least in enumerate(CLEAR):
-            out[:, 4 + j] = np.bincount(text, weights=np.maximum(word - least, 0), minlength=n) / np.sqrt(size)
+        out[has, 1] = np.maximum.reduceat(word / (end - start + 1), first)
+        out[has, 2] = np.log1p(np.maximum(np.maximum.reduceat(word, first), 0))
     return out
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    x = x.copy()
-    x[:, 3:] = np.log1p(np.maximum(x[:, 3:], 0))
-    return x
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     """Weighted logistic regression by Newton steps, with a small ridge."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -172,44 +169,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     return {"mean": mean, "spread": spread, "beta": beta}
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Models and calibration from labelled rows outside the held-out part; bounded as the module's text says."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(at, id, toxic, text): the labelled rows to learn from, bounded as the module's text says; one text an id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= MOST_CHARS)
     at = F.xxhash64("id", F.lit(17))
     ids = [known.where(F.col("toxic") == c).select("id", "toxic", at.alias("at")).distinct().orderBy("at", "id").limit(MOST_DOCS) for c in (0, 1)]
-    # one text an id, so that repeated rows don't add to what the driver takes
-    rows = sorted(texts.join(F.broadcast(ids[0].union(ids[1])), "id").groupBy("at", "id", "toxic").agg(F.min("text").alias("text")).collect())
-    y = np.array([r["toxic"] for r in rows], dtype=int)
-    if len(set(y)) < 2:
-        return {"constant": float(share)}
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    # repeated rows of an id give its least text; the lengths of the picked documents, so far, say which ones fit
+    rows = texts.join(F.broadcast(ids[0].union(ids[1])), "id").groupBy("at", "id", "toxic").agg(F.min("text").alias("text"))
+    so_far = Window.partitionBy("toxic").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.char_length("text")).over(so_far), F.lit(0))
+    return rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.char_length("text") <= MOST_CHARS)).drop("before")
+
+
+def fitted(texts: list[str], y: np.ndarray, share: float) -> dict | None:
+    """Models and calibration from labelled texts; None without both classes. share: the part of toxic rows among all labelled ones."""
+    if len(set(y.tolist())) < 2:
+        return None
     # two thirds make the counts, one third the calibration
-    third = np.arange(len(rows)) % 3 == 0
-    if len(set(y[third])) < 2 or len(set(y[~third])) < 2:
+    third = np.arange(len(texts)) % 3 == 0
+    if len(set(y[third].tolist())) < 2 or len(set(y[~third].tolist())) < 2:
         third[:] = True
-        counted = np.ones(len(rows), dtype=bool)
+        counted = np.ones(len(texts), dtype=bool)
     else:
         counted = ~third
-    fitted = fit([r["text"] for r, k in zip(rows, counted, strict=True) if k], y[counted])
-    model = indexed(fitted)
-    probe = pa.array([r["text"] for r, k in zip(rows, third, strict=True) if k], pa.string())
-    x = _squash(np.concatenate([features(model, probe.slice(a, n)) for a, n in pieces(probe, TRAIN_PIECE)]))
+    made = fit([t for t, k in zip(texts, counted, strict=True) if k], y[counted])
+    model = indexed(made)
+    probe = pa.array([t for t, k in zip(texts, third, strict=True) if k], pa.string())
+    x = np.concatenate([features(model, probe.slice(a, n)) for a, n in pieces(probe, TRAIN_PIECE)])
     rate = y[third].mean()
     weight = np.where(y[third] == 1, share / rate, (1 - share) / (1 - rate))
-    return {"model": fitted, "calibration": _logistic(x, y[third], weight * len(x) / weight.sum())}
+    return {"model": made, "calibration": _logistic(x, y[third], weight * len(x) / weight.sum())}
+
+
+def _fit_task(share: float):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+        made = fitted(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(int), share)
+        return pa.table({"model": pa.array([pickle.dumps(made)] if made else [], pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """Models and calibration from labelled rows outside the held-out part, fitted in one task; the driver gets their arrays alone."""
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
+    made = sample(docs, labels).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit_task(share), "model binary").collect()
+    return {"fitted": bytes(made[0]["model"]), "name": uuid.uuid4().hex} if made else {"constant": share}
 
 
-_INDEXED: dict[int, dict] = {}
+_INDEXED: dict[str, dict] = {}
 
 
-def _indexed(shared) -> dict:
-    """This process's look-up tables for a broadcast model; those of an earlier one go."""
-    key = id(shared.value)
-    if key not in _INDEXED:
+def _indexed(trained: dict) -> dict:
+    """This process's copy of a broadcast model, with its look-up tables; that of an earlier one goes."""
+    if trained["name"] not in _INDEXED:
         _INDEXED.clear()
-        _INDEXED[key] = indexed(shared.value["model"])
-    return _INDEXED[key]
+        made = pickle.loads(trained["fitted"])
+        _INDEXED[trained["name"]] = {"model": indexed(made["model"]), "calibration": made["calibration"]}
+    return _INDEXED[trained["name"]]
 
 
 def scored(docs: DataFrame, trained: dict) -> DataFrame:
@@ -221,11 +240,12 @@ def scored(docs: DataFrame, trained: dict) -> DataFrame:
 
     @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, cal = _indexed(shared), shared.value["calibration"]
+        made = _indexed(shared.value)
+        model, cal = made["model"], made["calibration"]
         for texts in batches:
             parts = [np.zeros(0)]
             for at, size in pieces(texts, PIECE):
-                z = (_squash(features(model, texts.slice(at, size))) - cal["mean"]) / cal["spread"]
+                z = (features(model, texts.slice(at, size)) - cal["mean"]) / cal["spread"]
                 parts.append(1 / (1 + np.exp(-np.clip(cal["beta"][0] + z @ cal["beta"][1:], -30, 30))))
             yield pa.array(np.concatenate(parts))
 

@@ -95,16 +95,90 @@ def test_toxicity_tells_planted_words(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in held]) > 0.9
 
 
-def test_toxicity_probabilities_add_up():
-    model = toxicity.indexed(toxicity.fit(["abc abd abe"] * 3 + ["xyz abc"], np.array([0, 0, 0, 1])))
-    context = np.frombuffer(b"\x00abc abd"[1:], np.uint8).astype(np.uint64)
-    key = np.uint64(0)
-    for c in context:
-        key = (key << np.uint64(8)) | c
-    keys = (np.full(256, key, np.uint64) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    base = model["pair"][int(context[-1])]
-    assert math.isclose(base.sum(), 1, rel_tol=1e-9)
-    assert np.isfinite(toxicity.log_ratio(model, keys)).all()
+TOXIC_TEXTS = ["the mat sat on the cat", "a cat and a hat and the mat", "cat cat cat on a mat", "grr the zog bit the cat", "zog zog on the mat grr", "hat on the cat"]
+TOXIC = np.array([0, 0, 0, 1, 1, 0])
+
+
+def plain_kneser_ney(texts, toxic):
+    """P(class)(context, byte) from dictionaries: windows of 8 bytes down to 3 by continuation counts, then pooled pairs."""
+    counts, by_order = [], {}
+    for c in (0, 1):
+        n = collections.Counter()
+        for t, y in zip(texts, toxic, strict=True):
+            b = bytes([ppm.START] * 7) + t.encode() + bytes([ppm.STOP])
+            n.update(b[i : i + 8] for i in range(len(b) - 7) if y == c)
+        counts.append(n)
+    for order in range(8, 2, -1):
+        both = counts[0] + counts[1]
+        kept = {w for w in both if both[w] >= 2 or order < toxicity.CUT}
+        per_class = []
+        for n in counts:
+            ones, twos = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+            d = ones / (ones + 2 * twos) if ones and twos else 0.75
+            total = collections.Counter()
+            for w, v in n.items():
+                total[w[:-1]] += v
+            per_class.append((n, d, total))
+        by_order[order] = (kept, per_class)
+        counts = [collections.Counter(w[1:] for w in n) for n in counts]
+    low = counts[0] + counts[1]
+    before = collections.Counter(w[1] for w in low)
+    single = {b: (before[b] + 1) / (sum(before.values()) + 256) for b in range(256)}
+
+    def p(c, context, byte):
+        pairs = {w: v for w, v in low.items() if w[0] == context[-1]}
+        total = sum(pairs.values())
+        out = single[byte]
+        if total:
+            out = (max(pairs.get(bytes([context[-1], byte]), 0) - 0.75, 0) + 0.75 * len(pairs) * single[byte]) / total
+        for order in range(3, 9):
+            kept, per_class = by_order[order]
+            n, d, totals = per_class[c]
+            ctx = context[-(order - 1) :]
+            share = lambda w: max(n[w] - d, 0) / totals[ctx] if w in kept and n[w] else 0.0  # noqa: B023, E731
+            if totals[ctx]:
+                out *= 1 - sum(share(w) for w in n if w[:-1] == ctx)  # noqa: B023
+            out += share(ctx + bytes([byte]))
+        return out
+
+    return p
+
+
+def test_toxicity_models_against_plain_python():
+    model = toxicity.indexed(toxicity.fit(TOXIC_TEXTS, TOXIC))
+    p = plain_kneser_ney(TOXIC_TEXTS, TOXIC)
+    for t in ("the zog sat", "a hat", "xyz"):
+        b = bytes([ppm.START] * 7) + t.encode() + bytes([ppm.STOP])
+        keys = np.array([int.from_bytes(b[i : i + 8], "big") for i in range(len(b) - 7)], dtype=np.uint64)
+        got = toxicity.probabilities(model, keys)
+        want = np.array([[p(c, b[i : i + 7], b[i + 7]) for i in range(len(b) - 7)] for c in (0, 1)])
+        assert np.allclose(got, want, rtol=1e-5)
+        for key in keys:
+            every = (key & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+            assert np.allclose(toxicity.probabilities(model, every).sum(axis=1), 1, rtol=1e-5)
+
+
+def test_toxicity_features_against_plain_python():
+    import pyarrow as pa
+
+    model = toxicity.indexed(toxicity.fit(TOXIC_TEXTS, TOXIC))
+    for t in ("Zog on  the mat", "", " \n", "cat"):
+        b = bytes([ppm.START] * 7) + lower(t).encode() + bytes([ppm.STOP])
+        keys = np.array([int.from_bytes(b[i : i + 8], "big") for i in range(len(b) - 7)], dtype=np.uint64)
+        v = toxicity.log_ratio(model, keys)
+        words = [v[m.start() : m.end() + 1] for m in WORD.finditer(t)]
+        want = [v.mean(), max((w.mean() for w in words), default=0), math.log1p(max(0, max((w.sum() for w in words), default=0)))]
+        assert np.allclose(toxicity.features(model, pa.array([t]))[0], want)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 50)
+    rows = [(i, "x" * (20 if i % 3 else 45), i % 2) for i in range(1, 60)] + [(1, "b", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.sample(d, d).collect()
+    for c in (0, 1):
+        size = [len(r["text"]) for r in got if r["toxic"] == c]
+        assert size and (len(size) == 1 or sum(size) <= 50)
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------
