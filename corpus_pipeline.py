@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from canopyql.llm import bpe, dedup, mixing, quality, toxicity
-from canopyql.session import stage, table
+from canopyql.session import held, release, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), set()
     for name, step in STAGES[:-1]:
+        before = held(spark)
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        # what the step has written on its way, and what the stage before it returned, is read no more
+        made = held(spark) - before
+        kept = {p for p in made if f"/pipeline-{name}-" in p}
+        release(spark, made - kept | last)
+        last = kept
     return STAGES[-1][1](spark, docs, sf_dir)
