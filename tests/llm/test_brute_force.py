@@ -32,7 +32,11 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
 
-def test_ppm(spark, sf, texts):
+@pytest.mark.parametrize("divided", [False, True])
+def test_ppm(spark, sf, texts, monkeypatch, divided):
+    if divided:  # many ends of contexts are divided, down to long ones
+        for name, value in (("TOO_LARGE", 0.02), ("FINEST", 1 << 40)):
+            monkeypatch.setattr(ppm, name, value)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: [*WORD.findall(lower(t)), None]
     count, trie = collections.Counter(), [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
@@ -76,6 +80,25 @@ def test_ppm(spark, sf, texts):
             assert math.isclose(got[i]["score"], score(texts[i]), rel_tol=1e-4)
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["short One", None, "Ein langes WORT " * 40 + "x" * 300 + " é" * 50, ""])
+
+    def all_of():
+        symbols, tokens = collections.defaultdict(list), collections.defaultdict(list)
+        for at, _, k, text, h, owner in ppm.read(texts):
+            for x, y in zip((at + text).tolist(), k.tolist(), strict=True):
+                symbols[x].append(y)
+            for x, y in zip((at + owner).tolist(), h.tolist(), strict=True):
+                tokens[x].append(y)
+        return symbols, {k: sorted(v) for k, v in tokens.items()}
+
+    whole = all_of()
+    monkeypatch.setattr(ppm, "PIECE", 50)
+    assert all_of() == whole
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------
 
 
