@@ -1,20 +1,22 @@
 """License scans by canonical digest lookup.
 
-A text is brought to a canonical form (lower case, copyright lines gone, punctuation and white space to
-single blanks, equivalent spellings made one), and the SHA-256 of the form is joined with the digests of
-known license texts and notices. Entire texts are looked up: the whole document, and each of its lines
-as a text of its own, which is how documents carry notices.
-
-Defined results: a null text is the empty text and matches nothing; rows that share an id are one
-document, and what any of them matches counts; of several licenses that a whole text could match (known
-texts with equal forms) the first by name is reported; a null id is an id; an empty table gives an empty
-result; only doc_id and text are read.
+A text is brought to a canonical form (lower case, copyright notices gone, punctuation, white space and line
+ends to single blanks, equivalent spellings made one), and the SHA-256 of the form is joined with the digests
+of known license texts and notices. Entire texts are looked up: the whole document, whatever its line breaks,
+and each of its lines as a text of its own, which is how documents carry notices. A copyright notice is a
+line that begins with the word or sign in one of its usual forms: followed by the sign, a year or a place for
+one; other lines that begin with the word are text.
+
+Defined results: one row for each row of the table; a null text is the empty text and matches nothing; of
+several licenses that a whole text could match (known texts with equal forms) the first by name is reported;
+a null id is an id; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -128,26 +130,33 @@ def known_texts() -> list[tuple[str, str]]:
     return [*full, *_published(), *notices, ("LicenseRef-all-rights-reserved", "All rights reserved.")]
 
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that is a copyright notice, in lower case.
+_SIGN, _YEAR = r"(?:\(c\)|©)", r"(?:[0-9]{4}|[\[<{(]?(?:year|yyyy)[\]>})])"
+_COPYRIGHT = rf"(?m)^[^\p{{L}}\p{{N}}(©\n]*(?:copyright[ \t:]*(?:{_SIGN}|{_YEAR})|{_SIGN}[ \t]*(?:copyright|{_YEAR})|©)[^\n]*$"
 _JUNK = r"[^\p{L}\p{N}\n]+"
+_PLAIN_COPYRIGHT, _PLAIN_JUNK = (re.compile(x.replace(r"\p{L}\p{N}", r"\w")) for x in (_COPYRIGHT, _JUNK))
 
 
 def canonical_text(text: str) -> str:
     """The canonical form of a known text, in plain Python."""
-    t = re.sub(r"(?m)^[^\w\n]*(copyright|\(c\)|©)[^\n]*$", "", text.lower())
-    t = re.sub(r"(?:[^\w\n]|_)+", " ", t)
+    t = _PLAIN_JUNK.sub(" ", _PLAIN_COPYRIGHT.sub("", text.lower())).replace("_", " ")
+    t = " ".join(t.split())
     for a, b in SPELLINGS:
         t = t.replace(a, b)
-    t = t.replace("\n", " ")
-    return re.sub(" +", " ", t).strip()
+    return t
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical forms of a text's lines; joined by blanks they are that of the text."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _JUNK, " ")
+def _spelled(t: Column) -> Column:
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return t
+
+
+def with_forms(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds whole, the canonical form of the text, and lines, those of its lines that are not empty."""
+    docs = docs.withColumn("_t", F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _JUNK, " "))
+    lines = F.filter(F.transform(F.split(_spelled(F.col("_t")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return docs.withColumns({"whole": _spelled(F.trim(F.regexp_replace("_t", "[ \n]+", " "))), "lines": lines}).drop("_t")
 
 
 def known_digests(spark) -> DataFrame:
@@ -161,13 +170,15 @@ def known_digests(spark) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license_id, notices, n_notice_lines): the license that the whole text is, those that lines are (by name), and how many lines."""
-    lines = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    both = F.array_insert(F.transform("lines", lambda x: F.sha2(x, 256)), 1, F.sha2(F.array_join("lines", " "), 256))
-    texts = lines.select("doc_id", F.posexplode(both).alias("at", "digest"))
+    forms = with_forms(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"))
+    # rows are told apart by their place in the input while their lines are looked up
+    rows = forms.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_insert(F.transform("lines", lambda x: F.sha2(x, 256)), 1, F.sha2("whole", 256)).alias("all"))
+    texts = rows.select("doc_id", "row", F.posexplode("all").alias("at", "digest"))
     found = texts.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left")
     line = F.when(F.col("at") > 0, F.col("known"))
-    out = found.groupBy("doc_id").agg(F.min(F.when(F.col("at") == 0, F.col("known"))).alias("license_id"), F.array_join(F.sort_array(F.collect_set(line)), ",").alias("notices"), F.count(line).alias("n_notice_lines"))
-    return out
+    whole, notices = F.min(F.when(F.col("at") == 0, F.col("known"))), F.array_join(F.sort_array(F.collect_set(line)), ",")
+    out = found.groupBy("row", "doc_id").agg(whole.alias("license_id"), notices.alias("notices"), F.count(line).alias("n_notice_lines"))
+    return out.drop("row")
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
@@ -179,20 +190,18 @@ def op7_sql() -> str:
     for name, text in known_texts():
         digest = hashlib.sha256(canonical_text(text).encode()).hexdigest()
         values[digest] = min(name, values.get(digest, name))
-    t = f"regexp_replace(regexp_replace(lower(coalesce(text, '')), '{_COPYRIGHT}', '', 'g'), '{_JUNK}', ' ', 'g')"
-    for a, b in SPELLINGS:
-        t = f"replace({t}, '{a}', '{b}')"
+    spelled = lambda t: reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", SPELLINGS, t)
     return f"""
 WITH known(digest, known) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n in sorted(values.items()))}),
-l AS (SELECT doc_id, list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
+t AS (SELECT doc_id, row_number() OVER () AS place, regexp_replace(regexp_replace(lower(coalesce(text, '')), '{_COPYRIGHT}', '', 'g'), '{_JUNK}', ' ', 'g') AS t FROM documents),
 x AS (
-  SELECT doc_id, 0 AS at_line, sha256(array_to_string(lines, ' ')) AS digest FROM l
-  UNION ALL SELECT doc_id, 1 AS at_line, sha256(u) AS digest FROM (SELECT doc_id, unnest(lines) AS u FROM l)
+  SELECT doc_id, place, 0 AS at_line, sha256({spelled("trim(regexp_replace(t, '[ ' || chr(10) || ']+', ' ', 'g'))")}) AS digest FROM t
+  UNION ALL SELECT doc_id, place, 1 AS at_line, sha256(u) AS digest FROM (SELECT doc_id, place, trim(unnest(string_split({spelled("t")}, chr(10)))) AS u FROM t) WHERE u <> ''
 )
 SELECT doc_id, min(CASE WHEN at_line = 0 THEN known END) AS license_id,
        coalesce(string_agg(DISTINCT CASE WHEN at_line = 1 THEN known END, ',' ORDER BY CASE WHEN at_line = 1 THEN known END), '') AS notices,
        count(CASE WHEN at_line = 1 THEN known END) AS n_notice_lines
-FROM x LEFT JOIN known USING (digest) GROUP BY doc_id
+FROM x LEFT JOIN known USING (digest) GROUP BY doc_id, place
 """
 
 

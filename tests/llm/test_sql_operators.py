@@ -57,7 +57,7 @@ OPERATORS = {
     "warc": lambda d: warc.read_archives(d.sparkSession, warc.write_archives(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.col("lang").alias("url"), "row"))),
     "extraction": lambda d: extraction.extract(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), "lang", F.lit(1).alias("n_chars"))),
 }
-ONE_ROW_EACH = {"ppm": len(AWKWARD), "bpe": len(AWKWARD), "dedup": len(AWKWARD), "licenses": 7, "quality": len(AWKWARD), "mixing": len(AWKWARD), "fingerprint": len(AWKWARD), "toxicity": len(AWKWARD), "toxicity_filter": len(AWKWARD), "warc": len(AWKWARD), "extraction": len(AWKWARD)}
+ONE_ROW_EACH = {"ppm": len(AWKWARD), "bpe": len(AWKWARD), "dedup": len(AWKWARD), "licenses": len(AWKWARD), "quality": len(AWKWARD), "mixing": len(AWKWARD), "fingerprint": len(AWKWARD), "toxicity": len(AWKWARD), "toxicity_filter": len(AWKWARD), "warc": len(AWKWARD), "extraction": len(AWKWARD)}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -113,3 +113,22 @@ def test_whole_license_texts(spark):
             want.append(name)
     got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert [r["license_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+
+
+def test_licenses_at_every_width(spark, sf):
+    import textwrap
+
+    import duckdb
+
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + licenses._MIT + "\n\n" + licenses._WARRANTY
+    bsd = (licenses.TEXTS / "BSD-3-Clause.txt").read_text()
+    wrapped = lambda t, w: "\n\n".join(textwrap.fill(x, w) for x in t.split("\n\n"))
+    rows = [(w, wrapped(mit, w)) for w in range(40, 120)] + [(200, mit), (201, mit.replace("\n", "\r\n")), (202, "copyright notice and this permission notice"), (203, "# " + mit.replace("\n", "\n# "))]
+    rows += [(300, "\u00a9 1999 X\n" + bsd), (301, "Copyright [yyyy] [name]\nLicence: none\nAll rights reserved."), (302, None), (302, "(c) You must retain"), (303, "SPDX-License-Identifier: MIT\nint main() {}")]
+    want = {i: "MIT" for i in [*range(40, 120), 200, 201, 203]} | {300: "BSD-3-Clause"}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["license_id"], r["notices"], r["n_notice_lines"]) for r in licenses.scan(d).collect()]
+    assert {i: x for i, x, _, _ in got if x} == want and len(got) == len(rows)
+    assert [x[2:] for x in sorted(got, key=lambda x: x[0]) if x[0] in (301, 303)] == [("LicenseRef-all-rights-reserved", 1), ("MIT", 1)]
+    documents = d.toPandas()  # noqa: F841
+    assert sorted(map(repr, duckdb.sql(licenses.OP7_SQL).fetchall())) == sorted(map(repr, got))
