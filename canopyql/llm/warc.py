@@ -85,6 +85,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if held > 4 << 20:
                         yield out()
                         rows, held = [], 0
+            if held > 4 << 20 or len(rows) > 4096:
+                yield out()
+                rows, held = [], 0
     if rows:
         yield out()
 
