@@ -11,10 +11,11 @@ decided alike; an empty table gives an empty result; further columns pass throug
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyql.session import cut, table
+from canopyql.operators.numbering import numbered
+from canopyql.session import stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to which their table is broadcast; a larger one is joined by a salted shuffle.
@@ -29,25 +30,26 @@ def n_words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
     """(source, source_size, target) for a table (source, source_size) of one row a source.
 
-    The repeated sharing ends in min(ceiling * size, level * weight) for the one level at which all
-    targets add up. In order of ceiling * size / weight the sources below that level are full, so prefix
-    sums over the sources (never over documents) give it.
+    The budget is shared by weight; sources whose share reaches their ceiling are full, and what they leave is
+    shared among the rest by weight, until no further one is full: a source's target is then the lesser of
+    its ceiling and level * weight. Each sharing is one aggregate over the sources; there are few of them, as
+    the level rises and fills at least one source each time, and most of them in the first.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    known = stage(sizes, "sources")
+    t = numbered(known, [F.col("source").asc_nulls_last()], "at").where("source_size > 0")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("at", order).withColumn("weight", weight).where("source_size > 0")
-    t = t.withColumn("cap", F.lit(float(ceiling)) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    by_ratio, everything = Window.orderBy("full_at", "at"), Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("own_level", left / weight_left).withColumn("rank", F.row_number().over(by_ratio))
-    # the first source that its level does not fill sets the level of all that follow
-    first = F.min(F.when(F.col("own_level") < F.col("full_at"), F.struct("rank", "own_level"))).over(everything)
-    t = t.withColumn("first", first)
-    full = F.col("first").isNull() | (F.col("rank") < F.col("first.rank"))
-    t = t.select(F.col("source").alias("t_source"), F.when(full, F.col("cap")).otherwise(F.col("first.own_level") * F.col("weight")).alias("target"))
-    out = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left")
+    t = t.withColumn("weight", weight).withColumn("cap", F.lit(float(ceiling)) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
+    t = stage(t.select(F.col("source").alias("t_source"), "source_size", "weight", "cap", "full_at"), "weights")
+    total, of_weights, n = t.agg(F.sum("source_size"), F.sum("weight"), F.count(F.lit(1))).first()
+    level, full = (float(share) * total / of_weights if n else 0.0), 0
+    while n:
+        is_full = F.col("full_at") <= level
+        cap, weight_full, now = t.agg(F.sum(F.when(is_full, F.col("cap"))), F.sum(F.when(is_full, F.col("weight"))), F.count(F.when(is_full, 1))).first()
+        if now in (full, n):
+            break
+        level, full = (float(share) * total - cap) / (of_weights - weight_full), now
+    target = F.when(F.col("full_at") <= level, F.col("cap")).otherwise(F.lit(level) * F.col("weight"))
+    out = known.join(t.select("t_source", target.alias("target")), F.col("source").eqNullSafe(F.col("t_source")), "left")
     return out.select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
@@ -60,7 +62,7 @@ def coin(key: Column, seed: str = "mix") -> Column:
 def rates(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
     """(row, doc_id, source, size, source_size, target, rate, copies); row holds the columns of docs."""
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    per_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, ceiling))
+    per_source = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, ceiling), "targets")
     small = per_source.select(F.col("source").alias("s_source"), "source_size", "target")
     same = F.col("source").eqNullSafe(F.col("s_source"))
     if small.count() <= BROADCAST_SOURCES:
