@@ -32,9 +32,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: A start tag in the first set ends an open element of the same set.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: What follows a tag's name: a quote opens a value only directly after a =.
+_ATTRIBUTES = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|)|[^>=])*"
+#: Comments; elements whose content is no text of the page (form fields among them); tags; declarations.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -181,6 +184,26 @@ class Field:
         return path[::-1]
 
 
+def expectations(e: np.ndarray, pairs: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By forward and backward sums: ln Z of each sequence, P(main text) of each block, and how often each pair of labels is expected.
+
+    e: scores by sequence, block and label; real: which blocks there are, the sequences being as long as the longest.
+    """
+    longest = e.shape[1]
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    forward[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        s = forward[:, t - 1, :, None] + pairs
+        forward[:, t] = np.where(real[:, t, None], np.logaddexp(s[:, 0], s[:, 1]) + e[:, t], forward[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        s = pairs + (e[:, t + 1] + backward[:, t + 1])[:, None, :]
+        backward[:, t] = np.where(real[:, t + 1, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), 0)
+    z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    p = np.exp(forward + backward - z[:, None, None])[:, :, 1] * real
+    joint = np.exp(forward[:, :-1, :, None] + pairs + (e + backward)[:, 1:, None, :] - z[:, None, None, None])
+    return z, p, (joint * real[:, 1:, None, None]).sum(axis=(0, 1))
+
+
 def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, ridge: float = 0.02) -> tuple[dict[str, float], list[list[float]]]:
     """Maximum likelihood by gradient steps over all pages at once; pages: (html, label of each block)."""
     sequences = []
@@ -202,23 +225,11 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, ridge: float =
     owner, feature = np.array(owner), np.array(feature)
     w, pairs = np.zeros(len(names)), np.zeros((2, 2))
     momentum = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(pairs), np.zeros_like(pairs)]
-    both = real[:, 1:]
-    gold_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
+    gold_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
     for step in range(1, rounds + 1):
         e = np.zeros((n, longest, 2))
         e[:, :, 1] = np.bincount(owner, weights=w[feature], minlength=n * longest).reshape(n, longest)
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            s = forward[:, t - 1, :, None] + pairs
-            forward[:, t] = np.where(real[:, t, None], np.logaddexp(s[:, 0], s[:, 1]) + e[:, t], forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            s = pairs + (e[:, t + 1] + backward[:, t + 1])[:, None, :]
-            backward[:, t] = np.where(real[:, t + 1, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), 0)
-        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        p = np.exp(forward + backward - z[:, None, None])[:, :, 1] * real
-        joint = np.exp(forward[:, :-1, :, None] + pairs + (e + backward)[:, 1:, None, :] - z[:, None, None, None])
-        expected = (joint * both[:, :, None, None]).sum(axis=(0, 1))
+        _, p, expected = expectations(e, pairs, real)
         grad_w = np.bincount(feature, weights=((y - p) * real).reshape(-1)[owner], minlength=len(names)) - ridge * w * n / 10
         grads = (grad_w / n, (gold_pairs - expected) / n - ridge * pairs)
         for k, (x, g) in enumerate(zip((w, pairs), grads, strict=True)):
