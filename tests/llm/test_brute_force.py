@@ -368,6 +368,47 @@ def test_extraction_on_unseen_layouts():
     assert right / total > 0.98
 
 
+def every_path(n):
+    return [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+
+
+def test_viterbi_against_all_paths():
+    found = extraction.blocks("<nav><a href=/>A</a></nav><article><h1>T</h1><p>Some words, here.</p><aside>Buy</aside><p>More, and more.</p></article><div>x</div><footer>f</footer>")
+    r = np.random.default_rng(2)
+    names = sorted({f for i, b in enumerate(found) for f in [*b.path, *extraction.text_features(b, i / len(found))]})
+    for _ in range(20):
+        field = extraction.Field(dict(zip(names, r.normal(size=len(names)) * 2, strict=True)), r.normal(size=(2, 2)).tolist())
+        e = [sum(field.weights[f] for f in [*b.path, *extraction.text_features(b, i / len(found))]) for i, b in enumerate(found)]
+        best = max(every_path(len(e)), key=lambda y: sum(s for s, x in zip(e, y, strict=True) if x) + sum(field.pairs[a][b] for a, b in zip(y, y[1:])))  # noqa: B023
+        assert field.labels(found) == [bool(x) for x in best]
+
+
+def test_expectations_against_all_paths():
+    r = np.random.default_rng(4)
+    e, pairs, size = r.normal(size=(3, 5, 2)), r.normal(size=(2, 2)), [5, 3, 1]
+    real = np.arange(5)[None, :] < np.array(size)[:, None]
+    e[~real] = 0
+    z, p, joint = extraction.expectations(e, pairs, real)
+    want_joint = np.zeros((2, 2))
+    for i, n in enumerate(size):
+        weight = {tuple(y): math.exp(sum(e[i, t, x] for t, x in enumerate(y)) + sum(pairs[a, b] for a, b in zip(y, y[1:]))) for y in every_path(n)}
+        total = sum(weight.values())
+        assert math.isclose(z[i], math.log(total))
+        for t in range(n):
+            assert math.isclose(p[i, t], sum(w for y, w in weight.items() if y[t]) / total)
+        for y, w in weight.items():
+            for a, b in zip(y, y[1:]):
+                want_joint[a, b] += w / total
+    assert np.allclose(joint, want_joint)
+
+
+def test_extraction_of_odd_tags():
+    field = extraction.Field(*extraction.trained())
+    page = "<article><h1>Title of it</h1><p data-x=it's class=b>First paragraph, with words and more words.</p><textarea>form field</textarea><p title=\"a>b\">Second paragraph, it's long enough too.</p><p title=\"open>Third paragraph, with some words.</p></article>"
+    got = extraction.main_text(field, page).split("\n")
+    assert got == ["Title of it", "First paragraph, with words and more words.", "Second paragraph, it's long enough too.", "Third paragraph, with some words."]
+
+
 def test_extraction_of_a_page():
     page = """<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></li></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p>First  <b>bold</b>\n text&nbsp;here, with some words.<br>And more of it.</p><aside class="ad">Buy now!</aside>
@@ -407,16 +448,84 @@ def test_quality_base_and_verdicts(spark, sf, texts):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
+def numpy_estimate(x, spread):
+    """Centre and covariance of rows in units, with the least spreads."""
+    y = x / quality.UNIT
+    cov = np.cov(y.T, bias=True) * spread
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), [s**2 for s in quality.STATS.values()]))
+    return y.mean(0), cov
+
+
+def numpy_distance(x, centre, cov):
+    y = x / quality.UNIT - centre
+    return np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)
+
+
+def points(spark, x, name=None):
+    return spark.createDataFrame([(name, None, *map(int, v)) for v in x], "g_lang string, g_source string, " + ", ".join(f"s_{k} long" for k in quality.STATS))
+
+
 def test_mahalanobis_is_the_distance(spark):
     r = np.random.default_rng(3)
     x = (r.normal(size=(500, 5)) @ r.normal(size=(5, 5)) * 400 + 4000).round().astype(int)
-    rows = spark.createDataFrame([(0, None, None, *map(int, v)) for v in x], "level int, g_lang string, g_source string, " + ", ".join(f"s_{k} long" for k in quality.STATS))
-    e = quality._estimate(rows).select("level", "centre", "factor")
-    got = sorted(v["d2"] for v in quality._with_distance(rows.join(e, "level")).collect())
-    y = x / quality.UNIT
-    cov = np.cov(y.T, bias=True) * quality.CONSISTENCY + np.diag([s**2 for s in quality.STATS.values()])
-    want = sorted(np.einsum("ij,jk,ik->i", y - y.mean(0), np.linalg.inv(cov), y - y.mean(0)))
-    assert np.allclose(got, want, rtol=1e-6)
+    rows = points(spark, x)
+    e = quality.shaped(quality.moments(rows, quality.GROUP), 1.3).select("centre", "factor", "log_det").first()
+    centre, cov = numpy_estimate(x, 1.3)
+    got = quality._with_distance(rows.crossJoin(spark.createDataFrame([(e["centre"], e["factor"])], "centre array<double>, factor array<double>")))
+    assert np.allclose(sorted(v["d2"] for v in got.collect()), sorted(numpy_distance(x, centre, cov)), rtol=1e-6)
+    assert math.isclose(e["log_det"], np.linalg.slogdet(cov)[1] / 2, rel_tol=1e-9)
+
+
+def test_chi_square_levels():
+    draws = (np.random.default_rng(1).normal(size=(400_000, 5)) ** 2).sum(1)
+    for level in (0.5, 0.975):
+        q = quality.quantile(level)
+        assert abs((draws < q).mean() - level) < 0.003
+        assert abs(quality.consistency(level) * draws[draws < q].mean() / 5 - 1) < 0.01
+
+
+def test_minimum_determinant_against_numpy(spark):
+    """The same half of least determinant as steps in NumPy from many random starts, and the same verdicts."""
+    r = np.random.default_rng(8)
+    good = r.normal(size=(260, 5)) @ np.diag([300, 200, 150, 400, 250]) + 3000
+    bad = r.normal(size=(140, 5)) * 60 + [5200, 1500, 4200, 800, 5000]
+    x = np.concatenate([good, bad]).round().astype(int)
+    h = (len(x) + 6) // 2
+
+    def steps(subset):
+        centre, cov = numpy_estimate(x[subset], 1.0)
+        while True:
+            d = numpy_distance(x, centre, cov)
+            bins = np.floor(np.log1p(d) * 64)
+            keep = bins <= np.sort(bins)[h - 1]
+            centre, new = numpy_estimate(x[keep], quality.consistency(0.5))
+            if np.allclose(new, cov):
+                return np.linalg.slogdet(cov)[1] / 2, centre, cov
+            cov = new
+
+    best = min((steps(r.choice(len(x), 12, replace=False)) for _ in range(60)), key=lambda s: s[0])
+    rows = points(spark, x, "en")
+    quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in quality.NAMES]
+    got = quality.half_estimates(rows, True, rows.groupBy(*quality.GROUP).agg(F.count(F.lit(1)).alias("size"), *quarters)).first()
+    assert got["log_det"] <= best[0] + 0.05
+    # the verdicts: near rows, the prior of the only language (the group itself), and the last cut
+    centre, cov = numpy_estimate(x[numpy_distance(x, best[1], best[2]) <= quality.quantile(0.975)], quality.consistency(0.975))
+    want = numpy_distance(x, centre, cov) <= quality.quantile(quality.LEVEL)
+    e = quality.estimates(rows.withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).first()
+    factor = np.zeros((5, 5))
+    factor[np.tril_indices(5)] = e["factor"]
+    kept = numpy_distance(x, np.array(e["centre"]), factor @ factor.T) <= quality.quantile(quality.LEVEL)
+    assert not kept[260:].any() and kept[:260].all() and (kept == want).all()
+
+
+def test_groups_are_drawn_towards_their_language(spark):
+    """One lone row of a source is judged by its language's kind."""
+    r = np.random.default_rng(9)
+    x = (r.normal(size=(300, 5)) * 100 + 3000).round().astype(int)
+    rows = points(spark, x, "en").withColumn("g_source", F.lit("big")).unionByName(points(spark, [[9000, 9000, 9000, 9000, 9000]], "en").withColumn("g_source", F.lit("small")))
+    e = {v["g_source"]: v for v in quality.estimates(rows.withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).collect()}
+    assert abs(e["big"]["centre"][0] - 3000 / quality.UNIT) < 0.1
+    assert e["small"]["centre"][0] < 4000 / quality.UNIT
 
 
 @pytest.mark.parametrize("share", [0.28, 0.36, 0.45])
