@@ -240,17 +240,17 @@ def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[order[a]]), order[a:b]
 
 
-def _planes(x: np.ndarray) -> bytes:
+def planes(x: np.ndarray) -> bytes:
     """Numbers as bytes, all lowest bytes first: what is alike lies side by side for compression."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _unplanes(b: bytes, dtype) -> np.ndarray:
+def unplanes(b: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def _gaps(keys: np.ndarray) -> np.ndarray:
+def gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=U(0))
 
 
@@ -264,7 +264,7 @@ def _report(deal):
         own, dealt = block.column("block")[0].as_py(), deal.value
         for kind, (k, c, b) in enumerate(((symbols, n_symbols, dealt.bucket_of(symbols)), (tokens, n_tokens, (tokens % U(dealt.buckets)).astype(np.int64)))):
             for bucket, at in _by_bucket(b):
-                for name, value in zip(rows, (bucket, own, kind, _planes(_gaps(k[at])), _planes(c[at].astype(np.uint32))), strict=True):
+                for name, value in zip(rows, (bucket, own, kind, planes(gaps(k[at])), planes(c[at].astype(np.uint32))), strict=True):
                     rows[name].append(value)
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
@@ -348,8 +348,8 @@ def _answer(low: np.ndarray, deal):
     def run(bucket: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("block", "bucket", "kind", "values", "kinds", "total")}
         kinds, blocks = bucket.column("kind").to_pylist(), bucket.column("block").to_pylist()
-        keys = [np.cumsum(_unplanes(x, np.uint64), dtype=U) for x in bucket.column("keys").to_pylist()]
-        counts = [_unplanes(x, np.uint32) for x in bucket.column("counts").to_pylist()]
+        keys = [np.cumsum(unplanes(x, np.uint64), dtype=U) for x in bucket.column("keys").to_pylist()]
+        counts = [unplanes(x, np.uint32) for x in bucket.column("counts").to_pylist()]
         name = bucket.column("bucket")[0].as_py()
 
         def add(*values) -> None:
@@ -363,7 +363,7 @@ def _answer(low: np.ndarray, deal):
             k, c = _summed([keys[i] for i in mine], [counts[i].astype(np.int64) for i in mine])
             value = log_probabilities(k, c, low, deal.value).astype(np.float32) if kind == 0 else c.astype(np.uint64)
             for i in mine:
-                add(blocks[i], name, kind, _planes(value[find(k, keys[i])]), 0, 0)
+                add(blocks[i], name, kind, planes(value[find(k, keys[i])]), 0, 0)
             if kind == 1:  # distinct tokens and tokens of the training texts
                 add(-1, name, 2, b"", int((c > 0).sum()), int(c.sum()))
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
@@ -386,7 +386,7 @@ def _score(deal, n_train: int, v_train: int):
         logp, count = np.zeros(len(symbols)), np.zeros(len(tokens))
         for kind, (b, into, dtype) in enumerate(((dealt.bucket_of(symbols), logp, np.float32), ((tokens % U(dealt.buckets)).astype(np.int64), count, np.uint64))):
             for bucket, at in _by_bucket(b):
-                into[at] = _unplanes(of[kind, bucket], dtype)
+                into[at] = unplanes(of[kind, bucket], dtype)
         log_count = np.log10(count + 1)
         texts = block.column("text").combine_chunks()
         n, known, base, score = (np.zeros(len(texts)) for _ in range(4))

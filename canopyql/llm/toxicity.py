@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.llm.flat import U, find, pieces, slots, words
-from canopyql.llm.ppm import symbols_of
+from canopyql.llm.ppm import gaps, planes, symbols_of, unplanes
 from canopyql.session import table
 
 N = 8
 SHARED = 2
 #: Windows from CUT bytes on are kept if they occur twice or more in the labelled sample.
 CUT = 6
-MOST_DOCS, MOST_CHARS = 2000, 12_000_000
+MOST_DOCS, MOST_CHARS = 1000, 4_000_000
 #: Bytes of text worked on at a time, in scoring and in training.
 PIECE, TRAIN_PIECE = 4 << 20, 256 << 10
 
@@ -202,11 +203,25 @@ def fitted(texts: list[str], y: np.ndarray, share: float) -> dict | None:
     return {"model": made, "calibration": _logistic(x, y[third], weight * len(x) / weight.sum())}
 
 
+def packed(made: dict) -> bytes:
+    """Fitted models as few bytes: gaps between sorted keys, bytes of like weight side by side, compressed."""
+    orders = [(n, planes(gaps(w)), planes(share.reshape(-1)), planes(gaps(c)), planes(weight.reshape(-1))) for n, w, share, c, weight in made["model"]["orders"]]
+    return zlib.compress(pickle.dumps({"orders": orders, "pair": made["model"]["pair"].astype(np.float32), "calibration": made["calibration"]}))
+
+
+def unpacked(data: bytes) -> dict:
+    raw = pickle.loads(zlib.decompress(data))
+    keys = lambda x: np.cumsum(unplanes(x, np.uint64), dtype=U)
+    of_both = lambda x: unplanes(x, np.float32).reshape(2, -1)
+    orders = [(n, keys(w), of_both(share), keys(c), of_both(weight)) for n, w, share, c, weight in raw["orders"]]
+    return {"model": {"orders": orders, "pair": raw["pair"].astype(float)}, "calibration": raw["calibration"]}
+
+
 def _fit_task(share: float):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
         made = fitted(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(int), share)
-        return pa.table({"model": pa.array([pickle.dumps(made)] if made else [], pa.binary())})
+        return pa.table({"model": pa.array([packed(made)] if made else [], pa.binary())})
 
     return run
 
@@ -216,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
     made = sample(docs, labels).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit_task(share), "model binary").collect()
-    return {"fitted": bytes(made[0]["model"]), "name": uuid.uuid4().hex} if made else {"constant": share}
+    return {"fitted": made[0]["model"], "name": uuid.uuid4().hex} if made else {"constant": share}
 
 
 _INDEXED: dict[str, dict] = {}
@@ -226,7 +241,7 @@ def _indexed(trained: dict) -> dict:
     """This process's copy of a broadcast model, with its look-up tables; that of an earlier one goes."""
     if trained["name"] not in _INDEXED:
         _INDEXED.clear()
-        made = pickle.loads(trained["fitted"])
+        made = unpacked(trained["fitted"])
         _INDEXED[trained["name"]] = {"model": indexed(made["model"]), "calibration": made["calibration"]}
     return _INDEXED[trained["name"]]
 

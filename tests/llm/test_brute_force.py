@@ -181,6 +181,14 @@ def test_toxicity_models_against_plain_python():
             assert np.allclose(toxicity.probabilities(model, every).sum(axis=1), 1, rtol=1e-5)
 
 
+def test_toxicity_models_come_back_as_packed():
+    made = toxicity.fitted(TOXIC_TEXTS * 4, np.tile(TOXIC, 4), 0.3)
+    again = toxicity.unpacked(toxicity.packed(made))
+    for x, y in zip(made["model"]["orders"], again["model"]["orders"], strict=True):
+        assert x[0] == y[0] and all(np.array_equal(a, b) for a, b in zip(x[1:], y[1:], strict=True))
+    assert np.allclose(made["model"]["pair"], again["model"]["pair"], rtol=1e-6)
+
+
 def test_toxicity_features_against_plain_python():
     import pyarrow as pa
 
