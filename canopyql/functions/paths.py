@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # File extensions and their languages.
 LANGUAGES = {".rs": "rust", ".ts": "ts", ".tsx": "tsx", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "jsx", ".py": "py", ".md": "md", ".markdown": "md"}
-# Directories that are never indexed, at any depth and in any case.
+# Directories that are never indexed, at any depth and in any case (and this project's own).
 SKIPPED = (
-    ".git .hg .svn .repoctx .idea .vscode .cache node_modules bower_components jspm_packages .pnpm-store .yarn vendor deps site-packages "
+    ".git .hg .svn .canopyql .idea .vscode .cache node_modules bower_components jspm_packages .pnpm-store .yarn vendor deps site-packages "
     "target dist build out output outputs coverage .next .nuxt .svelte-kit .turbo .parcel-cache .gradle Pods DerivedData .venv venv __pycache__ "
     ".tox .mypy_cache .pytest_cache .ruff_cache archive archives .agents .claude .cursor tmp logs"
 ).split()

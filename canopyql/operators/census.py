@@ -28,6 +28,15 @@ def self_check(declarations: DataFrame, registry: DataFrame) -> DataFrame:
     return out.union(rows(registry.where(F.col("status").isin("planned", "skipped") & (F.coalesce("reason", F.lit("")) == "")), "no reason given"))
 
 
-def audit(classified: DataFrame) -> DataFrame:
-    """One row a language and status: how many node types and nodes."""
-    return classified.where("status IS NOT NULL").groupBy("lang", "status").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("nodes"))
+def counted(nodes: DataFrame) -> DataFrame:
+    """(lang, node, n, sample) from (lang, node, path, l): how often a node type is met, and the first place where it is."""
+    first = F.min(F.struct("path", "l"))
+    return nodes.groupBy("lang", "node").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select("lang", "node", "n", F.concat_ws(":", "f.path", F.col("f.l").cast("string")).alias("sample"))
+
+
+def audit(classified: DataFrame, strict: bool = False) -> DataFrame:
+    """One row a language and status: how many node types and nodes. strict: ValueError if any type is unclassified."""
+    out = classified.where("status IS NOT NULL").groupBy("lang", "status").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("nodes"))
+    if strict and (bad := classified.where("status = 'unclassified'").limit(20).collect()):
+        raise ValueError("unclassified: " + ", ".join(f"{r['lang']}/{r['node']}" for r in bad))
+    return out

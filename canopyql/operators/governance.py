@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyql.functions import paths
+from canopyql.session import stage
 
 
 def modules_of(paths_table: DataFrame, roots: DataFrame) -> DataFrame:
@@ -49,6 +50,30 @@ def unmapped(links: DataFrame, module_of: DataFrame) -> DataFrame:
     return links.join(a, "from_path").join(b, "to_path").agg(F.coalesce(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("int")), F.lit(0)).cast("long").alias("unmapped"))
 
 
+def unique_imports(imports: DataFrame, symbols: DataFrame, members: tuple[str, ...]) -> DataFrame:
+    """(from_path, to_path) of imported names (path, name) that exactly one symbol has, impls and members aside."""
+    one = symbols.where(~F.col("t").isin("impl", *members)).groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("to_path")).where("c = 1")
+    return imports.select(F.col("path").alias("from_path"), F.col("name").alias("n")).distinct().join(one, "n").select("from_path", "to_path")
+
+
+def unknown(roots: DataFrame, requires: DataFrame, entries: DataFrame, known_paths: DataFrame) -> DataFrame:
+    """(rule, module, detail): modules that are required but not declared, and entry points that are no file of known_paths (path)."""
+    a = requires.join(roots.select(F.col("module").alias("required")).distinct(), "required", "left_anti").select(F.lit("unknown-module").alias("rule"), "module", F.col("required").alias("detail"))
+    b = entries.join(known_paths.select(F.col("path").alias("entry")).distinct(), "entry", "left_anti").select(F.lit("missing-entrypoint").alias("rule"), "module", F.col("entry").alias("detail"))
+    return a.union(b)
+
+
+def in_cycles(pairs: DataFrame) -> DataFrame:
+    """(module): modules that reach themselves over pairs (a, b). Modules are declared by hand: their graph is as small as the rule file."""
+    far = pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+    size = far.count()
+    while True:
+        far = stage(far.union(far.select("a", F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).distinct(), "far")
+        if (now := far.count()) == size:
+            return far.where("a = b").select(F.col("a").alias("module"))
+        size = now
+
+
 def cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
     """Cycles closed by back edges of a depth-first walk, one for each set of members; modules are few and named by hand."""
     out: dict[str, list[str]] = {}

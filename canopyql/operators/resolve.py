@@ -1,8 +1,10 @@
 """Name resolution: references to definitions, each edge with its provenance.
 
-References (src, tk, pos) meet definitions on the name. What may be linked is filtered in the join; all
-conditions of the decision are then gathered in one aggregate over (src, tk) and settled by one ``when``
-chain, so a reference costs one shuffle whatever the outcome.
+References (src, tk, pos) meet definitions on the name, but never one by one: whatever the decision about a
+reference depends on are counts, least and greatest ids of the definitions of its name, over all of them (for
+the language family of the source), over those of its own file, and over those that are visible below their
+own directory. These are aggregates of the definitions alone, made once, so that a reference meets one short
+row of each kind and is settled by one ``when`` chain, however many definitions its name has.
 """
 
 from __future__ import annotations
@@ -19,69 +21,139 @@ MEMBERS = ("field", "prop", "variant")
 TYPES = ("struct", "enum", "trait", "type", "iface", "class")
 
 
-def references(symbols: DataFrame, text: Column) -> DataFrame:
-    """(src, tk, pos): distinct identifiers of each symbol's text, without its own name and short ones."""
-    found = F.array_distinct(identifiers(text))
-    out = symbols.select(F.col("sym_id").alias("src"), F.col("n").alias("own"), F.posexplode(found).alias("pos", "tk"))
-    return out.where((F.col("tk") != F.col("own")) & (F.char_length("tk") >= 3)).select("src", "tk", "pos")
+#: Rows up to which a table of names is broadcast.
+BROADCAST_NAMES = 200_000
+FAMILIES = ("rs", "ts", "other")
 
 
-def _compatible(a: Column, b: Column) -> Column:
-    return (a == b) | (a == "other") | (b == "other")
+def references(symbols: DataFrame, text: Column | None = None, tokens: Column | None = None, least: int = 3) -> DataFrame:
+    """(src, own, s_p, s_family, s_sec, s_can, tk, pos): distinct identifiers of each symbol's text (or its tokens), without its own name and short ones.
 
+    s_can says whether the symbol itself could be a definition that references mean.
+    """
+    found = F.array_distinct(identifiers(text)) if tokens is None else F.array_distinct(tokens)
+    out = symbols.select(*_source(), F.posexplode(found).alias("pos", "tk"))
+    return out.where((F.col("tk") != F.col("own")) & (F.char_length("tk") >= least))
 
-def candidates(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """References with each definition they may mean; aliases (path, local, original) serve names without any definition."""
-    s = symbols.select(F.col("sym_id").alias("src"), F.col("p").alias("s_p"), (F.col("t") == "sec").alias("s_sec"), paths.family(F.col("p")).alias("s_family"))
+
+def _source() -> list[Column]:
+    """What a decision needs to know of a reference's symbol."""
+    can = ~F.col("t").isin(*MEMBERS, "impl") & ~paths.is_vendor(F.col("p"))
+    out = [F.col("sym_id").alias("src"), F.col("n").alias("own"), F.col("p").alias("s_p"), paths.family(F.col("p")).alias("s_family"), (F.col("t") == "sec").alias("s_sec"), can.alias("s_can")]
+    return out + [F.col(c).alias(f"s_{c}") for c in ("t", "q", "exp", "local")]
+
+
+def _with_source(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    return refs if "s_p" in refs.columns else refs.join(symbols.select(*_source()), "src")
+
+
+def _value(t: str) -> Column:
+    return F.col(t).isin("var", "const")
+
+
+def _count(c: Column) -> Column:
+    return F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+
+
+def _beside(rows: DataFrame, names: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with a table of names, which is broadcast if its rows, counted here, are few."""
+    return rows.join(F.broadcast(names) if names.count() <= BROADCAST_NAMES else names, on, how)
+
+
+def definitions(symbols: DataFrame) -> DataFrame:
+    """What a name may mean: (dst, name, d_p, d_family, and the properties that decide)."""
+    d = symbols.where(~F.col("t").isin(*MEMBERS, "impl") & ~paths.is_vendor(F.col("p")))
+    family, local = paths.family(F.col("p")), F.coalesce("local", F.lit(False))
+    open_ = F.col("exp").isNull() | F.col("exp")
+    return d.select(
+        F.col("sym_id").alias("dst"), F.col("n").alias("name"), F.col("p").alias("d_p"), family.alias("d_family"),
+        F.col("t").isin("fn", "method").alias("callable"), (_value("t") & local).alias("inner"), local.alias("d_local"),
+        (F.col("q").isNull() & ~_value("t")).alias("plain"), open_.alias("open"),
+        (~open_ & (family != "ts")).alias("below"),
+    )
+
+
+def _summaries(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The definitions of each name: for a source's family, of a file, and of those seen only below a directory."""
+    ids = lambda c, out: [F.min(F.when(c, F.col("dst"))).alias(f"{out}_low"), F.max(F.when(c, F.col("dst"))).alias(f"{out}_high")]
+    # a source of one family may mean definitions of that family and of none; one of no family all
+    met = F.when(F.col("d_family") == "other", F.array(*[F.lit(f) for f in FAMILIES])).otherwise(F.array("d_family", F.lit("other")))
+    everywhere = d.withColumn("s_family", F.explode(met)).groupBy("name", "s_family").agg(
+        F.count(F.lit(1)).alias("k"), *ids(F.lit(True), "any"), _count(F.col("callable")).alias("callables"), _count(F.col("inner")).alias("inners"),
+        _count(F.col("open")).alias("opens"), _count(F.col("open") & ~F.col("d_local")).alias("far_opens"), *ids(F.col("open"), "open"),
+    )
+    here = d.groupBy("name", F.col("d_p").alias("s_p")).agg(
+        F.count(F.lit(1)).alias("sf"), *ids(F.lit(True), "sf"), _count(F.col("plain")).alias("sf_plains"),
+        _count(F.col("open")).alias("sf_opens"), _count(F.col("open") & ~F.col("d_local")).alias("sf_far_opens"),
+        _count(F.col("below")).alias("sf_belows"), _count(F.col("below") & ~F.col("d_local")).alias("sf_far_belows"),
+    )
+    private = d.where("below").withColumn("home", paths.directory(F.col("d_p"))).where("home <> ''")
+    below = private.withColumn("s_family", F.explode(met)).groupBy("name", "s_family", "home").agg(
+        F.count(F.lit(1)).alias("belows"), _count(~F.col("d_local")).alias("far_belows"), *ids(F.lit(True), "below"),
+    )
+    return everywhere, here, below
+
+
+def decided_by_name(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(src, tk, pos, prov, dst): prov is an edge's provenance, ``local-only`` or ``ambiguous`` (dst null).
+
+    aliases (path, local, original) serve names without any definition.
+    """
+    refs = _with_source(symbols, refs)
     wanted = refs.withColumn("name", F.col("tk")).withColumn("via_alias", F.lit(False))
     if aliases is not None:
         # the test for "no definition" is made on the aliases, which are few, not on the references
-        free = aliases.join(symbols.select(F.col("n").alias("local")), "local", "left_anti")
-        renamed = refs.join(free, F.col("tk") == F.col("local")).join(s, "src").where(F.col("s_p") == F.col("path"))
-        wanted = wanted.unionByName(renamed.select("src", "tk", "pos", F.col("original").alias("name"), F.lit(True).alias("via_alias")))
-    d = symbols.where(~F.col("t").isin(*MEMBERS, "impl") & ~paths.is_vendor(F.col("p")))
-    d = d.select(F.col("sym_id").alias("dst"), F.col("n").alias("name"), F.col("p").alias("d_p"), F.col("t").alias("d_t"), F.col("q").alias("d_q"), F.col("exp").alias("d_exp"), F.col("local").alias("d_local"), paths.family(F.col("p")).alias("d_family"))
-    out = wanted.join(d, "name").where(F.col("src") != F.col("dst")).join(s, "src")
-    return out.where(_compatible(F.col("s_family"), F.col("d_family")))
-
-
-def decisions(pairs: DataFrame) -> DataFrame:
-    """(src, tk, pos, prov, dst): prov is an edge's provenance, ``local-only`` or ``ambiguous`` (dst null)."""
-    same = F.col("s_p") == F.col("d_p")
-    value = F.col("d_t").isin("var", "const")
-    below = F.col("s_p").startswith(F.concat(paths.directory(F.col("d_p")), F.lit("/")))
-    seen = same | F.col("d_exp").isNull() | F.when(F.col("d_family") == "ts", F.col("d_exp")).otherwise(F.col("d_exp") | below)
-    count = lambda c: F.sum(c.cast("int"))
-    g = pairs.groupBy("src", "tk").agg(
-        F.min("pos").alias("pos"),
-        F.first("s_sec").alias("sec"),
-        F.bool_or("via_alias").alias("alias"),
-        F.count(F.lit(1)).alias("k"),
-        F.min("dst").alias("one"),
-        F.bool_or(same).alias("one_same"),
-        count(same).alias("sf"),
-        F.min(F.when(same, F.col("dst"))).alias("sf_id"),
-        F.bool_or(same & F.col("d_q").isNull() & ~value).alias("sf_plain"),
-        F.bool_and(F.col("d_t").isin("fn", "method")).alias("all_fm"),
-        F.count_distinct("d_p").alias("np"),
-        count(seen).alias("vn"),
-        F.min(F.when(seen, F.col("dst"))).alias("v_id"),
-        F.bool_or(seen & ~same & ~F.coalesce("d_local", F.lit(False))).alias("v_far"),
-        F.bool_and(value & F.coalesce("d_local", F.lit(False))).alias("all_loc"),
-    )
+        free = aliases.join(symbols.select(F.col("n").alias("local")).distinct(), "local", "left_anti").select(F.col("path").alias("s_p"), F.col("local").alias("tk"), F.col("original").alias("name"))
+        renamed = _beside(refs, free, ["s_p", "tk"], "inner").withColumn("via_alias", F.lit(True))
+        wanted = wanted.unionByName(renamed)
+    everywhere, here, below = _summaries(definitions(symbols))
+    x = _beside(wanted, everywhere, ["name", "s_family"], "inner")
+    x = _beside(x, here, ["name", "s_p"], "left")
+    x = _with_below(x, below)
+    # a symbol that meets its own name (through an alias) doesn't count
+    own = (F.col("own") == F.col("name")) & F.col("s_can")
+    less = lambda c, part=F.lit(True): F.coalesce(F.col(c), F.lit(0)) - (own & part).cast("int")
+    other = lambda c: F.when(own & (F.col(f"{c}_low") == F.col("src")), F.col(f"{c}_high")).otherwise(F.col(f"{c}_low"))
+    is_open, local = F.col("s_exp").isNull() | F.col("s_exp"), F.coalesce("s_local", F.lit(False))
+    is_below = ~is_open & (F.col("s_family") != "ts")
+    x = x.select(
+        "src", "tk", "pos", "via_alias", F.col("s_sec").alias("sec"),
+        less("k").alias("k"), other("any").alias("one"), less("sf").alias("sf"), other("sf").alias("sf_id"),
+        less("sf_plains", F.col("s_q").isNull() & ~_value("s_t")).alias("sf_plains"),
+        less("callables", F.col("s_t").isin("fn", "method")).alias("callables"), less("inners", _value("s_t") & local).alias("inners"),
+        # visible: all of the own file; elsewhere what is exported, or lies above; a private one above is counted without those of the file
+        (less("opens", is_open) - less("sf_opens", is_open)).alias("opens"), (less("far_opens", is_open & ~local) - less("sf_far_opens", is_open & ~local)).alias("far_opens"), other("open").alias("open_id"),
+        (less("belows", is_below) - less("sf_belows", is_below)).alias("belows"), (less("far_belows", is_below & ~local) - less("sf_far_belows", is_below & ~local)).alias("far_belows"), other("below").alias("below_id"),
+    ).where("k > 0")
+    # a file at the top has no directory whose name leads its path: its private definitions count there alone
+    seen = F.col("sf") + F.col("opens") + F.greatest("belows", F.lit(0))
+    far = (F.col("sf") == 0) & (F.col("far_opens") + F.greatest("far_belows", F.lit(0)) == 1)
+    sec = F.col("sec")
     prov = (
-        F.when((F.col("k") == 1) & F.col("alias"), "alias")
-        .when((F.col("k") == 1) & F.col("sec"), "doc")
-        .when((F.col("k") == 1) & F.col("one_same"), "same-file")
+        F.when((F.col("k") == 1) & F.col("via_alias"), "alias")
+        .when((F.col("k") == 1) & sec, "doc")
+        .when((F.col("k") == 1) & (F.col("sf") == 1), "same-file")
         .when(F.col("k") == 1, "name")
-        .when(~F.col("sec") & F.col("all_fm") & (F.col("np") > 1) & (F.col("k") <= 3) & (F.col("sf") == 1), "scope-unique")
-        .when(~F.col("sec") & (F.col("sf") == 1) & F.col("sf_plain"), "lexical")
-        .when(~F.col("sec") & (F.col("vn") == 1) & F.col("v_far"), "visibility")
-        .when(F.col("all_loc"), "local-only")
+        .when(~sec & (F.col("callables") == F.col("k")) & (F.col("k") <= 3) & (F.col("sf") == 1), "scope-unique")
+        .when(~sec & (F.col("sf") == 1) & (F.col("sf_plains") == 1), "lexical")
+        .when(~sec & (seen == 1) & far, "visibility")
+        .when(F.col("inners") == F.col("k"), "local-only")
         .otherwise("ambiguous")
     )
-    dst = F.when(F.col("k") == 1, F.col("one")).when(F.col("prov").isin("scope-unique", "lexical"), F.col("sf_id")).when(F.col("prov") == "visibility", F.col("v_id"))
-    return g.withColumn("prov", prov).withColumn("dst", dst).select("src", "tk", "pos", "prov", "dst")
+    visible = F.when(F.col("opens") == 1, F.col("open_id")).otherwise(F.col("below_id"))
+    dst = F.when(F.col("k") == 1, F.col("one")).when(F.col("prov").isin("scope-unique", "lexical"), F.col("sf_id")).when(F.col("prov") == "visibility", visible)
+    return x.withColumn("prov", prov).withColumn("dst", dst).select("src", "tk", "pos", "prov", "dst")
+
+
+def _with_below(x: DataFrame, below: DataFrame) -> DataFrame:
+    """x with belows, far_belows, below_low and below_high: the private definitions of its name in directories above its path."""
+    if below.isEmpty():
+        return x.select("*", F.lit(0).cast("long").alias("belows"), F.lit(0).cast("long").alias("far_belows"), F.lit(None).cast("long").alias("below_low"), F.lit(None).cast("long").alias("below_high"))
+    # which files lie below which of these directories is a matter of paths alone; a name has few directories on one path
+    files = x.select("s_p").distinct().withColumn("home", F.explode(paths.prefixes(paths.directory(F.col("s_p")))))
+    above = files.join(below, "home").groupBy("s_p", "name", "s_family")
+    above = above.agg(F.sum("belows").alias("belows"), F.sum("far_belows").alias("far_belows"), F.min("below_low").alias("below_low"), F.max("below_high").alias("below_high"))
+    return _beside(x, above, ["s_p", "name", "s_family"], "left")
 
 
 def qualified(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -104,9 +176,9 @@ def qualified(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 def resolve(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | None = None, qrefs: DataFrame | None = None) -> DataFrame:
     """All decisions. A name met as a qualified reference is used up by it, resolved or not."""
     if qrefs is None:
-        return decisions(candidates(symbols, refs, aliases))
+        return decided_by_name(symbols, refs, aliases)
     taken = qrefs.select("src", F.col("name").alias("tk")).distinct()
-    plain = decisions(candidates(symbols, refs.join(taken, ["src", "tk"], "left_anti"), aliases))
+    plain = decided_by_name(symbols, refs.join(taken, ["src", "tk"], "left_anti"), aliases)
     return qualified(symbols, qrefs).unionByName(plain)
 
 
@@ -126,14 +198,16 @@ def ambiguous_references(decided: DataFrame) -> DataFrame:
 
 def type_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(src, tk, prov, dst): references in type position; prov ``type`` or ``ambiguous``."""
-    s = symbols.select(F.col("sym_id").alias("src"), F.col("p").alias("s_p"), paths.family(F.col("p")).alias("s_family"))
     d = symbols.where(F.col("t").isin(*TYPES) & ~paths.is_vendor(F.col("p")))
     d = d.select(F.col("sym_id").alias("dst"), F.col("n").alias("tk"), F.col("p").alias("d_p"), paths.family(F.col("p")).alias("d_family"))
-    pairs = refs.join(d, "tk").where(F.col("src") != F.col("dst")).join(s, "src").where((F.col("s_family") == F.col("d_family")) | (F.col("d_family") == "other"))
-    same = F.col("s_p") == F.col("d_p")
-    g = pairs.groupBy("src", "tk").agg(F.count(F.lit(1)).alias("k"), F.min("dst").alias("one"), F.sum(same.cast("int")).alias("sf"), F.min(F.when(same, F.col("dst"))).alias("sf_id"))
-    dst = F.when(F.col("k") == 1, F.col("one")).when(F.col("sf") == 1, F.col("sf_id"))
-    return g.select("src", "tk", F.when(dst.isNotNull(), "type").otherwise("ambiguous").alias("prov"), dst.alias("dst"))
+    # a type of no family is met from all, any other from its own alone
+    met = F.when(F.col("d_family") == "other", F.array(*[F.lit(f) for f in FAMILIES])).otherwise(F.array("d_family"))
+    low_high = lambda out: [F.count(F.lit(1)).alias(out), F.min("dst").alias(f"{out}_low")]
+    d = d.withColumn("s_family", F.explode(met))
+    x = _beside(_with_source(symbols, refs), d.groupBy("tk", "s_family").agg(*low_high("k")), ["tk", "s_family"], "inner")
+    x = _beside(x, d.groupBy("tk", "s_family", F.col("d_p").alias("s_p")).agg(*low_high("sf")), ["tk", "s_family", "s_p"], "left")
+    dst = F.when(F.col("k") == 1, F.col("k_low")).when(F.col("sf") == 1, F.col("sf_low"))
+    return x.select("src", "tk", F.when(dst.isNotNull(), "type").otherwise("ambiguous").alias("prov"), dst.alias("dst"))
 
 
 def union(*tables: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def collapse(scores: DataFrame) -> DataFrame:
 
 def lens(symbols: DataFrame, query: str, norms: DataFrame, churn: DataFrame) -> DataFrame:
     """Symbols that answer a query, with rank: names 12 (equal) or 8 (contained), path 4, doc 3, signature 2 a term."""
-    terms = [w for w in "".join(c if c.isalnum() or c in "_$" else " " for c in query.lower()).split() if w]
+    terms = terms_of(query)
     joined = symbols.join(norms, "sym_id", "left").join(churn.withColumnRenamed("path", "p"), "p", "left")
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     points = F.lit(0.0)
@@ -119,12 +119,38 @@ def confidence(symbols: DataFrame, incoming: DataFrame, config: HubConfig = HubC
 
 
 def ambiguity_groups(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """(name, defs, refs, impls, docs, vendor_only, members) of names with several definitions."""
+    """(name, defs, refs, impls, docs, vendor_only) of names with several definitions."""
     g = symbols.groupBy(F.col("n").alias("name")).agg(
         F.count(F.lit(1)).alias("defs"),
         F.sum((F.col("t") == "impl").cast("int")).alias("impls"),
         F.sum((F.col("t") == "sec").cast("int")).alias("docs"),
         F.bool_and(paths.is_vendor(F.col("p"))).alias("vendor_only"),
-        F.sort_array(F.collect_list("sym_id")).alias("members"),
     )
     return g.where("defs > 1").join(refs, "name", "left").withColumn("refs", F.coalesce("refs", F.lit(0)))
+
+
+def group_members(symbols: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(n, sym_id, n_in, position) of every definition of an ambiguous name, the most referred to first; incoming: (dst, n_in)."""
+    many = symbols.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n")
+    x = symbols.select("sym_id", "n", "p", "l").join(many, "n").join(incoming.withColumnRenamed("dst", "sym_id"), "sym_id", "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+    w = Window.partitionBy("n").orderBy(F.col("n_in").desc(), "p", "l", "sym_id")
+    return x.select("n", "sym_id", "n_in", F.row_number().over(w).cast("long").alias("position"))
+
+
+def terms_of(query: str) -> list[str]:
+    """The terms of a question: runs of letters, digits, _ and $, in lower case."""
+    return "".join(c if c.isalnum() or c in "_$" else " " for c in query.lower()).split()
+
+
+def misses(symbols: DataFrame, query: str) -> DataFrame:
+    """(term): the terms that are no symbol's name, in any case."""
+    asked = symbols.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms_of(query))], "term string")
+    return asked.join(symbols.select(F.lower("n").alias("term")), "term", "left_anti")
+
+
+def positive(value, name: str) -> int:
+    """A strictly positive whole number, from a number or its digits; ValueError for anything else."""
+    text = str(value)
+    if isinstance(value, bool) or not text.isascii() or not text.isdigit() or int(text) < 1:
+        raise ValueError(f"{name} takes a positive whole number, not {value!r}")
+    return int(text)

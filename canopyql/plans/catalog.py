@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import strip_noise, token_estimate
-from canopyql.operators import census, governance, graph, resolve, score
+from canopyql.operators import census, extract, governance, graph, resolve, score
 from canopyql.plans import virtual as v
 from canopyql.session import stage, table
+from canopyql.sources import tree
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -56,20 +57,19 @@ def scan_filter_skip(spark, d):
 
 @query("scan_languages", ", x AS (SELECT CASE WHEN p LIKE '%.ts' THEN 'ts' WHEN p LIKE '%.rs' THEN 'rust' WHEN p LIKE '%.py' THEN 'py' ELSE 'md' END AS language, p, body FROM syms) SELECT language, count(*) AS n, count(DISTINCT p) AS files, CAST(sum(octet_length(encode(body))) AS BIGINT) AS bytes FROM x GROUP BY language")
 def scan_languages(spark, d):
-    s = v.symbols(spark, d).withColumn("language", paths.language(F.col("p")))
-    return s.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("files"), F.sum(F.octet_length("body")).cast("long").alias("bytes"))
+    s = v.index(spark, d).symbols.withColumn("language", paths.language(F.col("p")))
+    return s.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("files"), F.sum("bytes").cast("long").alias("bytes"))
 
 
 @query("tokens_distinct", "SELECT src, tk FROM refs")
 def tokens_distinct(spark, d):
-    s = v.symbols(spark, d)
-    return resolve.references(s, F.col("body")).select("src", "tk")
+    return v.index(spark, d).references.select("src", "tk")
 
 
 @query(
     "noise_strip",
     r"""SELECT page_id, length(b) AS n_left, sha256(b) AS digest FROM (SELECT page_id,
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '/\*([^*]|\*+[^*/])*\*+/', ' ', 'g'), '(^|[^:A-Za-z0-9_])//[^\n]*', '\1 ', 'g'), '"(?:[^"\\\n]|\\.)*"', '""', 'g'), '''(?:\\.|[^''\\\n])''', '''''', 'g'), '`(?:[^`\\]|\\.)*`', '``', 'g') AS b FROM pages)""",
+      regexp_replace(html, '([:A-Za-z0-9_]//)|/\*(?:[^*]|\*+[^*/])*\*+/|//[^\n]*|"(?:[^"\\\n]|\\[^\n])*"|''(?:\\[^\n]|[^''\\\n])''|`(?:[^`\\]|\\(?:.|\n))*`', '\1 ', 'g') AS b FROM pages)""",
     base=False,
 )
 def noise_strip(spark, d):
@@ -79,65 +79,48 @@ def noise_strip(spark, d):
 
 @query("branch_count", "SELECT sym_id, cx FROM syms")
 def branch_count(spark, d):
-    return v.symbols(spark, d).select("sym_id", "cx")
+    return v.index(spark, d).symbols.select("sym_id", "cx")
 
 
-@query(
-    "line_symbols",
-    r"""SELECT conv_id, turn, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[A-Za-z]')) AS named, min(regexp_extract(line, '[A-Za-z]\w*')) AS first_name
-    FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY conv_id, turn""",
-    base=False,
-)
+@query("line_symbols", v.SOURCES_SQL + "SELECT path, l, n, t, indent FROM decl", base=False)
 def line_symbols(spark, d):
-    x = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    return x.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("line").rlike("[A-Za-z]"), 1)).alias("named"), F.min(F.regexp_extract("line", r"[A-Za-z]\w*", 0)).alias("first_name"))
+    return extract.declarations(v.sources(spark, d)).select("path", "l", "n", "t", "indent")
+
+
+@query("doc_comment", v.SOURCES_SQL + "SELECT path, l, doc FROM decl", base=False)
+def doc_comment(spark, d):
+    return extract.declarations(v.sources(spark, d)).select("path", "l", "doc")
 
 
 @query(
     "span_infer",
-    """, s AS (SELECT p, sym_id, l, n_chars % 5 AS indent FROM syms), last AS (SELECT p, max(l) AS top FROM s GROUP BY p)
-    SELECT s.sym_id, CAST(coalesce((SELECT min(b.l) FROM s b WHERE b.p = s.p AND b.l > s.l AND b.indent <= s.indent) - 1, last.top + 10) AS INT) AS el FROM s JOIN last USING (p)""",
+    v.SOURCES_SQL + """, size AS (SELECT path, 3 * count(*) AS n_lines FROM decl GROUP BY path)
+    SELECT path, l, CAST(coalesce((SELECT min(b.l) FROM decl b WHERE b.path = a.path AND b.l > a.l AND b.indent <= a.indent) - 1, n_lines) AS INT) AS el FROM decl a JOIN size USING (path)""",
+    base=False,
 )
 def span_infer(spark, d):
-    s = v.symbols(spark, d).select("p", "sym_id", "l", (F.col("n_chars") % 5).alias("indent"))
-    last = s.groupBy("p").agg(F.max("l").alias("top"))
-    per_file = s.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("l", "sym_id", "indent"))).alias("all")).join(last, "p")
-    x = per_file.select("top", "all", F.posexplode("all").alias("pos", "s"))
-    after = F.filter("all", lambda y, j: (j > F.col("pos")) & (y["indent"] <= F.col("s.indent")))
-    return x.select("s.sym_id", F.coalesce(F.get(after, F.lit(0))["l"] - 1, F.col("top") + 10).cast("int").alias("el"))
+    files = v.sources(spark, d)
+    return extract.spans(extract.declarations(files), files).select("path", "l", "el")
 
 
 @query("cx_own", "SELECT s.sym_id, CAST(greatest(s.cx - coalesce(sum(i.cx), 0), 0) AS INT) AS cx_own FROM syms s LEFT JOIN syms i ON i.p = s.p AND i.l > s.l AND i.l <= s.el GROUP BY s.sym_id, s.cx")
 def cx_own(spark, d):
-    from canopyql.operators.extract import own_complexity
+    return extract.own_complexity(v.index(spark, d).symbols)
 
-    return own_complexity(v.symbols(spark, d))
 
-
-@query("alias_scan", "SELECT path, local_name, original FROM aliases")
+@query("alias_scan", v.MODULES_SQL + " SELECT DISTINCT path, 'beta' || k AS local_name, 'alpha' || k AS original FROM m", base=False)
 def alias_scan(spark, d):
-    return v.aliases(v.symbols(spark, d)).withColumnRenamed("local", "local_name")
+    return extract.aliases_of(v.modules_text(spark, d)).withColumnRenamed("local", "local_name")
 
 
-@query(
-    "reexports",
-    r"""SELECT host, name, count(*) AS n FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages) GROUP BY host, name""",
-    base=False,
-)
+@query("reexports", v.MODULES_SQL + " SELECT path, 'Delta' || k AS name, 'pub' || k AS shown FROM m WHERE ts UNION ALL SELECT path, 'eps' || k, 'eps' || k FROM m WHERE ts UNION ALL SELECT path, 'delta' || k, 'delta' || k FROM m WHERE NOT ts", base=False)
 def reexports(spark, d):
-    x = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name"))
-    return x.groupBy("host", "name").agg(F.count(F.lit(1)).alias("n"))
+    return extract.reexports_of(v.modules_text(spark, d)).withColumnRenamed("as", "shown")
 
 
-@query(
-    "imports_of",
-    r""", i AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages)
-    SELECT name, count(DISTINCT host) AS hosts, (SELECT count(*) FROM syms WHERE n = name) AS defs FROM i GROUP BY name HAVING (SELECT count(*) FROM syms WHERE n = name) > 0""",
-)
+@query("imports_of", v.MODULES_SQL + ", i AS (SELECT path, 'alpha' || k AS name FROM m UNION ALL SELECT path, 'Gamma' || k FROM m WHERE ts UNION ALL SELECT path, unnest(['gamma' || k, 'delta' || k]) FROM m WHERE NOT ts) SELECT name, count(DISTINCT path) AS files FROM i GROUP BY name", base=False)
 def imports_of(spark, d):
-    i = reexports(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("hosts"))
-    defs = v.symbols(spark, d).groupBy(F.col("n").alias("name")).agg(F.count(F.lit(1)).alias("defs"))
-    return i.join(defs, "name").select("name", "hosts", "defs")
+    return extract.imports_of(v.modules_text(spark, d)).groupBy("name").agg(F.count_distinct("path").alias("files"))
 
 
 _REGISTRY = {"article": ("extracted", ""), "h1": ("extracted", ""), "p": ("covered", ""), "b": ("covered", ""), "nav": ("skipped", "menus"), "footer": ("skipped", ""), "script": ("skipped", "code"), "main": ("planned", "rare"), "x1": ("odd", "")}
@@ -185,7 +168,7 @@ def census_self_check(spark, d):
 
 @query("edges_all", "SELECT src, dst, prov FROM edges")
 def edges_all(spark, d):
-    return resolve.edges(v.decided(v.symbols(spark, d))).select("src", "dst", "prov")
+    return v.index(spark, d).edges.select("src", "dst", "prov")
 
 
 @query("edges_by_prov", "SELECT prov, count(*) AS n FROM edges GROUP BY prov")
@@ -196,7 +179,7 @@ def edges_by_prov(spark, d):
 def _one_kind(kind: str) -> None:
     @query("edges_" + kind.replace("-", "_"), f"SELECT src, tk, dst FROM dec WHERE prov = '{kind}'")
     def run(spark, d):
-        return v.decided(v.symbols(spark, d)).where(F.col("prov") == kind).select("src", "tk", "dst")
+        return v.index(spark, d).decided.where(F.col("prov") == kind).select("src", "tk", "dst")
 
 
 for _kind in ("name", "same-file", "scope-unique", "lexical", "visibility", "alias", "doc"):
@@ -205,23 +188,23 @@ for _kind in ("name", "same-file", "scope-unique", "lexical", "visibility", "ali
 
 @query("local_only", "SELECT tk, count(*) AS n FROM dec WHERE prov = 'local-only' GROUP BY tk")
 def local_only(spark, d):
-    return v.decided(v.symbols(spark, d)).where("prov = 'local-only'").groupBy("tk").agg(F.count(F.lit(1)).alias("n"))
+    return v.index(spark, d).decided.where("prov = 'local-only'").groupBy("tk").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("amb_refs", "SELECT name, refs FROM amb_refs")
 def amb_refs(spark, d):
-    return resolve.ambiguous_references(v.decided(v.symbols(spark, d)))
+    return resolve.ambiguous_references(v.index(spark, d).decided)
 
 
 @query("type_edges", "SELECT src, tk, dst FROM tdec WHERE dst IS NOT NULL")
 def type_edges(spark, d):
-    return v.type_links(v.symbols(spark, d)).where("dst IS NOT NULL").select("src", "tk", "dst")
+    return v.index(spark, d).types.where("dst IS NOT NULL").select("src", "tk", "dst")
 
 
 @query("typerefs", ", t AS (SELECT DISTINCT src, dst FROM tdec WHERE dst IS NOT NULL) SELECT s.n, count(*) AS n_refs, count(DISTINCT t.src) AS from_syms FROM t JOIN syms s ON s.sym_id = t.dst GROUP BY s.n")
 def typerefs(spark, d):
-    s = v.symbols(spark, d)
-    t = v.type_links(s).where("dst IS NOT NULL").select("src", "dst").distinct()
+    s = v.index(spark, d).symbols
+    t = v.index(spark, d).types.where("dst IS NOT NULL").select("src", "dst").distinct()
     return t.join(s.select(F.col("sym_id").alias("dst"), "n"), "dst").groupBy("n").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("src").alias("from_syms"))
 
 
@@ -230,41 +213,35 @@ _GROUPS = "SELECT n AS name, count(*) AS defs, CAST(sum((t = 'impl')::INT) AS BI
 
 @query("amb_groups", f", g AS ({_GROUPS}) SELECT g.*, coalesce(r.refs, 0) AS refs FROM g LEFT JOIN amb_refs r USING (name) WHERE g.docs < g.defs")
 def amb_groups(spark, d):
-    s = v.symbols(spark, d)
-    g = score.ambiguity_groups(s, resolve.ambiguous_references(v.decided(s)))
+    x = v.index(spark, d)
+    g = score.ambiguity_groups(x.symbols, resolve.ambiguous_references(x.decided))
     return g.where("docs < defs").select("name", "defs", "impls", "docs", "vendor_only", "refs")
 
 
 @query("amb_live", f", g AS ({_GROUPS}) SELECT g.name, g.defs, r.refs FROM g JOIN amb_refs r USING (name) WHERE r.refs > 0 ORDER BY r.refs DESC, g.defs DESC, g.name LIMIT 20")
 def amb_live(spark, d):
-    s = v.symbols(spark, d)
-    g = score.ambiguity_groups(s, resolve.ambiguous_references(v.decided(s))).where("refs > 0")
+    x = v.index(spark, d)
+    g = score.ambiguity_groups(x.symbols, resolve.ambiguous_references(x.decided)).where("refs > 0")
     return g.orderBy(F.col("refs").desc(), F.col("defs").desc(), "name").limit(20).select("name", "defs", "refs")
 
 
 @query("amb_expand", ", g AS (SELECT n FROM syms GROUP BY n HAVING count(*) > 1) SELECT s.n, s.sym_id, coalesce(i.n_in, 0) AS n_in, row_number() OVER (PARTITION BY s.n ORDER BY coalesce(i.n_in, 0) DESC, s.p, s.l, s.sym_id) AS position FROM syms s JOIN g USING (n) LEFT JOIN nin i ON i.dst = s.sym_id")
 def amb_expand(spark, d):
-    s = v.symbols(spark, d)
-    many = s.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n")
-    i = graph.in_degree(v.calls(s)).withColumnRenamed("dst", "sym_id")
-    x = s.select("sym_id", "n", "p", "l").join(many, "n").join(i, "sym_id", "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
-    w = Window.partitionBy("n").orderBy(F.col("n_in").desc(), "p", "l", "sym_id")
-    return x.select("n", "sym_id", "n_in", F.row_number().over(w).cast("long").alias("position"))
+    return score.group_members(v.index(spark, d).symbols, graph.in_degree(v.index(spark, d).calls))
 
 
 @query("stats_row", "SELECT (SELECT count(*) FROM syms) AS symbols, (SELECT count(DISTINCT p) FROM syms) AS files, (SELECT count(*) FROM edges) AS edges, (SELECT coalesce(sum(refs), 0)::BIGINT FROM amb_refs) AS ambiguous, (SELECT count(*) FROM dec WHERE prov = 'local-only') AS local_only, (SELECT count(*) FROM tdec WHERE dst IS NOT NULL) AS type_edges")
 def stats_row(spark, d):
-    s = v.symbols(spark, d)
-    dec = stage(v.decided(s), "decided")
+    x = v.index(spark, d)
+    s, dec = x.symbols, x.decided
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = [n(s, "symbols"), s.agg(F.count_distinct("p").alias("files")), n(resolve.edges(dec), "edges"), n(dec.where("prov = 'ambiguous'"), "ambiguous"), n(dec.where("prov = 'local-only'"), "local_only"), n(v.type_links(s).where("dst IS NOT NULL"), "type_edges")]
+    parts = [n(s, "symbols"), s.agg(F.count_distinct("p").alias("files")), n(x.edges, "edges"), n(dec.where("prov = 'ambiguous'"), "ambiguous"), n(dec.where("prov = 'local-only'"), "local_only"), n(x.types.where("dst IS NOT NULL"), "type_edges")]
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
 
 
 @query("edge_integrity", "SELECT count(*) AS edges, count(*) FILTER (src = dst) AS loops, count(*) FILTER (src NOT IN (SELECT sym_id FROM syms) OR dst NOT IN (SELECT sym_id FROM syms)) AS dangling, count(*) FILTER (dst IN (SELECT sym_id FROM syms WHERE t IN ('field', 'prop', 'variant'))) AS to_members FROM edges")
 def edge_integrity(spark, d):
-    s = v.symbols(spark, d)
-    ends = s.select("sym_id", "t")
+    ends = v.index(spark, d).symbols.select("sym_id", "t")
     e = edges_all(spark, d).join(ends.select(F.col("sym_id").alias("src"), F.lit(1).alias("has_src")), "src", "left").join(ends.select(F.col("sym_id").alias("dst"), F.col("t").alias("d_t")), "dst", "left")
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return e.agg(F.count(F.lit(1)).alias("edges"), count(F.col("src") == F.col("dst"), "loops"), count(F.col("has_src").isNull() | F.col("d_t").isNull(), "dangling"), count(F.col("d_t").isin(*resolve.MEMBERS), "to_members"))
@@ -273,21 +250,14 @@ def edge_integrity(spark, d):
 # --- graph ----------------------------------------------------------------------------------------------
 
 
-def _most_called(s: DataFrame, calls: DataFrame) -> str:
-    """The name of the symbol with most callers: the example that the graph queries ask about."""
-    top = s.select("sym_id", "n").join(graph.in_degree(calls), F.col("sym_id") == F.col("dst")).orderBy(F.col("n_in").desc(), "sym_id").first()
-    return top["n"] if top else ""
-
-
 def _staged(spark, d) -> tuple[DataFrame, DataFrame, str]:
-    s = v.symbols(spark, d).drop("body", "sig")
-    calls = stage(v.calls(v.symbols(spark, d)), "calls")
-    return s, calls, _most_called(s, calls)
+    x = v.index(spark, d)
+    return x.symbols, x.calls, x.most_called
 
 
 @query("in_degree", "SELECT dst, n_in FROM nin")
 def in_degree(spark, d):
-    return graph.in_degree(v.calls(v.symbols(spark, d)))
+    return graph.in_degree(v.index(spark, d).calls)
 
 
 @query("callers", "SELECT src, dst, prov FROM calls WHERE dst IN (SELECT sym_id FROM syms WHERE n = (SELECT name FROM seed))")
@@ -325,7 +295,7 @@ for _depth in (1, 2, 3):
 @query("impact_types", _REACH.format(seed=_FIRST, edges="SELECT src, dst FROM calls UNION SELECT src, dst FROM tdec WHERE dst IS NOT NULL", depth=3))
 def impact_types(spark, d):
     s, calls, name = _staged(spark, d)
-    types = v.type_links(v.symbols(spark, d)).where("dst IS NOT NULL").select("src", "dst", F.lit("type").alias("family"))
+    types = v.index(spark, d).types.where("dst IS NOT NULL").select("src", "dst", F.lit("type").alias("family"))
     both = calls.select("src", "dst", F.lit("call").alias("family")).unionByName(types)
     return graph.impact(both, _first_of(s, name), 3).select("sym_id", "depth")
 
@@ -364,22 +334,26 @@ def tree_top(spark, d):
 
 
 
-@query(
-    "dispatch",
-    """, sp AS (SELECT sym_id, p, t, n, tr, l, el + 400 AS el FROM syms), me AS (SELECT sym_id, p, n, l, l AS el FROM syms WHERE t IN ('fn', 'method')),
+_DISPATCH = """, sp AS (SELECT sym_id, p, t, n, tr, l, el + 400 AS el FROM syms), me AS (SELECT sym_id, p, n, l, l AS el FROM syms WHERE t IN ('fn', 'method')),
     de AS (SELECT h.n AS trait, m.n, min(m.sym_id) AS method FROM sp h JOIN me m ON m.p = h.p AND m.l > h.l AND m.el <= h.el WHERE h.t = 'trait' GROUP BY h.n, m.n),
-    gi AS (SELECT h.tr AS trait, m.n, m.sym_id AS provider FROM sp h JOIN me m ON m.p = h.p AND m.l > h.l AND m.el <= h.el WHERE h.t = 'impl' AND h.tr IS NOT NULL)
-    SELECT DISTINCT method, provider FROM de JOIN gi USING (trait, n) WHERE method <> provider""",
-)
+    gi AS (SELECT h.tr AS trait, m.n, m.sym_id AS provider FROM sp h JOIN me m ON m.p = h.p AND m.l > h.l AND m.el <= h.el WHERE h.t = 'impl' AND h.tr IS NOT NULL)"""
+
+
+@query("dispatch", _DISPATCH + " SELECT DISTINCT method, provider FROM de JOIN gi USING (trait, n) WHERE method <> provider")
 def dispatch(spark, d):
-    s = v.symbols(spark, d).select("sym_id", "p", "t", "n", "tr", "l", "el")
+    s = v.index(spark, d).symbols.select("sym_id", "p", "t", "n", "tr", "l", "el")
     method = F.col("t").isin("fn", "method")
     return graph.dispatch(s.withColumn("el", F.when(method, F.col("l")).otherwise(F.col("el") + 400)))
 
 
+@query("providers", _DISPATCH + " SELECT method, count(DISTINCT provider) AS providers FROM de JOIN gi USING (trait, n) WHERE method <> provider GROUP BY method")
+def providers(spark, d):
+    return dispatch(spark, d).groupBy("method").agg(F.count_distinct("provider").alias("providers"))
+
+
 @query("impls", "SELECT tr AS trait, count(*) AS n_impls, count(DISTINCT p) AS files FROM syms WHERE t = 'impl' GROUP BY tr")
 def impls(spark, d):
-    return v.symbols(spark, d).where("t = 'impl'").groupBy(F.col("tr").alias("trait")).agg(F.count(F.lit(1)).alias("n_impls"), F.count_distinct("p").alias("files"))
+    return v.index(spark, d).symbols.where("t = 'impl'").groupBy(F.col("tr").alias("trait")).agg(F.count(F.lit(1)).alias("n_impls"), F.count_distinct("p").alias("files"))
 
 
 @query("fk_impact", """WITH RECURSIVE e(src, dst) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
@@ -394,8 +368,7 @@ def fk_impact(spark, d):
 
 
 def _hubs(spark, d) -> DataFrame:
-    s = v.symbols(spark, d)
-    return score.hub_scores(s.drop("body", "sig"), v.calls(s))
+    return v.index(spark, d).hubs
 
 
 @query("hub_factors", "SELECT sym_id, win, callers, caller_files, amb, norm, k, pw, nw, sw, bw FROM hub")
@@ -410,7 +383,7 @@ def hub_top(spark, d):
 
 @query("hub_norm", "SELECT sym_id, round(hub_norm, 6) AS hub_norm FROM norms")
 def hub_norm(spark, d):
-    return score.hub_norm(stage(_hubs(spark, d), "hubs")).select("sym_id", F.round("hub_norm", 6).alias("hub_norm"))
+    return score.hub_norm(_hubs(spark, d)).select("sym_id", F.round("hub_norm", 6).alias("hub_norm"))
 
 
 @query("hub_collapse", ", x AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, sym_id) AS rn FROM hub) SELECT n, sym_id, amb, score FROM x WHERE rn = 1")
@@ -424,9 +397,8 @@ _LENS_SQL = f", lens AS (SELECT * FROM (SELECT s.sym_id, s.n, s.p, s.l, s.t, s.s
 
 
 def _lens(spark, d) -> DataFrame:
-    s = v.symbols(spark, d)
-    norms = score.hub_norm(stage(_hubs(spark, d), "hubs"))
-    return score.lens(s.drop("body"), _LENS, norms, v.churn(spark, d)).withColumn("rank", F.round("rank", 6))
+    norms = score.hub_norm(_hubs(spark, d))
+    return score.lens(v.index(spark, d).symbols, _LENS, norms, v.churn(spark, d)).withColumn("rank", F.round("rank", 6))
 
 
 @query("lens_all", _LENS_SQL + " SELECT sym_id, rank FROM lens")
@@ -447,21 +419,19 @@ def lens_budget(spark, d):
 
 @query("lens_no_hit", ", q(term) AS (VALUES ('tion'), ('the'), ('nosuchname'), ('and')) SELECT term FROM q WHERE term NOT IN (SELECT lower(n) FROM syms)")
 def lens_no_hit(spark, d):
-    q = spark.createDataFrame([("tion",), ("the",), ("nosuchname",), ("and",)], "term string")
-    return q.join(v.symbols(spark, d).select(F.lower("n").alias("term")), "term", "left_anti")
+    return score.misses(v.index(spark, d).symbols, "Tion the, nosuchname AND (the)")
 
 
 @query("symbol_fuzzy", ", e AS (SELECT sym_id, n FROM syms WHERE n = 'hent'), f AS (SELECT sym_id, n FROM syms WHERE contains(lower(n), 'hent') ORDER BY sym_id LIMIT 10) SELECT * FROM e UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM e)")
 def symbol_fuzzy(spark, d):
     from canopyql.plans.verbs import find_symbol
 
-    return find_symbol(v.symbols(spark, d), "hent").select("sym_id", "n")
+    return find_symbol(v.index(spark, d).symbols, "hent").select("sym_id", "n")
 
 
 @query("conf_label", f""", a AS (SELECT n, count(*) AS amb FROM syms GROUP BY n) SELECT s.sym_id, CASE WHEN amb > 1 AND coalesce(n_in, 0) = 0 THEN 'none' WHEN amb > 1 OR (s.n IN ({", ".join(f"'{g}'" for g in score.GENERIC)}) AND coalesce(n_in, 0) > 0 AND s.t NOT IN ('sec', 'doc') AND NOT s.local AND NOT s.vendor) THEN 'low' END AS conf FROM syms s JOIN a USING (n) LEFT JOIN nin ON dst = sym_id""")
 def conf_label(spark, d):
-    s = v.symbols(spark, d)
-    return score.confidence(s.drop("body"), graph.in_degree(v.calls(s)))
+    return score.confidence(v.index(spark, d).symbols, graph.in_degree(v.index(spark, d).calls))
 
 
 # --- files ----------------------------------------------------------------------------------------------
@@ -469,18 +439,18 @@ def conf_label(spark, d):
 
 @query("files_cx", "SELECT p, count(*) AS n_symbols, max(cx) AS cx_max, CAST(sum(cx) AS BIGINT) AS cx_sum, arg_min(sym_id, (-cx) * 10000000000 + sym_id) AS worst FROM syms GROUP BY p")
 def files_cx(spark, d):
-    return v.symbols(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n_symbols"), F.max("cx").alias("cx_max"), F.sum("cx").alias("cx_sum"), F.min_by("sym_id", F.struct(-F.col("cx"), "sym_id")).alias("worst"))
+    return v.index(spark, d).symbols.groupBy("p").agg(F.count(F.lit(1)).alias("n_symbols"), F.max("cx").alias("cx_max"), F.sum("cx").alias("cx_sum"), F.min_by("sym_id", F.struct(-F.col("cx"), "sym_id")).alias("worst"))
 
 
 @query("files_size", "SELECT p, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(cx) AS BIGINT) AS cx_sum FROM syms GROUP BY p ORDER BY chars DESC, cx_sum DESC, p LIMIT 12")
 def files_size(spark, d):
-    x = v.symbols(spark, d).groupBy("p").agg(F.sum("n_chars").alias("chars"), F.sum("cx").alias("cx_sum"))
+    x = v.index(spark, d).symbols.groupBy("p").agg(F.sum("n_chars").alias("chars"), F.sum("cx").alias("cx_sum"))
     return x.orderBy(F.col("chars").desc(), F.col("cx_sum").desc(), "p").limit(12)
 
 
 @query("files_syms", "SELECT p, count(*) AS n, CAST(sum(cx) AS BIGINT) AS cx_sum FROM syms WHERE p = 'lib/en' OR starts_with(p, 'lib/en/') GROUP BY p")
 def files_syms(spark, d):
-    s = v.symbols(spark, d)
+    s = v.index(spark, d).symbols
     return s.where(paths.under(F.col("p"), F.lit("lib/en"))).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("cx_sum"))
 
 
@@ -490,15 +460,16 @@ def files_dupes(spark, d):
     return p.groupBy(paths.base_name(F.col("p")).alias("name")).agg(F.count_distinct("p").alias("copies")).where("copies > 1")
 
 
-@query("churn", "SELECT path, churn FROM churn")
+@query("churn", "WITH h AS (SELECT event_id, 'lib/en/src' || (user_id % 20) || '.ts' AS path FROM events) SELECT path, count(*) AS churn FROM h WHERE event_id IN (SELECT event_id FROM h ORDER BY event_id DESC LIMIT 800) GROUP BY path", base=False)
 def churn(spark, d):
-    return v.churn(spark, d)
+    return tree.churn_of(v.history(spark, d))
 
 
-@query("changed_files", "SELECT DISTINCT p AS path FROM syms WHERE p IN ('lib/en/src1.ts', 'lib/de/src2.rs') UNION SELECT DISTINCT p FROM syms WHERE n = (SELECT name FROM seed)")
+@query("changed_files", f"SELECT DISTINCT path FROM (SELECT regexp_extract(url, '{_URL_PATH}', 1) AS path FROM pages) WHERE path <> ''", base=False)
 def changed_files(spark, d):
-    s, _, name = _staged(spark, d)
-    return s.where(F.col("p").isin("lib/en/src1.ts", "lib/de/src2.rs")).select(F.col("p").alias("path")).union(s.where(F.col("n") == name).select("p")).distinct()
+    path = F.regexp_extract("url", _URL_PATH, 1)
+    odd = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(".\\"), F.replace(path, F.lit("/"), F.lit("\\")))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("./"), path)).otherwise(path)
+    return tree.changed_of(table(spark, d, "pages").select(odd.alias("path")))
 
 
 # --- notes ----------------------------------------------------------------------------------------------
@@ -513,20 +484,22 @@ _NOTES = rf""", notes AS (SELECT conv_id * 1000 + turn AS note_id, role AS kind,
 def notes_bindings(spark, d):
     from canopyql.plans.verbs import bind_notes
 
-    return bind_notes(v.notes(spark, d), v.symbols(spark, d))
+    return bind_notes(v.notes(spark, d), v.index(spark, d).symbols)
 
 
 @query("notes_drift", _NOTES + " SELECT note_id FROM notes WHERE (sym IS NOT NULL AND sym NOT IN (SELECT n FROM syms)) OR (file IS NOT NULL AND file NOT IN (SELECT p FROM syms))")
 def notes_drift(spark, d):
     from canopyql.plans.verbs import drifted_notes
 
-    return drifted_notes(v.notes(spark, d), v.symbols(spark, d)).select("note_id")
+    return drifted_notes(v.notes(spark, d), v.index(spark, d).symbols).select("note_id")
 
 
-@query("notes_filter", _NOTES + " SELECT note_id FROM notes WHERE kind = 'user' AND contains(lower(note), 'the') AND (sym = 'The' OR rel = 'The' OR file LIKE 'lib/en/src1%')")
+@query("notes_filter", _NOTES + " SELECT note_id FROM notes WHERE kind = 'user' AND contains(lower(note), 'the') AND file LIKE 'lib/en/src1%' UNION ALL SELECT note_id FROM notes WHERE sym = 'The' OR rel = 'The'")
 def notes_filter(spark, d):
+    from canopyql.plans.verbs import filter_notes
+
     n = v.notes(spark, d)
-    return n.where((F.col("kind") == "user") & F.lower("note").contains("the") & ((F.col("sym") == "The") | (F.col("rel") == "The") | F.col("file").startswith("lib/en/src1"))).select("note_id")
+    return filter_notes(n, file="lib/en/src1", kind="user", text="THE").unionByName(filter_notes(n, sym="The")).select("note_id")
 
 
 @query("context_counts", _NOTES + """, d AS (SELECT sym_id, n, p FROM syms WHERE n = (SELECT name FROM seed)), t AS (SELECT DISTINCT src, dst FROM tdec WHERE dst IS NOT NULL)
@@ -536,10 +509,8 @@ def notes_filter(spark, d):
 def context_counts(spark, d):
     from canopyql.plans.verbs import context_counts as count
 
-    s, _, name = _staged(spark, d)
-    full = v.symbols(spark, d)
-    e = resolve.edges(v.decided(full))
-    return count(s, e, v.type_links(full).where("dst IS NOT NULL").select("src", "dst").distinct(), v.notes(spark, d), name)
+    x = v.index(spark, d)
+    return count(x.symbols, x.edges, x.types.where("dst IS NOT NULL").select("src", "dst").distinct(), v.notes(spark, d), x.most_called)
 
 
 # --- module rules ---------------------------------------------------------------------------------------
@@ -595,11 +566,8 @@ def policy_unmapped(spark, d):
 
 @query("policy_unknown", _POLICY + " SELECT 'unknown-module' AS rule, module, required AS detail FROM requires WHERE required NOT IN (SELECT module FROM roots) UNION ALL SELECT 'missing-entrypoint', module, entry FROM entries WHERE entry NOT IN (SELECT path FROM allp)", base=False)
 def policy_unknown(spark, d):
-    _, module_of, _ = _dependencies(spark, d)
     roots, requires, entries = v.modules(spark)
-    a = requires.join(roots.select(F.col("module").alias("required")), "required", "left_anti").select(F.lit("unknown-module").alias("rule"), "module", F.col("required").alias("detail"))
-    b = entries.join(module_of.select(F.col("path").alias("entry")), "entry", "left_anti").select(F.lit("missing-entrypoint").alias("rule"), "module", F.col("entry").alias("detail"))
-    return a.union(b)
+    return governance.unknown(roots, requires, entries, _dependencies(spark, d)[1])
 
 
 @query("policy_fp", _POLICY + " SELECT rule, file, detail, module, fp FROM fps", base=False)
@@ -615,14 +583,7 @@ def policy_new(spark, d):
 
 @query("policy_cycle", _POLICY + ", r(a, z) AS (SELECT a, b FROM deps UNION SELECT r.a, e.b FROM r JOIN deps e ON e.a = r.z) SELECT DISTINCT a AS module FROM r WHERE a = z", base=False)
 def policy_cycle(spark, d):
-    pairs = stage(_dependencies(spark, d)[0].select("a", "b"), "pairs")
-    far = pairs
-    # modules are named by hand: their graph is as small as the rule file
-    while True:
-        more = stage(far.union(far.select("a", F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).distinct(), "far")
-        if more.count() == far.count():
-            return more.where("a = b").select(F.col("a").alias("module"))
-        far = more
+    return governance.in_cycles(_dependencies(spark, d)[0])
 
 
 # --- relational shapes on the star schema ---------------------------------------------------------------

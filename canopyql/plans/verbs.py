@@ -25,6 +25,17 @@ def bind_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.union(b), joins).groupBy("note_id", "sym_id").agg(F.min("priority").alias("priority"))
 
 
+def filter_notes(notes: DataFrame, sym: str | None = None, file: str | None = None, kind: str | None = None, text: str | None = None) -> DataFrame:
+    """Notes about a symbol (or related to it), about files below a prefix, of a kind, with a text in any case; what is not asked for is not tested."""
+    if sym is not None:
+        notes = notes.where((F.col("sym") == sym) | (F.col("rel") == sym))
+    if file is not None:
+        notes = notes.where(F.col("file").startswith(file))
+    if kind is not None:
+        notes = notes.where(F.col("kind") == kind)
+    return notes if text is None else notes.where(F.lower("note").contains(text.lower()))
+
+
 def drifted_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Notes that name a symbol or file that no longer exists."""
     a = notes.where("sym IS NOT NULL").join(symbols.select(F.col("n").alias("sym")), "sym", "left_anti").select(notes.columns)

@@ -2,22 +2,29 @@
 
 A document is a symbol: its source and language make the path, its first identifier the name, its text
 the body. ``SQL`` defines the same relations for the oracle.
+
+A session indexes a directory once, as a repository is indexed once and asked often: ``index`` writes each
+relation to the shared folder when it is first asked for. The tables are taken as they were then; ``forget``
+makes the next question index again.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import branches
-from canopyql.operators import resolve
+from canopyql.operators import graph, resolve, score
 from canopyql.session import stage, table
 
 KINDS = ("fn", "method", "struct", "var", "impl", "field", "fn", "class", "const", "enum", "trait", "mod")
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols with their bodies."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     top = F.when(F.col("source").isin("src3", "src7"), "tests/").when(F.col("source") == "src19", "vendor/").otherwise("lib/")
     ending = F.when(F.col("lang") == "en", ".ts").when(F.col("lang") == "de", ".rs").when(F.col("lang") == "fr", ".py").otherwise(".md")
@@ -28,36 +35,74 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("text", r"[\p{L}_$][\p{L}\p{N}_$]{2,}", 0).alias("n"), kind.alias("t"),
         F.col("doc_id").cast("int").alias("l"), (F.col("doc_id") + F.floor(F.col("n_chars") / 1000)).cast("int").alias("el"),
         F.substring(F.split("text", "\n")[0], 1, 200).alias("sig"), F.col("lang").alias("doc"), F.col("text").alias("body"), branches(F.col("text")).alias("cx"),
-        (F.col("quality") == 1).alias("exp"), F.col("n_chars"),
+        (F.col("quality") == 1).alias("exp"), F.col("n_chars"), F.octet_length("text").alias("bytes"),
     )
     x = x.withColumn("local", F.col("t").isin("var", "const") & (F.col("sym_id") % 3 == 0))
     x = x.withColumn("q", F.when(F.col("sym_id") % 5 == 0, F.concat("lang", F.lit("::"), "n")))
     return x.withColumn("tr", F.when(F.col("t") == "impl", F.col("n")))
 
 
-def aliases(syms: DataFrame) -> DataFrame:
+def _aliases(with_bodies: DataFrame) -> DataFrame:
     """(path, local, original): a path's last identifiers stand for the names that its symbols have."""
     last = F.regexp_extract("body", r"([\p{L}_$][\p{L}\p{N}_$]{2,})[^\p{L}_$]*$", 1)
-    x = syms.select(F.col("p").alias("path"), last.alias("local"), F.col("n").alias("original")).where("local <> ''")
+    x = with_bodies.select(F.col("p").alias("path"), last.alias("local"), F.col("n").alias("original")).where("local <> ''")
     return x.groupBy("path", "local").agg(F.min("original").alias("original"))
 
 
-def narrow(syms: DataFrame) -> DataFrame:
-    """Symbols without their texts, written once: resolution reads them several times."""
-    return stage(syms.drop("body", "sig"), "symbols")
+class Index:
+    """The relations of the virtual repository of one directory, each written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return stage(texts(self.spark, self.sf_dir).drop("body"), "symbols")
+
+    @cached_property
+    def references(self) -> DataFrame:
+        return stage(resolve.references(texts(self.spark, self.sf_dir), F.col("body")), "references")
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return stage(_aliases(texts(self.spark, self.sf_dir)), "aliases")
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        return stage(resolve.resolve(self.symbols, self.references, self.aliases), "decided")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stage(resolve.edges(self.decided), "edges")
+
+    @property
+    def calls(self) -> DataFrame:
+        return resolve.calls(self.edges)
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return stage(resolve.type_edges(self.symbols, self.references.where(F.col("tk").rlike("^[A-Z]"))), "types")
+
+    @cached_property
+    def hubs(self) -> DataFrame:
+        return stage(score.hub_scores(self.symbols, self.calls), "hubs")
+
+    @cached_property
+    def most_called(self) -> str:
+        """The name of the symbol with most callers: the example that the graph queries ask about."""
+        top = self.symbols.select("sym_id", "n").join(graph.in_degree(self.calls), F.col("sym_id") == F.col("dst")).orderBy(F.col("n_in").desc(), "sym_id").first()
+        return top["n"] if top else ""
 
 
-def decided(syms: DataFrame) -> DataFrame:
-    return resolve.resolve(narrow(syms), resolve.references(syms, F.col("body")), aliases(syms))
+_INDEXES: dict[tuple[str, str], Index] = {}
 
 
-def calls(syms: DataFrame) -> DataFrame:
-    return resolve.calls(resolve.edges(decided(syms)))
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return _INDEXES.setdefault((spark.sparkContext.applicationId, sf_dir), Index(spark, sf_dir))
 
 
-def type_links(syms: DataFrame) -> DataFrame:
-    refs = resolve.references(syms, F.col("body"))
-    return resolve.type_edges(narrow(syms), refs.where(F.col("tk").rlike("^[A-Z]")))
+def forget() -> None:
+    _INDEXES.clear()
 
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +120,70 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("note_id", "kind", F.col("text").alias("note"), F.get("w", F.lit(0)).alias("sym"), F.get("w", F.lit(1)).alias("rel"), F.get("w", F.lit(2)).alias("alias"), file.alias("file"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lang, text): parts as lines of code, three a part: a comment, a declaration and what belongs to it.
+
+    A brand's parts make files in one of four languages, 2,000 parts at most in a file.
+    """
+    p = table(spark, sf_dir, "part")
+    nn = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    kinds = {"rust": ".rs", "ts": ".ts", "py": ".py", "md": ".md"}
+    lang = F.element_at(F.array(*[F.lit(k) for k in kinds]), (nn % 4 + 1).cast("int"))
+    words = F.split("p_name", " ")
+    x = p.select("p_partkey", "p_size", lang.alias("lang"), nn.alias("nn"), words[0].alias("w1"), words[1].alias("w2"), (F.col("p_partkey") % 4).cast("int").alias("v"))
+    x = x.withColumn("name", F.concat_ws("_", "w1", F.col("p_partkey").cast("string")))
+    ind = F.when((F.col("lang") == "py") & (F.col("v") == 3), "").otherwise(F.repeat(F.lit("    "), F.pmod("p_size", F.lit(3)).cast("int")))
+    said = lambda mark: F.concat(F.col("ind"), F.lit(mark), F.lit(" about "), F.col("w2"))
+    form = lambda *parts: F.concat(F.col("ind"), *[F.col("name") if q == "N" else F.lit(q) for q in parts])
+    forms = {
+        "rust": [form("pub fn ", "N", "(x: u8) -> u8 {"), form("struct ", "N", " {"), form("impl Show for ", "N", " {"), form("const ", "N", ": u8 = 1;")],
+        "ts": [form("export async function ", "N", "() {"), form("export class ", "N", " {"), form("export const ", "N", " = (a) => {"), form("let ", "N", ": number = 1;")],
+        "py": [form("async def ", "N", "(self):"), form("class ", "N", ":"), form("def ", "N", "():"), form("N", " = 1")],
+        "md": [F.concat(F.repeat(F.lit("#"), (F.pmod("p_size", F.lit(3)) + 1).cast("int")), F.lit(" "), F.col("name"))] * 4,
+    }
+    x = x.withColumn("ind", ind)
+    declared, comment = F.lit(None).cast("string"), F.when(F.col("lang") == "md", "").when(F.col("lang") == "py", said("#")).otherwise(said("//"))
+    for k, of in forms.items():
+        for i, f in enumerate(of):
+            declared = F.when((F.col("lang") == k) & (F.col("v") == i), f).otherwise(declared)
+    chunk = F.concat_ws("\n", comment, declared, F.concat(F.col("ind"), F.lit("    give back "), F.col("w1")))
+    ending = F.element_at(F.create_map(*[F.lit(y) for kv in kinds.items() for y in kv]), F.col("lang"))
+    path = F.concat(F.lit("src/b"), F.col("nn").cast("string"), F.lit("/f"), F.floor(F.col("p_partkey") / 2000).cast("string"), ending)
+    lines = x.select(path.alias("path"), "lang", F.struct("p_partkey", chunk.alias("chunk")).alias("c"))
+    return lines.groupBy("path", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"]), "\n").alias("text"))
+
+
+SOURCES_SQL = """WITH x AS (
+  SELECT p_partkey, p_size % 3 AS s, p_partkey % 4 AS v, ['rust', 'ts', 'py', 'md'][regexp_extract(p_brand, '[0-9]+')::INT % 4 + 1] AS lang, regexp_extract(p_brand, '[0-9]+') AS nn, string_split(p_name, ' ') AS w FROM part
+), d AS (
+  SELECT 'src/b' || nn || '/f' || (p_partkey // 2000) || CASE lang WHEN 'rust' THEN '.rs' ELSE '.' || lang END AS path, lang, w[1] || '_' || p_partkey AS n,
+         CASE lang WHEN 'md' THEN '' WHEN 'py' THEN '# about ' || w[2] ELSE 'about ' || w[2] END AS doc,
+         CASE WHEN lang = 'md' THEN 1 + s WHEN lang = 'py' AND v = 3 THEN 0 ELSE 4 * s END AS indent,
+         CASE lang WHEN 'md' THEN 'sec' WHEN 'rust' THEN ['fn', 'struct', 'impl', 'const'][v + 1] WHEN 'ts' THEN ['fn', 'class', 'fn', 'var'][v + 1] ELSE ['fn', 'class', 'fn', 'var'][v + 1] END AS t, p_partkey
+  FROM x
+), decl AS (SELECT *, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY p_partkey) - 1 AS INT) AS l FROM d)
+"""
+
+
+def modules_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lang, text): suppliers as import and re-export statements, 20 suppliers a file."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("k"), F.floor(F.col("s_suppkey") / 20).alias("m"))
+    k = F.col("k")
+    ts = F.concat(F.lit("import { alpha"), k, F.lit(" as beta"), k, F.lit(", type Gamma"), k, F.lit(" } from './m';\nexport { Delta"), k, F.lit(" as pub"), k, F.lit(", eps"), k, F.lit(" } from './m';"))
+    rust = F.concat(F.lit("use crate::m::{alpha"), k, F.lit(" as beta"), k, F.lit(", gamma"), k, F.lit("};\npub use crate::m::delta"), k, F.lit(";"))
+    is_ts = F.col("m") % 2 == 0
+    x = s.select(F.concat(F.lit("lib/m"), F.col("m").cast("string"), F.when(is_ts, ".ts").otherwise(".rs")).alias("path"), F.when(is_ts, "ts").otherwise("rust").alias("lang"), F.struct("s_suppkey", F.when(is_ts, ts).otherwise(rust).alias("chunk")).alias("c"))
+    return x.groupBy("path", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"]), "\n").alias("text"))
+
+
+MODULES_SQL = "WITH m AS (SELECT s_nationkey AS k, (s_suppkey // 20) % 2 = 0 AS ts, 'lib/m' || (s_suppkey // 20) || CASE WHEN (s_suppkey // 20) % 2 = 0 THEN '.ts' ELSE '.rs' END AS path FROM supplier)"
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, path): events as commits of one file each."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("number"), F.concat(F.lit("lib/en/src"), (F.col("user_id") % 20).cast("string"), F.lit(".ts")).alias("path"))
+
+
 def supply_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(from_path, to_path, ord): customers' nations to suppliers' nations, one link a line item."""
     t = lambda n: table(spark, sf_dir, n)

@@ -1,14 +1,9 @@
-"""Exact extraction from Python files by the standard library's parser, in Arrow batches."""
+"""Declarations of Python texts, by the standard library's parser."""
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-SYMBOLS = "path string, n string, t string, l int, el int, q string, exp boolean, local boolean, cx int, refs array<string>, trefs array<string>, imports array<string>"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case, ast.comprehension)
 
 
@@ -34,44 +29,35 @@ def _complexity(node: ast.AST) -> int:
     return 1 + sum(isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
 
 
-def symbols_of(path: str, text: str) -> list[tuple]:
-    """Rows of SYMBOLS for one file; a file that does not parse has none (line rules then apply)."""
-    try:
-        module = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    imports = sorted({(a.asname or a.name).split(".")[0] for x in ast.walk(module) if isinstance(x, (ast.Import, ast.ImportFrom)) for a in x.names if a.name != "*"})
-    out: list[tuple] = []
+def read(text: str) -> tuple[list[dict], list[tuple[str, str]], list[tuple[str, str]]]:
+    """(symbols, imports (name, local), nothing handed on) of one text; SyntaxError where it does not parse."""
+    module, lines = ast.parse(text), text.split("\n")
+    imports = []
+    for x in ast.walk(module):
+        if isinstance(x, (ast.Import, ast.ImportFrom)):
+            imports += [(a.name.split(".")[-1], (a.asname or a.name).split(".")[0]) for a in x.names if a.name != "*"]
+    out: list[dict] = []
+
+    def add(node: ast.AST, name: str, kind: str, chain: list[str], local: bool, refs: set[str], trefs: set[str]) -> None:
+        row = {"n": name, "t": kind, "l": node.lineno, "el": node.end_lineno, "sig": lines[node.lineno - 1].strip()[:200], "cx": _complexity(node), "local": local}
+        row |= {"q": "::".join([*chain, name]) if chain else None, "tr": None, "exp": not name.startswith("_")}
+        out.append(row | {"refs": sorted(r for r in refs if len(r) >= 3), "trefs": sorted(t for t in trefs if len(t) >= 2), "qrefs": []})
 
     def visit(node: ast.AST, chain: list[str], in_function: bool) -> None:
         for x in getattr(node, "body", []):
             if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(x, ast.ClassDef) else "method" if chain and isinstance(node, ast.ClassDef) else "fn"
-                local = _bound(x) if kind != "class" else set()
-                types = _annotations(x)
-                refs = sorted(_names(x) - local - {x.name})
-                q = "::".join([*chain, x.name]) if chain else None
-                out.append((path, x.name, kind, x.lineno, x.end_lineno, q, not x.name.startswith("_"), in_function, _complexity(x), refs, sorted(types), imports))
+                bound, types = (_bound(x) if kind != "class" else set()), _annotations(x)
+                if len(x.name) > 1:
+                    add(x, x.name, kind, chain, False, _names(x) - bound - types - {x.name}, types - {x.name})
                 visit(x, [*chain, x.name], in_function or kind != "class")
             elif isinstance(x, (ast.Assign, ast.AnnAssign)):
                 for target in x.targets if isinstance(x, ast.Assign) else [x.target]:
                     if isinstance(target, ast.Name) and len(target.id) > 1 and not in_function:
-                        kind = "field" if isinstance(node, ast.ClassDef) else "var"
-                        q = "::".join([*chain, target.id]) if chain else None
-                        out.append((path, target.id, kind, x.lineno, x.end_lineno, q, not target.id.startswith("_"), False, 1, sorted(_names(x) - {target.id}), [], imports))
+                        types = _annotations(x)
+                        add(x, target.id, "field" if isinstance(node, ast.ClassDef) else "var", chain, False, _names(x) - types - {target.id}, types)
             elif isinstance(x, (ast.If, ast.Try, ast.With)):
                 visit(x, chain, in_function)
 
     visit(module, [], False)
-    return sorted(out, key=lambda r: (r[3], r[1]))
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """Symbols of the Python files of (path, lang, text)."""
-    names = [c.split()[0] for c in SYMBOLS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([r for p, t in zip(batch["path"], batch["text"], strict=True) for r in symbols_of(p, t or "")], columns=names)
-
-    return files.where("lang = 'py'").select("path", "text").mapInPandas(run, SYMBOLS)
+    return sorted(out, key=lambda r: (r["l"], r["n"])), list(dict.fromkeys(imports)), []

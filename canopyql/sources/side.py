@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOTE = "at string, id string, kind string, sym string, file string, aliases array<string>, rel array<string>, tags array<string>, note string"
-VERSION = 2
+VERSION = 3
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -24,48 +24,113 @@ def append_note(spark: SparkSession, path: str, note: dict, today: date | None =
     spark.createDataFrame([tuple(row.get(n) for n in names)], NOTE).write.mode("append").json(path)
 
 
-def _value(raw: str):
-    t = raw.strip()
-    unquoted = lambda x: x.strip().strip("'\"")
-    if t.startswith("[") and t.endswith("]"):
-        return [u for u in map(unquoted, t[1:-1].split(",")) if u]
-    if t in ("true", "false"):
-        return t == "true"
-    return int(t) if re.fullmatch(r"-?\d+", t) else unquoted(t)
+class _Line:
+    """A line of a rule file: how deep it is indented, whether a dash begins an entry, its key and its value's pieces."""
+
+    def __init__(self, raw: str):
+        self.dash, self.key, self.pieces = False, None, []
+        text = raw.expandtabs(2)
+        body = text.lstrip(" ")
+        self.indent = self.dash_at = len(text) - len(body)
+        if body.startswith("- "):
+            self.dash, inner = True, body[2:].lstrip(" ")
+            self.indent += len(body) - len(inner)
+            body = inner
+        at, word, quoted = 0, "", ""
+        while at < len(body):
+            c = body[at]
+            if quoted:
+                if c == quoted:
+                    self.pieces.append((word, True))
+                    word, quoted = "", ""
+                else:
+                    word += c
+            elif c in "'\"" and not word.strip():
+                word, quoted = "", c
+            elif c == "#" and (at == 0 or body[at - 1] == " "):
+                break
+            elif c == ":" and self.key is None and not self.pieces and body[at + 1 : at + 2] in ("", " "):
+                self.key, word = word.strip(), ""
+            elif c in "[],":
+                self._end(word)
+                self.pieces.append((c, False))
+                word = ""
+            else:
+                word += c
+            at += 1
+        self._end(word)
+
+    def _end(self, word: str) -> None:
+        if word.strip():
+            self.pieces.append((word.strip(), False))
+
+    @property
+    def empty(self) -> bool:
+        return self.key is None and not self.pieces
+
+    def value(self):
+        """A list for what stands in brackets, else a truth value, a number or a text; None for nothing."""
+        if self.pieces and self.pieces[0] == ("[", False):
+            return [w for w, q in self.pieces if q or w not in "[],"]
+        if not self.pieces:
+            return None
+        word, quoted = " ".join(w for w, _ in self.pieces), any(q for _, q in self.pieces)
+        if quoted:
+            return word
+        return {"true": True, "false": False}.get(word, int(word) if word.lstrip("-").isdigit() else word)
+
+
+def _tree(text: str) -> dict:
+    """Nested mappings and lists, by indentation."""
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(0, root)]
+    waiting: list[tuple[int, dict, str]] = []  # keys whose value may be on the lines below
+    for line in map(_Line, text.splitlines()):
+        if line.empty:
+            continue
+        if line.dash:
+            while waiting and waiting[-1][0] > line.dash_at:
+                waiting.pop()
+            entries = waiting[-1][1].setdefault(waiting[-1][2], []) if waiting else None
+            if not isinstance(entries, list):
+                continue
+            entries.append({} if line.key else line.value())
+            if not line.key:
+                continue
+            open_ = [x for x in open_ if x[0] <= line.dash_at] + [(line.indent, entries[-1])]
+        else:
+            while waiting and waiting[-1][0] >= line.indent:
+                waiting.pop()
+            if line.key and waiting and waiting[-1][2] not in waiting[-1][1]:
+                _, into, key = waiting.pop()
+                into[key] = {}
+                open_.append((line.indent, into[key]))
+            while len(open_) > 1 and open_[-1][0] > line.indent:
+                open_.pop()
+        if line.key and line.pieces:
+            open_[-1][1][line.key] = line.value()
+        elif line.key:
+            waiting.append((line.indent, open_[-1][1], line.key))
+    return root
 
 
 def parse_policy(text: str) -> dict:
-    """Rules of modules: ``modules`` (a list of mappings) and ``global``, with scalars, inline lists and comments."""
-    out: dict = {"version": 1, "modules": [], "global": {}}
-    section, now = None, None
-    for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw).replace("\t", "  ")
-        if not line.strip():
-            continue
-        if top := re.match(r"([A-Za-z][\w-]*):\s*(.*)$", line):
-            section, now = (top[1] if top[1] in ("modules", "global") else None), None
-            if top[1] == "version":
-                out["version"] = int(top[2]) if top[2].strip().isdigit() else 1
-            continue
-        if section == "modules" and (item := re.match(r"\s*-\s+(.*)$", line)):
-            now = {}
-            out["modules"].append(now)
-            line = item[1]
-        pair = re.match(r"\s*([A-Za-z][\w-]*):\s*(.*)$", line)
-        into = out["global"] if section == "global" else now
-        if pair and into is not None and section:
-            into[pair[1]] = _value(pair[2])
-    as_list = lambda x: x if isinstance(x, list) else [x] if x else []
-    tidy = lambda p: str(p).strip().replace("\\", "/").removeprefix("./").removesuffix("/")
-    for m in out["modules"]:
-        m["id"] = str(m.get("id") or "").strip()
-        m["roots"] = [tidy(r) for r in as_list(m.get("roots")) if tidy(r)]
-        m["managed"] = m.get("managed") is True
-        m["requires"] = [str(r).strip() for r in as_list(m.get("requires"))]
-        m["publicEntrypoints"] = [tidy(r) for r in as_list(m.get("publicEntrypoints"))]
-    for key in ("forbidCycles", "forbidDeepImports"):
-        out["global"][key] = out["global"].get(key) is not False
-    return out
+    """Rules of modules: ``modules`` (a list of mappings) and ``global``, with scalars, lists in brackets or by dashes, and comments."""
+    raw = _tree(text)
+    listed = lambda x: x if isinstance(x, list) else [] if x is None else [x]
+
+    def path(x) -> str:
+        return "/".join(part for part in str(x).replace("\\", "/").split("/") if part not in ("", "."))
+
+    modules = []
+    for m in listed(raw.get("modules")):
+        if isinstance(m, dict):
+            own = {"id": str(m.get("id") or ""), "managed": m.get("managed") is True, "requires": [str(r) for r in listed(m.get("requires"))]}
+            own |= {k: [path(p) for p in listed(m.get(k)) if path(p)] for k in ("roots", "publicEntrypoints")}
+            modules.append(m | own)
+    rules = raw.get("global") if isinstance(raw.get("global"), dict) else {}
+    version = raw.get("version")
+    return {"version": version if isinstance(version, int) else 1, "modules": modules, "global": rules | {k: rules.get(k) is not False for k in ("forbidCycles", "forbidDeepImports")}}
 
 
 def policy_errors(policy: dict) -> list[str]:
@@ -95,11 +160,13 @@ def policy_tables(spark: SparkSession, policy: dict) -> tuple[DataFrame, DataFra
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Violations accounted for; an unreadable file is an empty baseline."""
+    """Violations accounted for; a missing file is an empty baseline, lines that are none are left out."""
     schema = "rule string, file string, detail string, module string, fp string"
     try:
         return spark.read.schema(schema).json(path).where(F.col("fp").isNotNull())
-    except Exception:
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -107,16 +174,23 @@ def write_baseline(violations: DataFrame, path: str) -> None:
     violations.select("rule", "file", "detail", "module", "fp").coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_artifact(tables: dict[str, DataFrame], path: str) -> None:
+def write_artifact(tables: dict[str, DataFrame], path: str, commit: str | None = None) -> None:
     """The relations of an index as Parquet tables, with the version in ``meta``."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(VERSION, json.dumps(sorted(tables)))], "version int, tables string").write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(VERSION, json.dumps(sorted(tables)), commit)], "version int, tables string, commit string").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def write_json(tables: dict[str, DataFrame], path: str) -> None:
+    """The same relations as JSON lines, for readers without Parquet."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def read_artifact(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_artifact(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], str | None]:
+    """The tables of an index and the commit that it was made at."""
     meta = spark.read.parquet(f"{path}/meta").first()
     if meta["version"] != VERSION:
         raise ValueError(f"the index at {path} has version {meta['version']}, not {VERSION}: build it again")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in json.loads(meta["tables"])}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in json.loads(meta["tables"])}, meta["commit"]

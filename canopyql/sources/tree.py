@@ -19,11 +19,12 @@ def relative_to(root: str) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, extra_skips: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
-    """(path, lang, bytes, text) of the indexed files below root, by Spark's own file reader.
+    """(path, lang, bytes, text, valid) of the indexed files below root, by Spark's own file reader.
 
     Exclusions and the size limit are checked on path and length before a content is decoded. listed: a
     table (path) that restricts the files, such as ``git_files``; listed paths without a file are absent
-    here (``missing_files`` tells them).
+    here (``missing_files`` tells them). Bytes that are no UTF-8 become replacement signs, and the column
+    valid says so (``unreadable`` lists such files).
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -31,7 +32,18 @@ def read_tree(spark: SparkSession, root: str, extra_skips: list[str] | None = No
     x = x.withColumn("lang", paths.language(F.col("path"))).where(F.col("lang").isNotNull() & ~paths.skipped(F.col("path"), extra_skips))
     if listed is not None:
         x = x.join(listed.select("path").distinct(), "path", "left_semi")
-    return x.select("path", "lang", "bytes", F.decode("content", "UTF-8").alias("text"))
+    return x.select("path", "lang", "bytes", *decoded(F.col("content")))
+
+
+def decoded(content: Column) -> list[Column]:
+    """text and valid: bytes as UTF-8, whether or not they are."""
+    as_text = content.cast("string")
+    return [F.make_valid_utf8(as_text).alias("text"), F.is_valid_utf8(as_text).alias("valid")]
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(path): files that hold bytes that are no UTF-8; they are indexed all the same."""
+    return files.where(~F.col("valid")).select("path")
 
 
 def missing_files(listed: DataFrame, files: DataFrame) -> DataFrame:
@@ -50,10 +62,30 @@ def git_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names.split("\0") if n], "path string")
 
 
+def churn_of(history: DataFrame, commits: int = 800) -> DataFrame:
+    """(path, churn) from history (number, path), one row for each path of a commit: in how many of the last commits a path appears."""
+    last = history.select("number").distinct().orderBy(F.col("number").desc()).limit(commits)
+    return history.distinct().join(F.broadcast(last), "number", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
+
+
 def churn(spark: SparkSession, root: str, commits: int = 800) -> DataFrame:
-    """(path, churn): in how many of the last commits a path appears."""
-    names = _git(root, "log", "--name-only", "--pretty=format:", "-n", str(commits)).split("\n")
-    return spark.createDataFrame([(n,) for n in names if n], "path string").groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
+    """(path, churn) of a working tree's history."""
+    rows, number = [], 0
+    for line in _git(root, "log", "--name-only", "--pretty=format:%x00", "-n", str(commits)).split("\n"):
+        number -= line.startswith("\0")
+        if name := line.strip("\0"):
+            rows.append((number, name))
+    return churn_of(spark.createDataFrame(rows, "number long, path string"), commits)
+
+
+def tidy(path: Column) -> Column:
+    """A path with forward slashes and without a leading ./"""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
+
+
+def changed_of(names: DataFrame) -> DataFrame:
+    """(path): the distinct tidy paths of names (path), empty ones left out."""
+    return names.select(tidy(F.col("path")).alias("path")).where("path <> ''").distinct()
 
 
 def changed_files(spark: SparkSession, root: str, revision: str | None = None, files: list[str] | None = None) -> DataFrame:
@@ -62,8 +94,18 @@ def changed_files(spark: SparkSession, root: str, revision: str | None = None, f
     if revision:
         base = _git(root, "merge-base", revision, "HEAD").strip() or revision
         names += _git(root, "diff", "--name-only", base).split("\n")
-    clean = {n.replace("\\", "/").removeprefix("./") for n in names if n}
-    return spark.createDataFrame([(n,) for n in sorted(clean)], "path string")
+    return changed_of(spark.createDataFrame([(n,) for n in names], "path string")).orderBy("path")
+
+
+def head(root: str) -> str | None:
+    """The commit that a working tree stands at."""
+    return _git(root, "rev-parse", "HEAD").strip() or None
+
+
+def distance(root: str, commit: str) -> tuple[int, int] | None:
+    """How many commits the tree is ahead of a commit, and behind it; None where git can't say."""
+    counts = _git(root, "rev-list", "--left-right", "--count", f"HEAD...{commit}").split()
+    return (int(counts[0]), int(counts[1])) if len(counts) == 2 else None
 
 
 class _Part(InputPartition):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyql.functions import paths
-from canopyql.sources.tree import relative_to
+from canopyql.sources.tree import decoded, relative_to
 
 
 def stream_tree(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
@@ -17,7 +17,7 @@ def stream_tree(spark: SparkSession, root: str, per_trigger: int = 1000) -> Data
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
     x = raw.where(F.col("length") <= paths.MAX_BYTES).withColumn("path", relative_to(root)).withColumn("lang", paths.language(F.col("path")))
     x = x.where(F.col("lang").isNotNull() & ~paths.skipped(F.col("path")))
-    return x.select("path", "lang", F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"))
+    return x.select("path", "lang", F.col("length").alias("bytes"), *decoded(F.col("content")))
 
 
 def reindex(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]):
