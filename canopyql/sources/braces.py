@@ -54,9 +54,12 @@ class Reader:
         self.line: list[int] = []
         self.at: list[int] = []
         self._scan()
-        n = len(self.t)
+        self.n = len(self.t)
         self.pair = self._pairs()
-        self.bound, self.typed = bytearray(n), bytearray(n)
+        # some empty tokens, so that a look ahead ends there
+        for column, x in ((self.t, ""), (self.kind, "end"), (self.line, self.lines), (self.at, len(text)), (self.pair, self.n)):
+            column.extend([x] * 8)
+        self.bound, self.typed = bytearray(self.n + 8), bytearray(self.n + 8)
         self.symbols: list[Symbol] = []
         self.imports: list[tuple[str, str]] = []  # (name, local)
         self.handed: list[tuple[str, str]] = []
@@ -589,7 +592,7 @@ class Reader:
     # --- what a symbol's span holds ---------------------------------------------------------------------
 
     def read(self) -> list[dict]:
-        (self.rust_items if self.rust else self.script_items)(0, len(self.t), (), False)
+        (self.rust_items if self.rust else self.script_items)(0, self.n, (), False)
         branches, calls = self._marks()
         out, seen = [], set()
         for s in self.symbols:
@@ -597,7 +600,7 @@ class Reader:
             if key in seen:
                 continue
             seen.add(key)
-            span = range(s.first, s.last + 1)
+            span = range(s.first, min(s.last + 1, self.n))
             bound = {self.t[k] for k in span if self.bound[k]}
             refs, trefs = [], set()
             for k in span:
@@ -613,7 +616,7 @@ class Reader:
             q = [c for c in s.chain if c != s.name]
             out.append(
                 {
-                    "n": s.name, "t": s.kind, "l": self.line[s.first], "el": self.line[min(s.last, len(self.t) - 1)], "sig": self.text[start : start + 200].split("\n")[0].strip(),
+                    "n": s.name, "t": s.kind, "l": self.line[s.first], "el": self.line[min(s.last, self.n - 1)], "sig": self.text[start : start + 200].split("\n")[0].strip(),
                     "cx": 1 + sum(branches[k] for k in span), "local": s.local, "q": "::".join([*q, s.name]) if q else None, "tr": s.tr, "exp": s.exp,
                     "refs": list(dict.fromkeys(refs)), "trefs": sorted(trefs), "qrefs": list(dict.fromkeys((p, n) for k, p, n in calls if k in span and n != s.name and len(n) >= 3)),
                 }
@@ -627,7 +630,7 @@ class Reader:
         for k, x in enumerate(self.t):
             if x in deciding and self.kind[k] in ("name", "sign"):
                 branches[k] = 1
-            elif self.rust and x == "=>" or x == "?" and (self.rust or (not self.typed[min(k + 1, len(self.t) - 1)] and self.word(k + 1) not in (":", ",", ")", ";"))):
+            elif self.rust and x == "=>" or x == "?" and (self.rust or (not self.typed[k + 1] and self.word(k + 1) not in (":", ",", ")", ";"))):
                 branches[k] = 1
             if self.rust and x == "(" and self.is_name(k - 1) and k >= 3 and self.t[k - 2] == "::":
                 j, path = k - 2, []

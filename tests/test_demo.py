@@ -2,7 +2,7 @@
 
 import pytest
 
-from canopyql.plans.repository import Repository, change_comment
+from canopyql.plans.repository import STEPS, Repository, change_comment
 from canopyql.sources import side, tree
 
 ORDERS = '''"""Orders."""
@@ -74,7 +74,8 @@ def files(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def repo(spark, files):
-    return Repository.build(spark, files)
+    """By lines alone."""
+    return Repository.build(spark, files, parse=False)
 
 
 def test_tree_skips_and_languages(files):
@@ -123,17 +124,29 @@ def test_questions(spark, repo, tmp_path):
     assert {r["src"] for r in repo.callers("discount").collect()} == {n["checkout"]}
     assert n["checkout"] in {r["sym_id"] for r in repo.impact("total", 3).collect()}
     assert abs(sum(r["rank"] for r in repo.ranks().collect()) - 1) < 1e-9
-    assert repo.search("registry", 5).first()["n"] in ("Registry", "registry")
+    found = repo.search("registry", 5).collect()
+    assert found[0]["n"] in ("Registry", "registry") and [r["position"] for r in found] == list(range(1, len(found) + 1))
+    assert found[0]["amb"] == 1 and len(repo.search("registry", 5, budget=1).collect()) == 1
+    assert [r["term"] for r in repo.misses("Registry nothing").collect()] == ["nothing"]
+    with pytest.raises(ValueError, match="top"):
+        repo.search("registry", 0)
     assert repo.symbol("iscoun").first()["exact"] is False
     changed = spark.createDataFrame([("a/orders.py",)], "path string")
-    assert repo.affected(changed).count() >= 0
+    assert {r["n"] for r in repo.affected(changed).collect()} == {"Guide"} - {"Guide"}  # only a document names them, and it makes no call
+    assert {r["n"] for r in repo.affected(spark.createDataFrame([("a/tool.ts",)], "path string")).collect()} == {"describe", "made"}
+    assert [(r["path"], r["as"]) for r in repo.handed_on("Registry").collect()] == [("a/usage.ts", "Reg")]
+    assert [r["path"] for r in repo.importers("helper").collect()] == ["b/lib.rs"]
     assert "<details>" in change_comment(repo.affected(changed), ["a/orders.py"])
     tag = repo.tags(repo.symbol("total")).first()["tag"]
     assert tag.startswith('<s t="fn" n="total" p="a/orders.py" l="10"')
-    assert "## Hubs" in repo.report()
+    report = repo.report()
+    assert "## Hubs" in report and "## Files" in report and "5 files" in report
+    assert {r["step"] for r in repo.steps().collect()} == set(STEPS)
     repo.save(str(tmp_path / "index"))
     again = Repository.load(spark, str(tmp_path / "index"))
-    assert repo.drift(again).isEmpty()
+    assert repo.drift(again).isEmpty() and repo.check(again).isEmpty()
+    repo.save_json(str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json" / "edges")).count() == repo.edges.count()
     repo.export(str(tmp_path / "views"))
     assert spark.read.json(str(tmp_path / "views" / "hub_ranking")).count() == repo.hubs(50).count()
 
@@ -160,7 +173,32 @@ def test_policy(spark, repo):
     assert rules["modules"][1]["roots"] == ["docs"]
     assert not side.policy_errors(rules)
     assert side.policy_errors(side.parse_policy("modules:\n  - id: x\n"))
-    assert repo.policy(spark, rules).where("rule = 'module-dependency'").isEmpty()
+    assert repo.policy(spark, rules).isEmpty()
+    rules = side.parse_policy(POLICY.replace("roots: [a]", "roots: [a, b]").replace("requires: []", "requires: [ghost]").replace("a/tool.ts]", "a/tool.ts, a/none.ts]") + "  # end\n")
+    got = {(r["rule"], r["detail"]) for r in repo.policy(spark, rules).collect()}
+    assert got == {("unknown-module", "ghost"), ("missing-entrypoint", "a/none.ts")}
+
+
+TWO = """
+modules:
+  - id: tools
+    roots: [a/tool.ts]
+    managed: true
+    publicEntrypoints: [a/other.ts]
+  - id: rest
+    roots: [a]
+"""
+
+
+def test_policy_dependencies(spark, repo):
+    found = repo.policy(spark, side.parse_policy(TWO))
+    rows = {r["rule"]: r for r in found.collect()}
+    assert set(rows) == {"module-dependency", "deep-import", "missing-entrypoint"} and all(r["new"] for r in rows.values())
+    assert rows["module-dependency"]["file"] == "a/usage.ts" and rows["module-dependency"]["module"] == "rest"
+    known = repo.policy(spark, side.parse_policy(TWO), found.where("rule = 'deep-import'"))
+    assert {r["rule"] for r in known.where("new").collect()} == {"module-dependency", "missing-entrypoint"}
+    loose = side.parse_policy(TWO + "global:\n  forbidDeepImports: false\n")
+    assert repo.policy(spark, loose).where("rule = 'deep-import'").isEmpty()
 
 
 def test_notes_round_trip(spark, tmp_path):
@@ -204,3 +242,13 @@ def test_git_listing(spark, tmp_path):
     assert [r["path"] for r in tree.changed_files(spark, str(tmp_path), "main", ["./c.py"]).collect()] == ["a.py", "c.py"]
     gone = tree.missing_files(spark.createDataFrame([("a.py",), ("zz.py",)], "path string"), tree.read_tree(spark, str(tmp_path)))
     assert [r["path"] for r in gone.collect()] == ["zz.py"]
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"def fine():\n    return '\xff\xfe'\n")
+    (tmp_path / "b.py").write_text("def other():\n    return fine()\n")
+    files = tree.read_tree(spark, str(tmp_path))
+    assert [r["path"] for r in tree.unreadable(files).collect()] == ["a.py"]
+    got = Repository.build(spark, files)
+    assert {r["n"] for r in got.symbols.collect()} == {"fine", "other"}
+    assert [r["prov"] for r in got.edges.collect()] == ["name"]

@@ -1,10 +1,11 @@
 """Small cases for expressions and module rules."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from canopyql.functions import paths, text
 from canopyql.operators import governance, resolve, score
-from canopyql.sources import python_ast
+from canopyql.sources import braces, parsers, python_ast, side
 
 
 def one(spark, schema, row, column):
@@ -27,7 +28,9 @@ def test_noise(spark):
     assert "secret" not in strip("x = 'secret' # secret\n", "py")
     assert "secret" not in strip("let a = /secret/g; /* secret */ f(\"secret\"); // secret", "ts")
     assert "lifetime" in strip("fn f<'lifetime>(x: &'lifetime str) {}", "rust")
-    assert strip("a" * 50_000 + '"' + "b" * 100_000 + '"', "ts").endswith('""')
+    assert strip("a" * 50_000 + '"' + "b" * 100_000 + '"', "ts").strip() == "a" * 50_000
+    assert "see" in strip("see https://x.org/y", "ts") and "org" in strip("see https://x.org/y", "ts")
+    assert "kept" in strip('s = "/* no comment" + kept + "*/"', "ts") and "half" in strip("a = b / half / c", "ts")
 
 
 def test_branches(spark):
@@ -100,9 +103,154 @@ def test_budget_keeps_the_first(spark):
 
 
 def test_python_parser():
-    rows = python_ast.symbols_of("m.py", "import os as o\nLIMIT = 3\nclass A(Base):\n    size: int = 0\n    async def go(self, x: Shape) -> Other:\n        return helper(x) if x else LIMIT\n")
-    got = {r[1]: r for r in rows}
-    assert got["go"][2] == "method" and got["go"][5] == "A::go" and got["go"][8] == 2
-    assert "helper" in got["go"][9] and "x" not in got["go"][9] and set(got["go"][10]) == {"Shape", "Other"}
-    assert got["size"][2] == "field" and got["LIMIT"][2] == "var" and got["A"][11] == ["o"]
-    assert python_ast.symbols_of("bad.py", "def (:") == []
+    rows, imports, _ = python_ast.read("import os as o\nfrom a.b import long_name\nLIMIT = 3\nclass A(Base):\n    size: int = 0\n    async def go(self, x: Shape) -> Other:\n        return helper(x) if x else LIMIT\n")
+    got = {r["n"]: r for r in rows}
+    assert got["go"]["t"] == "method" and got["go"]["q"] == "A::go" and got["go"]["cx"] == 2
+    assert "helper" in got["go"]["refs"] and "x" not in got["go"]["refs"] and set(got["go"]["trefs"]) == {"Shape", "Other"}
+    assert got["size"]["t"] == "field" and got["LIMIT"]["t"] == "var" and imports == [("os", "o"), ("long_name", "long_name")]
+    assert parsers.parse("py", "def (:") is None and parsers.parse("ts", "x" * (parsers.MOST_CHARS + 1)) is None
+
+
+RUST = """use crate::defs::{first_fn as second_fn, deep::{self, Other}};
+pub use crate::x::Shared;
+/* fn hidden() {} /* nested */ */
+pub trait Runner { fn run(&self) -> u32; }
+impl<T: Into<String>> fmt::Display for Holder<T> where T: Bound {
+    fn run(&self, cfg: &Config) -> Result<u32> { let value = helper(cfg); match value { 1 => a_case(), _ => value } }
+}
+pub(crate) async fn entry() -> u32 {
+    let text = r#"fn not_this() {}"#; let sign = '"';
+    Runner::run(&text) + items.iter().map(|item| item.size).sum()
+}
+enum Kind { One(u8), Two { x: u8 } }
+mod inner { pub const fn build() -> Config { Config { limit: LIMIT } } }
+"""
+
+
+def test_rust_reader():
+    rows, imports, handed = braces.read("rust", RUST)
+    got = {r["q"] or r["n"]: r for r in rows}
+    assert set(got) == {"Runner", "Runner::run", "Holder", "Holder::run", "entry", "Kind", "Kind::One", "Kind::Two", "inner", "inner::build"}
+    assert got["Holder"]["tr"] == "Display" and got["Runner"]["exp"] and not got["Holder::run"]["exp"]
+    assert got["Holder::run"]["refs"] == ["helper", "a_case"] and got["Holder::run"]["trefs"] == ["Config", "Result"] and got["Holder::run"]["cx"] == 3
+    assert ("Runner", "run") in got["entry"]["qrefs"] and "text" not in got["entry"]["refs"] and "not_this" not in got["entry"]["refs"]
+    assert (got["entry"]["l"], got["entry"]["el"]) == (8, 11) and got["inner::build"]["trefs"] == ["Config"]
+    assert imports == [("first_fn", "second_fn"), ("Other", "Other"), ("Shared", "Shared")] and handed == [("Shared", "Shared")]
+
+
+SCRIPT = """import base, { usedHelper as uh, type Spec } from './b'
+export { Registry as Reg } from "./tool"
+export interface Item extends Base { firstField: number; run(a: Spec): void }
+export abstract class Registry<T> implements Face {
+  private specs: Spec[] = [];
+  async register(spec: Spec): Promise<void> { const inner = this.find(spec); if (inner && spec) push(inner) }
+}
+export function caller(count: number, { opt }: Options = {}) {
+  const localValue = usedHelper(count)
+  const pattern = /a"b[/]c/g
+  return localValue ? opt : otherThing
+}
+export const arrow = async (first: First): Promise<Second> => first.map(each => each.call(final))
+function outer() { function nested() { return innerCall() } return nested() }
+"""
+
+
+def test_script_reader():
+    rows, imports, handed = braces.read("ts", SCRIPT)
+    got = {r["q"] or r["n"]: r for r in rows}
+    assert {k: r["t"] for k, r in got.items()} == {"Item": "iface", "Item::firstField": "prop", "Item::run": "prop", "Registry": "class", "Registry::specs": "field", "Registry::register": "method", "Registry::register::inner": "var", "caller": "fn", "caller::localValue": "var", "caller::pattern": "var", "arrow": "var", "outer": "fn", "outer::nested": "fn"}
+    assert got["caller"]["refs"] == ["usedHelper", "otherThing"] and got["caller"]["trefs"] == ["Options"] and got["caller"]["cx"] == 2
+    assert got["arrow"]["trefs"] == ["First", "Promise", "Second"] and "first" not in got["arrow"]["refs"] and "final" in got["arrow"]["refs"]
+    assert got["caller"]["exp"] and not got["outer"]["exp"] and got["caller::localValue"]["local"] and not got["arrow"]["local"]
+    assert got["Registry::register"]["trefs"] == ["Promise", "Spec"] and (got["caller"]["l"], got["caller"]["el"]) == (8, 12)
+    assert imports == [("base", "base"), ("usedHelper", "uh"), ("Spec", "Spec")] and handed == [("Registry", "Reg")]
+
+
+def test_readers_survive_broken_texts():
+    for text in ("fn (", "pub struct", "impl for {", "}}}}", "use a::{b", '"open', "/* open", "class {", "export", "import {", "const [a", "=> {", "interface X {", "enum E { A(", "fn f(a: b", "#", "type T =", "`open ${", "@"):
+        for cut in (text, text * 3, RUST[: len(text) * 9], SCRIPT[: len(text) * 7]):
+            braces.read("rust", cut), braces.read("ts", cut)
+
+
+def test_noises_and_flags():
+    assert score.positive("12", "top") == 12
+    for bad in ("0", "-1", "1.5", "", "x", None, True, "²"):
+        with pytest.raises(ValueError, match="top"):
+            score.positive(bad, "top")
+
+
+def test_rule_file_quotes_and_lists():
+    rules = side.parse_policy('modules:\n  - id: "a # b"  # note\n    roots:\n      - ./x/\n      - "y: z"\n    managed: true\n  - id: c\n    roots: [p, \'q, r\']\nglobal: # all\n  forbidCycles: false\n')
+    assert [(m["id"], m["roots"], m["managed"]) for m in rules["modules"]] == [("a # b", ["x", "y: z"], True), ("c", ["p", "q, r"], False)]
+    assert rules["global"] == {"forbidCycles": False, "forbidDeepImports": True}
+
+
+def test_numbering_by_ranges(spark):
+    from canopyql.operators.numbering import numbered
+
+    d = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 5 + 1).alias("w")).repartition(7)
+    got = sorted((r["k"], r["number"]) for r in numbered(d, [F.col("k")], each=90).collect())
+    assert got == [(i, i) for i in range(1000)]
+    rows = sorted(numbered(d, [F.col("k").desc()], size="w", each=90).collect(), key=lambda r: -r["k"])
+    at = 0
+    for r in rows:
+        assert r["number"] == at
+        at += r["w"]
+
+
+def test_spans_and_own_complexity_across_blocks(spark, monkeypatch):
+    import random
+
+    from canopyql.operators import extract
+
+    monkeypatch.setattr(extract, "BLOCK", 8)
+    r = random.Random(3)
+    rows = [(f"f{k}", line, r.choice([0, 0, 2, 4, 8])) for k in range(3) for line in sorted(r.sample(range(1, 120), 40))]
+    d = spark.createDataFrame(rows, "path string, l int, indent int")
+    got = {(x["path"], x["l"]): x["next"] for x in extract.next_no_deeper(d, "path").collect()}
+    for p, line, indent in rows:
+        assert got[p, line] == min((b for q, b, i in rows if q == p and b > line and i <= indent), default=None)
+    spans = [(i, p, line, min(130, line + r.randint(0, 40)), r.randint(1, 9)) for i, (p, line, _) in enumerate(rows)]
+    own = {x["sym_id"]: x["cx_own"] for x in extract.own_complexity(spark.createDataFrame(spans, "sym_id long, p string, l int, el int, cx int")).collect()}
+    for i, p, a, b, cx in spans:
+        assert own[i] == max(0, cx - sum(c for _, q, x, _, c in spans if q == p and a < x <= b))
+
+
+def pairwise_decisions(rows, refs, aliases):
+    """Every reference against every definition: what the summaries must amount to."""
+    members, family = ("field", "prop", "variant"), lambda p: "rs" if p.endswith(".rs") else "ts" if p.endswith(".ts") else "other"
+    names, out = {n for _, n, *_ in rows}, {}
+    for src, tk in refs:
+        p, own_t = rows[src][0], rows[src][2]
+        wanted, alias = (tk, False) if tk in names else (aliases.get((p, tk)), True)
+        c = [(i, r) for i, r in enumerate(rows) if r[1] == wanted and i != src and r[2] not in (*members, "impl") and (family(r[0]) == family(p) or "other" in (family(r[0]), family(p)))]
+        if not c:
+            continue
+        same = [x for x in c if x[1][0] == p]
+        below = lambda r: "/" in r[0] and p.startswith(r[0].rsplit("/", 1)[0] + "/")  # noqa: B023, E731
+        seen = [x for x in c if x[1][0] == p or x[1][5] is None or x[1][5] or (family(x[1][0]) != "ts" and below(x[1]))]
+        value, sec = lambda r: r[2] in ("var", "const"), own_t == "sec"
+        if len(c) == 1:
+            out[src, tk] = ("alias" if alias else "doc" if sec else "same-file" if same else "name", c[0][0])
+        elif not sec and all(x[1][2] in ("fn", "method") for x in c) and len({x[1][0] for x in c}) > 1 and len(c) <= 3 and len(same) == 1:
+            out[src, tk] = ("scope-unique", same[0][0])
+        elif not sec and len(same) == 1 and same[0][1][4] is None and not value(same[0][1]):
+            out[src, tk] = ("lexical", same[0][0])
+        elif not sec and len(seen) == 1 and seen[0][1][0] != p and not seen[0][1][3]:
+            out[src, tk] = ("visibility", seen[0][0])
+        else:
+            out[src, tk] = ("local-only" if all(value(x[1]) and x[1][3] for x in c) else "ambiguous", None)
+    return out
+
+
+def test_decisions_against_all_pairs(spark):
+    import random
+
+    r = random.Random(11)
+    paths_ = ["a.rs", "m/a.rs", "m/n/b.rs", "m/c.ts", "m/n/d.ts", "e.py", "m/f.md", "g.ts"]
+    rows = [(r.choice(paths_), r.choice(["one", "two", "three", "four"]), r.choice(["fn", "fn", "method", "struct", "var", "const", "impl", "field", "sec"]), r.random() < 0.3, r.choice([None, "q::x"]), r.choice([None, True, False, False])) for _ in range(40)]
+    refs = [(i, t) for i, x in enumerate(rows) for t in ("one", "two", "three", "four", "also", "more") if t != x[1]]
+    aliases = {(p, t): r.choice(["one", "two", "three"]) for p in paths_ for t in ("also", "more") if r.random() < 0.7}
+    table = spark.createDataFrame([(p, t, n) for (p, t), n in aliases.items()], "path string, local string, original string")
+    got = decide(spark, rows, [(i, t, 0) for i, t in refs], aliases=table)
+    assert got == pairwise_decisions(rows, refs, aliases)
