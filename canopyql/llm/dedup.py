@@ -349,6 +349,8 @@ class _Search:
         """Links between the components that meet in a band: known is (band, node, label)."""
         spread = [F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")]
         mixed = stage(known.groupBy("band").agg(*spread).where("low <> high").select("band", "n"), "mixed")
+        if mixed.isEmpty():
+            return known.sparkSession.createDataFrame([], "a long, b long")
         found = stage(_beside(known, mixed, "band", "inner").withColumn("other", F.lit(0).cast("long")), "open")
         if not mixed.where(F.col("n") > MANY).isEmpty():
             # nodes of a crowded band are compared only if they share another one as well
