@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyql.session import stage
+from canopyql.session import held, release, stage
+
+#: Nodes up to which their ranks are broadcast.
+BROADCAST_NODES = 500_000
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -50,20 +53,28 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fa
     return out
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count.
+
+    A round writes its ranks, so that the next one reads them twice (along the edges, and those of nodes
+    without any) at no further cost, and deletes those before; ranks go to the edges by broadcast where the
+    nodes, counted here, are few.
+    """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    e = stage(edges.select("src", "dst").join(out, "src"), "edges")
+    e = stage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part")), "edges")
     v = stage(nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select("sym_id", F.col("deg").isNull().alias("dangling")), "nodes")
-    n = v.count()
-    ranks = v.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(1, rounds + 1):
-        given = e.join(ranks.select(F.col("sym_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("sym_id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))
-        ranks = v.join(given, "sym_id", "left").crossJoin(F.broadcast(loose)).select("sym_id", "dangling", rank.alias("rank"))
-        if i % every == 0 and i < rounds:
-            ranks = stage(ranks, "ranks")
+    n = max(v.count(), 1)
+    near = (lambda df: F.broadcast(df)) if n <= BROADCAST_NODES else (lambda df: df)
+    ranks, written = v.withColumn("rank", F.lit(1.0 / n)), None
+    for _ in range(rounds):
+        loose = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+        given = e.join(near(ranks.select(F.col("sym_id").alias("src"), "rank")), "src").groupBy(F.col("dst").alias("sym_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
+        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
+        before = held(nodes.sparkSession)
+        ranks = stage(v.join(near(given), "sym_id", "left").select("sym_id", "dangling", rank.alias("rank")), "ranks")
+        if written:
+            release(nodes.sparkSession, written)
+        written = held(nodes.sparkSession) - before
     return ranks.select("sym_id", "rank")
 
 
