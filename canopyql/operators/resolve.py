@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import identifiers
+from canopyql.session import stage
 
 MEMBERS = ("field", "prop", "variant")
 TYPES = ("struct", "enum", "trait", "type", "iface", "class")
@@ -56,7 +57,8 @@ def _count(c: Column) -> Column:
 
 
 def _beside(rows: DataFrame, names: DataFrame, on: list[str], how: str) -> DataFrame:
-    """rows joined with a table of names, which is broadcast if its rows, counted here, are few."""
+    """rows joined with a table of names, which is written first, and broadcast if its rows are few."""
+    names = stage(names, "names")
     return rows.join(F.broadcast(names) if names.count() <= BROADCAST_NAMES else names, on, how)
 
 
@@ -109,7 +111,7 @@ def decided_by_name(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | No
     everywhere, here, below = _summaries(definitions(symbols))
     x = _beside(wanted, everywhere, ["name", "s_family"], "inner")
     x = _beside(x, here, ["name", "s_p"], "left")
-    x = _with_below(x, below)
+    x = _with_below(x, below, symbols.select(F.col("p").alias("s_p")).distinct())
     # a symbol that meets its own name (through an alias) doesn't count
     own = (F.col("own") == F.col("name")) & F.col("s_can")
     less = lambda c, part=F.lit(True): F.coalesce(F.col(c), F.lit(0)) - (own & part).cast("int")
@@ -145,12 +147,10 @@ def decided_by_name(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | No
     return x.withColumn("prov", prov).withColumn("dst", dst).select("src", "tk", "pos", "prov", "dst")
 
 
-def _with_below(x: DataFrame, below: DataFrame) -> DataFrame:
+def _with_below(x: DataFrame, below: DataFrame, files: DataFrame) -> DataFrame:
     """x with belows, far_belows, below_low and below_high: the private definitions of its name in directories above its path."""
-    if below.isEmpty():
-        return x.select("*", F.lit(0).cast("long").alias("belows"), F.lit(0).cast("long").alias("far_belows"), F.lit(None).cast("long").alias("below_low"), F.lit(None).cast("long").alias("below_high"))
-    # which files lie below which of these directories is a matter of paths alone; a name has few directories on one path
-    files = x.select("s_p").distinct().withColumn("home", F.explode(paths.prefixes(paths.directory(F.col("s_p")))))
+    # which files (s_p) lie below which of these directories is a matter of paths alone; a name has few directories on one path
+    files = files.withColumn("home", F.explode(paths.prefixes(paths.directory(F.col("s_p")))))
     above = files.join(below, "home").groupBy("s_p", "name", "s_family")
     above = above.agg(F.sum("belows").alias("belows"), F.sum("far_belows").alias("far_belows"), F.min("below_low").alias("below_low"), F.max("below_high").alias("below_high"))
     return _beside(x, above, ["s_p", "name", "s_family"], "left")

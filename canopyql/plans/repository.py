@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,11 +104,21 @@ class Repository:
         parts = [n(self.files_table, "files"), n(self.symbols, "symbols"), n(self.edges, "edges"), n(self.type_links, "type_edges"), n(of("ambiguous"), "ambiguous"), n(of("local-only"), "local_only")]
         return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
 
-    def ranks(self) -> DataFrame:
+    @cached_property
+    def _ranks(self) -> DataFrame:
         return graph.pagerank(self.symbols, self.calls)
 
+    @cached_property
+    def _hubs(self) -> DataFrame:
+        return stage(score.hub_scores(self.symbols, self.calls, self.config), "hubs")
+
+    def ranks(self) -> DataFrame:
+        """(sym_id, rank), made when first asked for."""
+        return self._ranks
+
     def hub_scores(self) -> DataFrame:
-        return score.hub_scores(self.symbols, self.calls, self.config)
+        """The symbols that can be hubs, with all factors of their scores; made when first asked for."""
+        return self._hubs
 
     def hubs(self, top: int = 25) -> DataFrame:
         return score.hub_ranking(self.hub_scores(), score.positive(top, "top"))
@@ -147,7 +157,7 @@ class Repository:
     def search(self, query: str, top: int = 12, budget: int | None = 6000) -> DataFrame:
         """The symbols that answer a question, with rank, position, hub (norm) and amb (definitions of the name); as many of
         them as fit the budget of tokens, one at least. ``misses`` tells the terms that no symbol is named by."""
-        norms = score.hub_norm(stage(self.hub_scores(), "hubs"))
+        norms = score.hub_norm(self.hub_scores())
         found = score.lens_top(score.lens(self.symbols, query, norms, self.churn), score.positive(top, "top"))
         same = self.symbols.groupBy("n").agg(F.count(F.lit(1)).alias("amb"))
         x = found.drop("hub_norm").join(norms, "sym_id", "left").join(same, "n").withColumn("hub", F.coalesce("hub_norm", F.lit(0.0))).drop("hub_norm")
@@ -303,7 +313,7 @@ class Repository:
 
     def export(self, path: str, top: int = 50) -> None:
         """Five derived views as JSON lines."""
-        hubs = stage(self.hub_scores(), "hubs")
+        hubs = self.hub_scores()
         views = {"skeletons": self.symbols, "call_graph": self.calls, "imports": self.imports, "scored_symbols": hubs, "hub_ranking": score.hub_ranking(hubs, top)}
         for name, df in views.items():
             df.write.mode("overwrite").json(f"{path}/{name}")

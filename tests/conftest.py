@@ -13,6 +13,8 @@ def spark():
     os.environ.setdefault("CANOPYQL_DRIVER_MEMORY", "4g")
     s = local_session(4, 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
+    # small tables: compiling stages takes longer than running them; registered queries run compiled in the oracle's comparison
+    s.conf.set("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))
     yield s
 
 
