@@ -240,6 +240,8 @@ def test_git_listing(spark, tmp_path):
     assert sorted(r["path"] for r in tree.git_files(spark, str(tmp_path)).collect()) == ["a.py", "b.py"]
     assert {r["path"]: r["churn"] for r in tree.churn(spark, str(tmp_path)).collect()} == {"a.py": 2}
     assert [r["path"] for r in tree.changed_files(spark, str(tmp_path), "main", ["./c.py"]).collect()] == ["a.py", "c.py"]
+    first = subprocess.run(["git", "-C", str(tmp_path), "rev-parse", "main"], check=True, capture_output=True, text=True).stdout.strip()
+    assert tree.head(str(tmp_path)) not in (None, first) and tree.distance(str(tmp_path), first) == (1, 0) and tree.distance(str(tmp_path), "none") is None
     gone = tree.missing_files(spark.createDataFrame([("a.py",), ("zz.py",)], "path string"), tree.read_tree(spark, str(tmp_path)))
     assert [r["path"] for r in gone.collect()] == ["zz.py"]
 

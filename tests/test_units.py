@@ -254,3 +254,18 @@ def test_decisions_against_all_pairs(spark):
     table = spark.createDataFrame([(p, t, n) for (p, t), n in aliases.items()], "path string, local string, original string")
     got = decide(spark, rows, [(i, t, 0) for i, t in refs], aliases=table)
     assert got == pairwise_decisions(rows, refs, aliases)
+
+
+def test_census_of_declarations(spark):
+    from canopyql.operators import census
+
+    declared = parsers.declaration_table(spark)
+    registry = declared.select("lang", "node", F.lit("extracted").alias("status"), F.lit("").alias("reason"))
+    assert census.self_check(declared, registry).isEmpty()
+    met = spark.createDataFrame([("rust", "fn", "b.rs", 3), ("rust", "fn", "a.rs", 9), ("rust", "fn", "a.rs", 2), ("rust", "let", "a.rs", 1)], "lang string, node string, path string, l int")
+    counted = census.counted(met)
+    assert {(r["node"], r["n"], r["sample"]) for r in counted.collect()} == {("fn", 3, "a.rs:2"), ("let", 1, "a.rs:1")}
+    found = census.classify(counted.drop("sample"), registry.where("node = 'fn' AND lang = 'rust'"), F.col("node") == "let")
+    assert {(r["status"], r["types"], r["nodes"]) for r in census.audit(found).collect()} == {("extracted", 1, 3), ("unclassified", 1, 1)}
+    with pytest.raises(ValueError, match="rust/let"):
+        census.audit(found, strict=True)
