@@ -139,12 +139,13 @@ def shaped(t: DataFrame, spread: float) -> DataFrame:
     keys = [c for c in t.columns if c not in ("n", *SUMS)]
     n = F.col("n").cast("double")
     t = t.withColumns({f"m_{a}": F.col(f"t_{a}").cast("double") / n / UNIT for a in NAMES})
-    # row by row; the least spread of each statistic keeps the matrix regular
+    # row by row; the least spread of each statistic, added to its variance, keeps the matrix regular in every direction
+    # (as regularized variants do): without it a few rows beside many copies of one have no determinant at all
     for i, a in enumerate(NAMES):
         for j, b in enumerate(NAMES[: i + 1]):
             cov = (F.col(f"t_{a}_{b}").cast("double") / n / UNIT**2 - F.col(f"m_{a}") * F.col(f"m_{b}")) * spread
             if a == b:
-                cov = F.greatest(cov, F.lit(STATS[a] ** 2))
+                cov = F.greatest(cov, F.lit(0.0)) + F.lit(STATS[a] ** 2)
             left = reduce(lambda x, k: x - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), NAMES[:j], cov)  # noqa: B023
             t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(left, F.lit(1e-9))) if a == b else left / F.col(f"l_{b}_{b}"))
     centre, factor = F.array(*[f"m_{a}" for a in NAMES]), F.array(*[f"l_{a}_{b}" for a, b in PAIRS])

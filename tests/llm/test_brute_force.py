@@ -459,9 +459,7 @@ def test_quality_base_and_verdicts(spark, sf, texts):
 def numpy_estimate(x, spread):
     """Centre and covariance of rows in units, with the least spreads."""
     y = x / quality.UNIT
-    cov = np.cov(y.T, bias=True) * spread
-    np.fill_diagonal(cov, np.maximum(np.diag(cov), [s**2 for s in quality.STATS.values()]))
-    return y.mean(0), cov
+    return y.mean(0), np.cov(y.T, bias=True) * spread + np.diag([s**2 for s in quality.STATS.values()])
 
 
 def numpy_distance(x, centre, cov):
