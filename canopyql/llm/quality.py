@@ -9,7 +9,8 @@ determinant, changes no more. A last step keeps all that is near by that estimat
 distance beyond a chi-square quantile rejects.
 
 A group's estimate is drawn towards that of its language as if ``PRIOR`` rows of the language's kind lay in
-the group, and the language's towards that of all rows likewise, so that groups of any size are judged alike.
+the group, and the language's (estimated in the same way from all of its rows) towards that of all languages' near rows, so that
+groups of any size are judged alike.
 
 All sums behind the estimates are sums of integers (statistics in units of 1/1024, cut off at 8), so that they
 do not depend on the order of addition, and groups of any size are aggregated before they are shuffled.
@@ -36,7 +37,7 @@ UNIT, MOST = 1024, 8
 #: Statistics that the estimate sees, and the least standard deviation granted to each.
 STATS = {"word_length": 0.12, "symbols": 0.05, "lines": 0.10, "repeats": 0.10, "capitals": 0.06}
 #: Rows of its language's kind that a group's estimate is mixed with.
-PRIOR = 40
+PRIOR = 500
 #: Hashed starts, and rows in each of them.
 HASHED, ROWS_EACH = 3, 12
 #: Good rows that the last step keeps, and good rows that are not rejected.
@@ -111,7 +112,9 @@ def _statistics() -> dict[str, Column]:
 NAMES = list(STATS)
 PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
 SUMS = [f"t_{a}" for a in NAMES] + [f"t_{a}_{b}" for a, b in PAIRS]
-GROUP = ["g_lang", "g_source"]
+#: Level 0: language and source; level 1: language (g_source null).
+GROUP = ["level", "g_lang", "g_source"]
+PLACE = ["g_lang", "g_source"]
 
 
 def _join(rows: DataFrame, small: DataFrame, few: bool, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
@@ -207,7 +210,7 @@ def starts(rows: DataFrame, quartiles: DataFrame, few: bool) -> DataFrame:
     parts = x.select(*GROUP, F.explode(picked).alias("start"), *[f"s_{a}" for a in NAMES])
     made = shaped(moments(drawn.unionByName(parts), [*GROUP, "start"]), 1.0)
     both = first.unionByName(made).drop("n")
-    return _join(both, quartiles.select(*GROUP, "size"), few) if few else both.join(quartiles.select(F.col("g_lang").alias("_l"), F.col("g_source").alias("_s"), "size"), F.col("g_lang").eqNullSafe(F.col("_l")) & F.col("g_source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+    return _join(both, quartiles.select(*GROUP, "size"), few) if few else both.join(quartiles.select(F.col("level").alias("_v"), F.col("g_lang").alias("_l"), F.col("g_source").alias("_s"), "size"), (F.col("level") == F.col("_v")) & F.col("g_lang").eqNullSafe(F.col("_l")) & F.col("g_source").eqNullSafe(F.col("_s"))).drop("_v", "_l", "_s")
 
 
 def half_estimates(rows: DataFrame, few: bool, quartiles: DataFrame) -> DataFrame:
@@ -230,7 +233,9 @@ def half_estimates(rows: DataFrame, few: bool, quartiles: DataFrame) -> DataFram
 
 def estimates(stats: DataFrame) -> DataFrame:
     """(g_lang, g_source, centre, factor) for each language and source of a table (lang, source, s_...)."""
-    rows = stats.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[f"s_{a}" for a in NAMES])
+    group = lambda level, source: F.struct(F.lit(level).alias("level"), F.col("lang").alias("g_lang"), source.alias("g_source"))
+    levels = F.explode(F.array(group(0, F.col("source")), group(1, F.lit(None).cast("string"))))
+    rows = stats.withColumn("g", levels).select("g.*", *[f"s_{a}" for a in NAMES])
     quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in NAMES]
     quartiles = stage(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"), *quarters), "quartiles")
     few = quartiles.count() * (2 + HASHED) <= BROADCAST_GROUPS
@@ -238,14 +243,15 @@ def estimates(stats: DataFrame) -> DataFrame:
     near = _with_distance(_join(rows, halves.select(*GROUP, "centre", "factor"), few)).where(F.col("d2") <= quantile(NEAR_LEVEL))
     own = stage(moments(near, GROUP), "near")
     sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("n", *SUMS)]
-    every, of_lang = own.agg(*sums), own.groupBy("g_lang").agg(*sums)
+    of_lang = own.where("level = 1")
+    every = of_lang.agg(*sums)
     mixed = lambda of, above: [(F.col(c) + PRIOR * F.col(f"{above}.{c}") / F.col(f"{above}.n")).alias(c) for c in ("n", *SUMS)]
     packed = lambda df, name, *keys: df.select(*keys, F.struct("n", *SUMS).alias(name))
     # one row of sums of all groups
     langs = of_lang.crossJoin(F.broadcast(packed(every, "every")))
     langs = langs.select(F.col("g_lang").alias("l_lang"), *mixed("lang", "every"))
-    groups = own.join(packed(langs, "above", "l_lang"), F.col("g_lang").eqNullSafe(F.col("l_lang")))
-    return stage(shaped(groups.select(*GROUP, *mixed("own", "above")), consistency(NEAR_LEVEL)).select(*GROUP, "centre", "factor"), "estimates")
+    groups = own.where("level = 0").join(packed(langs, "above", "l_lang"), F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    return stage(shaped(groups.select(*PLACE, *mixed("own", "above")), consistency(NEAR_LEVEL)).select(*PLACE, "centre", "factor"), "estimates")
 
 
 def verdicts(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
@@ -256,7 +262,7 @@ def verdicts(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     stats = stage(stats.withColumns({f"s_{k}": v for k, v in _statistics().items()}), "quality")
     groups = estimates(stats.where("n_words > 0"))
     near = stats.withColumns({"g_lang": F.col("lang"), "g_source": F.col("source")})
-    out = _with_distance(_join(near, groups, groups.count() <= BROADCAST_GROUPS, how="left"))
+    out = _with_distance(_join(near, groups, groups.count() <= BROADCAST_GROUPS, PLACE, "left"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("distance", F.col("d2"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= quantile(LEVEL), F.lit(True)))

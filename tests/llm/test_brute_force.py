@@ -468,7 +468,7 @@ def numpy_distance(x, centre, cov):
 
 
 def points(spark, x, name=None):
-    return spark.createDataFrame([(name, None, *map(int, v)) for v in x], "g_lang string, g_source string, " + ", ".join(f"s_{k} long" for k in quality.STATS))
+    return spark.createDataFrame([(0, name, None, *map(int, v)) for v in x], "level int, g_lang string, g_source string, " + ", ".join(f"s_{k} long" for k in quality.STATS))
 
 
 def test_mahalanobis_is_the_distance(spark):
@@ -513,11 +513,12 @@ def test_minimum_determinant_against_numpy(spark):
     rows = points(spark, x, "en")
     quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in quality.NAMES]
     got = quality.half_estimates(rows, True, rows.groupBy(*quality.GROUP).agg(F.count(F.lit(1)).alias("size"), *quarters)).first()
-    assert got["log_det"] <= best[0] + 0.05
+    # five starts come within a tenth of what sixty find
+    assert got["log_det"] <= best[0] + 0.1
     # the verdicts: near rows, the prior of the only language (the group itself), and the last cut
     centre, cov = numpy_estimate(x[numpy_distance(x, best[1], best[2]) <= quality.quantile(0.975)], quality.consistency(0.975))
     want = numpy_distance(x, centre, cov) <= quality.quantile(quality.LEVEL)
-    e = quality.estimates(rows.withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).first()
+    e = quality.estimates(rows.drop("level").withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).first()
     factor = np.zeros((5, 5))
     factor[np.tril_indices(5)] = e["factor"]
     kept = numpy_distance(x, np.array(e["centre"]), factor @ factor.T) <= quality.quantile(quality.LEVEL)
@@ -529,7 +530,7 @@ def test_groups_are_drawn_towards_their_language(spark):
     r = np.random.default_rng(9)
     x = (r.normal(size=(300, 5)) * 100 + 3000).round().astype(int)
     rows = points(spark, x, "en").withColumn("g_source", F.lit("big")).unionByName(points(spark, [[9000, 9000, 9000, 9000, 9000]], "en").withColumn("g_source", F.lit("small")))
-    e = {v["g_source"]: v for v in quality.estimates(rows.withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).collect()}
+    e = {v["g_source"]: v for v in quality.estimates(rows.drop("level").withColumnsRenamed({"g_lang": "lang", "g_source": "source"})).collect()}
     assert abs(e["big"]["centre"][0] - 3000 / quality.UNIT) < 0.1
     assert e["small"]["centre"][0] < 4000 / quality.UNIT
 
