@@ -16,6 +16,9 @@ _QUERIES = {
     "op10_fingerprint": ("fingerprint", "op10_fingerprint", None),
     "op8_quality": ("quality", "op8_quality", None),
     "op9_mixing": ("mixing", "op9_mixing", "OP9_SQL"),
+    "op11_clusters": ("balls", "op11_clusters", "OP11_SQL"),
+    "op12_vector_codes": ("codes", "op12_vector_codes", "OP12_SQL"),
+    "op13_url_filter": ("urls", "op13_url_filter", "OP13_SQL"),
 }
 
 
