@@ -2,11 +2,13 @@
 
 Every text is described by a few statistics. Two fixed rules come first (too few words, mostly repeated
 words). The rest is judged by language and source, by a minimum-covariance-determinant estimate of centre
-and spread: several starts (medians and quartiles; all rows drawn onto a sphere around the medians; small
-parts of the rows, picked by hash) take two concentration steps each, each keeping the half of the group that
-is nearest by the estimate before; the start of the least determinant goes on until its half, or its
-determinant, changes no more. A last step keeps all that is near by that estimate. A squared Mahalanobis
-distance beyond a chi-square quantile rejects.
+and spread. So that no dense cluster of junk makes the half of least determinant by its density alone, the
+search works on cells, twice the least spread wide in every statistic: a cell stands for the mean of its rows and
+weighs as a power below 1 of their number. Several starts (medians and quartiles; all cells drawn onto a sphere
+around the medians; a few cells, picked by hash) take two concentration steps each, each keeping the half of the
+group's weight that is nearest by the estimate before; the start of the least determinant goes on until its half, or
+its determinant, changes no more. A last step keeps all rows, each counted once, that are near by that estimate. A
+squared Mahalanobis distance beyond a chi-square quantile rejects.
 
 A group's estimate is drawn towards that of its language as if ``PRIOR`` rows of the language's kind lay in
 the group, and the language's (estimated in the same way from all of its rows) towards that of all languages' near rows, so that
@@ -38,8 +40,11 @@ UNIT, MOST = 1024, 8
 STATS = {"word_length": 0.12, "symbols": 0.05, "lines": 0.10, "repeats": 0.10, "capitals": 0.06}
 #: Rows of its language's kind that a group's estimate is mixed with.
 PRIOR = 500
-#: Hashed starts, and rows in each of them.
-HASHED, ROWS_EACH = 3, 12
+#: Hashed starts, and cells in each of them.
+HASHED, CELLS_EACH = 5, 12
+#: A cell's width in least spreads, and its weight: of one row, and the power by which it grows with its rows. A power
+#: as low as 1/2 takes the weight from the dense middle of good rows as well, so that scattered junk counts for much.
+WIDE, WEIGHT, POWER = 2, 16, 0.75
 #: Good rows that the last step keeps, and good rows that are not rejected.
 NEAR_LEVEL, LEVEL = 0.975, 0.99999
 #: Groups up to which their estimates are broadcast; more are joined by a salted shuffle.
@@ -131,10 +136,24 @@ def _join(rows: DataFrame, small: DataFrame, few: bool, keys: list[str] | None =
     return out.drop(*[f"_{k}" for k in keys])
 
 
-def moments(kept: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a group: n and the sums of the statistics and of their products."""
-    sums = [F.sum(f"s_{a}").alias(f"t_{a}") for a in NAMES] + [F.sum(F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"t_{a}_{b}") for a, b in PAIRS]
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+def moments(kept: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """One row a group: n and the sums of the statistics and of their products, each row counted by its weight (1)."""
+    w = F.lit(1) if weight is None else weight
+    sums = [F.sum(w * F.col(f"s_{a}")).alias(f"t_{a}") for a in NAMES] + [F.sum(w * F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"t_{a}_{b}") for a, b in PAIRS]
+    return kept.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), *sums)
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(level, g_lang, g_source, s_..., w): the occupied cells of every group, with their means and weights."""
+    at = {a: F.floor(F.col(f"s_{a}") / (UNIT * STATS[a] * WIDE)).cast("int").alias(f"c_{a}") for a in NAMES}
+    sums = rows.groupBy(*GROUP, *at.values()).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"s_{a}").alias(f"t_{a}") for a in NAMES])
+    return sums.select(*GROUP, *[F.round(F.col(f"t_{a}") / F.col("n")).cast("long").alias(f"s_{a}") for a in NAMES], F.round(F.pow("n", F.lit(POWER)) * WEIGHT).cast("long").alias("w"))
+
+
+def quartiles_of(found: DataFrame) -> DataFrame:
+    """(level, g_lang, g_source, size, cells, q_...) of a table of cells: their weight, number, and (25, 50, 75) of each statistic in eighths of units."""
+    quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75), w)").alias(f"q_{a}") for a in NAMES]
+    return found.groupBy(*GROUP).agg(F.sum("w").alias("size"), F.count(F.lit(1)).alias("cells"), *quarters)
 
 
 def shaped(t: DataFrame, spread: float) -> DataFrame:
@@ -168,20 +187,21 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*[f"z_{i}" for i in range(len(NAMES))])
 
 
-def concentrated(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
-    """One step for the groups and starts of now (size, centre, factor): the estimate of the nearest half of each.
+def concentrated(found: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """One step for the groups and starts of now (size, centre, factor): the estimate of the nearest half of each, of a table of cells.
 
-    Distances are told apart in steps of 1/64 of ln(1 + d2); the rows of the step that makes up half are all kept.
+    Distances are told apart in steps of 1/64 of ln(1 + d2); the cells of the step that makes up half are all kept.
     """
     by = [*GROUP, "start"]
-    placed = _with_distance(_join(rows, now.select(*by, "size", "centre", "factor"), few)).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
+    placed = _with_distance(_join(found, now.select(*by, "size", "centre", "factor"), few)).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
     placed = placed.drop("centre", "factor", "d2")
-    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    counts = placed.groupBy(*by, "bin").agg(F.sum("w").alias("c"), F.first("size").alias("size"))
     so_far = F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))
-    half = F.floor((F.col("size") + len(NAMES) + 1) / 2)
+    # the least spreads keep any half regular, so that it need not be larger for the number of statistics
+    half = F.floor(F.col("size") / 2) + 1
     limits = counts.withColumn("reached", so_far >= F.least(half, F.col("size"))).groupBy(*by).agg(F.min(F.when(F.col("reached"), F.col("bin"))).alias("limit"))
     kept = _join(placed, limits, few, by).where("bin <= limit")
-    made = shaped(moments(kept, by), consistency(0.5))
+    made = shaped(moments(kept, by, F.col("w")), consistency(0.5))
     return _join_back(made, now)
 
 
@@ -192,37 +212,36 @@ def _join_back(made: DataFrame, now: DataFrame) -> DataFrame:
     return made.join(before, same).drop(*[f"_{k}" for k in [*GROUP, "start"]])
 
 
-def starts(rows: DataFrame, quartiles: DataFrame, few: bool) -> DataFrame:
-    """(g_lang, g_source, start, size, centre, factor, log_det, mark) of all starts; quartiles has size and (25, 50, 75) of each statistic in eighths of units."""
+def starts(found: DataFrame, quartiles: DataFrame, few: bool) -> DataFrame:
+    """(g_lang, g_source, start, size, centre, factor, log_det, mark) of all starts, from the cells and their quartiles."""
     middle = lambda a: F.get(f"q_{a}", F.lit(1)) * 8 / UNIT
     scale = lambda a: F.greatest((F.get(f"q_{a}", F.lit(2)) - F.get(f"q_{a}", F.lit(0))) * 8 / UNIT / 1.349, F.lit(STATS[a]))
     diagonal = F.array(*[scale(a) if a == b else F.lit(0.0) for a, b in PAIRS])
     first = quartiles.select(*GROUP, F.lit(0).alias("start"), F.col("size").alias("n"), F.array(*[middle(a) for a in NAMES]).alias("centre"), diagonal.alias("factor"), F.lit(1e9).alias("log_det"), F.lit(0).cast("long").alias("mark"))
-    x = _join(rows, quartiles, few)
-    # all rows on a sphere around the medians: far rows weigh no more than near ones
+    x = _join(found, quartiles, few)
+    # all cells on a sphere around the medians: far ones weigh no more than near ones
     z = {a: (F.col(f"s_{a}") / UNIT - middle(a)) / scale(a) for a in NAMES}
     sphere = x.withColumns({f"z_{a}": v for a, v in z.items()})
     length = F.sqrt(reduce(lambda p, q: p + q, [F.col(f"z_{a}") * F.col(f"z_{a}") for a in NAMES]) / len(NAMES))
     sphere = sphere.withColumn("length", F.greatest(length, F.lit(1e-6)))
-    drawn = sphere.select(*GROUP, F.lit(1).alias("start"), *[F.round((middle(a) + scale(a) * F.col(f"z_{a}") / F.col("length")) * UNIT).cast("long").alias(f"s_{a}") for a in NAMES])
-    # equal rows are picked or passed over together
-    picked = F.filter(F.array(*[F.lit(k) for k in range(2, 2 + HASHED)]), lambda k: F.pmod(F.xxhash64(k, *[f"s_{a}" for a in NAMES]), F.ceil(F.col("size") / ROWS_EACH)) == 0)
-    parts = x.select(*GROUP, F.explode(picked).alias("start"), *[f"s_{a}" for a in NAMES])
-    made = shaped(moments(drawn.unionByName(parts), [*GROUP, "start"]), 1.0)
+    drawn = sphere.select(*GROUP, F.lit(1).alias("start"), "w", *[F.round((middle(a) + scale(a) * F.col(f"z_{a}") / F.col("length")) * UNIT).cast("long").alias(f"s_{a}") for a in NAMES])
+    picked = F.filter(F.array(*[F.lit(k) for k in range(2, 2 + HASHED)]), lambda k: F.pmod(F.xxhash64(k, *[f"s_{a}" for a in NAMES]), F.ceil(F.col("cells") / CELLS_EACH)) == 0)
+    parts = x.select(*GROUP, F.explode(picked).alias("start"), "w", *[f"s_{a}" for a in NAMES])
+    made = shaped(moments(drawn.unionByName(parts), [*GROUP, "start"], F.col("w")), 1.0)
     both = first.unionByName(made).drop("n")
     return _join(both, quartiles.select(*GROUP, "size"), few) if few else both.join(quartiles.select(F.col("level").alias("_v"), F.col("g_lang").alias("_l"), F.col("g_source").alias("_s"), "size"), (F.col("level") == F.col("_v")) & F.col("g_lang").eqNullSafe(F.col("_l")) & F.col("g_source").eqNullSafe(F.col("_s"))).drop("_v", "_l", "_s")
 
 
-def half_estimates(rows: DataFrame, few: bool, quartiles: DataFrame) -> DataFrame:
-    """(g_lang, g_source, start, centre, factor, log_det) of the least determinant found for each group."""
+def half_estimates(found: DataFrame, few: bool, quartiles: DataFrame) -> DataFrame:
+    """(g_lang, g_source, start, centre, factor, log_det) of the least determinant for each group of a table of cells."""
     by = [*GROUP, "start", "size", "centre", "factor", "log_det", "mark"]
-    now = stage(starts(rows, quartiles, few).select(*by), "starts")
+    now = stage(starts(found, quartiles, few).select(*by), "starts")
     for _ in range(2):
-        now = stage(concentrated(rows, now, few).select(*by), "step")
+        now = stage(concentrated(found, now, few).select(*by), "step")
     best = now.groupBy(*GROUP).agg(F.min_by(F.struct("start", "size", "centre", "factor", "log_det", "mark"), F.struct("log_det", "start")).alias("e"))
     now, done = stage(best.select(*GROUP, "e.*"), "step"), []
     while True:
-        made = stage(concentrated(rows, now, few), "step")
+        made = stage(concentrated(found, now, few), "step")
         # a group is done when the same half comes out again, or one that is no narrower; every other one has narrowed
         ended = (F.col("mark") == F.col("mark_before")) | (F.col("log_det") > F.col("before") - 1e-6)
         done.append(made.where(ended).select(*by))
@@ -236,10 +255,10 @@ def estimates(stats: DataFrame) -> DataFrame:
     group = lambda level, source: F.struct(F.lit(level).alias("level"), F.col("lang").alias("g_lang"), source.alias("g_source"))
     levels = F.explode(F.array(group(0, F.col("source")), group(1, F.lit(None).cast("string"))))
     rows = stats.withColumn("g", levels).select("g.*", *[f"s_{a}" for a in NAMES])
-    quarters = [F.expr(f"percentile(floor(s_{a} / 8), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in NAMES]
-    quartiles = stage(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"), *quarters), "quartiles")
+    found = stage(cells(rows), "cells")
+    quartiles = stage(quartiles_of(found), "quartiles")
     few = quartiles.count() * (2 + HASHED) <= BROADCAST_GROUPS
-    halves = half_estimates(rows, few, quartiles)
+    halves = half_estimates(found, few, quartiles)
     near = _with_distance(_join(rows, halves.select(*GROUP, "centre", "factor"), few)).where(F.col("d2") <= quantile(NEAR_LEVEL))
     own = stage(moments(near, GROUP), "near")
     sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("n", *SUMS)]
