@@ -5,9 +5,9 @@ words). The rest is judged by language and source, by a minimum-covariance-deter
 and spread. So that no dense cluster of junk makes the half of least determinant by its density alone, the
 search works on cells, twice the least spread wide in every statistic: a cell stands for the mean of its rows and
 weighs as a power below 1 of their number. Several starts (medians and quartiles; all cells drawn onto a sphere
-around the medians; a few cells, picked by hash) take two concentration steps each, each keeping the half of the
-group's weight that is nearest by the estimate before; the start of the least determinant goes on until its half, or
-its determinant, changes no more. A last step keeps all rows, each counted once, that are near by that estimate. A
+around the medians; a few cells, picked by hash) take concentration steps, each keeping the half of the group's
+weight that is nearest by the estimate before, until the half, or its determinant, changes no more; the least
+determinant wins. A last step keeps all rows, each counted once, that are near by that estimate. A
 squared Mahalanobis distance beyond a chi-square quantile rejects.
 
 A group's estimate is drawn towards that of its language as if ``PRIOR`` rows of the language's kind lay in
@@ -41,7 +41,7 @@ STATS = {"word_length": 0.12, "symbols": 0.05, "lines": 0.10, "repeats": 0.10, "
 #: Rows of its language's kind that a group's estimate is mixed with.
 PRIOR = 500
 #: Hashed starts, and cells in each of them.
-HASHED, CELLS_EACH = 5, 12
+HASHED, CELLS_EACH = 4, 12
 #: A cell's width in least spreads, and its weight: of one row, and the power by which it grows with its rows. A power
 #: as low as 1/2 takes the weight from the dense middle of good rows as well, so that scattered junk counts for much.
 WIDE, WEIGHT, POWER = 2, 16, 0.75
@@ -235,19 +235,16 @@ def starts(found: DataFrame, quartiles: DataFrame, few: bool) -> DataFrame:
 def half_estimates(found: DataFrame, few: bool, quartiles: DataFrame) -> DataFrame:
     """(g_lang, g_source, start, centre, factor, log_det) of the least determinant for each group of a table of cells."""
     by = [*GROUP, "start", "size", "centre", "factor", "log_det", "mark"]
-    now = stage(starts(found, quartiles, few).select(*by), "starts")
-    for _ in range(2):
-        now = stage(concentrated(found, now, few).select(*by), "step")
-    best = now.groupBy(*GROUP).agg(F.min_by(F.struct("start", "size", "centre", "factor", "log_det", "mark"), F.struct("log_det", "start")).alias("e"))
-    now, done = stage(best.select(*GROUP, "e.*"), "step"), []
-    while True:
+    now, done = stage(starts(found, quartiles, few).select(*by), "starts"), []
+    while not now.isEmpty():
         made = stage(concentrated(found, now, few), "step")
-        # a group is done when the same half comes out again, or one that is no narrower; every other one has narrowed
+        # a start is done when the same half comes out again, or one that is no narrower; every other one has narrowed
         ended = (F.col("mark") == F.col("mark_before")) | (F.col("log_det") > F.col("before") - 1e-6)
         done.append(made.where(ended).select(*by))
         now = made.where(~ended).select(*by)
-        if now.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), done)
+    every = reduce(lambda a, b: a.unionByName(b), done) if done else now
+    best = every.groupBy(*GROUP).agg(F.min_by(F.struct("start", "size", "centre", "factor", "log_det", "mark"), F.struct("log_det", "start")).alias("e"))
+    return stage(best.select(*GROUP, "e.*"), "half")
 
 
 def estimates(stats: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ not do: a toxic word among hundreds of others hardly moves its mean; figures are
 
 Models are fitted, in one task on an executor, on a bounded sample of labelled rows: of each class the
 documents with the least hash of their id, at most ``MOST_DOCS`` of them and at most ``MOST_CHARS`` characters
-together. Everything fitted from it is therefore bounded and broadcast; every whole document is scored.
+together, texts of over ``LONG_CHARS`` last. Everything fitted from it is therefore bounded and broadcast; every whole document is scored.
 
 Defined results: a null text is the empty text; without toxic or without ordinary labelled rows every
 score is the share of toxic labels (0 if there are none); repeated rows score alike; a null id hashes as an
@@ -38,6 +38,8 @@ SHARED = 2
 #: Windows from CUT bytes on are kept if they occur twice or more in the labelled sample.
 CUT = 6
 MOST_DOCS, MOST_CHARS = 1000, 4_000_000
+#: Longer labelled texts are learned from only if there is room beside all others.
+LONG_CHARS = MOST_CHARS // 40
 #: Bytes of text worked on at a time, in scoring and in training.
 PIECE, TRAIN_PIECE = 4 << 20, 256 << 10
 
@@ -178,9 +180,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # repeated rows of an id give its least text; the lengths of the picked documents, so far, say which ones fit
     rows = texts.join(F.broadcast(ids[0].union(ids[1])), "id").groupBy("at", "id", "toxic").agg(F.min("text").alias("text"))
-    so_far = Window.partitionBy("toxic").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.char_length("text")).over(so_far), F.lit(0))
-    return rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.char_length("text") <= MOST_CHARS)).drop("before")
+    # long texts come last, the longest at the end, so that they take nothing from the others
+    chars = F.char_length("text")
+    so_far = Window.partitionBy("toxic").orderBy(F.greatest(chars - LONG_CHARS, F.lit(0)), "at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("total", F.sum(chars).over(so_far)).where(F.col("total") <= MOST_CHARS).drop("total")
 
 
 def fitted(texts: list[str], y: np.ndarray, share: float) -> dict | None:
