@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyql.operators.score import KINDS
+from canopyql.sources import parsers
 
 STATUSES = ("extracted", "covered", "planned", "skipped")
 
@@ -34,6 +35,12 @@ def counted(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("lang", "node").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select("lang", "node", "n", F.concat_ws(":", "f.path", F.col("f.l").cast("string")).alias("sample"))
 
 
+def of_files(files: DataFrame, registry: DataFrame, declares: Column) -> DataFrame:
+    """The classified census (see ``classify``) of all node types in files (path, lang, text)."""
+    met = counted(parsers.table_function(files, "parsed_nodes")).select("lang", "node", "n")
+    return classify(met, registry, declares)
+
+
 def audit(classified: DataFrame, strict: bool = False) -> DataFrame:
     """One row a language and status: how many node types and nodes. strict: ValueError if any type is unclassified."""
     out = classified.where("status IS NOT NULL").groupBy("lang", "status").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("nodes"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.session import held, release, stage
 
-#: Nodes up to which their ranks are broadcast.
-BROADCAST_NODES = 500_000
+#: Rounds of walks after which they are written.
+ROUNDS_WRITTEN = 5
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -56,33 +58,86 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fa
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count.
 
-    A round writes its ranks, so that the next one reads them twice (along the edges, and those of nodes
-    without any) at no further cost, and deletes those before; ranks go to the edges by broadcast where the
-    nodes, counted here, are few.
+    What nodes without out-edges spread is the same for all, as is the share that everyone gets. So the ranks of
+    round t are a sum of plain walks u_0, u_1, ... (u_k: what k steps along the edges make of 1/n each), whose factors
+    follow from how much of each walk ends at nodes without out-edges: one number a walk. A round is therefore one
+    join along the edges and one sum, with nothing to wait for; a node takes its own row along by an edge
+    to itself, so that a round reads the one before it once. Every few rounds the walks are written.
     """
+    spark, made = nodes.sparkSession, held(nodes.sparkSession)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    e = stage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part")), "edges")
-    v = stage(nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select("sym_id", F.col("deg").isNull().alias("dangling")), "nodes")
-    n = max(v.count(), 1)
-    near = (lambda df: F.broadcast(df)) if n <= BROADCAST_NODES else (lambda df: df)
-    ranks, written = v.withColumn("rank", F.lit(1.0 / n)), None
-    for _ in range(rounds):
-        loose = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
-        given = e.join(near(ranks.select(F.col("sym_id").alias("src"), "rank")), "src").groupBy(F.col("dst").alias("sym_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
-        before = held(nodes.sparkSession)
-        ranks = stage(v.join(near(given), "sym_id", "left").select("sym_id", "dangling", rank.alias("rank")), "ranks")
-        if written:
-            release(nodes.sparkSession, written)
-        written = held(nodes.sparkSession) - before
-    return ranks.select("sym_id", "rank")
+    part = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part"), F.lit(None).cast("int").alias("loose"))
+    own = nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select(F.col("sym_id").alias("src"), F.col("sym_id").alias("dst"), F.lit(None).cast("double").alias("part"), F.col("deg").isNull().cast("int").alias("loose"))
+    way = stage(part.join(nodes.select(F.col("sym_id").alias("dst")), "dst", "left_semi").select("src", "dst", "part", "loose").unionByName(own), "edges")
+    n = max(way.where("part IS NULL").count(), 1)
+    walks: list[DataFrame] = []
+    now, first = way.where("part IS NULL").select(F.col("src").alias("sym_id"), F.lit(1.0 / n).alias("u0"), "loose"), 0
+    for k in range(1, rounds + 1):
+        done = [c for c in now.columns if c.startswith("u")]
+        step = way.join(now.withColumnsRenamed({"sym_id": "src", "loose": "_loose"}), "src")
+        is_own = F.col("part").isNull()
+        kept = [F.sum(F.when(is_own, F.col(c))).alias(c) for c in done]
+        now = step.groupBy(F.col("dst").alias("sym_id")).agg(*kept, F.sum(F.when(is_own, 0.0).otherwise(F.col(done[-1]) * F.col("part"))).alias(f"u{k}"), F.max("loose").alias("loose"))
+        if k % ROUNDS_WRITTEN == 0 or k == rounds:
+            now = stage(now, "walks")
+            # the last walk goes on; those before it stay in this table
+            walks.append(now.select("sym_id", "loose", *[f"u{i}" for i in range(first, k)]))
+            first = k
+            now = now.select("sym_id", f"u{k}", "loose")
+    walks.append(now if rounds else now.select("sym_id", "u0", "loose"))
+    ends: dict[str, float] = {}
+    for w in walks:
+        us = [c for c in w.columns if c.startswith("u")]
+        ends |= w.agg(*[F.coalesce(F.sum(F.when(F.col("loose") == 1, F.col(c))), F.lit(0.0)).alias(c) for c in us]).first().asDict() if us else {}
+    # factors of the walks: round t is damping^t u_t and, for every round before, what all got alike in it
+    given: list[float] = []
+    for t in range(rounds):
+        spread = damping**t * ends[f"u{t}"] + sum(given[t - 1 - k] * damping**k * ends[f"u{k}"] for k in range(t))
+        given.append((1 - damping) + damping * spread)
+    factor = {f"u{k}": given[rounds - 1 - k] * damping**k for k in range(rounds)} | {f"u{rounds}": damping**rounds}
+    parts = [w.select("sym_id", reduce(lambda a, b: a + b, [F.col(c) * factor[c] for c in w.columns if c.startswith("u")]).alias("rank")) for w in walks if len(w.columns) > 2]
+    ranks = stage(reduce(lambda a, b: a.unionByName(b), parts).groupBy("sym_id").agg(F.sum("rank").alias("rank")), "ranks")
+    release(spark, {p for p in held(spark) - made if "/ranks-" not in p})
+    return ranks
+
+
+def _bins(l: Column, el: Column, top: int) -> Column:
+    """The dyadic bins (level, bin) that together are the lines after l up to el: two a level at most."""
+    found = []
+    for k in range(top + 1):
+        # bins of 2^k lines: the first and the one after the last that lie inside; an odd one has no larger bin around it inside
+        low, high = F.shiftright(l + (1 << k), k), F.shiftright(el + 1, k)
+        at = lambda b: F.struct(F.lit(k).alias("level"), b.cast("long").alias("bin"))  # noqa: B023, E731
+        found += [F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), at(low)), F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), at(high - 1))]
+    return F.array_compact(F.array(*found))
 
 
 def contained(hosts: DataFrame, members: DataFrame) -> DataFrame:
-    """(host, member): members whose span lies within a host's of the same path; an equi-join with a residual range."""
-    h = hosts.select(F.col("sym_id").alias("host"), F.col("p").alias("h_p"), F.col("l").alias("h_l"), F.col("el").alias("h_el"))
-    m = members.select(F.col("sym_id").alias("member"), F.col("p").alias("m_p"), F.col("l").alias("m_l"), F.col("el").alias("m_el"))
-    return h.join(m, (F.col("h_p") == F.col("m_p")) & (F.col("m_l") > F.col("h_l")) & (F.col("m_el") <= F.col("h_el"))).select("host", "member")
+    """(host, member): members whose span lies within a host's of the same path, after its first line.
+
+    An interval index: a host's lines are cut into dyadic bins, a member's first line lies in one bin of each
+    level, and the two meet in an equi-join on path, level and bin, once for each host around that line.
+    """
+    longest = hosts.agg(F.max(F.col("el") - F.col("l"))).first()[0]
+    top = int(longest or 0).bit_length()
+    line = lambda c: F.col(c).cast("long")
+    h = hosts.select(F.col("sym_id").alias("host"), F.col("p").alias("_p"), F.col("el").alias("h_el"), F.explode(_bins(line("l"), line("el"), top)).alias("_b"))
+    m = members.select(F.col("sym_id").alias("member"), F.col("p").alias("_p"), F.col("el").alias("m_el"), F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(line("l"), k).alias("bin")) for k in range(top + 1)])).alias("_b"))
+    flat = lambda df, *kept: df.select("_p", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), *kept)
+    return flat(h, "host", "h_el").join(flat(m, "member", "m_el"), ["_p", "_level", "_bin"]).where("m_el <= h_el").select("host", "member")
+
+
+def container_chains(symbols: DataFrame, containers: DataFrame | None = None, most: int = 40) -> DataFrame:
+    """(sym_id, q): the names of the spans around a symbol, outermost first, and its own, joined by ``::``; at most so many around it, the nearest.
+
+    containers: the symbols that count as such (all). A symbol with none around it has its name alone.
+    """
+    c = symbols if containers is None else containers
+    around = contained(c, symbols).join(c.select(F.col("sym_id").alias("host"), F.col("l").alias("h_l"), F.col("el").alias("h_el"), F.col("n").alias("h_n")), "host")
+    order = F.struct("h_l", (-F.col("h_el")).alias("h_end"), "host", "h_n")
+    above = around.groupBy(F.col("member").alias("sym_id")).agg(F.sort_array(F.collect_list(order)).alias("above"))
+    nearest = F.slice("above", F.greatest(F.size("above") - most + 1, F.lit(1)), F.lit(most))
+    return symbols.join(above, "sym_id", "left").select("sym_id", F.concat_ws("::", F.transform(nearest, lambda x: x["h_n"]), "n").alias("q"))
 
 
 def dispatch(symbols: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def decided_by_name(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | No
     everywhere, here, below = _summaries(definitions(symbols))
     x = _beside(wanted, everywhere, ["name", "s_family"], "inner")
     x = _beside(x, here, ["name", "s_p"], "left")
-    x = _with_below(x, below, symbols.select(F.col("p").alias("s_p")).distinct())
+    x = _with_below(x, wanted, below)
     # a symbol that meets its own name (through an alias) doesn't count
     own = (F.col("own") == F.col("name")) & F.col("s_can")
     less = lambda c, part=F.lit(True): F.coalesce(F.col(c), F.lit(0)) - (own & part).cast("int")
@@ -147,29 +147,62 @@ def decided_by_name(symbols: DataFrame, refs: DataFrame, aliases: DataFrame | No
     return x.withColumn("prov", prov).withColumn("dst", dst).select("src", "tk", "pos", "prov", "dst")
 
 
-def _with_below(x: DataFrame, below: DataFrame, files: DataFrame) -> DataFrame:
-    """x with belows, far_belows, below_low and below_high: the private definitions of its name in directories above its path."""
-    # which files (s_p) lie below which of these directories is a matter of paths alone; a name has few directories on one path
-    files = files.withColumn("home", F.explode(paths.prefixes(paths.directory(F.col("s_p")))))
-    above = files.join(below, "home").groupBy("s_p", "name", "s_family")
-    above = above.agg(F.sum("belows").alias("belows"), F.sum("far_belows").alias("far_belows"), F.min("below_low").alias("below_low"), F.max("below_high").alias("below_high"))
+def _with_below(x: DataFrame, wanted: DataFrame, below: DataFrame) -> DataFrame:
+    """x with belows, far_belows, below_low and below_high: the private definitions of its name in directories above its path.
+
+    Of the wanted references, those whose name has private definitions at all go up their own path: one row for
+    each directory above a file and name that refers to it, which meets one summary at most.
+    """
+    below = stage(below, "below")
+    asked = _beside(wanted.select("s_p", "name", "s_family"), below.select("name", "s_family").distinct(), ["name", "s_family"], "left_semi").distinct()
+    up = asked.withColumn("home", F.explode(paths.prefixes(paths.directory(F.col("s_p")))))
+    sums = [F.sum("belows").alias("belows"), F.sum("far_belows").alias("far_belows"), F.min("below_low").alias("below_low"), F.max("below_high").alias("below_high")]
+    few = below.count() <= BROADCAST_NAMES
+    above = up.join(F.broadcast(below) if few else below, ["name", "s_family", "home"]).groupBy("s_p", "name", "s_family").agg(*sums)
     return _beside(x, above, ["s_p", "name", "s_family"], "left")
 
 
+def _chain(parts: Column, first: Column | int, many: Column) -> Column:
+    return F.array_join(F.slice(parts, first, many), "::")
+
+
+def _suffixes(chain: Column, whole: bool) -> Column:
+    """The endings of a chain that begin after ``::``; whole: and the chain itself."""
+    parts = F.split(chain, "::")
+    n = F.size(parts)
+    return F.transform(F.sequence(F.lit(1 if whole else 2), n), lambda i: _chain(parts, i, n))
+
+
 def qualified(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """Decisions about qualified references (src, path, name), e.g. ``A::run``: prov ``qname``, ``local-only`` or ``ambiguous``."""
+    """Decisions about qualified references (src, path, name), e.g. ``A::run``: prov ``qname``, ``local-only`` or ``ambiguous``.
+
+    A definition is meant if its chain is the reference's, ends in it, or is what the reference's ends in; one without
+    a chain, if the file (or folder, for ``mod.rs``) is named as the last scope. The three cases exclude each other, so
+    that each is settled by counts and least ids of the definitions of a key (an ending of a chain; a chain;
+    a name and a file's name), made once: a reference meets one row for each ending of its own chain, however many
+    definitions its name has. A symbol's own name, names under three characters and a name's later references
+    (by pos, else by chain) are passed over.
+    """
     full = F.regexp_replace(F.concat_ws("::", "path", "name"), r"^(?:(?:crate|self|super)::)+", "")
-    r = refs.withColumn("full", full).where(F.col("full").contains("::"))
-    scope = F.regexp_extract("full", r"^(.*)::[^:]+$", 1)
+    r = refs.withColumn("full", full).where(F.col("full").contains("::") & (F.char_length("name") >= 3))
+    r = r.join(symbols.select(F.col("sym_id").alias("src"), F.col("n").alias("own")), "src").where("name <> own")
+    order = F.struct("pos", "full") if "pos" in refs.columns else F.col("full")
+    r = r.groupBy("src", "name").agg(F.min_by("full", order).alias("full"))
     d = symbols.where(~F.col("t").isin(*MEMBERS) & ~paths.is_vendor(F.col("p")))
     stem = F.regexp_replace(paths.base_name(F.col("p")), r"\.[^.]*$", "")
     home = F.when(paths.base_name(F.col("p")) == "mod.rs", paths.base_name(paths.directory(F.col("p")))).otherwise(stem)
-    d = d.select(F.col("sym_id").alias("dst"), F.col("n").alias("name"), "q", F.col("p").endswith(".rs").alias("rust"), home.alias("home"), F.col("t").alias("d_t"), F.col("local").alias("d_local"))
-    in_chain = (F.col("q") == F.col("full")) | F.col("q").endswith(F.concat(F.lit("::"), F.col("full"))) | F.col("full").endswith(F.concat(F.lit("::"), F.col("q")))
-    in_file = F.col("q").isNull() & F.col("rust") & (F.element_at(F.split(scope, "::"), -1) == F.col("home"))
-    hit = r.join(d, "name").where((F.col("src") != F.col("dst")) & (F.coalesce(in_chain, F.lit(False)) | in_file))
-    g = hit.groupBy("src", F.col("name").alias("tk"), "full").agg(F.count_distinct("dst").alias("k"), F.min("dst").alias("one"), F.bool_and(F.col("d_t").isin("var", "const") & F.coalesce("d_local", F.lit(False))).alias("all_loc"))
-    prov = F.when(F.col("k") == 1, "qname").when(F.col("all_loc"), "local-only").otherwise("ambiguous")
+    inner = F.col("t").isin("var", "const") & F.coalesce("local", F.lit(False))
+    sums = [F.count(F.lit(1)).alias("k"), F.min("sym_id").alias("one"), _count(inner).alias("inners")]
+    key = lambda case, *parts: F.concat_ws("\n", F.lit(case), *parts)
+    chained = d.where("q IS NOT NULL")
+    ends = chained.select("*", F.explode(_suffixes(F.col("q"), True)).alias("ending")).groupBy(key("ends", "n", "ending").alias("key")).agg(*sums)
+    same = chained.groupBy(key("is", "n", "q").alias("key")).agg(*sums)
+    files = d.where(F.col("q").isNull() & F.col("p").endswith(".rs")).groupBy(key("file", "n", home).alias("key")).agg(*sums)
+    scope = F.split("full", "::")
+    asked = F.concat(F.array(key("ends", "name", "full"), key("file", "name", F.element_at(scope, -2))), F.transform(_suffixes(F.col("full"), False), lambda c: key("is", "name", c)))
+    hit = _beside(r.select("src", F.col("name").alias("tk"), F.explode(asked).alias("key")), union(ends, same, files), ["key"], "inner")
+    g = hit.groupBy("src", "tk").agg(F.sum("k").alias("k"), F.min("one").alias("one"), F.sum("inners").alias("inners"))
+    prov = F.when(F.col("k") == 1, "qname").when(F.col("inners") == F.col("k"), "local-only").otherwise("ambiguous")
     return g.select("src", "tk", F.lit(-1).alias("pos"), prov.alias("prov"), F.when(F.col("k") == 1, F.col("one")).alias("dst"))
 
 

@@ -59,8 +59,13 @@ def hub_scores(symbols: DataFrame, calls: DataFrame, config: HubConfig = HubConf
     return x.withColumn("score", F.col("norm") * F.col("k") * F.col("pw") * F.col("nw") * F.col("sw") * F.col("bw"))
 
 
-def hub_ranking(scores: DataFrame, top: int = 25) -> DataFrame:
-    return scores.orderBy(F.col("score").desc(), "n", "sym_id").limit(top)
+def ordered(column: str, collation: str | None = None) -> Column:
+    """A column to sort by: in binary order, or as a collation (such as ``UNICODE``) has it, equal ones in binary order."""
+    return F.col(column) if collation is None else F.struct(F.collate(F.col(column), collation).alias("k"), F.col(column).alias("v"))
+
+
+def hub_ranking(scores: DataFrame, top: int = 25, collation: str | None = None) -> DataFrame:
+    return scores.orderBy(F.col("score").desc(), ordered("n", collation), "sym_id").limit(top)
 
 
 def hub_norm(scores: DataFrame) -> DataFrame:
@@ -92,12 +97,13 @@ def lens(symbols: DataFrame, query: str, norms: DataFrame, churn: DataFrame) ->
     return x.where("points > 0").withColumn("rank", F.col("points") + bonus)
 
 
-def lens_top(found: DataFrame, top: int = 12) -> DataFrame:
+def lens_top(found: DataFrame, top: int = 12, collation: str | None = None) -> DataFrame:
     """Three times as many rows as asked for, then the first of each name, then the cut: the order matters."""
-    wide = found.orderBy(F.col("rank").desc(), "p", "l", "sym_id").limit(3 * top)
-    first = Window.partitionBy("n").orderBy(F.col("rank").desc(), "p", "l", "sym_id")
+    order = [F.col("rank").desc(), ordered("p", collation), F.col("l"), F.col("sym_id")]
+    wide = found.orderBy(*order).limit(3 * top)
+    first = Window.partitionBy("n").orderBy(*order)
     one = wide.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    return one.orderBy(F.col("rank").desc(), "p", "l", "sym_id").limit(top)
+    return one.orderBy(*order).limit(top)
 
 
 def within_budget(rows: DataFrame, estimate: Column, budget: int, reserved: int = 16) -> DataFrame:

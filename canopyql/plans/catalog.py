@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import strip_noise, token_estimate
-from canopyql.operators import census, extract, governance, graph, resolve, score
+from canopyql.operators import census, digests, extract, governance, graph, resolve, score
 from canopyql.plans import virtual as v
+from canopyql.plans.verbs import answer, with_confidence
 from canopyql.session import stage, table
-from canopyql.sources import tree
+from canopyql.sources import parsers, tree
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -103,6 +104,81 @@ def span_infer(spark, d):
     return extract.spans(extract.declarations(files), files).select("path", "l", "el")
 
 
+@query(
+    "container_chain",
+    v.SOURCES_SQL + """, size AS (SELECT path, 3 * count(*) AS n_lines FROM decl GROUP BY path),
+    s AS (SELECT path, l, n, CAST(coalesce((SELECT min(b.l) FROM decl b WHERE b.path = a.path AND b.l > a.l AND b.indent <= a.indent) - 1, n_lines) AS INT) AS el FROM decl a JOIN size USING (path)),
+    up AS (SELECT m.path, m.l, h.n, h.l AS h_l, row_number() OVER (PARTITION BY m.path, m.l ORDER BY h.l DESC) AS near FROM s m JOIN s h ON h.path = m.path AND m.l > h.l AND m.el <= h.el)
+    SELECT s.path, s.l, coalesce(any_value(c.chain) || '::', '') || s.n AS q FROM s LEFT JOIN (SELECT path, l, string_agg(n, '::' ORDER BY h_l) AS chain FROM up WHERE near <= 40 GROUP BY path, l) c ON c.path = s.path AND c.l = s.l GROUP BY s.path, s.l, s.n""",
+    base=False,
+)
+def container_chain(spark, d):
+    files = v.sources(spark, d)
+    s = stage(extract.spans(extract.declarations(files), files).select(F.col("path").alias("p"), "l", "el", "n", F.concat_ws(":", "path", "l").alias("sym_id")), "spans")
+    return graph.container_chains(s).join(s.select("sym_id", F.col("p").alias("path"), "l"), "sym_id").select("path", "l", "q")
+
+
+@query(
+    "parsed_symbols",
+    v.CODE_SQL
+    + """SELECT path, 'C' || k AS n, CASE lang WHEN 'rust' THEN 'impl' ELSE 'class' END AS t, before + 1 AS l, before + CASE lang WHEN 'py' THEN 3 ELSE 5 END AS el, NULL::VARCHAR AS q FROM placed
+    UNION ALL SELECT path, name, CASE lang WHEN 'rust' THEN 'fn' ELSE 'method' END, before + 2, before + CASE lang WHEN 'py' THEN 3 ELSE 4 END, 'C' || k || '::' || name FROM placed""",
+    base=False,
+)
+def parsed_symbols(spark, d):
+    return parsers.table_function(v.code(spark, d), "parsed_symbols").select("path", "n", "t", "l", "el", "q")
+
+
+@query("parsed_refs", v.CODE_SQL + "SELECT path, name AS n, w[2] AS tk FROM placed WHERE length(w[2]) >= 3 AND w[2] <> name UNION ALL SELECT path, 'C' || k, unnest(list_distinct(CASE lang WHEN 'py' THEN [w[2]] ELSE [name, w[2]] END)) FROM placed", base=False)
+def parsed_refs(spark, d):
+    return parsers.table_function(v.code(spark, d), "parsed_symbols").select("path", "n", F.explode("refs").alias("tk"))
+
+
+@query(
+    "parsed_containers",
+    v.CODE_SQL + "SELECT path, 'C' || k AS n, 'C' || k AS q FROM placed UNION ALL SELECT path, name, 'C' || k || '::' || name FROM placed",
+    base=False,
+)
+def parsed_containers(spark, d):
+    s = parsers.table_function(v.code(spark, d), "parsed_symbols").select(F.concat_ws(":", "path", "l").alias("sym_id"), F.col("path").alias("p"), "l", "el", "n")
+    s = stage(s, "spans")
+    return graph.container_chains(s).join(s.select("sym_id", F.col("p").alias("path"), "n"), "sym_id").select("path", "n", "q")
+
+
+_NODES = """, met AS (
+    SELECT lang, unnest(CASE lang WHEN 'py' THEN ['ClassDef', 'FunctionDef', 'arg', 'Return', 'Name'] WHEN 'ts' THEN ['class', name, 'return'] ELSE ['impl', 'fn', w[2]] END) AS node FROM placed
+), reg(lang, node, status) AS (VALUES ('py', 'ClassDef', 'extracted'), ('py', 'Name', 'covered'), ('ts', 'class', 'extracted'), ('rust', 'impl', 'extracted'), ('rust', 'union', 'extracted')),
+    cen AS (SELECT lang, node, count(*) AS n FROM met GROUP BY lang, node),
+    cls AS (SELECT lang, node, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'stale' WHEN status IS NOT NULL THEN status WHEN node LIKE '%Def' OR node = 'fn' THEN 'unclassified' END AS status FROM cen FULL JOIN reg USING (lang, node))"""
+
+
+def _nodes_registry(spark) -> DataFrame:
+    return spark.createDataFrame([("py", "ClassDef", "extracted", ""), ("py", "Name", "covered", ""), ("ts", "class", "extracted", ""), ("rust", "impl", "extracted", ""), ("rust", "union", "extracted", "")], "lang string, node string, status string, reason string")
+
+
+@query("node_census", v.CODE_SQL.rstrip() + _NODES + " SELECT lang, node, n, status FROM cls", base=False)
+def node_census(spark, d):
+    return census.of_files(v.code(spark, d), _nodes_registry(spark), F.col("node").endswith("Def") | (F.col("node") == "fn"))
+
+
+@query("decl_audit", v.CODE_SQL.rstrip() + _NODES + " SELECT lang, status, count(*) AS types, CAST(sum(n) AS BIGINT) AS nodes FROM cls WHERE status IS NOT NULL GROUP BY lang, status", base=False)
+def decl_audit(spark, d):
+    return census.audit(node_census(spark, d))
+
+
+_CHANGED = """, was AS (SELECT p || '|' || n || '|' || t || '|' || l || '|' || el AS key FROM syms),
+    now AS (SELECT p || '|' || n || '|' || t || '|' || l || '|' || (CASE WHEN starts_with(p, 'lib/en/src1') AND sym_id % 7 = 0 THEN el + 1 ELSE el END) AS key FROM syms WHERE NOT (p LIKE '%.py' AND sym_id % 11 = 0))"""
+
+
+@query("drift_digest", _CHANGED + " SELECT key, w.key IS NOT NULL AS was, n.key IS NOT NULL AS now FROM (SELECT DISTINCT key FROM was) w FULL JOIN (SELECT DISTINCT key FROM now) n USING (key) WHERE w.key IS NULL OR n.key IS NULL")
+def drift_digest(spark, d):
+    s = v.index(spark, d).symbols
+    keyed = lambda x: x.select(F.lit("symbol").alias("relation"), F.col("p").alias("path"), F.concat_ws("|", "p", "n", "t", F.col("l").cast("string"), F.col("el").cast("string")).alias("key"))
+    now = s.where(~(F.col("p").endswith(".py") & (F.col("sym_id") % 11 == 0))).withColumn("el", F.when(F.col("p").startswith("lib/en/src1") & (F.col("sym_id") % 7 == 0), F.col("el") + 1).otherwise(F.col("el")))
+    out = digests.drift(keyed(s), keyed(now))
+    return out.select("key", F.col("here").isNotNull().alias("was"), F.col("there").isNotNull().alias("now"))
+
+
 @query("cx_own", "SELECT s.sym_id, CAST(greatest(s.cx - coalesce(sum(i.cx), 0), 0) AS INT) AS cx_own FROM syms s LEFT JOIN syms i ON i.p = s.p AND i.l > s.l AND i.l <= s.el GROUP BY s.sym_id, s.cx")
 def cx_own(spark, d):
     return extract.own_complexity(v.index(spark, d).symbols)
@@ -153,13 +229,16 @@ def census_audit(spark, d):
 @query(
     "census_self_check",
     _CENSUS
-    + """ SELECT 'html' AS lang, node, 'declared, not registered as extracted' AS problem FROM decl WHERE node NOT IN (SELECT node FROM r WHERE status = 'extracted')
-    UNION ALL SELECT 'html', node, 'registered as extracted, not declared' FROM r WHERE status = 'extracted' AND node NOT IN (SELECT node FROM decl)
-    UNION ALL SELECT 'html', node, 'unknown kind' FROM decl WHERE kind NOT IN ('class', 'sec') UNION ALL SELECT 'html', node, 'unknown status' FROM r WHERE status = 'odd'
+    + """, dm AS (SELECT node, kind FROM decl WHERE node IN (SELECT node FROM c)) SELECT 'html' AS lang, node, 'declared, not registered as extracted' AS problem FROM dm WHERE node NOT IN (SELECT node FROM r WHERE status = 'extracted')
+    UNION ALL SELECT 'html', node, 'registered as extracted, not declared' FROM r WHERE status = 'extracted' AND node NOT IN (SELECT node FROM dm)
+    UNION ALL SELECT 'html', node, 'unknown kind' FROM dm WHERE kind NOT IN ('class', 'sec') UNION ALL SELECT 'html', node, 'unknown status' FROM r WHERE status = 'odd'
     UNION ALL SELECT 'html', node, 'no reason given' FROM r WHERE status IN ('planned', 'skipped') AND reason = ''""",
 )
 def census_self_check(spark, d):
-    declared = spark.createDataFrame([("html", k, kind) for k, kind in _DECLARED.items()], "lang string, node string, kind string")
+    # what is declared: the tags that pages hold, each with its kind
+    kinds = spark.createDataFrame(list(_DECLARED.items()), "node string, kind string")
+    met = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("node")).distinct()
+    declared = met.join(F.broadcast(kinds), "node").select(F.lit("html").alias("lang"), "node", "kind")
     return census.self_check(declared, _registry(spark))
 
 
@@ -186,6 +265,24 @@ for _kind in ("name", "same-file", "scope-unique", "lexical", "visibility", "ali
     _one_kind(_kind)
 
 
+@query(
+    "edges_qualified",
+    r""", qr AS (
+      SELECT r.src, r.tk, regexp_replace(CASE r.src % 4 WHEN 0 THEN s.lang WHEN 1 THEN 'crate::' || s.lang WHEN 2 THEN 'x::y::' || s.lang ELSE 'self::super::' || regexp_extract(s.p, '([^/]*)\.[^.]*$', 1) END || '::' || r.tk, '^(?:(?:crate|self|super)::)+', '') AS whole
+      FROM refs r JOIN syms s ON s.sym_id = r.src WHERE (r.src + length(r.tk)) % 3 = 0
+    ), qd AS (SELECT sym_id, n, t, local, p, CASE WHEN sym_id % 10 = 0 THEN 'app::' || q ELSE q END AS q FROM syms WHERE t NOT IN ('field', 'prop', 'variant') AND NOT vendor),
+    qc AS (
+      SELECT qr.src, qr.tk, d.sym_id AS dst, d.t IN ('var', 'const') AND coalesce(d.local, FALSE) AS inside FROM qr JOIN qd d ON d.n = qr.tk AND d.sym_id <> qr.src
+      WHERE d.q = whole OR ends_with(d.q, '::' || whole) OR ends_with(whole, '::' || d.q)
+         OR (d.q IS NULL AND d.p LIKE '%.rs' AND regexp_extract(d.p, '([^/]*)\.[^.]*$', 1) = regexp_extract(whole, '([^:]*)::[^:]*$', 1))
+    ), qg AS (SELECT src, tk, count(*) AS k, min(dst) AS one, bool_and(inside) AS inner_all FROM qc GROUP BY src, tk)
+    SELECT src, tk, CASE WHEN k = 1 THEN 'qname' WHEN inner_all THEN 'local-only' ELSE 'ambiguous' END AS prov, CASE WHEN k = 1 THEN one END AS dst FROM qg""",
+)
+def edges_qualified(spark, d):
+    x = v.index(spark, d)
+    return resolve.qualified(*v.qualified_references(x.symbols, x.references)).select("src", "tk", "prov", "dst")
+
+
 @query("local_only", "SELECT tk, count(*) AS n FROM dec WHERE prov = 'local-only' GROUP BY tk")
 def local_only(spark, d):
     return v.index(spark, d).decided.where("prov = 'local-only'").groupBy("tk").agg(F.count(F.lit(1)).alias("n"))
@@ -326,6 +423,19 @@ def pagerank20(spark, d):
     return graph.pagerank(nodes, e).select("sym_id", F.round("rank", 9).alias("rank"))
 
 
+@query("sorted_names", "SELECT n, row_number() OVER (ORDER BY n COLLATE en, n) AS position FROM (SELECT DISTINCT n FROM syms ORDER BY n COLLATE en, n LIMIT 50)")
+def sorted_names(spark, d):
+    names = v.index(spark, d).symbols.select("n").distinct()
+    first = names.orderBy(score.ordered("n", "UNICODE")).limit(50)
+    return first.withColumn("position", F.row_number().over(Window.orderBy(score.ordered("n", "UNICODE"))).cast("long"))
+
+
+@query("hub_collated", "SELECT n, sym_id, score FROM (SELECT n, sym_id, round(score, 6) AS score FROM hub) ORDER BY score DESC, n COLLATE en, n, sym_id LIMIT 40")
+def hub_collated(spark, d):
+    h = v.index(spark, d).hubs.select("n", "sym_id", F.round("score", 6).alias("score"))
+    return score.hub_ranking(h, 40, "UNICODE")
+
+
 @query("tree_top", ", x AS (SELECT p, sym_id, coalesce(n_in, 0) AS r FROM syms LEFT JOIN nin ON dst = sym_id), b AS (SELECT p, max(r) AS best FROM x GROUP BY p ORDER BY best DESC, p LIMIT 40), w AS (SELECT x.p, x.sym_id, row_number() OVER (PARTITION BY x.p ORDER BY x.r DESC, x.sym_id) AS position FROM x JOIN b USING (p)) SELECT p, sym_id, position FROM w WHERE position <= 8")
 def tree_top(spark, d):
     s, calls, _ = _staged(spark, d)
@@ -429,11 +539,33 @@ def symbol_fuzzy(spark, d):
     return find_symbol(v.index(spark, d).symbols, "hent").select("sym_id", "n")
 
 
-@query("conf_label", f""", a AS (SELECT n, count(*) AS amb FROM syms GROUP BY n) SELECT s.sym_id, CASE WHEN amb > 1 AND coalesce(n_in, 0) = 0 THEN 'none' WHEN amb > 1 OR (s.n IN ({", ".join(f"'{g}'" for g in score.GENERIC)}) AND coalesce(n_in, 0) > 0 AND s.t NOT IN ('sec', 'doc') AND NOT s.local AND NOT s.vendor) THEN 'low' END AS conf FROM syms s JOIN a USING (n) LEFT JOIN nin ON dst = sym_id""")
+_LABELS = f""", a AS (SELECT n, count(*) AS amb FROM syms GROUP BY n), lab AS (SELECT s.sym_id, CASE WHEN amb > 1 AND coalesce(n_in, 0) = 0 THEN 'none' WHEN amb > 1 OR (s.n IN ({", ".join(f"'{g}'" for g in score.GENERIC)}) AND coalesce(n_in, 0) > 0 AND s.t NOT IN ('sec', 'doc') AND NOT s.local AND NOT s.vendor) THEN 'low' END AS conf FROM syms s JOIN a USING (n) LEFT JOIN nin ON dst = sym_id)"""
+
+
+@query("conf_label", _LABELS + " SELECT sym_id, conf FROM lab")
 def conf_label(spark, d):
     return score.confidence(v.index(spark, d).symbols, graph.in_degree(v.index(spark, d).calls))
 
 
+@query("callers_conf", _LABELS + " SELECT src, dst, prov, conf FROM calls JOIN lab ON sym_id = dst WHERE dst IN (SELECT sym_id FROM syms WHERE n = (SELECT name FROM seed))")
+def callers_conf(spark, d):
+    s, calls, name = _staged(spark, d)
+    return with_confidence(graph.callers(calls, s, name), conf_label(spark, d), "dst").select("src", "dst", "prov", "conf")
+
+
+@query("impact_conf", _LABELS + _REACH.format(seed=_FIRST, edges="SELECT src, dst FROM calls", depth=2).replace("SELECT id AS sym_id, min(d) AS depth FROM reach GROUP BY id HAVING", ", found AS (SELECT id AS sym_id, min(d) AS depth FROM reach GROUP BY id HAVING") + ") SELECT sym_id, depth, conf FROM found JOIN lab USING (sym_id)")
+def impact_conf(spark, d):
+    s, calls, name = _staged(spark, d)
+    found = graph.impact(calls.select("src", "dst"), _first_of(s, name), 2)
+    return with_confidence(found, conf_label(spark, d), "sym_id").select("sym_id", "depth", "conf")
+
+
+@query("answer_conf", _LABELS + ", k AS (SELECT n AS name, count(*) AS defs, min(sym_id) AS sym_id FROM syms WHERE n = (SELECT name FROM seed) GROUP BY n), c AS (SELECT count(*) AS n FROM calls WHERE dst IN (SELECT sym_id FROM syms WHERE n = (SELECT name FROM seed))) SELECT name, n, defs, CASE WHEN defs > 1 AND n = 0 THEN 'none' WHEN defs > 1 THEN 'low' ELSE conf END AS conf FROM k CROSS JOIN c LEFT JOIN lab USING (sym_id)")
+def answer_conf(spark, d):
+    s, calls, name = _staged(spark, d)
+    return answer(graph.callers(calls, s, name), s, conf_label(spark, d), name)
+
+
 # --- files ----------------------------------------------------------------------------------------------
 
 

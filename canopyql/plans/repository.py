@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import escaped, strip_noise, token_estimate
-from canopyql.operators import extract, governance, graph, resolve, score
+from canopyql.operators import digests, extract, governance, graph, resolve, score
 from canopyql.plans import verbs
 from canopyql.session import stage
 from canopyql.sources import parsers, side, tree
@@ -65,7 +65,7 @@ class Repository:
         reexports = stage(extract.reexports_of(by_line).unionByName(one("handed", "name", "as")).distinct(), "reexports")
         texts = resolve.references(symbols.where("refs IS NULL"), strip_noise(F.col("body"), F.col("lang")))
         refs = texts.unionByName(resolve.references(symbols.where("refs IS NOT NULL"), tokens=F.col("refs")))
-        qrefs = symbols.select(F.col("sym_id").alias("src"), F.explode("qrefs").alias("x")).select("src", "x.path", "x.name")
+        qrefs = symbols.select(F.col("sym_id").alias("src"), F.posexplode("qrefs").alias("pos", "x")).select("src", "x.path", "x.name", "pos")
         decided = stage(resolve.resolve(symbols, refs, aliases, qrefs), "decided")
         types = stage(resolve.type_edges(symbols, resolve.references(symbols, tokens=F.col("trefs"), least=2)), "types")
         edges = stage(resolve.edges(decided), "edges")
@@ -120,24 +120,31 @@ class Repository:
         """The symbols that can be hubs, with all factors of their scores; made when first asked for."""
         return self._hubs
 
-    def hubs(self, top: int = 25) -> DataFrame:
-        return score.hub_ranking(self.hub_scores(), score.positive(top, "top"))
+    def hubs(self, top: int = 25, collation: str | None = None) -> DataFrame:
+        """The highest scores; names of equal score in binary order, or in that of a collation."""
+        return score.hub_ranking(self.hub_scores(), score.positive(top, "top"), collation)
 
     def symbol(self, name: str) -> DataFrame:
         return verbs.find_symbol(self.symbols, name)
 
     def callers(self, name: str) -> DataFrame:
-        return graph.callers(self.calls, self.symbols, name)
+        """The links to all definitions of a name; conf says how far those to a definition can be trusted."""
+        return verbs.with_confidence(graph.callers(self.calls, self.symbols, name), self.confidence(), "dst")
+
+    def answer(self, rows: DataFrame, name: str) -> DataFrame:
+        """(name, n, defs, conf): one row about the rows that ``callers``, ``callees`` or ``impact`` gave for a name."""
+        return verbs.answer(rows, self.symbols, self.confidence(), name)
 
     def handed_on(self, name: str) -> DataFrame:
         """(path, as): files that hand the name on; such a file makes no call, so few callers need not mean few users."""
         return self.reexports.where(F.col("name") == name).select("path", "as")
 
     def callees(self, name: str) -> DataFrame:
-        return graph.callees(self.calls, self.symbols, name)
+        """The links from the first definition of a name, each with conf of the symbol that it leads to."""
+        return verbs.with_confidence(graph.callees(self.calls, self.symbols, name), self.confidence(), "dst")
 
     def impact(self, name: str, depth: int = 3, all_definitions: bool = False, types: bool = False) -> DataFrame:
-        """(sym_id, depth, family, rank): what reaches the first definition of a name (or all), by rank; then, as family
+        """(sym_id, depth, family, conf, rank): what reaches the first definition of a name (or all), by rank; then, as family
         ``dispatch``, the methods that implement a trait's method of that name and are not among them."""
         hits = self.symbols.where(F.col("n") == name).select("sym_id")
         seeds = hits if all_definitions else hits.agg(F.min("sym_id").alias("sym_id")).where("sym_id IS NOT NULL")
@@ -147,22 +154,23 @@ class Repository:
         found = stage(graph.impact(e, seeds, score.positive(depth, "depth")), "impact")
         given = graph.dispatch(self.symbols).join(hits.withColumnRenamed("sym_id", "method"), "method", "left_semi").select(F.col("provider").alias("sym_id")).distinct()
         given = given.join(found.select("sym_id"), "sym_id", "left_anti").select("sym_id", F.lit(None).cast("int").alias("depth"), F.lit("dispatch").alias("family"))
-        return found.unionByName(given).join(self.ranks(), "sym_id").orderBy(F.col("family") == "dispatch", F.col("rank").desc(), "sym_id")
+        labelled = verbs.with_confidence(found.unionByName(given), self.confidence(), "sym_id")
+        return labelled.join(self.ranks(), "sym_id").orderBy(F.col("family") == "dispatch", F.col("rank").desc(), "sym_id")
 
     def affected(self, changed: DataFrame, depth: int = 2) -> DataFrame:
         """What reaches any symbol of the changed files (path), without those."""
         seeds = self.symbols.join(changed.withColumnRenamed("path", "p"), "p", "left_semi").select("sym_id")
         return graph.impact(self.calls, seeds, score.positive(depth, "depth")).join(self.symbols, "sym_id").orderBy("p", "l")
 
-    def search(self, query: str, top: int = 12, budget: int | None = 6000) -> DataFrame:
+    def search(self, query: str, top: int = 12, budget: int | None = 6000, collation: str | None = None) -> DataFrame:
         """The symbols that answer a question, with rank, position, hub (norm) and amb (definitions of the name); as many of
         them as fit the budget of tokens, one at least. ``misses`` tells the terms that no symbol is named by."""
         norms = score.hub_norm(self.hub_scores())
-        found = score.lens_top(score.lens(self.symbols, query, norms, self.churn), score.positive(top, "top"))
+        found = score.lens_top(score.lens(self.symbols, query, norms, self.churn), score.positive(top, "top"), collation)
         same = self.symbols.groupBy("n").agg(F.count(F.lit(1)).alias("amb"))
         x = found.drop("hub_norm").join(norms, "sym_id", "left").join(same, "n").withColumn("hub", F.coalesce("hub_norm", F.lit(0.0))).drop("hub_norm")
         # at most top rows
-        x = x.withColumn("position", F.row_number().over(Window.orderBy(F.col("rank").desc(), "p", "l", "sym_id")))
+        x = x.withColumn("position", F.row_number().over(Window.orderBy(F.col("rank").desc(), score.ordered("p", collation), "l", "sym_id")))
         if budget is not None:
             x = score.within_budget(x, token_estimate(F.concat_ws(" ", "t", "n", "p", "sig")), score.positive(budget, "budget"))
         return x.orderBy("position")
@@ -199,11 +207,11 @@ class Repository:
         """(path, local): files that import a name."""
         return self.imports.where(F.col("name") == name).select("path", "local").distinct()
 
-    def ambiguous(self, docs: bool = False, live: bool = False) -> DataFrame:
+    def ambiguous(self, docs: bool = False, live: bool = False, collation: str | None = None) -> DataFrame:
         """Names with several definitions, the most referred to first; those of headings alone only if docs, those without references not if live."""
         g = score.ambiguity_groups(self.symbols, resolve.ambiguous_references(self.decided))
         g = g if docs else g.where("docs < defs")
-        return (g.where("refs > 0") if live else g).orderBy(F.col("refs").desc(), F.col("defs").desc(), "name")
+        return (g.where("refs > 0") if live else g).orderBy(F.col("refs").desc(), F.col("defs").desc(), score.ordered("name", collation))
 
     def members(self) -> DataFrame:
         return score.group_members(self.symbols, graph.in_degree(self.calls))
@@ -243,10 +251,20 @@ class Repository:
 
     def drift(self, other: Repository) -> DataFrame:
         """(relation, key, here, there) of symbols and edges that only one of two indexes has; churn does not count."""
-        key = lambda r: r.symbols.select(F.lit("symbol").alias("relation"), F.concat_ws("|", "p", "n", "t", F.col("l").cast("string"), F.col("el").cast("string")).alias("key"))
-        edge = lambda r: r.edges.select(F.lit("edge").alias("relation"), F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "prov").alias("key"))
-        a, b = (key(r).union(edge(r)).withColumn(side_, F.lit(True)) for r, side_ in ((self, "here"), (other, "there")))
-        return a.join(b, ["relation", "key"], "full").where("here IS NULL OR there IS NULL")
+        return digests.drift(self.keys(), other.keys(), (self.digest_tree, other.digest_tree))
+
+    def keys(self) -> DataFrame:
+        """(relation, path, key): what makes two indexes equal, symbols and edges, below the paths that they stand in."""
+        s = self.symbols
+        key = s.select(F.lit("symbol").alias("relation"), F.col("p").alias("path"), F.concat_ws("|", "p", "n", "t", F.col("l").cast("string"), F.col("el").cast("string")).alias("key"))
+        place = s.select(F.col("sym_id").alias("src"), F.col("p").alias("path"))
+        edge = self.edges.join(place, "src").select(F.lit("edge").alias("relation"), "path", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "prov").alias("key"))
+        return key.unionByName(edge)
+
+    @cached_property
+    def digest_tree(self) -> DataFrame:
+        """The digest tree of ``keys``, written once."""
+        return stage(digests.digest_tree(self.keys()), "digests")
 
     def check(self, now: Repository, notes: DataFrame | None = None, root: str | None = None) -> DataFrame:
         """(problem, detail): what a fresh index has otherwise, notes about what is gone, and how far the tree has moved since."""

@@ -18,6 +18,23 @@ def find_symbol(symbols: DataFrame, name: str, most: int = 10) -> DataFrame:
     return symbols.where(F.lower("n").contains(name.lower())).orderBy("sym_id").limit(most).withColumn("exact", F.lit(False))
 
 
+def with_confidence(rows: DataFrame, labels: DataFrame, end: str) -> DataFrame:
+    """rows with conf, how far the links of the symbol at the column end can be trusted: see ``score.confidence``."""
+    return rows.join(labels.select(F.col("sym_id").alias(end), "conf"), end, "left")
+
+
+def answer(rows: DataFrame, symbols: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """One row about an answer to a question about a name: (name, n, defs, conf).
+
+    n counts the rows; conf is that of the name's first definition, and ``none`` where a name with several definitions
+    has no rows, which then does not mean that it is not used.
+    """
+    defs = symbols.where(F.col("n") == name).agg(F.count(F.lit(1)).alias("defs"), F.min("sym_id").alias("sym_id"))
+    x = defs.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).join(labels, "sym_id", "left")
+    conf = F.when((F.col("defs") > 1) & (F.col("n") == 0), "none").when(F.col("defs") > 1, "low").otherwise(F.col("conf"))
+    return x.select(F.lit(name).alias("name"), "n", "defs", conf.alias("conf"))
+
+
 def bind_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(note_id, sym_id, priority): 1 by symbol, 2 by file, 3 by relation, 4 by alias; the best counts. Four equi-joins."""
     s = symbols.select("sym_id", "n", "p")

@@ -49,6 +49,15 @@ def _aliases(with_bodies: DataFrame) -> DataFrame:
     return x.groupBy("path", "local").agg(F.min("original").alias("original"))
 
 
+def qualified_references(symbols: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbols with longer chains, (src, path, name)): a third of the references, written with a path that ends in a language or a file's name."""
+    at = F.split("s_p", "/")
+    stem = F.regexp_replace(at[2], r"\.[^.]*$", "")
+    path = F.when(F.col("src") % 4 == 0, at[1]).when(F.col("src") % 4 == 1, F.concat(F.lit("crate::"), at[1])).when(F.col("src") % 4 == 2, F.concat(F.lit("x::y::"), at[1])).otherwise(F.concat(F.lit("self::super::"), stem))
+    refs = references.where((F.col("src") + F.char_length("tk")) % 3 == 0).select("src", path.alias("path"), F.col("tk").alias("name"))
+    return symbols.withColumn("q", F.when(F.col("sym_id") % 10 == 0, F.concat(F.lit("app::"), "q")).otherwise(F.col("q"))), refs
+
+
 class Index:
     """The relations of the virtual repository of one directory, each written once."""
 
@@ -165,6 +174,33 @@ SOURCES_SQL = """WITH x AS (
 """
 
 
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lang, text): parts as code that parses: a class (an impl, in one language) with one method a part, 200 parts a file at most."""
+    p = table(spark, sf_dir, "part")
+    w = F.split("p_name", " ")
+    lang = F.element_at(F.array(F.lit("py"), F.lit("ts"), F.lit("rust")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    k = F.col("p_partkey").cast("string")
+    name = F.concat(w[0], F.lit("_"), k)
+    forms = {
+        "py": [F.lit("class C"), k, F.lit(":\n    def "), name, F.lit("(self):\n        return "), w[1], F.lit("\n")],
+        "ts": [F.lit("class C"), k, F.lit(" {\n  "), name, F.lit("() {\n    return "), w[1], F.lit(";\n  }\n}")],
+        "rust": [F.lit("impl C"), k, F.lit(" {\n    pub fn "), name, F.lit("(&self) -> u8 {\n        "), w[1], F.lit("()\n    }\n}")],
+    }
+    chunk = F.when(lang == "py", F.concat(*forms["py"])).when(lang == "ts", F.concat(*forms["ts"])).otherwise(F.concat(*forms["rust"]))
+    ending = F.when(lang == "py", ".py").when(lang == "ts", ".ts").otherwise(".rs")
+    path = F.concat(F.lit("code/d"), F.floor(F.col("p_partkey") / 1000).cast("string"), F.lit("/f"), F.floor(F.col("p_partkey") / 600).cast("string"), ending)
+    x = p.select(path.alias("path"), lang.alias("lang"), F.struct("p_partkey", chunk.alias("chunk")).alias("c"))
+    return x.groupBy("path", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"]), "\n").alias("text"))
+
+
+CODE_SQL = """WITH x AS (
+  SELECT p_partkey AS k, ['py', 'ts', 'rust'][p_partkey % 3 + 1] AS lang, string_split(p_name, ' ') AS w FROM part
+), c AS (
+  SELECT *, 'code/d' || (k // 1000) || '/f' || (k // 600) || CASE lang WHEN 'py' THEN '.py' WHEN 'ts' THEN '.ts' ELSE '.rs' END AS path, w[1] || '_' || k AS name, CASE lang WHEN 'py' THEN 4 ELSE 5 END AS high FROM x
+), placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY k) - 1) * high AS INT) AS before FROM c)
+"""
+
+
 def modules_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, lang, text): suppliers as import and re-export statements, 20 suppliers a file."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("k"), F.floor(F.col("s_suppkey") / 20).alias("m"))

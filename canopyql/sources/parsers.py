@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from canopyql.functions.text import SCRIPT
 from canopyql.sources import braces, python_ast
@@ -63,3 +65,55 @@ DECLARATIONS = {
 def declaration_table(spark) -> DataFrame:
     """(lang, node, kind) of all forms that are made symbols."""
     return spark.createDataFrame([(lang, node, kind) for lang, forms in DECLARATIONS.items() for node, kind in forms.items()], "lang string, node string, kind string")
+
+
+#: A word that begins a statement of a brace language, after what may stand before it.
+_OPENER = re.compile(r"^[ \t]*(?:(?:export|default|pub(?:\([^)\n]*\))?|async|unsafe|declare|abstract|static)[ \t]+)*([A-Za-z_]\w*)[ \t]*(?=[\w({<$:!;=,.]|$)", re.M)
+
+
+def nodes(lang: str, text: str) -> Iterator[tuple[str, int]]:
+    """(node, line) of the node types in a text: all nodes of a Python tree that have a place, the words that begin a line's
+    statement in the other languages. Nothing for languages without a parser and for what does not parse."""
+    if len(text) > MOST_CHARS or lang not in ("rust", "py", *SCRIPT):
+        return
+    if lang == "py":
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        for x in ast.walk(tree):
+            if (line := getattr(x, "lineno", None)) is not None:
+                yield type(x).__name__, line
+        return
+    line, at = 1, 0
+    for m in _OPENER.finditer(text):
+        line, at = line + text.count("\n", at, m.start(1)), m.start(1)
+        yield m[1], line
+
+
+class ParsedSymbols:
+    """``SELECT f.path, s.* FROM files f, LATERAL parsed_symbols(f.lang, f.text) s``: the symbols of a text."""
+
+    def eval(self, lang: str, text: str) -> Iterator[tuple]:
+        found = parse(lang, text or "") if lang in ("rust", "py", *SCRIPT) else None
+        for s in found[0] if found else ():
+            yield tuple(s[k] for k in ("n", "t", "l", "el", "q", "tr", "local", "exp", "cx", "sig", "refs"))
+
+
+class ParsedNodes:
+    """``SELECT f.path, x.* FROM files f, LATERAL parsed_nodes(f.lang, f.text) x``: the node types of a text with their lines."""
+
+    def eval(self, lang: str, text: str) -> Iterator[tuple]:
+        yield from nodes(lang or "", text or "")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``parsed_symbols`` and ``parsed_nodes`` known to SQL."""
+    spark.udtf.register("parsed_symbols", udtf(ParsedSymbols, returnType="n string, t string, l int, el int, q string, tr string, local boolean, exp boolean, cx int, sig string, refs array<string>"))
+    spark.udtf.register("parsed_nodes", udtf(ParsedNodes, returnType="node string, l int"))
+
+
+def table_function(files: DataFrame, name: str) -> DataFrame:
+    """files (path, lang, text) with what a table function gives for each, without the text."""
+    register(files.sparkSession)
+    return files.sparkSession.sql(f"SELECT f.path, f.lang, x.* FROM {{files}} f, LATERAL {name}(f.lang, f.text) x", files=files.select("path", "lang", "text"))

@@ -6,7 +6,7 @@ import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from canopyql.functions import paths
 
@@ -68,14 +68,17 @@ def churn_of(history: DataFrame, commits: int = 800) -> DataFrame:
     return history.distinct().join(F.broadcast(last), "number", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
 
 
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """(number, path) of all commits of a working tree, the first commit being 1, read by ranges of commits; see ``GitHistory``."""
+    spark.dataSource.register(GitHistory)
+    return spark.read.format("git_history").option("root", root).load()
+
+
 def churn(spark: SparkSession, root: str, commits: int = 800) -> DataFrame:
-    """(path, churn) of a working tree's history."""
-    rows, number = [], 0
-    for line in _git(root, "log", "--name-only", "--pretty=format:%x00", "-n", str(commits)).split("\n"):
-        number -= line.startswith("\0")
-        if name := line.strip("\0"):
-            rows.append((number, name))
-    return churn_of(spark.createDataFrame(rows, "number long, path string"), commits)
+    """(path, churn) of a working tree's last commits."""
+    spark.conf.set(FILTERS, "true")
+    last = _count(root)
+    return churn_of(history(spark, root).where(F.col("number") > max(0, last - commits)), commits)
 
 
 def tidy(path: Column) -> Column:
@@ -108,6 +111,87 @@ def distance(root: str, commit: str) -> tuple[int, int] | None:
     return (int(counts[0]), int(counts[1])) if len(counts) == 2 else None
 
 
+#: The setting by which Spark offers filters to sources written in Python.
+FILTERS = "spark.sql.python.filterPushdown.enabled"
+
+
+def _count(root: str) -> int:
+    return int(_git(root, "rev-list", "--count", "HEAD").strip() or 0)
+
+
+class GitHistory(DataSource):
+    """``spark.read.format("git_history").option("root", ...)``: a row for each path that a commit touches (merges have none).
+
+    Commits are numbered from the first on and dealt by ranges of ``partsize`` commits; each range is read by
+    git on an executor, so that no list of commits or paths comes to the driver. Comparisons of number choose the ranges,
+    an equal path is tested while reading; Spark tests all filters again. The tree must be where executors can reach it.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_history"
+
+    def schema(self) -> str:
+        return "number long, path string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HistoryReader(self.options)
+
+
+class _Commits(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class _HistoryReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root, self.size = options["root"], int(options.get("partsize", "500"))
+        self.low, self.high, self.path = 1, None, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if column == "number" and isinstance(value, int):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    high = value - isinstance(f, LessThan)
+                    self.high = high if self.high is None else min(self.high, high)
+            elif column == "path" and isinstance(f, EqualTo) and isinstance(value, str):
+                self.path = value
+            yield f
+
+    def partitions(self) -> list[InputPartition]:
+        last = _count(self.root)
+        high = last if self.high is None else min(last, self.high)
+        return [_Commits(a, min(a + self.size - 1, high)) for a in range(self.low, high + 1, self.size)] or [_Commits(1, 0)]
+
+    def read(self, partition):
+        if partition.high < partition.low:
+            return
+        # git counts from the last commit on; the path is tested here, as git would count other commits with it
+        last = _count(self.root)
+        command = ["git", "-C", self.root, "log", "--name-only", "-z", "--pretty=format:%x01", f"--skip={last - partition.high}", f"-n{partition.high - partition.low + 1}"]
+        number = partition.high + 1
+        with subprocess.Popen(command, stdout=subprocess.PIPE, text=True, errors="replace") as run:
+            for piece in _pieces(run.stdout):
+                for name in piece.split("\n"):
+                    if name.startswith("\x01"):
+                        number -= 1
+                        name = name[1:]
+                    if name and (self.path is None or name == self.path):
+                        yield number, name
+
+
+def _pieces(stream, size: int = 1 << 16):
+    """What NULs separate in a stream of text, a piece at a time."""
+    rest = ""
+    while part := stream.read(size):
+        *whole, rest = (rest + part).split("\0")
+        yield from whole
+    yield rest
+
+
 class _Part(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
