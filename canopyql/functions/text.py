@@ -23,8 +23,10 @@ def branches(text: Column) -> Column:
 #: What is no code, each as one alternative; possessive so that long literals keep the matcher off the stack.
 _BLOCK, _LINE, _HASH = r"/\*(?:[^*]|\*+[^*/])*+\*+/", r"//[^\n]*+", r"#[^\n]*+"
 _TEXT, _QUOTED, _CHAR, _TEMPLATE = r'"(?:[^"\\\n]|\\[^\n])*+"', r"'(?:[^'\\\n]|\\[^\n])*+'", r"'(?:\\[^\n]|[^'\\\n])'", r"`(?:[^`\\]|\\[\s\S])*+`"
-#: A pattern between slashes, where a value may begin.
-_PATTERN = r"(?<=[=(,:;\[!&|?{]\s{0,4}|return\s{1,4}|^\s{0,4})/(?![\s*/])(?:\\[^\n]|\[[^\]\n]*+\]|[^/\\\n\[])++/[a-z]*"
+#: What ends a value, a tag or a comment: a slash after it divides, or is no pattern's beginning.
+_ENDED = r"[\w$)\]}\"'`<>*/+\-.]"
+#: A pattern between slashes: where nothing has ended, or after the word that hands a value back.
+_PATTERN = rf"(?:(?<!{_ENDED}\s{{0,40}})|(?<=\breturn\s{{1,40}}))/(?![\s*/])(?:\\[^\n]|\[[^\]\n]*+\]|[^/\\\n\[])++/[a-z]*"
 #: Two slashes that begin no comment: they are kept.
 _KEPT = r"([:A-Za-z0-9_]//)"
 

@@ -47,9 +47,8 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fa
         seen = seen.union(frontier)
         if frontier.isEmpty():
             break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    none = seen.where("false").select("sym_id", F.lit(0).alias("depth"), F.lit("call").alias("family"))
+    out = reduce(lambda a, b: a.unionByName(b), levels) if levels else none
     if keep_seeds:
         out = out.unionByName(seeds.select("sym_id", F.lit(0).alias("depth"), F.lit("call").alias("family")))
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from canopyql.functions import paths
 from canopyql.functions.text import escaped, strip_noise, token_estimate
-from canopyql.operators import digests, extract, governance, graph, resolve, score
+from canopyql.operators import census, digests, extract, governance, graph, resolve, score
 from canopyql.plans import verbs
 from canopyql.session import stage
 from canopyql.sources import parsers, side, tree
@@ -185,7 +186,7 @@ class Repository:
         ids = hits.select("sym_id")
 
         def near(e: DataFrame, end: str, other: str, relation: str, detail: str | None = None) -> DataFrame:
-            x = e.join(F.broadcast(ids.withColumnRenamed("sym_id", end)), end, "left_semi")
+            x = verbs.linked(e, ids, end)
             return x.select(F.lit(relation).alias("relation"), F.col(other).alias("sym_id"), (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"))
 
         reach = graph.impact(self.calls, ids, depth, keep_seeds=False)
@@ -266,13 +267,17 @@ class Repository:
         """The digest tree of ``keys``, written once."""
         return stage(digests.digest_tree(self.keys()), "digests")
 
-    def check(self, now: Repository, notes: DataFrame | None = None, root: str | None = None) -> DataFrame:
-        """(problem, detail): what a fresh index has otherwise, notes about what is gone, and how far the tree has moved since."""
+    def check(self, now: Repository, notes: DataFrame | None = None, root: str | None = None, report: str | None = None) -> DataFrame:
+        """(problem, detail): what a fresh index has otherwise, notes about what is gone, how far the tree has moved since,
+        and figures that a report states and the fresh index does not have."""
         out = self.drift(now).select(F.concat(F.lit("drift-"), "relation").alias("problem"), F.col("key").alias("detail"))
         if notes is not None:
             out = out.unionByName(verbs.drifted_notes(notes, now.symbols).select(F.lit("note").alias("problem"), F.coalesce("sym", "file").alias("detail")))
         moved = tree.distance(root, self.commit) if root and self.commit else None
         found = [(f"tree-{k}", f"{n} commits") for k, n in zip(("ahead", "behind"), moved or (), strict=False) if n]
+        if report is not None:
+            stated, is_now = figures_of(report), now.stats().first().asDict()
+            found += [(f"report-{k}", f"{stated.get(k, 'missing')}, now {n}") for k, n in is_now.items() if stated.get(k) != n]
         return out.unionByName(out.sparkSession.createDataFrame(found, "problem string, detail string"))
 
     def steps(self) -> DataFrame:
@@ -356,6 +361,30 @@ class Repository:
         return "\n".join(out) + "\n"
 
 
+def figures_of(report: str) -> dict[str, int]:
+    """The figures that a report's first paragraph states, by their names."""
+    line = next((x for x in report.split("\n") if re.match(r"[0-9][0-9,]* [a-z]", x)), "")
+    return {name.strip().replace(" ", "_"): int(n.replace(",", "")) for n, name in re.findall(r"([0-9][0-9,]*) ([a-z][a-z ]*)", line)}
+
+
+def pr_affected(spark: SparkSession, root: str, kept: Repository | None = None, base: str | None = None, files: list[str] | None = None, depth: int = 2) -> tuple[Repository, DataFrame, str]:
+    """(index, affected, comment) of a change: indexes the tree, keeps the index given unless anything in it has changed,
+    finds what reaches the changed files (since a revision, and those named), and says so in a comment."""
+    now = Repository.build(spark, tree.read_tree(spark, root, listed=tree.git_files(spark, root)), tree.churn(spark, root), commit=tree.head(root))
+    repo = now if kept is None or not kept.drift(now).isEmpty() else kept
+    changed = tree.changed_files(spark, root, base, files)
+    affected = stage(repo.affected(changed, depth), "affected")
+    names = [r["path"] for r in changed.collect()]
+    seeds = repo.symbols.join(changed.withColumnRenamed("path", "p"), "p", "left_semi").count()
+    head = f"{seeds} symbols in the changed files, {affected.count()} affected, depth {depth}" + (f", since {base}" if base else "")
+    return repo, affected, head + "\n\n" + change_comment(affected.orderBy("depth", "p", "l"), names)
+
+
+def decl_audit(files: DataFrame, registry: DataFrame, declares: Column, strict: bool = False) -> DataFrame:
+    """One row a language and status of the node types in a tree's files; strict: ValueError if one that declares is not registered."""
+    return census.audit(stage(census.of_files(files, registry, declares), "census"), strict)
+
+
 def change_comment(affected: DataFrame, changed: list[str], most: int = 40) -> str:
     """A change's effect as a Markdown comment."""
     rows = affected.limit(most + 1).collect()

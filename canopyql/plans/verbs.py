@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyql.operators import governance
+from canopyql.operators import governance, resolve
 
 
 def find_symbol(symbols: DataFrame, name: str, most: int = 10) -> DataFrame:
@@ -18,6 +18,12 @@ def find_symbol(symbols: DataFrame, name: str, most: int = 10) -> DataFrame:
     return symbols.where(F.lower("n").contains(name.lower())).orderBy("sym_id").limit(most).withColumn("exact", F.lit(False))
 
 
+def linked(edges: DataFrame, ids: DataFrame, end: str) -> DataFrame:
+    """The edges whose end is among ids (sym_id); these are broadcast if they are few, as a name may have any number of definitions."""
+    at = ids.select(F.col("sym_id").alias(end))
+    return edges.join(F.broadcast(at) if at.count() <= resolve.BROADCAST_NAMES else at, end, "left_semi")
+
+
 def with_confidence(rows: DataFrame, labels: DataFrame, end: str) -> DataFrame:
     """rows with conf, how far the links of the symbol at the column end can be trusted: see ``score.confidence``."""
     return rows.join(labels.select(F.col("sym_id").alias(end), "conf"), end, "left")
@@ -66,7 +72,7 @@ def context_counts(symbols: DataFrame, edges: DataFrame, types: DataFrame, notes
     calls, docs = edges.where("prov <> 'doc'"), edges.where("prov = 'doc'")
 
     def near(e: DataFrame, end: str, out: str) -> DataFrame:
-        return e.join(F.broadcast(ids.withColumnRenamed("sym_id", end)), end, "left_semi").agg(F.count(F.lit(1)).alias(out))
+        return linked(e, ids, end).agg(F.count(F.lit(1)).alias(out))
 
     about = notes.where((F.col("sym") == name) | (F.col("rel") == name))
     parts = [ids.agg(F.count(F.lit(1)).alias("defs")), near(calls, "dst", "callers"), near(calls, "src", "callees"), near(types, "dst", "type_in"), near(types, "src", "type_out"), near(docs, "dst", "doc_mentions"), about.agg(F.count(F.lit(1)).alias("notes"))]

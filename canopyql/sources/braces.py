@@ -71,13 +71,13 @@ class Reader:
             kind, end = m.lastgroup if m.lastgroup != "h" else "text", m.end()
             if kind == "open":  # block comments; Rust's nest
                 depth, end = 1, at + 2
-                while depth and end < len(text):
-                    if text.startswith("*/", end):
-                        depth, end = depth - 1, end + 2
-                    elif self.rust and text.startswith("/*", end):
-                        depth, end = depth + 1, end + 2
-                    else:
-                        end += 1
+                while depth:
+                    close = text.find("*/", end)
+                    inner = text.find("/*", end, close + 1 if close >= 0 else len(text)) if self.rust else -1
+                    if close < 0 and inner < 0:
+                        end = len(text)
+                        break
+                    depth, end = (depth + 1, inner + 2) if inner >= 0 else (depth - 1, close + 2)
             elif kind != "skip":
                 if not self.rust and m[0] == "/" and (not self.t or self.t[-1] in _BEFORE_PATTERN) and (p := _PATTERN.match(text, at)):
                     kind, end = "text", p.end()

@@ -231,3 +231,32 @@ def test_history_by_ranges(spark, tmp_path):
     assert sorted(map(tuple, some.collect())) == [x for x in sorted(want) if 2 <= x[0] < 6 and x[1] == "g.py"]
     assert {r["path"]: r["churn"] for r in tree.churn(spark, str(tmp_path), 2).collect()} == {"f0.py": 1, "f1.py": 1, "g.py": 1, "odd name.py": 1}
     assert tree.history(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_change_in_one_call(spark, tmp_path):
+    import subprocess
+
+    from canopyql.plans.repository import Repository, decl_audit, figures_of, pr_affected
+    from canopyql.sources import tree
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "base.py").write_text("def helper():\n    return 1\n")
+    (tmp_path / "user.py").write_text("from base import helper\n\ndef caller():\n    return helper()\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    first, affected, comment = pr_affected(spark, str(tmp_path), files=["base.py"])
+    assert [r["n"] for r in affected.collect()] == ["caller"] and "1 affected" in comment and "`user.py`:3 caller" in comment
+    # nothing has changed: the index stays
+    assert pr_affected(spark, str(tmp_path), first, files=["base.py"])[0] is first
+    report = first.report()
+    assert figures_of(report) == first.stats().first().asDict() and first.check(first, report=report).collect() == []
+    (tmp_path / "base.py").write_text("def helper():\n    return 1\n\ndef other():\n    return helper()\n")
+    again, affected, _ = pr_affected(spark, str(tmp_path), first, base="HEAD")
+    assert again is not first and {r["n"] for r in affected.collect()} == {"caller"}
+    problems = {r["problem"] for r in first.check(again, report=report).collect()}
+    assert {"drift-symbol", "drift-edge", "report-symbols"} <= problems
+    files = tree.read_tree(spark, str(tmp_path))
+    registry = spark.createDataFrame([("py", "FunctionDef", "extracted")], "lang string, node string, status string")
+    assert {(r["lang"], r["status"], r["nodes"]) for r in decl_audit(files, registry, F.col("node").endswith("Def"), strict=True).collect()} == {("py", "extracted", 3)}
+    assert isinstance(again, Repository)
