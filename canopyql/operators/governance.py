@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyql.functions import paths
-from canopyql.session import stage
+from canopyql.operators.graph import strong_components
 
 
 def modules_of(paths_table: DataFrame, roots: DataFrame) -> DataFrame:
@@ -64,14 +64,8 @@ def unknown(roots: DataFrame, requires: DataFrame, entries: DataFrame, known_pat
 
 
 def in_cycles(pairs: DataFrame) -> DataFrame:
-    """(module): modules that reach themselves over pairs (a, b). Modules are declared by hand: their graph is as small as the rule file."""
-    far = pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-    size = far.count()
-    while True:
-        far = stage(far.union(far.select("a", F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).distinct(), "far")
-        if (now := far.count()) == size:
-            return far.where("a = b").select(F.col("a").alias("module"))
-        size = now
+    """(module): modules that reach themselves over pairs (a, b)."""
+    return strong_components(pairs).select(F.col("node").alias("module"))
 
 
 def cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,73 @@ def dispatch(symbols: DataFrame) -> DataFrame:
     return declared.join(given, ["trait", "n"]).where("method <> member").select("method", F.col("member").alias("provider")).distinct()
 
 
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The edges (a, b) whose first node has an edge to it, and whose second one an edge from it: no others lie on cycles."""
+    return e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+
+
+def _grown(start: DataFrame, step: Callable[[DataFrame], DataFrame], total: Callable[[DataFrame], Column]) -> DataFrame:
+    """step over and over, each table written, until total of it stays."""
+    now, before = stage(start, "grown"), None
+    while (size := now.agg(total(now)).first()[0]) != before:
+        now, before = stage(step(now), "grown"), size
+    return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges (a, b) that lie on cycles; a component is named by its least node.
+
+    Rounds of linear tables, no closure. First nodes without an edge to or from them are trimmed, and nodes with one edge
+    to them and one from them are folded into an edge past them (those with a lesser hash than both neighbours, so that
+    no two of them touch): long chains and rings vanish in logarithmically many rounds. In what is left each
+    node takes the least name that reaches it, and what reaches that name back inside its colour is a component;
+    the rest goes on. At last folded nodes are put back: into the component of both neighbours, if it is one.
+    """
+    every = stage(edges.select("a", "b").distinct(), "links")
+    loops = [every.where("a = b").select(F.col("a").alias("node"))]
+    e, size, folds, r = every.where("a <> b"), -1, [], 0
+    while (now := e.count()) not in (0, size) or folds and folds[-1][1]:
+        size, r = now, r + 1
+        e = stage(_trimmed(e), "links")
+        ends = e.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n_in"), F.min("a").alias("u")).join(e.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("w")), "v")
+        least = lambda x: F.struct(F.xxhash64(F.col("v"), F.lit(r)), F.col("v")) < F.struct(F.xxhash64(F.col(x), F.lit(r)), F.col(x))  # noqa: B023, E731
+        picked = stage(ends.where("n_in = 1 AND n_out = 1").where(least("u") & least("w")).select("v", "u", "w"), "folds")
+        folds.append((picked, picked.count()))
+        loops.append(picked.where("u = w").select(F.col("u").alias("node")))
+        gone = picked.select("v")
+        kept = e.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b")
+        e = stage(kept.unionByName(picked.where("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct(), "links")
+    found = [e.where("false").select(F.col("a").alias("node"), F.col("a").alias("component"))]
+    while not e.isEmpty():
+        names = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct().withColumn("color", F.col("node"))
+
+        def forward(c: DataFrame) -> DataFrame:
+            met = e.join(c.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "color")  # noqa: B023
+            return c.unionByName(met).groupBy("node").agg(F.min("color").alias("color"))
+
+        # colours only fall: the number of nodes that have their own name, with the sum of hashes, tells when they stay
+        color = _grown(names, forward, lambda c: F.struct(F.sum((F.col("node") == F.col("color")).cast("int")), F.bit_xor(F.xxhash64("node", "color"))))
+        both = e.join(color.select(F.col("node").alias("a"), "color"), "a").join(color.select(F.col("node").alias("b"), F.col("color").alias("b_color")), "b")
+        inside = stage(both.where("color = b_color").select("a", "b", "color"), "links")
+        back = lambda x: x.unionByName(inside.join(x.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "color")).distinct()  # noqa: B023, E731
+        members = _grown(color.where("node = color"), back, lambda x: F.count(F.lit(1)))
+        found.append(members.select("node", F.col("color").alias("component")))
+        gone = members.select("node")
+        rest = inside.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+        e = stage(_trimmed(rest), "links")
+    all_found = reduce(lambda a, b: a.unionByName(b), found)
+    several = all_found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    rings = all_found.join(several, "component", "left_semi").select("node", "component")
+    alone = reduce(lambda a, b: a.unionByName(b), loops).distinct().join(rings.select("node"), "node", "left_anti")
+    known = stage(rings.unionByName(alone.select("node", F.col("node").alias("component"))), "components")
+    for picked, n in reversed(folds):
+        if n:
+            of = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
+            inner = stage(picked.join(of("u"), "u").join(of("w"), "w").where("c_u = c_w").select(F.col("v").alias("node"), F.col("c_u").alias("component")), "components")
+            known = stage(known.join(inner.select("node"), "node", "left_anti").unionByName(inner), "components")
+    return known.groupBy("component").agg(F.min("node").alias("least")).join(known, "component").select("node", F.col("least").alias("component"))
+
+
 def tree(symbols: DataFrame, ranks: DataFrame, top: int = 40, each: int = 8) -> DataFrame:
     """Files by the rank of their best member, with up to each members by rank."""
     x = symbols.join(ranks, "sym_id")

@@ -260,3 +260,39 @@ def test_a_change_in_one_call(spark, tmp_path):
     registry = spark.createDataFrame([("py", "FunctionDef", "extracted")], "lang string, node string, status string")
     assert {(r["lang"], r["status"], r["nodes"]) for r in decl_audit(files, registry, F.col("node").endswith("Def"), strict=True).collect()} == {("py", "extracted", 3)}
     assert isinstance(again, Repository)
+
+
+def reachable(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    far = {}
+    for n in {x for e in edges for x in e}:
+        seen, todo = set(), [n]
+        while todo:
+            for m in out.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        far[n] = seen
+    return far
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components_against_reachability(spark, seed):
+    r = random.Random(seed)
+    # three graphs in one: sparse, dense, and rings with tails, with a loop each
+    edges = [(r.randint(0, 29), r.randint(0, 29)) for _ in range(32)] + [(r.randint(40, 55), r.randint(40, 55)) for _ in range(40)]
+    edges += [(60 + i, 60 + (i + 1) % 9) for i in range(9)] + [(70 + i, 71 + i) for i in range(8)] + [(78, 60), (63, 80), (80, 81), (81, 81), (90, 91), (91, 90), (91, 92), (92, 91), (95, 95)]
+    far = reachable(edges)
+    want = {n: min(m for m in far[n] if n in far[m]) for n in far if n in far[n]}
+    got = graph.strong_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x["node"]: x["component"] for x in got} == want and len(got) == len(want)
+
+
+def test_long_chains_and_rings_fold(spark):
+    chain = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    ring = spark.range(500).selectExpr("id + 10000 AS a", "(id + 1) % 500 + 10000 AS b")
+    got = graph.strong_components(chain.unionByName(ring)).groupBy("component").count().collect()
+    assert [tuple(x) for x in got] == [(10000, 500)]
+    assert graph.strong_components(chain.limit(0)).collect() == []
