@@ -63,9 +63,47 @@ def unknown(roots: DataFrame, requires: DataFrame, entries: DataFrame, known_pat
     return a.union(b)
 
 
+#: Pairs up to which a rule file's modules are looked at on the driver; more are left to ``graph.strong_components``.
+FEW_PAIRS = 5_000
+
+
+def on_cycles(pairs: list[tuple]) -> set:
+    """The members of pairs that reach themselves: in order of leaving a walk, those that walks backwards meet together."""
+    out: dict = {}
+    into: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+
+    def walk(start, along: dict, seen: set) -> list:
+        left, stack = [], [(start, iter(along.get(start, ())))]
+        seen.add(start)
+        while stack:
+            for x in stack[-1][1]:
+                if x not in seen:
+                    seen.add(x)
+                    stack.append((x, iter(along.get(x, ()))))
+                    break
+            else:
+                left.append(stack.pop()[0])
+        return left
+
+    seen: set = set()
+    order = [x for a in out if a not in seen for x in walk(a, out, seen)]
+    seen, found = set(), {a for a, b in pairs if a == b}
+    for a in reversed(order):
+        if a not in seen and len(group := walk(a, into, seen)) > 1:
+            found |= set(group)
+    return found
+
+
 def in_cycles(pairs: DataFrame) -> DataFrame:
     """(module): modules that reach themselves over pairs (a, b)."""
-    return strong_components(pairs).select(F.col("node").alias("module"))
+    pairs = pairs.select("a", "b").distinct()
+    few = pairs.limit(FEW_PAIRS + 1).collect()
+    if len(few) > FEW_PAIRS:
+        return strong_components(pairs).select(F.col("node").alias("module"))
+    return pairs.sparkSession.createDataFrame([(x,) for x in sorted(on_cycles([tuple(r) for r in few]))], pairs.select(F.col("a").alias("module")).schema)
 
 
 def cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:

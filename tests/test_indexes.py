@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopyql.operators import graph, resolve
+from canopyql.operators import governance, graph, resolve
 from canopyql.plans import verbs
 from tests.test_units import symbols
 
@@ -288,6 +288,7 @@ def test_strong_components_against_reachability(spark, seed):
     want = {n: min(m for m in far[n] if n in far[m]) for n in far if n in far[n]}
     got = graph.strong_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x["node"]: x["component"] for x in got} == want and len(got) == len(want)
+    assert governance.on_cycles(edges) == set(want)
 
 
 def test_long_chains_and_rings_fold(spark):
@@ -296,3 +297,11 @@ def test_long_chains_and_rings_fold(spark):
     got = graph.strong_components(chain.unionByName(ring)).groupBy("component").count().collect()
     assert [tuple(x) for x in got] == [(10000, 500)]
     assert graph.strong_components(chain.limit(0)).collect() == []
+
+
+def test_modules_on_cycles(spark, monkeypatch):
+    d = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "d"), ("c", "e")], "a string, b string")
+    for few in (5000, 2):
+        monkeypatch.setattr(governance, "FEW_PAIRS", few)
+        assert {r["module"] for r in governance.in_cycles(d).collect()} == {"a", "b", "d"}
+    assert governance.in_cycles(d.limit(0)).collect() == []
