@@ -65,8 +65,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     to itself, so that a round reads the one before it once. Every few rounds the walks are written.
     """
     spark, made = nodes.sparkSession, held(nodes.sparkSession)
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    part = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part"), F.lit(None).cast("int").alias("loose"))
+    # written, as degrees, parts and nodes without out-edges are all read from it
+    edges = stage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "edges")
+    out = edges.groupBy("src").agg(F.sum("times").alias("deg"))
+    part = edges.join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part"), F.lit(None).cast("int").alias("loose"))
     own = nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select(F.col("sym_id").alias("src"), F.col("sym_id").alias("dst"), F.lit(None).cast("double").alias("part"), F.col("deg").isNull().cast("int").alias("loose"))
     way = stage(part.join(nodes.select(F.col("sym_id").alias("dst")), "dst", "left_semi").select("src", "dst", "part", "loose").unionByName(own), "edges")
     n = max(way.where("part IS NULL").count(), 1)
