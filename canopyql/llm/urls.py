@@ -33,9 +33,8 @@ LINK = r"<[aA][\x09-\x0D\x20](?:[^<>]*[\x09-\x0D\x20])?[hH][rR][eE][fF][\x09-\x0
 UNIT = 1_000_000
 #: Rows (two strings and two numbers) up to which rules or judged hosts are broadcast.
 BROADCAST_ROWS = 200_000
-#: Links of a host beyond which they are dealt over several keys.
+#: Links of a host, or rows of a key, beyond which they are dealt over several keys.
 HUB = 10_000
-SALTS = 32
 #: Rounds after which the shares are written.
 EVERY = 5
 
@@ -51,13 +50,20 @@ def parsed(url: Column) -> tuple[Column, Column]:
 
 
 def _beside(rows: DataFrame, few: DataFrame, left: str, right: str, how: str) -> DataFrame:
-    """rows joined with a written table of one row a key, which is broadcast if it is short; else rows are dealt over salted keys."""
+    """rows joined with a written table of one row a key, which is broadcast if it is short.
+
+    A longer one is shuffled, whatever the size of its files; keys of more than HUB rows are dealt over several.
+    """
     same = F.col(left) == F.col(right)
     if few.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(few), same, how).drop(right)
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    many = few.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(many, same & (F.col("_salt") == F.col("_at")), how).drop("_salt", "_at", right)
+    path = scratch(rows.sparkSession, "often")
+    rows.groupBy(F.col(left).alias("_often")).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("_parts")).where("_parts > 1").write.parquet(path)
+    # one row for every HUB rows at most
+    often, parts = F.broadcast(rows.sparkSession.read.parquet(path)), F.coalesce("_parts", F.lit(1))
+    salted = rows.join(often, F.col(left) == F.col("_often"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_often", "_parts")
+    many = few.join(often, F.col(right) == F.col("_often"), "left").withColumn("_at", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_often", "_parts")
+    return salted.join(many.hint("merge"), same & (F.col("_salt") == F.col("_at")), how).drop("_salt", "_at", right)
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

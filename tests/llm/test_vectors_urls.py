@@ -255,3 +255,19 @@ def test_longest_rule_wins(spark):
 def test_no_pages(spark):
     d = spark.createDataFrame([], PAGE_COLUMNS)
     assert urls.verdicts(d, urls.rule_table(spark, urls.RULES)).collect() == []
+
+
+def test_long_tables_are_shuffled(spark, monkeypatch):
+    """A table of many rows in small files is not broadcast, nor are its rows repeated but for keys of many rows."""
+    from canopyql.llm import urls
+    from canopyql.session import stage
+
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(urls, "HUB", 50)
+    rows = spark.sql("SELECT id AS page_id, CASE WHEN id < 300 THEN 'often' ELSE concat('k', id % 40) END AS k FROM range(600)")
+    few = stage(spark.sql("SELECT concat('k', id) AS r, id AS v FROM range(30) UNION ALL SELECT 'often', 77"), "few")
+    out = urls._beside(rows, few, "k", "r", "left")
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    want = {i: 77 if i < 300 else i % 40 if i % 40 < 30 else None for i in range(600)}
+    got = [(r["page_id"], r["v"]) for r in out.collect()]
+    assert len(got) == 600 and dict(got) == want
