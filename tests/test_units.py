@@ -269,3 +269,28 @@ def test_census_of_declarations(spark):
     assert {(r["status"], r["types"], r["nodes"]) for r in census.audit(found).collect()} == {("extracted", 1, 3), ("unclassified", 1, 1)}
     with pytest.raises(ValueError, match="rust/let"):
         census.audit(found, strict=True)
+
+
+@pytest.mark.parametrize("most", [400, 2_000_000])
+def test_notes_bound_by_the_best_way(spark, monkeypatch, most):
+    from canopyql.plans import verbs
+
+    monkeypatch.setattr(verbs, "PAIRS", most)
+    names, files = ["a", "b", "c", None], ["x", "y", None]
+    notes = [(i % 37, names[i % 4], files[i % 3], names[i // 4 % 4], names[i // 16 % 4]) for i in range(80)]
+    notes += [(100 + i, names[i % 4], files[i // 4 % 3], names[i // 12 % 4], names[i // 48 % 4]) for i in range(192)] + [(None, "a", "x", "b", "c")] * 2
+    symbols = [(i % 17, names[i % 3], files[i % 2]) for i in range(20)] + [(None, "a", "x"), (None, "b", "y")]
+    want = {}
+    for note, sym, file, rel, alias in notes:
+        for s, n, p in symbols:
+            for i, hit in enumerate((sym == n, file == p, rel == n, alias == n), 1):
+                if hit and (n if i != 2 else p) is not None:
+                    want[note, s] = min(i, want.get((note, s), 9))
+    n = spark.createDataFrame(notes, "note_id long, sym string, file string, rel string, alias string")
+    s = spark.createDataFrame(symbols, "sym_id long, n string, p string")
+    got = [((r["note_id"], r["sym_id"]), r["priority"]) for r in verbs.bind_notes(n, s).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    # notes and symbols with ids of their own: the pairs themselves are neither grouped nor shuffled
+    once = verbs.bind_notes(n.where("note_id >= 100"), s.dropDuplicates(["sym_id"]))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(priority" not in plan and "Aggregate [note_id" not in plan
