@@ -12,6 +12,8 @@ from canopyql.session import held, release, stage
 
 #: Rounds of walks after which they are written.
 ROUNDS_WRITTEN = 5
+#: Groups of a member whose lists are put together in one row.
+MANY = 50_000
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -55,8 +57,29 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fa
     return out
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count.
+def pairs_within(groups: DataFrame) -> DataFrame:
+    """(src, dst), once each: src < dst that are members of one group at least, from (group, member).
+
+    Pairs are never rows before they are distinct: a member gets, of each of its groups, the list of the members after it,
+    and the lists of one member are put together; one of over MANY groups gets them in parts, by the other member's hash.
+    """
+    x = stage(groups.select("group", "member").distinct(), "members")
+    fan = x.groupBy("group").agg(F.sort_array(F.collect_list("member")).alias("all")).select("all", F.posexplode("all").alias("pos", "src"))
+    fan = fan.where(F.col("pos") < F.size("all") - 1).select("src", F.slice("all", F.col("pos") + 2, F.size("all")).alias("later"))
+    often = stage(x.groupBy(F.col("member").alias("src")).agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("parts")).where("parts > 1"), "often")
+    fan = fan.withColumn("part", F.lit(0))
+    if not often.isEmpty():
+        # one row for every MANY groups of a member at most
+        fan = fan.drop("part").join(F.broadcast(often), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        own = F.filter("later", lambda d: F.pmod(F.xxhash64(d), F.col("parts")) == F.col("part"))
+        fan = fan.select("src", F.when(F.col("parts").isNull(), F.col("later")).otherwise(own).alias("later"), "part")
+    lists = fan.repartition("src", "part").groupBy("src", "part").agg(F.array_distinct(F.flatten(F.collect_list("later"))).alias("later"))
+    return lists.select("src", F.explode("later").alias("dst"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, distinct: bool = False) -> DataFrame:
+    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count;
+    distinct says that there are none.
 
     What nodes without out-edges spread is the same for all, as is the share that everyone gets. So the ranks of
     round t are a sum of plain walks u_0, u_1, ... (u_k: what k steps along the edges make of 1/n each), whose factors
@@ -66,7 +89,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     """
     spark, made = nodes.sparkSession, held(nodes.sparkSession)
     # written, as degrees, parts and nodes without out-edges are all read from it
-    edges = stage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "edges")
+    once = edges.select("src", "dst", F.lit(1).cast("long").alias("times"))
+    edges = stage(once if distinct else edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "edges")
     out = edges.groupBy("src").agg(F.sum("times").alias("deg"))
     part = edges.join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part"), F.lit(None).cast("int").alias("loose"))
     own = nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select(F.col("sym_id").alias("src"), F.col("sym_id").alias("dst"), F.lit(None).cast("double").alias("part"), F.col("deg").isNull().cast("int").alias("loose"))

@@ -294,3 +294,17 @@ def test_notes_bound_by_the_best_way(spark, monkeypatch, most):
     once = verbs.bind_notes(n.where("note_id >= 100"), s.dropDuplicates(["sym_id"]))
     plan = once._jdf.queryExecution().optimizedPlan().toString()
     assert "min(priority" not in plan and "Aggregate [note_id" not in plan
+
+
+@pytest.mark.parametrize("many", [2, 50_000])
+def test_pairs_within_groups(spark, monkeypatch, many):
+    from canopyql.operators import graph
+
+    monkeypatch.setattr(graph, "MANY", many)
+    rows = [(i * 7 % 9, i * i % 13) for i in range(60)]
+    want = {(a, b) for g, a in rows for h, b in rows if g == h and a < b}
+    out = graph.pairs_within(spark.createDataFrame(rows, "group long, member long"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # pairs are not rows of a join before they are distinct
+    assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
