@@ -308,3 +308,23 @@ def test_pairs_within_groups(spark, monkeypatch, many):
     assert len(got) == len(want) and set(got) == want
     # pairs are not rows of a join before they are distinct
     assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_places_settle_references(spark, monkeypatch, most):
+    """Many references of few names and files are settled once a name and file; the wide summaries never meet them one by one."""
+    monkeypatch.setattr(resolve, "BROADCAST_NAMES", most)
+    monkeypatch.setattr(resolve, "BROADCAST_HASHES", most)
+    met = []
+    real = resolve._beside
+    monkeypatch.setattr(resolve, "_beside", lambda rows, names, on, how: met.append((rows.count(), list(names.columns))) or real(rows, names, on, how))
+    rows = [(i, f"lib/f{i % 3}.ts", ["alpha", "beta", "gamma"][i % 3] if i < 6 else f"user{i}", "fn", i, i, False, None, True) for i in range(90)]
+    symbols = spark.createDataFrame(rows, SYMBOLS)
+    texts = symbols.withColumn("body", F.lit("alpha beta gamma unknown words here"))
+    refs = resolve.references(texts, F.col("body"))
+    out = resolve.decided_by_name(symbols, refs)
+    got = {(r["src"], r["tk"]): (r["prov"], r["dst"]) for r in out.collect()}
+    names = {"alpha": (0, 3), "beta": (1, 4), "gamma": (2, 5)}
+    want = {(i, n): ("ambiguous", None) for i in range(90) for n, ids in names.items() if i not in ids}
+    assert got == want
+    assert all(count <= 18 for count, columns in met if "any_low" in columns or "sf_low" in columns)
