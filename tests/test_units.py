@@ -328,3 +328,14 @@ def test_places_settle_references(spark, monkeypatch, most):
     want = {(i, n): ("ambiguous", None) for i in range(90) for n, ids in names.items() if i not in ids}
     assert got == want
     assert all(count <= 18 for count, columns in met if "any_low" in columns or "sf_low" in columns)
+
+
+def test_qualified_by_bounded_tasks(spark, monkeypatch):
+    rows = [(i, f"lib/f{i}.rs", f"name{i % 4}" if i < 40 else f"user{i}", "fn", i, i, False, f"m{i}::name{i % 4}", True) for i in range(60)]
+    symbols = spark.createDataFrame(rows, SYMBOLS)
+    refs = spark.createDataFrame([(i, f"m{i % 40}", f"name{j}") for i in range(40, 60) for j in range(4)] + [(50, "m1", "nothing")], "src long, path string, name string")
+    monkeypatch.setattr(resolve, "SORTED", 10)
+    out = resolve.qualified(symbols, refs)
+    got = {(r["src"], r["tk"]): (r["prov"], r["dst"]) for r in out.collect()}
+    assert got == {(i, f"name{i % 4}"): ("qname", i % 40) for i in range(40, 60)}
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
