@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from canopyql.llm.components import components
 from canopyql.llm.flat import SPACE, U, flat, hashes, mix, pieces, words
+from canopyql.llm.kept import forget
 from canopyql.session import stage, table
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -47,6 +48,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK, MANY = 500, 4000
 #: Bytes of a text that are hashed at a time; longer texts go piece by piece.
 LONG = 8 << 20
+#: Bytes of texts, and cells that darts are thrown into, that a worker has at a time.
+PIECE, CELLS = 1 << 20, 1 << 17
 _Q = U(0xFF51AFD7ED558CCD)
 
 
@@ -102,7 +105,7 @@ def dart_signatures(element: np.ndarray, text: np.ndarray, weight: np.ndarray, n
         use = np.flatnonzero(is_todo[text])
         # a few elements at a time: unit cells of weight x rank, a Poisson(1) number of darts in each
         cells_each = (np.ceil(weight[use]) * np.ceil(rank_below[text[use]])).astype(np.int64)
-        cuts = np.searchsorted(np.cumsum(cells_each), np.arange(1 << 19, cells_each.sum() + (1 << 19), 1 << 19))
+        cuts = np.searchsorted(np.cumsum(cells_each), np.arange(CELLS, cells_each.sum() + CELLS, CELLS))
         for part in np.split(np.arange(len(use)), np.unique(np.clip(cuts, 1, len(use)))):
             if not len(part):
                 continue
@@ -197,9 +200,10 @@ def _sketch(width: int) -> Callable:
     """Signatures; texts without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column("text")
-            for at, size in pieces(texts):
+            for at, size in pieces(texts, PIECE):
                 h, text, count = _sets(texts.slice(at, size), width)
                 signatures = dart_signatures(h, text, count.astype(float), size)
                 some = np.bincount(text, minlength=size) > 0
@@ -216,7 +220,7 @@ def _shingle_sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for at, size in pieces(texts):
+            for at, size in pieces(texts, PIECE):
                 h, text, count = _sets(texts.slice(at, size), width)
                 ends = np.searchsorted(text, np.arange(size + 1))
                 sets = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(h)])
@@ -292,20 +296,21 @@ def _beside(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str) ->
 
 def _within_band(similarity: float, least: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
-        """Links between different components among the nodes of a band (or of two blocks of it).
+        """Links between the labels of different components among the nodes of a band (or of two blocks of it).
 
-        A link found joins its components at once, so a group yields fewer links than it has nodes.
+        A link found joins its components at once, so a group yields fewer links than it has labels.
         """
-        node, label = group.column("node").to_numpy(), group.column("label").to_numpy().copy()
+        own = group.column("label").to_numpy()
+        label = own.copy()
         s = (np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, K) & 0xFFFF).astype(np.uint16)
         sets = [_multiset(x, c) for x, c in zip(group.column("shingles"), group.column("counts"), strict=True)]
         a, b = [], []
-        for i in range(len(node) - 1):
+        for i in range(len(label) - 1):
             other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
             for j in other[(s[other] == s[i]).sum(axis=1) >= least]:
                 if label[j] != label[i] and _similar(sets[i], sets[j], similarity):
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
+                    a.append(min(own[i], own[j]))
+                    b.append(max(own[i], own[j]))
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -346,7 +351,7 @@ class _Search:
         return both(near, self.sets(wanted), "shingles", "counts").mapInArrow(_counted(self.similarity), "a long, b long")
 
     def between(self, known: DataFrame) -> DataFrame:
-        """Links between the components that meet in a band: known is (band, node, label)."""
+        """Links between the labels of components that meet in a band: known is (band, node, label)."""
         spread = [F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")]
         mixed = stage(known.groupBy("band").agg(*spread).where("low <> high").select("band", "n"), "mixed")
         if mixed.isEmpty():
@@ -366,7 +371,7 @@ class _Search:
         own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         full = full.withColumn("own", own).withColumn("beside", other)
         full = full.withColumn("first", F.least("own", "beside")).withColumn("last", F.greatest("own", "beside"))
-        full = full.select("band", "other", "first", "last", "node", "label", "signature", "shingles", "counts")
+        full = full.select("band", "other", "first", "last", "label", "signature", "shingles", "counts")
         return full.groupBy("band", "other", "first", "last").applyInArrow(_within_band(self.similarity, self.least), "a long, b long").distinct()
 
     def labelled(self) -> DataFrame:
@@ -381,11 +386,14 @@ class _Search:
         # bands that still hold several components
         known = shared.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         rest = stage(self.between(known), "links")
-        if not rest.isEmpty():
-            labels = components(links.unionByName(rest))
         out = _beside(self.sketches.select("key", "same", "node"), self.copies, "same", "left").withColumn("of", F.coalesce("first", "node"))
         out = _beside(out, labels.withColumnRenamed("node", "of"), "of", "left")
-        return out.select("key", "same", "node", F.coalesce("label", "of").alias("label"))
+        out = out.select("key", "same", "node", F.coalesce("label", "of").alias("label"))
+        if rest.isEmpty():
+            return out
+        # components found to be one: only their labels are put together, the links inside them are settled
+        joined = components(rest).where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("above"))
+        return _beside(out, joined, "label", "left").select("key", "same", "node", F.coalesce("above", "label").alias("label"))
 
 
 def _id(key: str):

@@ -366,6 +366,59 @@ def test_components_with_hubs(spark, monkeypatch):
     assert set(got.values()) == {0, 200} and sum(v == 0 for v in got.values()) == 61
 
 
+def test_component_rounds_read_open_links_alone(spark, monkeypatch):
+    from canopyql.llm import components as c
+
+    made = []
+
+    def counted(df, what="stage"):
+        out = stage(df, what)
+        made.append((what, out.count()))
+        return out
+
+    stage = c.stage
+    monkeypatch.setattr(c, "stage", counted)
+    order = np.random.default_rng(3).permutation(400).tolist()
+    # a path in random order, a star, and a node with itself
+    links = [(order[i], order[i + 1]) for i in range(299)] + [(order[300], order[i]) for i in range(301, 399)] + [(order[399], order[399])]
+    want = {x: min(order[:300]) for x in order[:300]} | {x: min(order[300:399]) for x in order[300:399]} | {order[399]: order[399]}
+    for limit in (10**6, 0):
+        monkeypatch.setattr(c, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(c, "HUB", 20)
+        made.clear()
+        got = c.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+        rows = [n for what, n in made if what == "links"]
+        assert rows[-1] == 0 and sum(rows) <= 2 * rows[0]
+    assert c.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_dedup_joins_labels_of_components_alone(spark, monkeypatch):
+    from canopyql.llm import components as c
+
+    given = []
+    monkeypatch.setattr(dedup, "components", lambda links: given.append([(r["a"], r["b"]) for r in links.collect()]) or c.components(links))
+    # hubs find only some of the links; the bands' own comparison must find what joins the rest
+    found = dedup._Search.verified
+    monkeypatch.setattr(dedup._Search, "verified", lambda self, pairs: found(self, pairs).where("(a + b) % 5 = 0"))
+    base = [f"w{i * i % 997}" for i in range(400)]
+    rows = {k: " ".join([*base[: 5 * k], *(f"k{k}x{j}" for j in range(16)), *base[5 * k + 16 :]]) for k in range(70)}
+    got = {r["doc_id"]: r["class_id"] for r in dedup.classes(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(1), 0.8).collect()}
+    assert got == brute_classes(rows, 0.8)
+    # the second time the links that are known already stay out
+    assert len(given) == 2 and given[1] and not set(given[0]) & set(given[1])
+
+
+def test_workers_keep_one_table():
+    from canopyql.llm import kept
+
+    kept.forget()
+    assert kept.kept("model", lambda: [1]) == [1] and kept.kept("model", lambda: [2]) == [1]
+    assert kept.kept("codec", lambda: [3]) == [3] and list(kept._KEPT) == ["codec"]
+    list(dedup._sketch(5)(iter(())))
+    assert not kept._KEPT
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     names = r.integers(0, 2**63, 300).astype(np.uint64)
