@@ -23,7 +23,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from canopyql.llm.kept import kept
 from canopyql.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -190,14 +191,9 @@ def specification(path: str) -> dict:
     return {"vocab": raw["model"]["vocab"], "merges": [tuple(m) for m in raw["model"]["merges"]], "special": [(t["content"], t["id"]) for t in raw["added_tokens"]]}
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec_for(key: str, spec: dict) -> Codec:
+def codec_for(key: str, spec: Callable[[], dict]) -> Codec:
     """This process's codec for a file, compiled once."""
-    if key not in _CODECS:
-        _CODECS[key] = Codec(spec)
-    return _CODECS[key]
+    return kept(key, lambda: Codec(spec()))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
@@ -211,7 +207,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, column: str = "text"
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(path, spec.value)
+        codec = codec_for(path, lambda: spec.value)
         for batch in batches:
             # a few documents at a time, so that memory follows the longest text
             texts = batch.column(batch.num_columns - 1)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.llm.flat import U, find, pieces, slots, words
+from canopyql.llm.kept import kept
 from canopyql.llm.ppm import gaps, planes, symbols_of, unplanes
 from canopyql.session import table
 
@@ -237,16 +238,14 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"fitted": made[0]["model"], "name": uuid.uuid4().hex} if made else {"constant": share}
 
 
-_INDEXED: dict[str, dict] = {}
-
-
 def _indexed(trained: dict) -> dict:
-    """This process's copy of a broadcast model, with its look-up tables; that of an earlier one goes."""
-    if trained["name"] not in _INDEXED:
-        _INDEXED.clear()
+    """This process's copy of a broadcast model, with its look-up tables."""
+
+    def make() -> dict:
         made = unpacked(trained["fitted"])
-        _INDEXED[trained["name"]] = {"model": indexed(made["model"]), "calibration": made["calibration"]}
-    return _INDEXED[trained["name"]]
+        return {"model": indexed(made["model"]), "calibration": made["calibration"]}
+
+    return kept(trained["name"], make)
 
 
 def scored(docs: DataFrame, trained: dict) -> DataFrame:
