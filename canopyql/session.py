@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Paths handed out by ``scratch`` and not yet released, by application.
-_SCRATCH: dict[str, set[str]] = {}
+#: Paths handed out by ``scratch`` and not yet released, by application and thread: queries of one session that run at once leave each other's alone.
+_SCRATCH: dict[tuple[str, int], set[str]] = {}
+
+
+def _own(spark: SparkSession) -> set[str]:
+    return _SCRATCH.setdefault((spark.sparkContext.applicationId, threading.get_ident()), set())
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    _own(spark).add(path)
     return path
 
 
 def held(spark: SparkSession) -> set[str]:
-    """The scratch paths of this application that are still there."""
-    return set(_SCRATCH.get(spark.sparkContext.applicationId, ()))
+    """The scratch paths that this thread has made in this application and that are still there."""
+    return set(_own(spark))
 
 
 def release(spark: SparkSession, paths: set[str]) -> None:
@@ -69,7 +74,7 @@ def release(spark: SparkSession, paths: set[str]) -> None:
     for path in paths:
         at = java(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _SCRATCH.get(spark.sparkContext.applicationId, set()).discard(path)
+        _own(spark).discard(path)
 
 
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from canopyql.llm import bpe, dedup, extraction, fingerprint, flat, ppm, quality, toxicity, warc
-from canopyql.session import table
+from canopyql.session import stage, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -778,3 +779,23 @@ def test_pipeline_stages(spark, sf, texts):
     assert mixed.columns == documents.columns
     last = p.run(spark, sf)
     assert sorted(r["doc_id"] for r in last.collect()) == sorted(r["doc_id"] for r in mixed.collect())
+
+
+def test_pipeline_leaves_what_other_threads_write(spark, sf, monkeypatch):
+    """Two queries of one session at once: a stage's end deletes what the stage itself wrote, and nothing else."""
+    import corpus_pipeline as p
+
+    others, own = [], []
+
+    def step(session, docs, sf_dir):
+        thread = threading.Thread(target=lambda: others.append(stage(session.range(3).toDF("n"), "other")))
+        thread.start()
+        thread.join()
+        own.append(stage(docs.select("doc_id"), "own").inputFiles()[0])
+        return docs
+
+    monkeypatch.setattr(p, "STAGES", [("first", step), ("second", step), ("last", lambda session, docs, sf_dir: docs)])
+    assert p.run(spark, sf).count() == table(spark, sf, "documents").count()
+    assert [x.count() for x in others] == [3, 3]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    assert not any(path(x).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(x)) for x in own)
