@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyql.session import held, release, stage
 
-#: Rounds of walks after which they are written.
-ROUNDS_WRITTEN = 5
-#: Groups of a member whose lists are put together in one row.
+#: Groups of a member whose lists are put together by one task.
 MANY = 50_000
+#: Bytes of packed lists that are taken at a time, and members of a node in one row at most.
+AT_ONCE, LONGEST = 1 << 18, 1 << 20
+#: Nodes whose ranks are broadcast, the longest stretch of ids that a task sums over, and tasks a core that read the edges.
+BROADCAST_NODES, SPAN, TASKS_A_CORE = 1_000_000, 1 << 22, 2
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -57,71 +61,249 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fa
     return out
 
 
-def pairs_within(groups: DataFrame) -> DataFrame:
-    """(src, dst), once each: src < dst that are members of one group at least, from (group, member).
-
-    Pairs are never rows before they are distinct: a member gets, of each of its groups, the list of the members after it,
-    and the lists of one member are put together; one of over MANY groups gets them in parts, by the other member's hash.
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers of 64 bits in seven bits a byte, the last byte of each below 128; and how many bytes each takes."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= np.uint64(1 << 7 * k)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        more = np.where(size[has] > k + 1, 128, 0)
+        out[at[has] + k] = (values[has] >> np.uint64(7 * k) & np.uint64(127)) | more.astype(np.uint64)
+    return out, size
+
+
+def _unpacked(src: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all members, how many of each list) of lists that are packed as steps, the first one from src."""
+    more = np.flatnonzero(data > 127)
+    parts = (data & 127).astype(np.uint64)
+    if len(more):
+        opens = np.diff(more, prepend=-2) != 1
+        nth = more - more[opens][np.cumsum(opens) - 1] + 1
+        parts[more + 1] <<= (7 * nth).astype(np.uint64)
+    # sums over all bytes, less what came before a list; 64 bits wrap around alike on the way there and back
+    total = np.cumsum(parts, out=parts)
+    before = np.concatenate([np.zeros(1, np.uint64), total])[offsets[:-1]]
+    n = np.diff(offsets)
+    if len(more):
+        ends = np.flatnonzero(data < 128)
+        total, n = total[ends], np.diff(np.searchsorted(ends, offsets))
+    total += np.repeat(src.astype(np.int64).view(np.uint64) - before, n)
+    return total.view(np.int64), n
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each value begins and the last one ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8), offsets - offsets[0]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of AT_ONCE bytes or so each, one row at least."""
+    part = (np.cumsum(sizes) - sizes) // AT_ONCE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(src, members, how many of each) of packed lists, so many at a time that they are AT_ONCE bytes or so."""
+    for batch in batches:
+        if batch.num_rows:
+            src, (data, offsets) = batch.column("src").to_numpy(), _bytes(batch.column("later"))
+            for i, j in _slices(np.diff(offsets)):
+                yield src[i:j], *_unpacked(src[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def _row(src: int, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows (src, n, later) of one node: its ascending members as packed steps, LONGEST in a row at most."""
+    for i in range(0, len(members), LONGEST):
+        m = members[i : i + LONGEST]
+        data, _ = _packed(np.diff(m, prepend=np.int64(src)).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([src], pa.int64()), pa.array([len(m)], pa.int64()), pa.array([data.tobytes()], pa.binary())], ["src", "n", "later"])
+
+
+def _gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of AT_ONCE bytes or so."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += row.nbytes
+        if size > AT_ONCE or len(held) >= 1_000:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _fan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, part, later): for each member of an ascending list but the last, those after it; a list is packed once, and what follows a member is its end."""
+    for batch in batches:
+        lists = batch.column("all")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(values):
+            continue
+        data, size = _packed(np.diff(values, prepend=values[:1]).view(np.uint64))
+        at = np.concatenate([[0], np.cumsum(size)])
+        n = np.diff(offsets)
+        end, part = np.repeat(at[offsets[1:]], n), np.repeat(batch.column("part").to_numpy(), n)
+        rows = np.flatnonzero(at[1:] < end)
+        begin, length = at[1:][rows], (end - at[1:])[rows]
+        for i, j in _slices(length) if len(rows) else ():
+            to = np.cumsum(length[i:j])
+            index = np.repeat(begin[i:j] - (to - length[i:j]), length[i:j]) + np.arange(to[-1])
+            later = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(data[index])])
+            yield pa.RecordBatch.from_arrays([pa.array(values[rows[i:j]]), pa.array(part[rows[i:j]]), later], ["src", "part", "later"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, n, later) of rows (src, later) in src's order: the members of all lists of a node, once each."""
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for src, members, n in _lists(batches):
+            cuts = np.flatnonzero(np.diff(src)) + 1
+            at = np.concatenate([[0], np.cumsum(n)])
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(src)], strict=True):
+                if src[i] != last:
+                    if held:
+                        yield from _row(last, np.unique(np.concatenate(held)))
+                    last, held, size = int(src[i]), [], 0
+                held.append(members[at[i] : at[j]])
+                size += at[j] - at[i]
+                if size > AT_ONCE and len(held) > 1:
+                    # no more than twice the members that are different
+                    held = [np.unique(np.concatenate(held))]
+                    size = 0
+        if held:
+            yield from _row(last, np.unique(np.concatenate(held)))
+
+    yield from _gathered(rows())
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, n, later) of edges (src, dst) in order, each as often as it is there."""
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = batch.column("src").to_numpy(), batch.column("dst").to_numpy()
+            cuts = np.flatnonzero(np.diff(src)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(src)], strict=True) if len(src) else ():
+                yield from _row(int(src[i]), dst[i:j])
+
+    yield from _gathered(rows())
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of packed lists."""
+    for src, members, n in _lists(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(src, n)), pa.array(members)], ["src", "dst"])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dst, got): sums of what each node gives (given) to every member of its lists. Ids that lie in one stretch of SPAN are
+    summed over the whole task, others over AT_ONCE bytes of lists."""
+    low, total = 0, np.empty(0)
+
+    def out(dst: np.ndarray, got: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(dst), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(dst[i : i + 100_000]), pa.array(got[i : i + 100_000])], ["dst", "got"])
+
+    given: list[np.ndarray] = []
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # rows come back in the same order, in slices
+            given[:] = [batch.column("given").to_numpy()]
+            yield batch
+
+    for src, members, n in _lists(seen()):
+        own, given[0] = np.repeat(given[0][: len(src)], n), given[0][len(src) :]
+        if not len(members):
+            continue
+        first, last = int(members.min()), int(members.max())
+        if len(total):
+            first, last = min(first, low), max(last, low + len(total) - 1)
+        if last - first >= SPAN:
+            ids, where = np.unique(members, return_inverse=True)
+            yield from out(ids, np.bincount(where, own, len(ids)))
+            continue
+        if last - first >= len(total):
+            # twice as long at least, so that it is seldom copied
+            longer = max(last - first + 1, min(2 * len(total), SPAN))
+            wider = np.zeros(longer)
+            wider[low - first : low - first + len(total)] = total
+            low, total = first, wider
+        members -= low
+        np.add.at(total, members, own)
+    # what got nothing is as good as absent
+    kept = np.flatnonzero(total)
+    yield from out(kept + low, total[kept])
+
+
+def lists_within(groups: DataFrame) -> DataFrame:
+    """(src, n, later): for each member of a group the n greater members of all its groups, once each, from (group, member).
+
+    Pairs are never rows. A group's members are one ascending list; a member gets what follows it there as packed steps (a byte or two
+    a member), and its lists are put together in id's order as they come. One of over MANY groups is put together in parts before.
     """
-    x = stage(groups.select("group", "member").distinct(), "members")
-    fan = x.groupBy("group").agg(F.sort_array(F.collect_list("member")).alias("all")).select("all", F.posexplode("all").alias("pos", "src"))
-    fan = fan.where(F.col("pos") < F.size("all") - 1).select("src", F.slice("all", F.col("pos") + 2, F.size("all")).alias("later"))
-    often = stage(x.groupBy(F.col("member").alias("src")).agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("parts")).where("parts > 1"), "often")
-    fan = fan.withColumn("part", F.lit(0))
+    groups = groups.where("group IS NOT NULL AND member IS NOT NULL").select("group", F.col("member").cast("long").alias("member"))
+    often = stage(groups.groupBy("member").agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("parts")).where("parts > 1"), "often")
+    all_of = groups.repartition("group").groupBy("group").agg(F.sort_array(F.collect_set("member")).alias("all")).where(F.size("all") > 1)
+    fan = all_of.select("all", F.xxhash64("group").alias("part")).mapInArrow(_fan, "src long, part long, later binary")
+    kind = "src long, n long, later binary"
     if not often.isEmpty():
-        # one row for every MANY groups of a member at most
-        fan = fan.drop("part").join(F.broadcast(often), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        own = F.filter("later", lambda d: F.pmod(F.xxhash64(d), F.col("parts")) == F.col("part"))
-        fan = fan.select("src", F.when(F.col("parts").isNull(), F.col("later")).otherwise(own).alias("later"), "part")
-    lists = fan.repartition("src", "part").groupBy("src", "part").agg(F.array_distinct(F.flatten(F.collect_list("later"))).alias("later"))
-    return lists.select("src", F.explode("later").alias("dst"))
+        dealt = fan.join(F.broadcast(often), F.col("src") == F.col("member"), "left").select("src", F.pmod("part", F.coalesce("parts", F.lit(1))).alias("part"), "later")
+        fan = dealt.repartition("src", "part").sortWithinPartitions("src", "part").select("src", "later").mapInArrow(_joined, kind)
+    return fan.select("src", "later").repartition("src").sortWithinPartitions("src").mapInArrow(_joined, kind)
+
+
+def pairs_within(groups: DataFrame) -> DataFrame:
+    """(src, dst), once each: src < dst that are members of one group at least, from (group, member)."""
+    return lists_within(groups).select("src", "later").mapInArrow(_members, "src long, dst long")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, distinct: bool = False) -> DataFrame:
-    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. Parallel edges count;
-    distinct says that there are none.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(sym_id, rank): exactly so many rounds from 1/n; nodes without out-edges spread their rank evenly. edges are (src, dst), of
+    which parallel ones count, or lists (src, n, later) as ``lists_within`` gives them.
 
     What nodes without out-edges spread is the same for all, as is the share that everyone gets. So the ranks of
     round t are a sum of plain walks u_0, u_1, ... (u_k: what k steps along the edges make of 1/n each), whose factors
-    follow from how much of each walk ends at nodes without out-edges: one number a walk. A round is therefore one
-    join along the edges and one sum, with nothing to wait for; a node takes its own row along by an edge
-    to itself, so that a round reads the one before it once. Every few rounds the walks are written.
+    follow from how much of each walk ends at nodes without out-edges: one number a walk.
+
+    Edges are written once, as packed lists, and a round reads them where they lie: what a node gives meets its lists
+    by a broadcast (up to BROADCAST_NODES), a task sums what it gives to each node, and only these sums are shuffled.
     """
     spark, made = nodes.sparkSession, held(nodes.sparkSession)
-    # written, as degrees, parts and nodes without out-edges are all read from it
-    once = edges.select("src", "dst", F.lit(1).cast("long").alias("times"))
-    edges = stage(once if distinct else edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "edges")
-    out = edges.groupBy("src").agg(F.sum("times").alias("deg"))
-    part = edges.join(out, "src").select("src", "dst", (F.col("times") / F.col("deg")).alias("part"), F.lit(None).cast("int").alias("loose"))
-    own = nodes.select("sym_id").join(out, F.col("sym_id") == F.col("src"), "left").select(F.col("sym_id").alias("src"), F.col("sym_id").alias("dst"), F.lit(None).cast("double").alias("part"), F.col("deg").isNull().cast("int").alias("loose"))
-    way = stage(part.join(nodes.select(F.col("sym_id").alias("dst")), "dst", "left_semi").select("src", "dst", "part", "loose").unionByName(own), "edges")
-    n = max(way.where("part IS NULL").count(), 1)
-    walks: list[DataFrame] = []
-    now, first = way.where("part IS NULL").select(F.col("src").alias("sym_id"), F.lit(1.0 / n).alias("u0"), "loose"), 0
-    for k in range(1, rounds + 1):
-        done = [c for c in now.columns if c.startswith("u")]
-        step = way.join(now.withColumnsRenamed({"sym_id": "src", "loose": "_loose"}), "src")
-        is_own = F.col("part").isNull()
-        kept = [F.sum(F.when(is_own, F.col(c))).alias(c) for c in done]
-        now = step.groupBy(F.col("dst").alias("sym_id")).agg(*kept, F.sum(F.when(is_own, 0.0).otherwise(F.col(done[-1]) * F.col("part"))).alias(f"u{k}"), F.max("loose").alias("loose"))
-        if k % ROUNDS_WRITTEN == 0 or k == rounds:
-            now = stage(now, "walks")
-            # the last walk goes on; those before it stay in this table
-            walks.append(now.select("sym_id", "loose", *[f"u{i}" for i in range(first, k)]))
-            first = k
-            now = now.select("sym_id", f"u{k}", "loose")
-    walks.append(now if rounds else now.select("sym_id", "u0", "loose"))
-    ends: dict[str, float] = {}
-    for w in walks:
-        us = [c for c in w.columns if c.startswith("u")]
-        ends |= w.agg(*[F.coalesce(F.sum(F.when(F.col("loose") == 1, F.col(c))), F.lit(0.0)).alias(c) for c in us]).first().asDict() if us else {}
+    if "later" not in edges.columns:
+        order = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+        edges = order.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").mapInArrow(_listed, "src long, n long, later binary")
+    lists = stage(edges, "edges")
+    deg = lists.groupBy(F.col("src").alias("_src")).agg(F.sum("n").alias("deg"))
+    own = stage(nodes.select("sym_id").join(deg, F.col("sym_id") == F.col("_src"), "left").select("sym_id", "deg"), "own")
+    n = max(own.count(), 1)
+    # few tasks, as each gives a sum for every node at most
+    lists = lists.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    walks = [own.select("sym_id", "deg", F.lit(1.0 / n).alias("u"))]
+    for _ in range(rounds):
+        gives = walks[-1].where("deg IS NOT NULL").select(F.col("sym_id").alias("src"), (F.col("u") / F.col("deg")).alias("given"))
+        met = lists.select("src", "later").join(F.broadcast(gives) if n <= BROADCAST_NODES else gives, "src")
+        got = met.mapInArrow(_received, "dst long, got double").select(F.col("dst").alias("sym_id"), F.lit(None).cast("long").alias("deg"), "got", F.lit(False).alias("is_node"))
+        every = got.unionByName(own.withColumns({"got": F.lit(0.0), "is_node": F.lit(True)})).groupBy("sym_id").agg(F.max("deg").alias("deg"), F.sum("got").alias("u"), F.bool_or("is_node").alias("is_node"))
+        walks.append(stage(every.where("is_node").select("sym_id", "deg", "u"), "walks"))
+    numbered = reduce(lambda a, b: a.unionByName(b), [w.withColumn("k", F.lit(k)) for k, w in enumerate(walks)])
+    ends = dict.fromkeys(range(rounds + 1), 0.0) | {k: u for k, u in numbered.where("deg IS NULL").groupBy("k").agg(F.sum("u")).collect()}
     # factors of the walks: round t is damping^t u_t and, for every round before, what all got alike in it
     given: list[float] = []
     for t in range(rounds):
-        spread = damping**t * ends[f"u{t}"] + sum(given[t - 1 - k] * damping**k * ends[f"u{k}"] for k in range(t))
+        spread = damping**t * ends[t] + sum(given[t - 1 - k] * damping**k * ends[k] for k in range(t))
         given.append((1 - damping) + damping * spread)
-    factor = {f"u{k}": given[rounds - 1 - k] * damping**k for k in range(rounds)} | {f"u{rounds}": damping**rounds}
-    parts = [w.select("sym_id", reduce(lambda a, b: a + b, [F.col(c) * factor[c] for c in w.columns if c.startswith("u")]).alias("rank")) for w in walks if len(w.columns) > 2]
+    factor = [given[rounds - 1 - k] * damping**k for k in range(rounds)] + [damping**rounds]
+    parts = [w.select("sym_id", (F.col("u") * factor[k]).alias("rank")) for k, w in enumerate(walks)]
     ranks = stage(reduce(lambda a, b: a.unionByName(b), parts).groupBy("sym_id").agg(F.sum("rank").alias("rank")), "ranks")
     release(spark, {p for p in held(spark) - made if "/ranks-" not in p})
     return ranks

@@ -418,9 +418,9 @@ def _pagerank_sql(rounds: int) -> str:
 @query("pagerank20", _pagerank_sql(20), base=False)
 def pagerank20(spark, d):
     items = table(spark, d, "lineitem").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
-    e = graph.pairs_within(items.select(F.col("l_partkey").alias("group"), F.col("l_suppkey").alias("member")))
+    e = graph.lists_within(items.select(F.col("l_partkey").alias("group"), F.col("l_suppkey").alias("member")))
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sym_id"))
-    return graph.pagerank(nodes, e, distinct=True).select("sym_id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes, e).select("sym_id", F.round("rank", 9).alias("rank"))
 
 
 @query("sorted_names", "SELECT n, row_number() OVER (ORDER BY n COLLATE en, n) AS position FROM (SELECT DISTINCT n FROM syms ORDER BY n COLLATE en, n LIMIT 50)")

@@ -1,5 +1,8 @@
 """Small cases for expressions and module rules."""
 
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +313,63 @@ def test_pairs_within_groups(spark, monkeypatch, many):
     assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize(("span", "nodes"), [(1 << 22, 1_000_000), (3, 0)])
+def test_ranks_write_a_byte_or_two_an_edge(spark, monkeypatch, tmp_path, span, nodes):
+    """Suppliers of a part are linked pair by pair, but the pairs are written as packed lists, once, and never shuffled."""
+    from canopyql.operators import graph
+    from canopyql.plans import catalog
+
+    written = []
+    real = graph.stage
+
+    def stage(df, what="stage"):
+        out = real(df, what)
+        written.append((out.count(), sum(os.path.getsize(f.removeprefix("file:").replace("//", "/")) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(graph, "stage", stage)
+    monkeypatch.setattr(graph, "SPAN", span, raising=False)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", nodes, raising=False)
+    n, r = 700, np.random.default_rng(3)
+    items = {(part, int(s)) for part in range(8) for s in r.choice(n, 350, replace=False)}
+    spark.createDataFrame([*items, (9, None), (None, 3)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n - 1).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    link = np.zeros((n, n), bool)
+    for part in range(8):
+        of = sorted(s for p, s in items if p == part)
+        link[np.ix_(of, of)] = True
+    link = np.triu(link, 1)
+    deg, rank = link.sum(1)[: n - 1], np.full(n - 1, 1 / (n - 1))
+    for _ in range(20):
+        got = link[: n - 1, : n - 1].T @ np.where(deg > 0, rank / np.maximum(deg, 1), 0)
+        rank = 0.15 / (n - 1) + 0.85 * (got + rank[deg == 0].sum() / (n - 1))
+    rows = sorted(catalog.queries()["pagerank20"](spark, str(tmp_path)).collect())
+    assert [x["sym_id"] for x in rows] == list(range(n - 1)) and np.allclose([x["rank"] for x in rows], rank, atol=2e-9)
+    assert max(rows for rows, _ in written) <= n and max(size for _, size in written) < 1.5 * link.sum()
+
+
+def test_pairs_of_any_ids(spark):
+    from canopyql.operators import graph
+
+    low, high = -(2**63), 2**63 - 1
+    rows = [(1, low), (1, high), (1, 0), (1, -5), (2, high), (2, 0), (2, 127), (2, 128), (2, 1 << 40), (3, 7)]
+    want = {(a, b) for g, a in rows for h, b in rows if g == h and a < b}
+    got = [tuple(r) for r in graph.pairs_within(spark.createDataFrame(rows, "group long, member long")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # the same as edges that go both ways, some twice
+    edges = [*want, *((b, a) for a, b in want), (0, high)]
+    ids = sorted({a for a, _ in edges})
+    at = {x: i for i, x in enumerate(ids)}
+    step = np.zeros((len(ids), len(ids)))
+    for a, b in edges:
+        step[at[b], at[a]] += 1
+    rank = np.full(len(ids), 1 / len(ids))
+    for _ in range(4):
+        rank = 0.15 / len(ids) + 0.85 * (step / step.sum(0)) @ rank
+    out = graph.pagerank(spark.createDataFrame([(x,) for x in ids], "sym_id long"), spark.createDataFrame(edges, "src long, dst long"), 4).collect()
+    assert np.allclose([x["rank"] for x in sorted(out)], rank, atol=1e-12)
+
+
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_places_settle_references(spark, monkeypatch, most):
     """Many references of few names and files are settled once a name and file; the wide summaries never meet them one by one."""
