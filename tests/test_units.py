@@ -299,6 +299,26 @@ def test_notes_bound_by_the_best_way(spark, monkeypatch, most):
     assert "min(priority" not in plan and "Aggregate [note_id" not in plan
 
 
+@pytest.mark.parametrize(("a", "b"), [(400, 400), (900, 100), (1, 900), (900, 1)])
+def test_notes_and_symbols_are_seldom_repeated(spark, monkeypatch, a, b):
+    """A file of many notes and many symbols is dealt over many tasks, and neither side is repeated for all of them."""
+    from canopyql.plans import verbs
+
+    monkeypatch.setattr(verbs, "PAIRS", 400)
+    notes = spark.range(a).select(F.col("id").alias("note_id"), *[F.lit(x).cast("string").alias(c) for c, x in (("sym", "s"), ("file", "x"), ("rel", None), ("alias", None))])
+    symbols = spark.range(b).select(F.col("id").alias("sym_id"), F.lit("n").alias("n"), F.lit("x").alias("p"))
+    out = verbs.bind_notes(notes, symbols)
+    assert out.count() == out.distinct().count() == a * b
+    joined = out._jdf.queryExecution().optimizedPlan()
+    while joined.nodeName() != "Join":
+        joined = joined.children().apply(0)
+    rows = 0
+    for i in range(2):
+        side = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, joined.children().apply(i))
+        rows += side.count()
+    assert rows < 2.5 * a * b / 20 + 3 * (a + b)
+
+
 @pytest.mark.parametrize("many", [2, 50_000])
 def test_pairs_within_groups(spark, monkeypatch, many):
     from canopyql.operators import graph
